@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reefline.llm import q_chat, q_decontaminate, q_packing, q_rules, q_simhash
+from reefline.llm import q_chat, q_decontaminate, q_packing, q_rules, q_simhash, q_toxicity
 
-_MODULES = (q_chat, q_rules, q_decontaminate, q_simhash, q_packing)
+_MODULES = (q_chat, q_rules, q_decontaminate, q_simhash, q_packing, q_toxicity)
 
 
 def queries() -> dict:
