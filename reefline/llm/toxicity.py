@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nystroem landmarks.
 
-The kernel compares words by their gapped three-letter subsequences: a subsequence that spans s
-places weighs ``DECAY ** (s - 3)``, up to ``SPAN`` places; word ends count as letters. Signs inside a
+The kernel compares words by their gapped four-letter subsequences: a subsequence that spans s
+places weighs ``DECAY ** (s - 4)``, up to ``SPAN`` places; word ends count as letters. Signs inside a
 word are dropped and single letters that follow each other are read as one word, so gapped and
 inserted-character spellings stay near the plain one. A Nystroem map onto landmark words gives the
 features of a linear machine with squared hinge loss. Its decision is a weighted sum of kernels with
@@ -9,7 +9,7 @@ the landmarks, and folding the landmarks' subsequences into one weight table giv
 time linear in the text.
 
 A sentence is as toxic as its worst words, and a document as its worst sentences, which is the same
-as the best two word scores of the text; a logistic curve on them, fitted on labelled rows that the
+as the best ``BEST`` word scores of the text; a logistic curve on them, fitted on labelled rows that the
 machine did not see, gives the probability. Training words come from labelled sentences: all words of
 clean texts are clean; of a toxic text only its likeliest words are taken as witnesses, and these are
 chosen anew after each fit.
@@ -23,6 +23,7 @@ extra columns are ignored; repeated rows are scored each.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm import _bytes
-from reefline.llm._frames import map_text
+from reefline.llm._frames import map_text, written
 
 TRAIN_ROWS, CONTROLS, CANDIDATES = 20_000, 40_000, 400_000
-LANDMARKS, ROUNDS, WITNESSES = 256, 4, 2
+LANDMARKS, ROUNDS, WITNESSES, BEST = 256, 4, 3, 4
+#: Bits of the hash of a subsequence.
+BITS = 20
+#: A word of toxic texts may be a witness if clean texts with it are fewer by this factor.
+RARER = 8
+#: Log likelihood ratio from which a word may be a first witness (a tenth of the largest, if that is more).
+STANDS_OUT = 15.0
 DECAY, SPAN, REGULAR = 0.5, 6, 1e-3
 THRESHOLD = 0.3
 
@@ -47,7 +54,7 @@ _SYMBOL[0x30:0x3A] = 26
 for _first in (0x41, 0x61):
     _SYMBOL[_first : _first + 26] = np.arange(26)
 _SYMBOL[~_bytes.NOT_SPACE] = _END
-_STEPS = [(a, k) for k in range(2, SPAN) for a in range(1, k)]
+_STEPS = [(a, b, k) for k in range(3, SPAN) for b in range(2, k) for a in range(1, b)]
 
 
 @dataclass
@@ -91,22 +98,22 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, Spelled]]:
         yield i, spell(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _triples(s: Spelled) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+def _subsequences(s: Spelled) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each gap pattern: the places it holds at, the subsequences there, and their weight."""
     n = len(s.symbols)
     stop = np.repeat(s.ends[1:], np.diff(s.ends))  # the mark that closes the word of each place
     room = stop - np.arange(len(stop))
-    wide = s.symbols.astype(np.int32)
-    for a, k in _STEPS:
-        m = n - k
-        if m <= 0:
+    c = s.symbols.astype(np.uint32)
+    for a, b, k in _STEPS:
+        if n <= k:
             continue
-        ok = np.flatnonzero(room[:m] >= k) if len(room) >= m else np.flatnonzero(room >= k)
-        yield ok, (wide[ok] << 12) | (wide[ok + a] << 6) | wide[ok + k], DECAY ** (k - 2)
+        ok = np.flatnonzero(room[: n - k] >= k)
+        key = (c[ok] << 18) | (c[ok + a] << 12) | (c[ok + b] << 6) | c[ok + k]
+        yield ok, (key * np.uint32(2654435761)) >> np.uint32(32 - BITS), DECAY ** (k - 3)
 
 
 def _norm(lengths: np.ndarray) -> np.ndarray:
-    total = sum(DECAY ** (2 * (k - 2)) * np.maximum(0, lengths + 2 - k) for _, k in _STEPS)
+    total = sum(DECAY ** (2 * (k - 3)) * np.maximum(0, lengths + 2 - k) for _, _, k in _STEPS)
     return np.sqrt(np.maximum(total, 1e-9))
 
 
@@ -114,24 +121,23 @@ def word_scores(s: Spelled, table: np.ndarray) -> np.ndarray:
     if len(s.ends) < 2:
         return np.zeros(0, np.float32)
     gained = np.zeros(len(s.symbols), np.float32)
-    for at, which, weight in _triples(s):
+    for at, which, weight in _subsequences(s):
         gained[at] += table[which] * np.float32(weight)
     return np.add.reduceat(gained, s.ends[:-1]) / _norm(s.lengths())
 
 
-def best_two(s: Spelled, scores: np.ndarray, floor: float) -> np.ndarray:
-    """The two largest word scores of each text."""
-    scores = np.where(s.lengths() > 0, scores, floor) if len(scores) else scores
-    doc = np.repeat(np.arange(len(s.of) - 1), np.diff(s.of))
-    out = np.full((len(s.of) - 1, 2), floor)
-    for k in range(2):
-        if len(scores):
-            np.maximum.at(out[:, k], doc, scores)
-            if k == 0:  # the first place of each maximum is taken out
-                hit = np.flatnonzero(scores == out[doc, 0])
-                first = hit[np.unique(doc[hit], return_index=True)[1]]
-                scores = scores.copy()
-                scores[first] = floor
+def best(s: Spelled, scores: np.ndarray, floor: float, n: int = BEST) -> np.ndarray:
+    """The ``n`` largest word scores of each text, from the top; ``floor`` where it has fewer words."""
+    out = np.full((len(s.of) - 1, n), floor)
+    real = np.flatnonzero(s.lengths() > 0)
+    scores, doc = np.maximum(scores[real], floor), np.repeat(np.arange(len(s.of) - 1), np.diff(s.of))[real]
+    for k in range(n):
+        if not len(scores):
+            break
+        np.maximum.at(out[:, k], doc, scores)
+        hit = np.flatnonzero(scores == out[doc, k])
+        first = hit[np.unique(doc[hit], return_index=True)[1]]  # one place of each maximum is taken out
+        scores, doc = np.delete(scores, first), np.delete(doc, first)
     return out
 
 
@@ -139,14 +145,13 @@ def best_two(s: Spelled, scores: np.ndarray, floor: float) -> np.ndarray:
 class Model:
     table: np.ndarray
     floor: float
-    curve: tuple[float, float, float]
+    curve: np.ndarray  # a weight for each of the best scores, and a constant
+
+    def best(self, column: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros((0, BEST)), *(best(s, word_scores(s, self.table), self.floor) for _, s in chunks(column))])
 
     def score(self, column: pa.Array) -> np.ndarray:
-        out = [np.zeros((0, 2))]
-        for _, s in chunks(column):
-            out.append(best_two(s, word_scores(s, self.table), self.floor))
-        x = np.concatenate(out)
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] * x[:, 0] + self.curve[1] * x[:, 1] + self.curve[2], -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.best(column) @ self.curve[:-1] + self.curve[-1], -40, 40)))
 
 
 def _spell_words(words: list[str]) -> Spelled:
@@ -161,7 +166,7 @@ def _rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of_place = np.repeat(np.arange(len(s.ends) - 1), np.diff(s.ends))
     norm = _norm(s.lengths())
     row, which, weight = [], [], []
-    for at, w, x in _triples(s):
+    for at, w, x in _subsequences(s):
         k = of_place[at]
         row.append(doc[k])
         which.append(w)
@@ -172,7 +177,7 @@ def _rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def kernel(words: list[str], landmarks: list[str], step: int = 4000) -> np.ndarray:
     row, which, weight = _rows(landmarks)
     known, at = np.unique(which, return_inverse=True)
-    dense = np.zeros((len(known) + 1, len(landmarks)), np.float32)
+    dense = np.zeros((len(known), len(landmarks)), np.float32)
     np.add.at(dense, (at, row), weight)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for i in range(0, len(words), step):
@@ -183,8 +188,12 @@ def kernel(words: list[str], landmarks: list[str], step: int = 4000) -> np.ndarr
         row, at, weight = row[hit], at[hit], weight[hit]
         order = np.argsort(row, kind="stable")
         row, at, weight = row[order], at[order], weight[order]
-        for lo in range(0, len(row), 200_000):
-            np.add.at(out, i + row[lo : lo + 200_000], dense[at[lo : lo + 200_000]] * weight[lo : lo + 200_000, None])
+        lo = 0
+        while lo < len(row):  # whole words, about 16,000 subsequences
+            hi = len(row) if lo + 16_000 >= len(row) else max(int(np.searchsorted(row, row[lo + 16_000])), int(np.searchsorted(row, row[lo], "right")))
+            own, first = np.unique(row[lo:hi], return_index=True)
+            out[i + own] = np.add.reduceat(dense[at[lo:hi]] * weight[lo:hi, None], first)
+            lo = hi
     return out
 
 
@@ -217,21 +226,34 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _enrichment(words: list[str], controls: list[str]) -> np.ndarray:
-    """First guess of how toxic a word of a toxic text is: mean log odds of its subsequences."""
-    size = 1 << 18
-    sums = []
-    for some in (words, controls):
-        row, which, weight = _rows(some)
-        sums.append(np.bincount(which, weight, size))
-    odds = np.log((sums[0] + 2) / sums[0].sum()) - np.log((sums[1] + 2) / sums[1].sum())
-    row, which, weight = _rows(words)
-    return np.bincount(row, weight * odds[which], len(words))
+def _enrichment(words: list[str], in_docs: np.ndarray, controls: list[str]) -> np.ndarray:
+    """First guess of how toxic a word of a toxic text is: how far its oddest four letters stand out.
+
+    A letter run's count over the words of toxic texts is held against what the controls let expect,
+    as a Poisson log likelihood ratio.
+    """
+    runs = [{w[i : i + 4] for i in range(len(w) - 3)} for w in (f"^{x}$" for x in words)]
+    seen: Counter[str] = Counter()
+    for some, n in zip(runs, in_docs.tolist(), strict=True):
+        for r in some:
+            seen[r] += n
+    usual = Counter(r for w in controls for r in {f"^{w}$"[i : i + 4] for i in range(len(w) - 1)})
+    share = int(in_docs.sum()) / len(controls)
+
+    def odd(n: int, e: float) -> float:
+        return n * np.log(n / e) - (n - e) if n > e else 0.0
+
+    value = {r: odd(n, share * (usual[r] + 0.5)) for r, n in seen.items()}
+    return np.array([max((value[r] for r in some), default=0.0) for some in runs])
+
+
+def _curve(constant: float, first: float = 0.0) -> np.ndarray:
+    return np.array([first, *[0.0] * (BEST - 1), constant])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 5) -> Model:
     """A model from the labelled documents among ``docs``; ``labels`` has doc_id and the label."""
-    flat = Model(np.zeros(1 << 18, np.float32), -1.0, (0.0, 0.0, -40.0))
+    flat = Model(np.zeros(1 << BITS, np.float32), -1.0, _curve(-40.0))
     spark = docs.sparkSession
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TRAIN_ROWS)
@@ -239,13 +261,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
     truth = {r.i: int(r["_y"]) for r in rows}
     if len(set(truth.values())) < 2:
         share = sum(truth.values()) / max(1, len(truth))
-        return Model(flat.table, -1.0, (0.0, 0.0, float(np.log(max(share, 1e-17) / max(1 - share, 1e-17)))))
+        return Model(flat.table, -1.0, _curve(float(np.log(max(share, 1e-17) / max(1 - share, 1e-17)))))
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("_late"))  # TRAIN_ROWS rows at most
     lists = map_text(sample.where("NOT _late"), lambda t: {"words": pa.array([sorted(_words_of(x)) for x in t.to_pylist()], pa.list_(pa.string()))}, "words array<string>", ["doc_id", "_y"])
+    lists = written(lists, "words")
     pairs = lists.select("doc_id", "_y", F.explode("words").alias("w"))
-    seen = pairs.groupBy("w").agg(F.max(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("clean"), F.max("_y").alias("toxic"))
-    controls = [r.w for r in seen.where("clean = 1").orderBy(F.xxhash64("w"), "w").select("w").limit(CONTROLS).collect()]
-    held = pairs.where("_y = 1").join(seen.where("clean = 0").select("w"), "w").select("doc_id", "w")
+    seen = pairs.groupBy("w").agg(F.count_if(F.col("_y") == 0).alias("clean"), F.count_if(F.col("_y") == 1).alias("toxic"))
+    rare = f"{RARER} * clean <= toxic"
+    controls = [r.w for r in seen.where(f"NOT ({rare})").orderBy(F.xxhash64("w"), "w").select("w").limit(CONTROLS).collect()]
+    held = pairs.where("_y = 1").join(seen.where(rare).select("w"), "w").select("doc_id", "w")
     held = held.orderBy(F.xxhash64("doc_id", "w"), "w").limit(CANDIDATES).collect()
     candidates = sorted({r.w for r in held})
     if not candidates or not controls:
@@ -255,54 +279,56 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
     doc, word = np.array([doc_of[r.doc_id] for r in held]), np.array([place[r.w] for r in held])
     in_docs = np.bincount(word, minlength=len(candidates))
     rng = np.random.default_rng(seed)
-    scores = _enrichment(candidates, controls) + 0.5 * np.log(in_docs)
-    table, bias, control_scores = flat.table, 0.0, np.zeros(len(controls))
+    odd = _enrichment(candidates, in_docs, controls)
+    scores, sure = odd, odd >= max(STANDS_OUT, 0.1 * odd.max())
+    control_scores = np.zeros(len(controls))
     for turn in range(ROUNDS):
         order = np.lexsort((word, -scores[word], doc))
         rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-        found = np.unique(word[order][rank < WITNESSES])
-        if turn:  # a document's second witness counts only if it looks like one
-            found = np.union1d(np.unique(word[order][rank < 1]), found[scores[found] > 0])
-        found = found[np.argsort(-scores[found] - 0.1 * np.log(in_docs[found]))]
-        hard = np.argsort(-control_scores)[: LANDMARKS // 4] if turn else rng.permutation(len(controls))[: LANDMARKS // 4]
-        head = found[: LANDMARKS]
+        found = np.unique(word[order][rank < WITNESSES])  # the likeliest words of each toxic text
+        found = found[scores[found] > 0] if turn else found[sure[found]] if sure.any() else found
+        if not len(found):
+            break
+        found = found[np.argsort(-in_docs[found] - scores[found] / (1 + np.abs(scores[found])), kind="stable")]
+        hard = np.argsort(-control_scores, kind="stable")[: LANDMARKS // 4] if turn else rng.permutation(len(controls))[: LANDMARKS // 4]
         spread = found[rng.permutation(len(found))[: LANDMARKS // 4]]
-        marks = [candidates[i] for i in np.unique(np.concatenate((head[: LANDMARKS // 2], spread)))] + [controls[i] for i in hard]
-        own = kernel(marks, marks).astype(np.float64)
-        value, vector = np.linalg.eigh(own)
+        marks = [candidates[i] for i in np.union1d(found[: LANDMARKS // 2], spread)] + [controls[i] for i in hard]
+        value, vector = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
         good = value > 1e-6 * value[-1]
         root = vector[:, good] / np.sqrt(value[good])
         positive = [candidates[i] for i in found]
         x = np.concatenate((kernel(positive, marks), kernel(controls, marks))) @ root
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(controls))))
-        weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / len(controls)) * len(y)
+        weight = np.where(y > 0, 0.5 / len(positive), 0.5 / len(controls)) * len(y)
         w, bias = _machine(x, y, weight)
         beta = root @ w
         row, which, share = _rows(marks)
-        table = np.bincount(which, share * beta[row], 1 << 18).astype(np.float32)
+        table = np.bincount(which, share * beta[row], 1 << BITS).astype(np.float32)
+        if turn + 1 < ROUNDS:  # the likeliest words of every clean text are clean all the same
+            known = {*controls, *candidates}
+            top = lists.where("_y = 0").select("words").mapInPandas(_top_words(table), "w string").distinct()
+            controls += sorted(r.w for r in top.collect() if r.w not in known)  # WITNESSES a sampled text at most
         scores = _score_list(candidates, table) + bias
         control_scores = _score_list(controls, table) + bias
+    if not control_scores.any():
+        return flat
     floor = float(min(control_scores.min(), -1.0)) - bias
-    model = Model(table, floor, (0.0, 0.0, 0.0))
+    model = Model(table, floor, _curve(0.0))
     sent = spark.sparkContext.broadcast(model)
-    late = map_text(sample.where("_late"), lambda t: {"x": pa.array(_two(sent.value, t).tolist(), pa.list_(pa.float64()))}, "x array<double>", ["_y"]).collect()
+    late = map_text(sample.where("_late"), lambda t: {"x": pa.array(sent.value.best(t).tolist(), pa.list_(pa.float64()))}, "x array<double>", ["_y"]).collect()
     if len({r["_y"] for r in late}) < 2:
-        model.curve = (4.0, 0.0, 4.0 * bias)
+        model.curve = _curve(4.0 * bias, 4.0)
         return model
     x, y = np.array([r.x for r in late]), np.array([r["_y"] for r in late], float)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     c = _logistic((x - mean) / scale, y)
-    model.curve = (c[0] / scale[0], c[1] / scale[1], float(c[2] - c[0] * mean[0] / scale[0] - c[1] * mean[1] / scale[1]))
+    model.curve = np.append(c[:-1] / scale, c[-1] - (c[:-1] * mean / scale).sum())
     return model
 
 
-def _two(model: Model, column: pa.Array) -> np.ndarray:
-    return np.concatenate([np.zeros((0, 2)), *(best_two(s, word_scores(s, model.table), model.floor) for _, s in chunks(column))])
-
-
 def _score_list(words: list[str], table: np.ndarray) -> np.ndarray:
     s = _spell_words(words)
-    return best_two(s, word_scores(s, table), -1e9)[:, 0]
+    return best(s, word_scores(s, table), -1e9, 1)[:, 0]
 
 
 def _words_of(text: str | None) -> set[str]:
@@ -315,6 +341,23 @@ def _words_of(text: str | None) -> set[str]:
     return found
 
 
+def _top_words(table: np.ndarray):
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            words = [str(w) for some in pdf["words"] for w in some]
+            if not words:
+                continue
+            n = np.fromiter(map(len, pdf["words"]), np.int64, len(pdf))
+            doc, got = np.repeat(np.arange(len(n)), n), _score_list(words, table)
+            order = np.lexsort((-got, doc))
+            rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+            yield pd.DataFrame({"w": [words[i] for i in order[rank < WITNESSES]]})
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (``doc_id``) and ``score``, the probability that a text is toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
