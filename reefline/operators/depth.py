@@ -62,7 +62,7 @@ def pixel_masks(cells: DataFrame, p=PARAMS) -> DataFrame:
 
 def apply_masks(cells: DataFrame, masks: DataFrame) -> DataFrame:
     good = masks.where("good").select(*PIXEL, F.lit(True).alias("_ok"))
-    return cells.join(good, PIXEL, "left").withColumn("depth", F.when("_ok", F.col("depth"))).drop("_ok")
+    return cells.join(good, PIXEL, "left").withColumn("depth", F.when(F.col("_ok"), F.col("depth"))).drop("_ok")
 
 
 def gap_interpolate(cells: DataFrame, include_stop: bool = False, p=PARAMS) -> DataFrame:

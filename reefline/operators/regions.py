@@ -77,9 +77,9 @@ def fixpoint(mask: DataFrame, keys: list[str]) -> DataFrame:
         steps = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
         sent = state.select(*keys, "r", steps.alias("n")).select(*keys, "n.y", "n.x", "r").groupBy(*keys, "y", "x").agg(F.min("r").alias("_m"))
         near = state.join(sent, [*keys, "y", "x"]).select(*keys, "y", "x", "r", F.col("_m").alias("m"))
-        jump = near.select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("m").alias("_to"))
-        new = near.join(jump, [near[k] == jump[k] for k in keys] + [near["m"]["y"] == jump["_y"], near["m"]["x"] == jump["_x"]])
-        new = written(new.select(*[near[k] for k in keys], near["y"], near["x"], F.col("_to").alias("r"), (F.col("_to") != near["r"]).alias("moved")), "labels")
+        jump = near.select(*keys, F.col("y").alias("my"), F.col("x").alias("mx"), F.col("m").alias("_to"))
+        new = near.select(*keys, "y", "x", "r", F.col("m.y").alias("my"), F.col("m.x").alias("mx")).join(jump, [*keys, "my", "mx"])
+        new = written(new.select(*keys, "y", "x", F.col("_to").alias("r"), (F.col("_to") != F.col("r")).alias("moved")), "labels")
         if new.where("moved").isEmpty():
             return new.select(*keys, "y", "x", F.col("r.y").alias("root_y"), F.col("r.x").alias("root_x"))
         state = new.drop("moved")
@@ -109,4 +109,4 @@ def change_inside(change: DataFrame, regions: DataFrame, keys: list[str], area:
     on = keys if on is None else on
     rows = change.join(regions.select(*on, "y", "x", F.lit(True).alias("_in")), [*on, "y", "x"], "left")
     v = F.abs(value)
-    return rows.groupBy(*keys).agg((F.coalesce(F.sum(F.when("_in", v)), F.lit(0.0)) * area).alias("inside"), (F.coalesce(F.sum(v), F.lit(0.0)) * area).alias("overall"))
+    return rows.groupBy(*keys).agg((F.coalesce(F.sum(F.when(F.col("_in"), v)), F.lit(0.0)) * area).alias("inside"), (F.coalesce(F.sum(v), F.lit(0.0)) * area).alias("overall"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from reefline.plans import q_depth, q_events, q_stream, q_tracks
+
 
 def _modules():
-    return []
+    return [q_depth, q_events, q_tracks, q_stream]
 
 
 def queries() -> dict:

@@ -1 +1 @@
-
+"""Live monitoring as Structured Streaming jobs."""
