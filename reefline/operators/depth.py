@@ -69,7 +69,6 @@ def gap_interpolate(cells: DataFrame, include_stop: bool = False, p=PARAMS) -> D
     """Linear fill of daytime gaps by pixel and day where more than ``good_fraction`` of the frames are
     good; ends take the nearest good value. The day's last frame takes no part unless asked for.
     """
-    day = W.partitionBy("project_id", "day")
     span = cells.where("lof").select("project_id", "day", "frame_idx").distinct()
     span = span.groupBy("project_id", "day").agg(F.min("frame_idx").alias("_a"), F.max("frame_idx").alias("_b"))
     rows = cells.join(span, ["project_id", "day"], "left")
@@ -82,7 +81,6 @@ def gap_interpolate(cells: DataFrame, include_stop: bool = False, p=PARAMS) -> D
     run = F.col("_r.frame_idx") - F.col("_l.frame_idx")
     line = F.col("_l.depth") + (F.col("_r.depth") - F.col("_l.depth")) * (F.col("frame_idx") - F.col("_l.frame_idx")) / run
     filled = F.coalesce("depth", F.when(F.col("_in") & (F.col("_share") > p.good_fraction), F.coalesce(line, "_l.depth", "_r.depth")))
-    del day
     return rows.withColumn("depth", filled).drop("_a", "_b", "_in", "_l", "_r", "_share")
 
 

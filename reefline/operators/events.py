@@ -53,7 +53,6 @@ def density_grid(events: DataFrame, grid: DataFrame, keys: list[str], bandwidth:
     w = W.partitionBy(*keys)
     h = F.lit(bandwidth) if bandwidth else F.sum("_r").over(w) / F.sum("_n").over(w) / 2
     each = each.select(*keys, "X", "Y", "_n", h.alias("_h"), F.sum("_n").over(w).alias("_total"))
-    d2 = F.pow(F.col("X") - F.col("x"), 2) + F.pow(F.col("Y") - F.col("y"), 2)
     near = each.withColumnsRenamed({"X": "_X", "Y": "_Y"}).crossJoin(F.broadcast(grid))
     d2 = F.pow(F.col("_X") - F.col("x"), 2) + F.pow(F.col("_Y") - F.col("y"), 2)
     z = near.groupBy(*keys, "y", "x").agg(F.sum(F.col("_n") * F.exp(-d2 / (2 * F.col("_h") * F.col("_h")))).alias("_z"), F.max("_total").alias("_total"))

@@ -95,13 +95,13 @@ def states(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     flag = lambda k: F.when(F.col("o_orderkey") % k == 0, "False").when(F.col("o_orderkey") % 7 == 0, "TRUE").otherwise("true")
     return o.select(
-        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("projectID"), F.when(F.col("o_orderkey") % 11 != 0, flag(3)).alias("RunAnalysis"), flag(2).alias("StartingFiles"), flag(5).alias("Prep"),
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("projectID"), F.when(F.col("o_orderkey") % 11 != 0, flag(3)).alias("RunAnalysis"), flag(7).alias("StartingFiles"), flag(5).alias("Prep"),
         flag(4).alias("Depth"), flag(9).alias("Cluster"), flag(6).alias("ClusterClassification"), flag(8).alias("TrackFish"),
     )
 
 
 STATES = """states AS (
-  SELECT 'O' || o_orderkey AS "projectID", CASE WHEN o_orderkey % 11 <> 0 THEN f(3) END AS "RunAnalysis", f(2) AS "StartingFiles", f(5) AS "Prep", f(4) AS "Depth", f(9) AS "Cluster", f(6) AS "ClusterClassification", f(8) AS "TrackFish" FROM orders
+  SELECT 'O' || o_orderkey AS "projectID", CASE WHEN o_orderkey % 11 <> 0 THEN f(3) END AS "RunAnalysis", f(7) AS "StartingFiles", f(5) AS "Prep", f(4) AS "Depth", f(9) AS "Cluster", f(6) AS "ClusterClassification", f(8) AS "TrackFish" FROM orders
 )"""
 for _k in range(2, 10):
     STATES = STATES.replace(f"f({_k})", f"(CASE WHEN o_orderkey % {_k} = 0 THEN 'False' WHEN o_orderkey % 7 = 0 THEN 'TRUE' ELSE 'true' END)")

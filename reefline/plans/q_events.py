@@ -114,14 +114,14 @@ def cohort_total(spark: SparkSession, d: str) -> DataFrame:
     return reports.cohort_total(proxies.clusters(spark, d), w, BIDS)
 
 
-@query(f"""WITH {CL}, {REF} SELECT behave_or_control, bin::INT AS bin, "Prediction", count(*)::BIGINT AS n, round(min(minutes), 6) AS least_minutes FROM (
+@query(f"""WITH {CL}, {REF} SELECT behave_or_control, bin::INT AS bin, "Prediction", count(*)::BIGINT AS n, round(min(minutes), 3) AS least_minutes FROM (
   SELECT behave_or_control, "Prediction", floor(epoch(dissection_time - "TimeStamp") / 7200) * 2 AS bin, (epoch_us(dissection_time) - epoch_us("TimeStamp")) % 86400000000 / 60000000.0 AS minutes FROM clusters JOIN ref ON pid = project_id WHERE "Prediction" IS NOT NULL
 ) GROUP BY ALL""")
 def time_bins(spark: SparkSession, d: str) -> DataFrame:
     c = proxies.clusters(spark, d).where(F.col("Prediction").isNotNull()).join(proxies.reference_events(spark, d).withColumnRenamed("pid", "project_id"), "project_id")
     s = seconds_to(F.col("dissection_time"), F.col("TimeStamp"))
     rows = c.select("behave_or_control", "Prediction", hour_bin(s).alias("bin"), minutes_to(F.col("dissection_time"), F.col("TimeStamp")).alias("m"))
-    return r6(rows.groupBy("behave_or_control", "bin", "Prediction").agg(F.count("*").alias("n"), F.min("m").alias("least_minutes")))
+    return r6(rows.groupBy("behave_or_control", "bin", "Prediction").agg(F.count("*").alias("n"), F.round(F.min("m"), 3).alias("least_minutes")))
 
 
 _CASE = "CASE \"Prediction\" " + " ".join(f"WHEN '{b}' THEN '{c}'" for b, c in CATEGORIES.items()) + " END"
@@ -145,7 +145,7 @@ def category_ratio(spark: SparkSession, d: str) -> DataFrame:
 def label_pivot(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 20).alias("pid"), "event_type", (F.col("event_id") % 2).alias("s"))
     kind = F.when(F.col("event_type") == "click", F.when(F.col("s") == 0, "MM").otherwise("MF")).when(F.col("event_type") == "view", F.when(F.col("s") == 0, "FM").otherwise("FF"))
-    return e.groupBy("pid").pivot("kind", ["MM", "MF", "FM", "FF"]).count().na.fill(0) if "kind" in e.columns else e.withColumn("kind", kind).groupBy("pid").pivot("kind", ["MM", "MF", "FM", "FF"]).count().na.fill(0).orderBy("pid")
+    return e.withColumn("kind", kind).groupBy("pid").pivot("kind", ["MM", "MF", "FM", "FF"]).count().na.fill(0).orderBy("pid")
 
 
 @query("""SELECT width_bucket_::INT AS bin, count(*)::BIGINT AS n FROM (SELECT least(30, floor((value - 0) / (500.0 / 30)) + 1) AS width_bucket_ FROM events WHERE value BETWEEN 0 AND 500) GROUP BY ALL""")

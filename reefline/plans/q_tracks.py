@@ -68,9 +68,7 @@ def adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     c = [F.col(x) for x in ("xc", "yc", "w", "h")]
     x = spark.read.parquet(f"{d}/lineitem.parquet")
-    own = F.struct("l_orderkey", "l_linenumber")
     t = x.select((F.col("l_suppkey") % 10).cast("string").alias("base_name"), (F.col("l_orderkey") % 2000).cast("int").alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), (F.col("l_quantity") * 20).alias("xc"), F.pmod(F.col("l_extendedprice"), F.lit(972.0)).alias("yc"), (F.col("l_tax") * 400 + 100).alias("w"), (F.col("l_discount") * 300 + 100).alias("h"))
-    del own
     return t.select("base_name", "frame", "box_id", *box_from_centre(*c))
 
 
@@ -99,10 +97,10 @@ def log_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'U' || user_id % 10 AS project_id, 'FrameCaptured' AS type, count(*)::BIGINT AS n, sum(floor(value * 100))::BIGINT AS gp FROM events GROUP BY ALL
-UNION ALL SELECT 'U' || user_id % 10, 'PiCameraStarted', count(*), NULL FROM events WHERE event_id % 50 = 0 GROUP BY ALL UNION ALL SELECT 'U' || user_id % 10, 'PiCameraStopped', count(*), NULL FROM events WHERE event_id % 150 = 0 GROUP BY ALL""")
+UNION ALL SELECT 'U' || user_id % 10, 'PiCameraStarted', count(*), 0 FROM events WHERE event_id % 50 = 0 GROUP BY ALL UNION ALL SELECT 'U' || user_id % 10, 'PiCameraStopped', count(*), 0 FROM events WHERE event_id % 150 = 0 GROUP BY ALL""")
 def log_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = logs.records(proxies.log_lines(spark, d))
-    return rows.groupBy("project_id", "type").agg(F.count("*").alias("n"), F.sum(F.try_element_at("fields", F.lit("GP")).cast("bigint")).alias("gp"))
+    return rows.groupBy("project_id", "type").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.try_element_at("fields", F.lit("GP")).cast("bigint")), F.lit(0)).alias("gp"))
 
 
 @query("""WITH l AS (SELECT 'U' || user_id % 10 AS project_id, max(ts) AS last FROM events GROUP BY ALL)
@@ -194,10 +192,10 @@ def classify_merge(spark: SparkSession, d: str) -> DataFrame:
     return r6(catalog.classify_merge(e.select(clip.alias("ClipName")), p, "m1"))
 
 
-@query("""SELECT 'j' || o_orderkey AS file, o_orderkey::VARCHAR AS job_id, 'job' || o_custkey AS job_name, (o_orderkey % 4 + 1)::VARCHAR AS nodes, (o_orderkey % 8 + 1)::VARCHAR AS ppn, CASE WHEN o_orderkey % 10 = 0 THEN 'killed' ELSE 'successful' END AS outcome, (o_totalprice::BIGINT)::VARCHAR || 'kb' AS used_mem FROM orders""")
+@query("""SELECT 'j' || o_orderkey AS file, o_orderkey::VARCHAR AS job_id, 'job' || o_custkey AS job_name, (o_orderkey % 4 + 1)::VARCHAR AS nodes, (o_orderkey % 8 + 1)::VARCHAR AS ppn, CASE WHEN o_orderkey % 10 = 0 THEN 'killed' ELSE 'successful' END AS outcome, floor(o_totalprice)::BIGINT::VARCHAR || 'kb' AS used_mem FROM orders""")
 def job_log_pivot(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey").cast("string")
-    lines = F.array(F.concat(F.lit("Job id: "), k), F.concat(F.lit("Job name: job"), F.col("o_custkey").cast("string")), F.concat(F.lit("Resources: nodes="), (F.col("o_orderkey") % 4 + 1).cast("string"), F.lit(":ppn="), (F.col("o_orderkey") % 8 + 1).cast("string")), F.concat(F.lit("Rsrc Used: mem="), F.round("o_totalprice").cast("bigint").cast("string"), F.lit("kb,cput=01:02:03")), F.when(F.col("o_orderkey") % 10 == 0, "=>> PBS: job killed: walltime exceeded"))
+    lines = F.array(F.concat(F.lit("Job id: "), k), F.concat(F.lit("Job name: job"), F.col("o_custkey").cast("string")), F.concat(F.lit("Resources: nodes="), (F.col("o_orderkey") % 4 + 1).cast("string"), F.lit(":ppn="), (F.col("o_orderkey") % 8 + 1).cast("string")), F.concat(F.lit("Rsrc Used: mem="), F.floor("o_totalprice").cast("bigint").cast("string"), F.lit("kb,cput=01:02:03")), F.when(F.col("o_orderkey") % 10 == 0, "=>> PBS: job killed: walltime exceeded"))
     text = o.select(F.concat(F.lit("j"), k).alias("file"), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("value"))
     return logs.job_logs(text).select("file", "job_id", "job_name", "nodes", "ppn", "outcome", "used_mem")
