@@ -191,7 +191,7 @@ class _Page:
             flow.block(1)
             for line in self.tables.pop().lines():
                 flow.line = [line]
-                flow.end(bool(line))
+                flow.end(True)
             flow.block(1)
             return
         if name in BLOCK:
