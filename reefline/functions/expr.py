@@ -31,7 +31,7 @@ def repair_year(time: Column, path: Column) -> Column:
 def log_field(line: Column, key: str) -> Column:
     """Value after ``key: ``, ``key:`` or ``key=`` up to ``,,``; null if the key is missing."""
     found = F.regexp_extract(line, rf"(?:^|[,\s:]){key}(?:: |:|=)(.*?)(?:,,|$)", 1)
-    return F.when(line.rlike(rf"(?:^|[,\s:]){key}(?:: |:|=)"), found)
+    return F.when(found != "", found).when(line.rlike(rf"(?:^|[,\s:]){key}(?:: |:|=)"), F.lit(""))  # the second test is for empty values only
 
 
 def truth(c: Column) -> Column:

@@ -13,13 +13,14 @@ A line goes if an equal line stands earlier (by doc_id, then place), or if its c
 class that began earlier. Lines under ``MIN_CHARS`` code points without outer white space are left alone.
 
 Defined cases: null text has no lines and stays null; an empty text stays empty; null ``doc_id`` sorts
-last; rows with the same doc_id and text are one place and are treated alike; the empty table gives no
-rows; extra columns are kept by ``deduplicate``.
+last; rows with the same doc_id have the same places, so repeated rows are treated alike; the empty table
+gives no rows; extra columns are kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +74,30 @@ def _keyed(line: Column, k: int) -> Column:
     return F.concat(own, less)
 
 
+def _halves(line: Column) -> list[Column]:
+    """The four keys of ``_keyed`` for two segments, as plain columns that Spark compiles."""
+    n, cut, less = F.length(line), F.expr("length(line) div 2").cast("int"), F.expr("(length(line) - 1) div 2").cast("int")
+    tail = lambda at: F.substring(line, at + 1, n)
+    key = lambda length, i, left, right: F.xxhash64(F.lit(2), length, F.lit(i), left, right)
+    return [
+        key(n, 0, F.lit(""), tail(cut)).alias("k0"), key(n, 1, F.left(line, cut), F.lit("")).alias("k1"),
+        key(n - 1, 0, F.lit(""), tail(less + 1)).alias("k2"), key(n - 1, 1, F.left(line, less), F.lit("")).alias("k3"),
+    ]
+
+
+def _place() -> Column:
+    """doc_id (an integer) and place of a line as one sortable number, null ids last."""
+    wide = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
+    return F.coalesce(wide.cast("decimal(38,0)"), F.lit(Decimal(10**37)) + F.col("pos"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """``h1, h2, n, first, keys``: every distinct line, its first place and its coarsest keys."""
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "pos")
-    rows = _lines(docs).select(*_hashes(F.col("line")), place.alias("place"), _keyed(F.col("line"), SEGMENTS[0]).alias("keys"))
-    return rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.any_value("keys").alias("keys"))
+    """``h1, h2, n, first`` and the keys ``k0`` to ``k3``: every distinct line and its first place.
+
+    All values are of fixed width, so that Spark aggregates them by hash, on both sides of the shuffle.
+    """
+    rows = _lines(docs).select(*_hashes(F.col("line")), _place().alias("place"), *_halves(F.col("line")))
+    return rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
 
 
 def _split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +185,8 @@ def within(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
 
 def losers(docs: DataFrame, held: DataFrame) -> DataFrame:
     """``h1, h2`` of the classes that are within ``MAX_EDITS`` of a class that began earlier."""
-    rows = held.select("h1", F.explode("keys").alias("k")).select("k.key", "k.own", "h1").distinct()
+    keys = F.inline(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("own")) for i in range(4)]))
+    rows = held.select("h1", keys)
     few, hot = _split_hot(rows)
     few, hot = written(few, "few"), written(hot, "hot")
     texts = _texts(docs, few.select("h1").union(hot.select("h1")), held)
@@ -181,8 +202,8 @@ def losers(docs: DataFrame, held: DataFrame) -> DataFrame:
         hot = written(hot, "hot")
         # Segments of one letter: all members of a key are within one edit, so the first one stays.
         whole = hot.where(F.length("line") <= k)
-        first = whole.groupBy("key").agg(F.min("first").alias("_first"))
-        found = found.union(written(whole.join(first, "key").where(F.col("first") != F.col("_first")).select("h1", "h2"), "late"))
+        first = whole.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("_first"))
+        found = found.union(written(whole.join(first, "key").where(F.struct("first", "h1", "h2") != F.col("_first")).select("h1", "h2"), "late"))
         hot = hot.where(F.length("line") > k)
         left = written(hot.select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"]), "left")
     return found.distinct()
@@ -193,9 +214,8 @@ def removed(docs: DataFrame) -> DataFrame:
     held = written(classes(docs), "classes")
     late = losers(docs, held).withColumn("_late", F.lit(True))
     acts = held.select("h1", "h2", "n", "first").join(late, ["h1", "h2"], "left").where("n > 1 OR _late").select("h1", "h2", F.when(F.col("_late").isNull(), F.col("first")).alias("first"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "pos")
     lines = _lines(docs).select("doc_id", "_h", "pos", *_hashes(F.col("line")))
-    gone = lines.join(acts, ["h1", "h2"]).where(F.col("first").isNull() | (F.col("first") != place))
+    gone = lines.join(acts, ["h1", "h2"]).where(F.col("first").isNull() | (F.col("first") != _place()))
     return gone.groupBy("doc_id", "_h").agg(F.collect_set("pos").alias("gone"))  # a document's own lines
 
 

@@ -31,9 +31,10 @@ def frames(lines: DataFrame, kind: str = "FrameCaptured") -> DataFrame:
     get = lambda k: log_field(F.col("value"), k)
     rows = lines.where(F.col("value").startswith(kind + ":")).select(
         "project_id", get("NpyFile").alias("npy_file"), get("PicFile").alias("pic_file"),
-        repair_year(parse_time(get("Time")), get("NpyFile")).alias("time"), get("AvgMed").try_cast("double").alias("med"),
+        parse_time(get("Time")).alias("time"), get("AvgMed").try_cast("double").alias("med"),
         get("AvgStd").try_cast("double").alias("std"), get("GP").try_cast("bigint").alias("gp"), truth(get("LOF")).alias("lof"),
     )
+    rows = rows.withColumn("time", repair_year(F.col("time"), F.col("npy_file")))
     return relative_day(rows.withColumn("frame_idx", F.row_number().over(W.partitionBy("project_id").orderBy("time", "npy_file")) - 1))
 
 
