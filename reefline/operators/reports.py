@@ -52,3 +52,44 @@ def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int) -> D
     """Counts in equal bins from lo to hi; hi itself falls into the last one."""
     b = F.least(F.lit(bins), F.width_bucket(F.col(value), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)))
     return rows.where(F.col(value).between(lo, hi)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def depth_report(cells: DataFrame, grains: tuple[str, ...] = ("total", "daily", "hourly")) -> DataFrame:
+    """Volume summaries of all windows of each grain in one table; sheets are its partitions by ``grain``."""
+    from reefline.operators import depth
+
+    keys = ["project_id", "window_id"]
+    out = None
+    for grain in grains:
+        rows = depth.volume_summary(depth.height_change(cells, depth.calendar_windows(cells, grain)), keys).withColumn("grain", F.lit(grain))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def pre_event_report(cells: DataFrame, events: DataFrame, reference: DataFrame, bids: list[str]) -> DataFrame:
+    """For each step before a project's event, and for the whole span (window_id -1): the volume summary,
+    the counts of events, and the minutes left.
+    """
+    from reefline.operators import depth
+    from reefline.operators.events import event_counts, in_windows
+
+    steps = steps_before(reference)
+    whole = steps.groupBy("project_id", "event_time").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).withColumn("window_id", F.lit(-1))
+    windows = steps.unionByName(whole)
+    keys = ["project_id", "window_id"]
+    volumes = depth.volume_summary(depth.height_change(cells, windows.select(*keys, "t0", "t1")), keys)
+    counts = event_counts(in_windows(events, windows), keys, bids)
+    rows = windows.join(volumes, keys, "left").join(counts, keys, "left")
+    minutes = [minutes_to(F.col("event_time"), F.col(c)).alias(n) for c, n in (("t0", "minutes_start"), ("t1", "minutes_stop"))]
+    return rows.select(*keys, *minutes, *[c for c in volumes.columns if c not in keys], *[F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c not in keys])
+
+
+def region_consistency(change: DataFrame, whole: DataFrame, keys: list[str], th: float, min_pixels: int) -> DataFrame:
+    """Agreement of each window's regions with those of the whole trial (one grid per project)."""
+    from reefline.operators import regions
+
+    on = [k for k in keys if k != "window_id"]
+    daily = regions.bower_regions(change, keys, th, min_pixels)
+    trial = regions.bower_regions(whole, on, th, min_pixels)
+    windows = change.select(*keys).distinct()
+    return regions.jaccard(daily, trial.join(windows, on), keys, windows)

@@ -58,3 +58,10 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT user_id, event_id, floor(value / 10)::BIGINT AS gp, lag(floor(value / 10)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) SELECT user_id, event_id, gp FROM e WHERE gp = prev""")
 def stream_stateful_dup(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_once(jobs.repeats(_events(spark, d)), spark, "append", "repeats")
+
+
+@query("""SELECT user_id, epoch_us(max(ts)) AS last_us FROM events GROUP BY ALL HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 25 MINUTE""")
+def stream_silence(spark: SparkSession, d: str) -> DataFrame:
+    """The last report of each key: all that fell silent before the watermark's end."""
+    rows = jobs.run_once(jobs.silence_alerts(_events(spark, d)), spark, "append", "silence")
+    return rows.groupBy("user_id").agg(F.max("last_us").alias("last_us"))

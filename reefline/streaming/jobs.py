@@ -109,3 +109,39 @@ def run_once(stream: DataFrame, spark: SparkSession, mode: str, name: str) -> Da
 
     stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(table)
+
+
+def _silent(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A key's timer is set to its last ping plus the limit; if it runs out, the key is reported."""
+    if state.hasTimedOut:
+        (last,) = state.get
+        state.remove()
+        yield pd.DataFrame({"user_id": [key[0]], "last_us": [last]})
+        return
+    last = max(int(b["us"].max()) for b in batches)
+    last = max(last, state.get[0]) if state.exists else last
+    state.update((last,))
+    state.setTimeoutTimestamp(last // 1000 + 15 * 60_000)
+
+
+def silence_alerts(events: DataFrame, late: str = LATE) -> DataFrame:
+    """Keys without a ping for 15 minutes of event time, reported once the watermark has passed that."""
+    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").applyInPandasWithState(_silent, "user_id long, last_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_monitor(cells: DataFrame, out: str, checkpoint: str, th: float, min_pixels: int, hours: int = 2):
+    """Starts the live view: for each batch of new frames (project_id, frame_idx, y, x, depth, ts, lof) the
+    change over its last hours by daylight and the regions in it, appended to ``out``.
+    """
+    from reefline.operators import regions
+
+    def update(batch: DataFrame, n: int) -> None:
+        day = batch.where("lof")
+        last = day.groupBy("project_id").agg(F.max("ts").alias("_last"))
+        recent = day.join(last, "project_id").where(F.col("ts") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+        ends = recent.groupBy("project_id", "y", "x").agg(F.min(F.struct("ts", "depth")).alias("a"), F.max(F.struct("ts", "depth")).alias("b"))
+        change = ends.select("project_id", "y", "x", (F.col("b.depth") - F.col("a.depth")).alias("change"))
+        regions.bower_regions(change, ["project_id"], th, min_pixels, mode="abs").withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+
+    return cells.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

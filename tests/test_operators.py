@@ -238,3 +238,12 @@ def test_stream_of_repeats_equals_batch(spark, tmp_path):
     boxes.write.parquet(str(tmp_path / "boxes"))
     tracked = jobs.run_once(jobs.online_tracks(spark.readStream.schema(boxes.schema).parquet(str(tmp_path / "boxes"))), spark, "append", "t")
     assert tracked.select("track_id").distinct().count() == 1
+
+
+def test_live_monitor_reports_regions(spark, tmp_path):
+    c = _cube(spark, {(y, x): [50.0, 50.0 - 2 * (y < 2)] for y in range(4) for x in range(4)})
+    c.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(c.schema).parquet(str(tmp_path / "in"))
+    jobs.live_monitor(stream, str(tmp_path / "out"), str(tmp_path / "log"), 1.0, 4).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 8 and {(r.label, r["size"]) for r in rows} == {(-1, 8)}
