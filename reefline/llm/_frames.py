@@ -42,3 +42,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with all columns under names that clash with none (and ``doc_id`` and ``text`` beside
+    them), and the way back to the columns it came with.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    out = own.select(*names, *[own[names[docs.columns.index(c)]].alias(c) for c in ("doc_id", "text")])
+    return out, lambda df: df.select(*names).toDF(*docs.columns)

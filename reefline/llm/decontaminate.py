@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm import _bytes
-from reefline.llm._frames import map_text
+from reefline.llm._frames import map_text, plain
 
 WINDOW = 13
 BLOCK = 2
@@ -193,9 +193,9 @@ def _merged(spans: str) -> F.Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that are not contaminated."""
-    plain = [f"_c{i}" for i in range(len(docs.columns))]
-    named = docs.toDF(*plain).withColumn("text", F.col(plain[docs.columns.index("text")]))
-    return find(named, benchmark, plain).where(~F.col("contaminated")).select(*plain).toDF(*docs.columns)
+    named, back = plain(docs)
+    names = [c for c in named.columns if c.startswith("_c")]
+    return back(find(named, benchmark, names).where(~F.col("contaminated")))
 
 
 def items_digest(ids: str) -> F.Column:

@@ -25,7 +25,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm._frames import written
+from reefline.llm._frames import plain, written
 
 MAX_EDITS, MIN_CHARS, HOT = 1, 20, 256
 SEGMENTS = (2, 8, 64, 512, 4096, 1 << 15, 1 << 18, 1 << 21, 1 << 24, 1 << 27, 1 << 30)
@@ -220,15 +220,16 @@ def removed(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """The documents, all columns, with the repeated lines taken out of ``text``; with ``counts`` also
-    ``n_lines`` and ``n_removed``.
+    """The documents, all columns, with the repeated lines taken out of ``text``; with ``counts`` the
+    columns doc_id, text, ``n_lines`` and ``n_removed`` instead.
     """
-    gone = written(removed(docs), "gone").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "gone")
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    gone = written(removed(docs.select("doc_id", "text")), "gone").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "gone")
+    named, back = plain(docs)
+    hashed = named.withColumn("_h", F.xxhash64("text"))
     joined = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["_id"]) & (hashed["_h"] == gone["_hash"]), "left")
     kept = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_let(F.split("text", "\n"), kept))
-    out = [text.alias("text") if c == "text" else hashed[c] for c in docs.columns]
     if counts:
-        out += [F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
-    return joined.select(*out)
+        n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+        return joined.select("doc_id", text.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return back(joined.withColumn(f"_c{docs.columns.index('text')}", text))

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reefline.llm._bytes import LOWER
-from reefline.llm._frames import map_text, written
+from reefline.llm._frames import map_text, plain, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -203,8 +203,9 @@ def groups(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, that lead their near-duplicate group; one row of each."""
-    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    named, back = plain(docs)
+    hashed = named.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     lead = groups(hashed, ["_h"]).where("first").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_lead_h")).distinct()
     kept = hashed.join(lead, hashed["doc_id"].eqNullSafe(lead["_id"]) & (hashed["_h"] == lead["_lead_h"]), "left_semi")
     once = F.row_number().over(W.partitionBy("doc_id", "_h").orderBy("_h"))
-    return kept.withColumn("_n", once).where("_n = 1").select(*docs.columns)
+    return back(kept.withColumn("_n", once).where("_n = 1"))

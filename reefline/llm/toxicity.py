@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm import _bytes
-from reefline.llm._frames import map_text, written
+from reefline.llm._frames import map_text, plain, written
 
 TRAIN_ROWS, CONTROLS, CANDIDATES = 20_000, 40_000, 400_000
 LANDMARKS, ROUNDS, WITNESSES, BEST = 256, 4, 3, 4
@@ -366,6 +366,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that score below the threshold."""
-    plain = [f"_c{i}" for i in range(len(docs.columns))]
-    named = docs.toDF(*plain).withColumn("text", F.col(plain[docs.columns.index("text")]))
-    return score(named, model, plain).where(F.col("score") < threshold).select(*plain).toDF(*docs.columns)
+    named, back = plain(docs)
+    names = [c for c in named.columns if c.startswith("_c")]
+    return back(score(named, model, names).where(F.col("score") < threshold))

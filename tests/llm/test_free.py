@@ -86,6 +86,7 @@ def test_simhash_edges(spark, docs, none):
     assert {(1, 1), (4, 1), (2, 2), (3, 2), (6, 6), (None, None)} <= rows
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6]
+    assert {(r._h, r.component_id) for r in kept.collect()} == {(4, 2)}
     assert simhash.deduplicate(none).count() == 0
 
 

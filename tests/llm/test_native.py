@@ -132,4 +132,5 @@ def test_line_dedup_edges(spark, docs, none):
     assert out.columns == docs.columns and out.count() == docs.count()
     rows = [(r.doc_id, r.text) for r in out.collect()]
     assert (3, None) in rows and (2, "") in rows and (1, "one two three four five six seven") in rows and rows.count((4, "")) == 2
+    assert {(r._h, r.h1) for r in out.collect()} == {(4, 5)}
     assert lines.deduplicate(none).count() == 0
