@@ -84,12 +84,12 @@ def kde_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CL}, {_kde_sql("s", "p")}, {_kde_sql("c", "c")}, df AS (SELECT "VideoID", y, x, coalesce(s.z, 0) - coalesce(c.z, 0) AS v FROM s FULL JOIN c USING ("VideoID", y, x))
-SELECT "VideoID", round(sum(abs(v)) * {PARAMS.area}, 4) AS absolute_volume, round(sum(v) * {PARAMS.area}, 4) AS summed_volume, round(count(*) FILTER (WHERE v > 0) * {PARAMS.area}, 4) AS castle_area,
-  round((sum(v) FILTER (WHERE v > 0) + sum(v) FILTER (WHERE v < 0)) / (sum(v) FILTER (WHERE v > 0) - sum(v) FILTER (WHERE v < 0)), 4) AS bower_index FROM df GROUP BY ALL""")
+SELECT "VideoID", round(sum(abs(v)) * {PARAMS.area}, 4) AS absolute_volume, round(sum(v) * {PARAMS.area}, 4) + 0::DOUBLE AS summed_volume, round(count(*) FILTER (WHERE v > 0) * {PARAMS.area}, 4) AS castle_area,
+  round((sum(v) FILTER (WHERE v > 0) + sum(v) FILTER (WHERE v < 0)) / (sum(v) FILTER (WHERE v > 0) - sum(v) FILTER (WHERE v < 0)), 4) + 0::DOUBLE AS bower_index FROM df GROUP BY ALL""")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     diff = events.density_difference(_density(spark, d, "p"), _density(spark, d, "c"), ["VideoID"])
     s = events.cluster_summary(diff, ["VideoID"])
-    return s.select("VideoID", *[F.round(c, 4).alias(c) for c in ("absolute_volume", "summed_volume", "castle_area", "bower_index")])
+    return s.select("VideoID", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("absolute_volume", "summed_volume", "castle_area", "bower_index")])  # no negative zero
 
 
 GROUPS = {"building": ["c", "p", "b"], "feeding": ["f", "t", "m"], "scoop": ["c"], "spit": ["p"]}

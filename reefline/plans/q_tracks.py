@@ -91,7 +91,7 @@ def sort_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'U' || user_id % 10 AS project_id, (row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, 'Frames/F_' || event_id || '.npy') - 1)::INT AS frame_idx, 'Frames/F_' || event_id || '.npy' AS npy_file, ts AS time, round(round(value, 2), 6) AS med, 0.05::DOUBLE AS std, floor(value * 100)::BIGINT AS gp,
-  hour(ts) BETWEEN 8 AND 17 AS lof, (CAST(ts AS DATE) - min(CAST(ts AS DATE)) OVER (PARTITION BY user_id % 10))::INT + 1 AS rel_day FROM events""")
+  hour(ts) BETWEEN 8 AND 17 AS lof, (dense_rank() OVER (PARTITION BY user_id % 10 ORDER BY CAST(ts AS DATE)))::INT AS rel_day FROM events""")
 def log_frames(spark: SparkSession, d: str) -> DataFrame:
     return r6(logs.frames(proxies.log_lines(spark, d)).select("project_id", "frame_idx", "npy_file", "time", "med", "std", "gp", "lof", "rel_day"))
 

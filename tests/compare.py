@@ -13,8 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df:
-        if df[c].dtype.kind == "f":
-            df[c] = df[c].round(6)
+        if pd.api.types.is_numeric_dtype(df[c]) and not pd.api.types.is_bool_dtype(df[c]):
+            df[c] = df[c].astype("float64").round(6)
         elif df[c].dtype == object:
             df[c] = df[c].map(lambda v: None if v is None else round(v, 6) if isinstance(v, float) else str(v))
     return df.astype(str).sort_values(list(df.columns)).reset_index(drop=True)
