@@ -197,16 +197,22 @@ def kernel(words: list[str], landmarks: list[str], step: int = 4000) -> np.ndarr
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps."""
-    x = np.column_stack((x, np.ones(len(x), np.float32)))
-    w = np.zeros(x.shape[1])
-    ridge = REGULAR * weight.sum() * np.eye(x.shape[1])
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, step: int = 4096) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps; rows are taken in blocks."""
+    d = x.shape[1] + 1
+    w = np.zeros(d)
+    ridge = REGULAR * weight.sum() * np.eye(d)
     ridge[-1, -1] = 1e-6
     for _ in range(25):
-        on = y * (x @ w) < 1
-        xs = x[on] * weight[on, None]
-        new = np.linalg.solve(ridge + xs.T @ x[on], xs.T @ y[on])
+        square, right = ridge.copy(), np.zeros(d)
+        for i in range(0, len(x), step):
+            block = np.column_stack((x[i : i + step], np.ones(len(x[i : i + step])))).astype(np.float64)
+            on = y[i : i + step] * (block @ w) < 1
+            block = block[on]
+            scaled = block * weight[i : i + step][on, None]
+            square += scaled.T @ block
+            right += scaled.T @ y[i : i + step][on]
+        new = np.linalg.solve(square, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -232,19 +238,19 @@ def _enrichment(words: list[str], in_docs: np.ndarray, controls: list[str]) -> n
     A letter run's count over the words of toxic texts is held against what the controls let expect,
     as a Poisson log likelihood ratio.
     """
-    runs = [{w[i : i + 4] for i in range(len(w) - 3)} for w in (f"^{x}$" for x in words)]
+    runs = lambda w: {f"^{w}$"[i : i + 4] for i in range(len(w) - 1)}
     seen: Counter[str] = Counter()
-    for some, n in zip(runs, in_docs.tolist(), strict=True):
-        for r in some:
+    for w, n in zip(words, in_docs.tolist(), strict=True):
+        for r in runs(w):
             seen[r] += n
-    usual = Counter(r for w in controls for r in {f"^{w}$"[i : i + 4] for i in range(len(w) - 1)})
+    usual = Counter(r for w in controls for r in runs(w))
     share = int(in_docs.sum()) / len(controls)
 
     def odd(n: int, e: float) -> float:
         return n * np.log(n / e) - (n - e) if n > e else 0.0
 
     value = {r: odd(n, share * (usual[r] + 0.5)) for r, n in seen.items()}
-    return np.array([max((value[r] for r in some), default=0.0) for some in runs])
+    return np.array([max((value[r] for r in runs(w)), default=0.0) for w in words])
 
 
 def _curve(constant: float, first: float = 0.0) -> np.ndarray:
@@ -268,15 +274,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
     pairs = lists.select("doc_id", "_y", F.explode("words").alias("w"))
     seen = pairs.groupBy("w").agg(F.count_if(F.col("_y") == 0).alias("clean"), F.count_if(F.col("_y") == 1).alias("toxic"))
     rare = f"{RARER} * clean <= toxic"
-    controls = [r.w for r in seen.where(f"NOT ({rare})").orderBy(F.xxhash64("w"), "w").select("w").limit(CONTROLS).collect()]
+    controls = seen.where(f"NOT ({rare})").orderBy(F.xxhash64("w"), "w").select("w").limit(CONTROLS).toArrow()["w"].to_pylist()
     held = pairs.where("_y = 1").join(seen.where(rare).select("w"), "w").select("doc_id", "w")
-    held = held.orderBy(F.xxhash64("doc_id", "w"), "w").limit(CANDIDATES).collect()
-    candidates = sorted({r.w for r in held})
+    held = held.orderBy(F.xxhash64("doc_id", "w"), "w").limit(CANDIDATES).toArrow()
+    coded = held["w"].combine_chunks().dictionary_encode()
+    candidates = coded.dictionary.to_pylist()
     if not candidates or not controls:
         return flat
-    place = {w: k for k, w in enumerate(candidates)}
-    doc_of = {d: k for k, d in enumerate(sorted({r.doc_id for r in held}))}
-    doc, word = np.array([doc_of[r.doc_id] for r in held]), np.array([place[r.w] for r in held])
+    doc, word = np.unique(held["doc_id"].to_numpy(), return_inverse=True)[1], coded.indices.to_numpy()
     in_docs = np.bincount(word, minlength=len(candidates))
     rng = np.random.default_rng(seed)
     odd = _enrichment(candidates, in_docs, controls)
@@ -295,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         marks = [candidates[i] for i in np.union1d(found[: LANDMARKS // 2], spread)] + [controls[i] for i in hard]
         value, vector = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
         good = value > 1e-6 * value[-1]
-        root = vector[:, good] / np.sqrt(value[good])
+        root = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
         positive = [candidates[i] for i in found]
         x = np.concatenate((kernel(positive, marks), kernel(controls, marks))) @ root
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(controls))))
@@ -307,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         if turn + 1 < ROUNDS:  # the likeliest words of every clean text are clean all the same
             known = {*controls, *candidates}
             top = lists.where("_y = 0").select("words").mapInPandas(_top_words(table), "w string").distinct()
-            controls += sorted(r.w for r in top.collect() if r.w not in known)  # WITNESSES a sampled text at most
+            controls += sorted(w for w in top.toArrow()["w"].to_pylist() if w not in known)  # WITNESSES a sampled text at most
         scores = _score_list(candidates, table) + bias
         control_scores = _score_list(controls, table) + bias
     if not control_scores.any():
