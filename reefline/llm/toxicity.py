@@ -39,6 +39,8 @@ TRAIN_ROWS, CONTROLS, CANDIDATES = 20_000, 40_000, 400_000
 LANDMARKS, ROUNDS, WITNESSES, BEST = 256, 4, 3, 4
 #: Bits of the hash of a subsequence.
 BITS = 20
+#: Texts whose words are scored at once while training; bounds memory only.
+TEXTS = 128
 #: A word of toxic texts may be a witness if clean texts with it are fewer by this factor.
 RARER = 8
 #: Log likelihood ratio from which a word may be a first witness (a tenth of the largest, if that is more).
@@ -351,14 +353,16 @@ def _top_words(table: np.ndarray):
         import pandas as pd
 
         for pdf in batches:
-            words = [str(w) for some in pdf["words"] for w in some]
-            if not words:
-                continue
-            n = np.fromiter(map(len, pdf["words"]), np.int64, len(pdf))
-            doc, got = np.repeat(np.arange(len(n)), n), _score_list(words, table)
-            order = np.lexsort((-got, doc))
-            rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-            yield pd.DataFrame({"w": [words[i] for i in order[rank < WITNESSES]]})
+            for lo in range(0, len(pdf), TEXTS):
+                lists = pdf["words"].iloc[lo : lo + TEXTS]
+                words = [str(w) for some in lists for w in some]
+                if not words:
+                    continue
+                n = np.fromiter(map(len, lists), np.int64, len(lists))
+                doc, got = np.repeat(np.arange(len(n)), n), _score_list(words, table)
+                order = np.lexsort((-got, doc))
+                rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+                yield pd.DataFrame({"w": [words[i] for i in order[rank < WITNESSES]]})
 
     return run
 
