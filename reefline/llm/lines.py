@@ -7,7 +7,8 @@ its segments for its own length and probes those of lines one shorter (length-aw
 Members of a key are compared in bounded arrays by finer segments, and the pairs left are verified by a
 banded bit-parallel automaton. A key with more than ``HOT`` members is cut finer, level by level
 (``SEGMENTS``), so that a line with very many variants is never one task's group; once segments are single
-letters, all members of a key are within one edit by construction.
+letters, the members of a key that have its own length are within one edit by construction, and those that
+have a letter more are compared with them by the line with each letter left out.
 
 A line goes if an equal line stands earlier (by doc_id, then place), or if its class is linked to a
 class that began earlier. Lines under ``MIN_CHARS`` code points without outer white space are left alone.
@@ -183,6 +184,19 @@ def within(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
     return F.when(near, _let(letters(a), lambda pa: _let(letters(b), lambda pb: run(pa, pb)))).otherwise(F.lit(False))
 
 
+def _inserted(rows: DataFrame, most: int) -> DataFrame:
+    """``h1, h2`` of the later of every two lines (h1, h2, first, line) of which one is the other, of at
+    most ``most`` letters, with a letter put in.
+    """
+    n, age = F.length("line"), lambda x: F.struct(f"{x}.first", f"{x}.h1", f"{x}.h2")
+    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(*_hashes(F.concat(F.left("line", i - 1), F.right("line", n - i)))))
+    longer = rows.where(n <= most + 1).select("h1", "h2", "first", F.explode(F.array_distinct(without)).alias("key"))
+    shorter = rows.where(n <= most).select("h1", "h2", "first")
+    pairs = longer.alias("x").join(shorter.alias("y"), (F.col("key.h1") == F.col("y.h1")) & (F.col("key.h2") == F.col("y.h2")))
+    late = F.when(age("x") > age("y"), F.struct("x.h1", "x.h2")).otherwise(F.struct("y.h1", "y.h2"))
+    return pairs.select(late.alias("late")).select("late.h1", "late.h2")
+
+
 def losers(docs: DataFrame, held: DataFrame) -> DataFrame:
     """``h1, h2`` of the classes that are within ``MAX_EDITS`` of a class that began earlier."""
     keys = F.inline(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("own")) for i in range(4)]))
@@ -200,10 +214,11 @@ def losers(docs: DataFrame, held: DataFrame) -> DataFrame:
         few, hot = _split_hot(rows)
         found = found.union(written(_pairs(few).where(within(F.col("a"), F.col("b"))).select("late.h1", "late.h2"), "late"))
         hot = written(hot, "hot")
-        # Segments of one letter: all members of a key are within one edit, so the first one stays.
-        whole = hot.where(F.length("line") <= k)
+        # Segments of one letter: all members of a key's own length are within one edit, so the first one stays.
+        whole = hot.where(F.col("own") & (F.length("line") <= k))
         first = whole.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("_first"))
         found = found.union(written(whole.join(first, "key").where(F.struct("first", "h1", "h2") != F.col("_first")).select("h1", "h2"), "late"))
+        found = found.union(written(_inserted(hot.select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"]), k), "late"))
         hot = hot.where(F.length("line") > k)
         left = written(hot.select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"]), "left")
     return found.distinct()

@@ -127,6 +127,20 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, hot):
     assert got == _dedupe(rows)
 
 
+@pytest.mark.parametrize("length", [40, 64])
+def test_two_letters_for_one_in_frequent_keys(spark, monkeypatch, length):
+    monkeypatch.setattr(lines, "HOT", 3)
+    left, right = "the left side of it ", "x" * (length - 21)
+    doubled = [x + y for x in "abcdef" for y in "abcdef"]
+    middle = [*sorted(doubled, key=lambda m: m[0] != m[1]), "a"]  # 'aa', 'bb', ... are two edits apart and come first
+    rows = [(i, left + m + right) for i, m in enumerate(middle)]
+    want = _dedupe(rows)
+    assert sum(x != "" for x in want.values()) == 6
+    for some in (rows, [(-i, text) for i, text in rows]):
+        got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert got == _dedupe(some)
+
+
 def test_line_dedup_edges(spark, docs, none):
     out = lines.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
