@@ -5,11 +5,10 @@ summed, a tanh layer follows, and a two-level softmax gives first the class and
 it. A document's score is the sum of the log probabilities of all its tokens.
 
 Counts cover the whole corpus: one aggregation counts every word, the most frequent ones form the
-vocabulary, all others share ``RARE`` hashed entries. Training reads every ``STRIDE``-th position of
-every document (its place chosen by the document's length), so what it gathers grows with the corpus;
-the windows are dealt to trainers of about ``SHARE`` windows, each trains a copy of the network on
-its own windows, and the copies are averaged block by block, for ``ROUNDS`` rounds. A copy has a fixed
-size, whatever the corpus.
+vocabulary, all others share ``RARE`` hashed entries. Training reads every position of
+every document; the texts are dealt as ids to trainers of about ``SHARE`` tokens, each trains a copy of
+the network on the windows around its own tokens, ``BLOCK`` windows in memory at a time, and the copies
+are averaged piece by piece, for ``ROUNDS`` rounds. A copy has a fixed size, whatever the corpus.
 
 Defined cases: null or empty text has no tokens, log likelihood 0 and a null mean; an empty table
 gives no rows; repeated rows count and are scored each; extra columns are ignored.
@@ -29,7 +28,8 @@ from reefline.llm._frames import map_text, written
 
 CLASSES, WIDTH = 64, 64  # classes of the output, and words in each
 VOCABULARY, RARE, SIDE, HIDDEN = CLASSES * WIDTH, 63, 2, 32
-STRIDE, SHARE, ROUNDS, BATCH, RATE = 16, 500_000, 2, 2048, 0.1
+SHARE, BLOCK, ROUNDS, BATCH, RATE = 8_000_000, 500_000, 2, 2048, 0.1
+PIECE = 1 << 15  # tokens that go to a trainer together
 EDGE = VOCABULARY - 1  # stands before and after a text; never a target
 _PIECES = 16
 _OFFSETS = [p for p in range(-SIDE, SIDE + 1) if p]
@@ -137,7 +137,7 @@ class Network:
         order = rng.permutation(len(target))
         for i in range(0, len(order), BATCH):
             some = order[i : i + BATCH]
-            some = some[np.argsort(target[some] // WIDTH, kind="stable")]
+            some = some[np.argsort((target[some] // WIDTH).astype(np.uint8), kind="stable")]
             x, y = context[some], target[some]
             c, word, rows = y // WIDTH, y % WIDTH, np.arange(len(some))
             h = self.hidden(x)
@@ -160,39 +160,57 @@ class Network:
                 self.words[k] -= RATE * slope / np.sqrt(past[2][k])
             back = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
             for k in range(2 * SIDE):
-                by = np.argsort(x[:, k], kind="stable")
-                ids, first = np.unique(x[by, k], return_index=True)
+                own = x[:, k].astype(np.int16)
+                by = np.argsort(own, kind="stable")  # of 16 bits: a radix sort
+                first = np.flatnonzero(np.diff(own[by], prepend=np.int16(-1)))
+                ids = own[by[first]]
                 slope = np.add.reduceat(back[by], first)
                 past[0][k][ids] += (slope**2).mean(1)
                 self.embed[k][ids] -= RATE * slope / np.sqrt(past[0][k][ids])[:, None]
 
 
-def training_windows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``n, windows``: for each batch of documents, int32 rows of context and target."""
+def streams(w: _bytes.Words, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Ids of the texts with SIDE times EDGE before, between and after them, in pieces of PIECE targets
+    and SIDE ids on either side.
+    """
+    if not len(ids):
+        return
+    full = np.flatnonzero(np.diff(w.of))
+    n = np.diff(w.of)[full]
+    out = np.full(len(ids) + SIDE * (len(n) + 1), EDGE, np.int16)
+    out[np.arange(len(ids)) + SIDE * (np.repeat(np.arange(len(n)), n) + 1)] = ids
+    for i in range(SIDE, len(out) - SIDE, PIECE):
+        yield out[i - SIDE : min(i + PIECE, len(out) - SIDE) + SIDE]
+
+
+def targets(stream: np.ndarray) -> np.ndarray:
+    """Rows of context and target, one for every token of the piece."""
+    stream = stream.astype(np.int32)
+    at = np.flatnonzero(stream[SIDE:-SIDE] != EDGE) + SIDE
+    return np.column_stack([stream[at + p] for p in [*_OFFSETS, 0]])
+
+
+def training_streams(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``n, stream``: pieces of the texts as int16 ids, and how many targets each has."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in _bytes.words(batch.column(0), _bytes.NOT_SPACE, _bytes.LOWER):
-                n = np.diff(w.of)
-                place = np.arange(len(w.starts)) - np.repeat(w.of[:-1], n)
-                chosen = np.flatnonzero((place + np.repeat(n, n)) % STRIDE == 0)
-                if len(chosen):
-                    ids = sent.value.of(w.hash)
-                    rows = np.column_stack((windows(w, ids, chosen), ids[chosen])).astype(np.int16)
-                    yield pa.RecordBatch.from_arrays([pa.array([len(chosen)], pa.int64()), pa.array([rows.tobytes()], pa.binary())], names=["n", "windows"])
+                for x in streams(w, sent.value.of(w.hash)):
+                    yield pa.RecordBatch.from_arrays([pa.array([int((x[SIDE:-SIDE] != EDGE).sum())], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["n", "stream"])
 
-    return docs.select("text").mapInArrow(run, "n long, windows binary")
+    return docs.select("text").mapInArrow(run, "n long, stream binary")
 
 
 def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
     spark = docs.sparkSession
     top = count_words(docs).orderBy(F.desc("n"), "h").limit(VOCABULARY - 1 - RARE).collect()
     vocabulary = Vocabulary([r.h for r in top])
-    gathered = written(training_windows(docs, vocabulary), "windows")
+    gathered = written(training_streams(docs, vocabulary), "streams")
     total = gathered.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     trainers = max(1, -(-total // SHARE))
-    dealt = written(gathered.withColumn("trainer", F.pmod(F.xxhash64("windows"), F.lit(trainers)).cast("int")).repartition(trainers, "trainer"), "dealt")
+    dealt = written(gathered.withColumn("trainer", F.pmod(F.xxhash64("stream"), F.lit(trainers)).cast("int")).repartition(trainers, "trainer"), "dealt")
     flat = Network.fresh().flat()
     for round_ in range(ROUNDS if total else 0):
         sent = spark.sparkContext.broadcast(flat)
@@ -201,9 +219,9 @@ def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
             net, held, n, seen = Network.of(sent.value), [], 0, 0
             for batch in batches:
                 for x in batch.column(0).to_pylist():
-                    held.append(np.frombuffer(x, np.int16).reshape(-1, 2 * SIDE + 1).astype(np.int32))
+                    held.append(targets(np.frombuffer(x, np.int16)))
                     n += len(held[-1])
-                    if n >= SHARE:
+                    if n >= BLOCK:
                         rows = np.concatenate(held)
                         net.train(rows[:, :-1], rows[:, -1], round_)
                         seen, held, n = seen + n, [], 0
@@ -215,7 +233,7 @@ def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
                 parts = np.array_split(net.flat(), _PIECES)
                 yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([seen] * _PIECES, pa.int64()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["piece", "n", "part"])
 
-        trained = dealt.select("windows").mapInArrow(run, "piece int, n long, part binary")
+        trained = dealt.select("stream").mapInArrow(run, "piece int, n long, part binary")
         averaged = trained.groupBy("piece").applyInPandas(_average, "piece int, part binary").collect()  # the size of one network
         flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(averaged, key=lambda r: r.piece)])
     return vocabulary, Network.of(flat)

@@ -183,6 +183,25 @@ def test_language_model(spark, docs, none):
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_every_token_is_a_target(monkeypatch):
+    import pyarrow as pa
+
+    from reefline.llm import _bytes
+
+    monkeypatch.setattr(lm, "PIECE", 5)
+    texts = pa.array(["a b c", None, "", "d", " ".join(map(str, range(23))), "e f"])
+    own = lm.Vocabulary([])
+    for w in _bytes.words(texts, _bytes.NOT_SPACE, _bytes.LOWER):
+        ids = own.of(w.hash)
+        got = np.concatenate([lm.targets(x) for x in lm.streams(w, ids)])
+        assert len(ids) == 29 and (got == np.column_stack((lm.windows(w, ids, np.arange(29)), ids))).all()
+
+
+def test_short_texts_train(spark):
+    model = lm.train(spark.createDataFrame([("one two three",)] * 300 + [("four",)] * 300, "text string"))
+    assert not np.allclose(model[1].flat(), lm.Network.fresh().flat())
+
+
 def test_network_learns_from_both_sides():
     rng = np.random.default_rng(0)
     left, right = rng.integers(0, 20, 20_000), rng.integers(0, 20, 20_000)
