@@ -5,7 +5,9 @@ summed, a tanh layer follows, and a two-level softmax gives first the class and
 it. A document's score is the sum of the log probabilities of all its tokens.
 
 Counts cover the whole corpus: one aggregation counts every word, the most frequent ones form the
-vocabulary, all others share ``RARE`` hashed entries. Training reads every position of
+vocabulary, all others share ``RARE`` hashed entries in the network. Such a word has its own share of its
+entry's probability: count(word) / (count(entry) + 1), or 1 / (count(entry) + 1) for all words without a
+count together, so that the shares of an entry sum to 1. Training reads every position of
 every document; the texts are dealt as ids to trainers of about ``SHARE`` tokens, each trains a copy of
 the network on the windows around its own tokens, ``BLOCK`` windows in memory at a time, and the copies
 are averaged piece by piece, for ``ROUNDS`` rounds. A copy has a fixed size, whatever the corpus.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm import _bytes
@@ -203,10 +205,18 @@ def training_streams(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select("text").mapInArrow(run, "n long, stream binary")
 
 
-def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
+def rare_entry(h: Column) -> Column:
+    """Which of the RARE entries a word's signed hash falls into; ``Vocabulary.of`` reads it as unsigned."""
+    return F.pmod(F.pmod(h, F.lit(RARE)) + F.when(h < 0, pow(2, 64, RARE)).otherwise(0), F.lit(RARE)).cast("int")
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
+    """The vocabulary, the network, and ``h, n``: the counts of the words outside the vocabulary."""
     spark = docs.sparkSession
-    top = count_words(docs).orderBy(F.desc("n"), "h").limit(VOCABULARY - 1 - RARE).collect()
+    counts = written(count_words(docs), "counts")
+    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - 1 - RARE).collect()
     vocabulary = Vocabulary([r.h for r in top])
+    rare = counts.join(F.broadcast(spark.createDataFrame([(r.h,) for r in top], "h long")), "h", "left_anti")
     gathered = written(training_streams(docs, vocabulary), "streams")
     total = gathered.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     trainers = max(1, -(-total // SHARE))
@@ -236,7 +246,7 @@ def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
         trained = dealt.select("stream").mapInArrow(run, "piece int, n long, part binary")
         averaged = trained.groupBy("piece").applyInPandas(_average, "piece int, part binary").collect()  # the size of one network
         flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(averaged, key=lambda r: r.piece)])
-    return vocabulary, Network.of(flat)
+    return vocabulary, Network.of(flat), rare
 
 
 def _average(pdf):
@@ -247,23 +257,40 @@ def _average(pdf):
     return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "part": [(total / pdf["n"].sum()).astype(np.float32).tobytes()]})
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, rare: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (``doc_id``), ``n_tokens``, ``log_likelihood`` and ``mean_log_likelihood``."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, network))
+    keep = ["doc_id"] if keep is None else keep
+    totals = np.zeros(RARE)
+    for r in rare.groupBy(rare_entry(F.col("h")).alias("e")).agg(F.sum("n").alias("n")).collect():
+        totals[r.e] = r.n
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, network, np.log(totals + 1)))
 
     def run(texts: pa.Array) -> dict[str, pa.Array]:
-        own, net = sent.value
-        n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+        own, net, of_entry = sent.value
+        n, total, words, found = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for w in _bytes.words(texts, _bytes.NOT_SPACE, _bytes.LOWER):
             ids = own.of(w.hash)
             each = np.zeros(len(ids))
             for i in range(0, len(ids), 1 << 14):
                 chosen = np.arange(i, min(i + (1 << 14), len(ids)))
                 each[chosen] = net.log_probability(windows(w, ids, chosen), ids[chosen])
+            beyond = ids >= VOCABULARY - 1 - RARE
+            each[beyond] -= of_entry[ids[beyond] - (VOCABULARY - 1 - RARE)]
             n.append(np.diff(w.of))
             total.append(w.per_doc(each))
-        n, total = np.concatenate(n), np.concatenate(total)
-        mean = pa.array(total / np.maximum(1, n), pa.float64(), mask=n == 0)
-        return {"n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(total, pa.float64()), "mean_log_likelihood": mean}
-
-    return map_text(docs, run, "n_tokens long, log_likelihood double, mean_log_likelihood double", ["doc_id"] if keep is None else keep)
+            words.append(w.hash[beyond].view(np.int64))
+            found.append(np.diff(np.concatenate(([0], np.cumsum(beyond)))[w.of]))
+        n, total, ends = np.concatenate(n), np.concatenate(total), np.concatenate(([0], np.cumsum(np.concatenate(found))))
+        words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words), pa.int64()))
+        return {"_n": pa.array(n, pa.int64()), "_sum": pa.array(total, pa.float64()), "_words": words}
+
+    named = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)], docs["text"].alias("text"))
+    scored = map_text(named, run, "_n long, _sum double, _words array<long>", named.columns[:-1])
+    scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    # A word that stands once adds log(1), as does a word without a count.
+    often = rare.where("n > 1").select("h", F.log("n").alias("_log"))
+    added = scored.select("_row", F.explode("_words").alias("h")).join(often, "h").groupBy(F.col("_row").alias("_at")).agg(F.sum("_log").alias("_log"))
+    both = scored.drop("_words").join(added, F.col("_row") == F.col("_at"), "left")
+    total = F.col("_sum") + F.coalesce("_log", F.lit(0.0))
+    columns = [F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)]
+    return both.select(*columns, F.col("_n").alias("n_tokens"), total.alias("log_likelihood"), F.when(F.col("_n") > 0, total / F.col("_n")).alias("mean_log_likelihood"))

@@ -183,6 +183,31 @@ def test_language_model(spark, docs, none):
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_rare_words_have_their_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ROUNDS", 0)
+    words = [f"w{i}" for i in range(9000) for _ in range(1 + i % 3)]
+    texts = [(i, " ".join(words[i::40])) for i in range(40)]
+    vocabulary, net, rare = lm.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    net.embed[:] = net.classes[:] = net.words[:] = 0  # each entry: 1 / VOCABULARY
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from reefline.llm import _bytes
+
+    kinds = [*dict.fromkeys(words), "unseen"]
+    entry = dict(zip(kinds, (i for w in _bytes.words(pa.array([" ".join(kinds)]), _bytes.NOT_SPACE, _bytes.LOWER) for i in vocabulary.of(w.hash)), strict=True))
+    count, total = Counter(words), Counter(entry[x] for x in words)
+    share = lambda x: max(1, count[x]) / (total[entry[x]] + 1) if entry[x] >= lm.VOCABULARY - 1 - lm.RARE else 1
+    want = lambda text: sum(np.log(share(x) / lm.VOCABULARY) for x in text.split())
+    assert {(count[x], share(x) < 1) for x in kinds} >= {(0, True), (1, True), (2, True), (3, False)}
+    asked = [*texts, (40, "w1 unseen w2 w2"), (40, "w1 unseen w2 w2"), (41, ""), (42, None)]
+    rows = lm.score(spark.createDataFrame(asked, "doc_id long, text string"), vocabulary, net, rare).collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        assert r.log_likelihood == pytest.approx(want(dict(asked)[r.doc_id] or ""), rel=1e-5)
+
+
 def test_every_token_is_a_target(monkeypatch):
     import pyarrow as pa
 
