@@ -4,7 +4,8 @@ The kernel compares words by their gapped four-letter subsequences: a subsequenc
 places weighs ``DECAY ** (s - 4)``, up to ``SPAN`` places; word ends count as letters. Signs inside a
 word are dropped and single letters that follow each other are read as one word, so gapped and
 inserted-character spellings stay near the plain one. A Nystroem map onto landmark words gives the
-features of a linear machine with squared hinge loss. Its decision is a weighted sum of kernels with
+features of a linear machine with squared hinge loss, solved on a working set: the hardest clean words
+so far and a fixed share of all (``WORKING`` of each). Its decision is a weighted sum of kernels with
 the landmarks, and folding the landmarks' subsequences into one weight table gives the same value in
 time linear in the text.
 
@@ -12,13 +13,16 @@ A sentence is as toxic as its worst words, and a document as its worst sentences
 as the best ``BEST`` word scores of the text; a logistic curve on them, fitted on labelled rows that the
 machine did not see, gives the probability. Training words come from labelled sentences: all words of
 clean texts are clean; of a toxic text only its likeliest words are taken as witnesses, and these are
-chosen anew after each fit.
+chosen anew after each fit, as are the clean words: the likeliest words of every clean text join the
+``CONTROLS`` words that training starts from.
 
-``TRAIN_ROWS`` bounds the labelled sample, ``CONTROLS`` the clean words kept for training.
+Bounds on labelled rows: ``TRAIN_ROWS`` documents by hash order, and of the toxic ones among them as many,
+by hash order, as have ``CANDIDATES`` rare words together.
 
 Defined cases: null or empty text scores as a text without words; without labels of both kinds every
 score is the share of toxic labels (0 if none); of several labels of a document the largest holds;
-extra columns are ignored; repeated rows are scored each.
+extra columns are ignored, whatever their names; repeated rows are scored each; a text of any length is
+scored whole, in blocks of texts.
 """
 
 from __future__ import annotations
@@ -36,7 +40,9 @@ from reefline.llm import _bytes
 from reefline.llm._frames import map_text, plain, written
 
 TRAIN_ROWS, CONTROLS, CANDIDATES = 20_000, 40_000, 400_000
-LANDMARKS, ROUNDS, WITNESSES, BEST = 256, 4, 3, 4
+LANDMARKS, ROUNDS, WITNESSES, BEST = 768, 5, 3, 4
+#: Clean words that a fit takes: as many of the hardest, and as many of all.
+WORKING = 16_000
 #: Bits of the hash of a subsequence.
 BITS = 20
 #: Texts whose words are scored at once while training; bounds memory only.
@@ -45,7 +51,7 @@ TEXTS = 128
 RARER = 8
 #: Log likelihood ratio from which a word may be a first witness (a tenth of the largest, if that is more).
 STANDS_OUT = 15.0
-DECAY, SPAN, REGULAR = 0.5, 6, 1e-3
+DECAY, SPAN, REGULAR = 0.5, 6, 1e-5
 THRESHOLD = 0.3
 
 _END, _DROP = 63, 64
@@ -199,6 +205,14 @@ def kernel(words: list[str], landmarks: list[str], step: int = 4000) -> np.ndarr
     return out
 
 
+def features(words: list[str], landmarks: list[str], root: np.ndarray, step: int = 4000) -> np.ndarray:
+    """The Nystroem map of the words, made block by block."""
+    out = np.empty((len(words), root.shape[1]), np.float32)
+    for i in range(0, len(words), step):
+        out[i : i + step] = kernel(words[i : i + step], landmarks) @ root
+    return out
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, step: int = 4096) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps; rows are taken in blocks."""
     d = x.shape[1] + 1
@@ -208,12 +222,12 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, step: int = 4096)
     for _ in range(25):
         square, right = ridge.copy(), np.zeros(d)
         for i in range(0, len(x), step):
-            block = np.column_stack((x[i : i + step], np.ones(len(x[i : i + step])))).astype(np.float64)
-            on = y[i : i + step] * (block @ w) < 1
+            block = np.column_stack((x[i : i + step], np.ones(len(x[i : i + step]), np.float32)))
+            on = y[i : i + step] * (block @ w.astype(np.float32)) < 1
             block = block[on]
-            scaled = block * weight[i : i + step][on, None]
+            scaled = block * weight[i : i + step][on, None].astype(np.float32)
             square += scaled.T @ block
-            right += scaled.T @ y[i : i + step][on]
+            right += scaled.T @ y[i : i + step][on].astype(np.float32)
         new = np.linalg.solve(square, right)
         if np.allclose(new, w, atol=1e-6):
             break
@@ -270,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
     if len(set(truth.values())) < 2:
         share = sum(truth.values()) / max(1, len(truth))
         return Model(flat.table, -1.0, _curve(float(np.log(max(share, 1e-17) / max(1 - share, 1e-17)))))
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("_late"))  # TRAIN_ROWS rows at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("_late"))  # TRAIN_ROWS rows at most
     lists = map_text(sample.where("NOT _late"), lambda t: {"words": pa.array([sorted(_words_of(x)) for x in t.to_pylist()], pa.list_(pa.string()))}, "words array<string>", ["doc_id", "_y"])
     lists = written(lists, "words")
     pairs = lists.select("doc_id", "_y", F.explode("words").alias("w"))
@@ -278,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
     rare = f"{RARER} * clean <= toxic"
     controls = seen.where(f"NOT ({rare})").orderBy(F.xxhash64("w"), "w").select("w").limit(CONTROLS).toArrow()["w"].to_pylist()
     held = pairs.where("_y = 1").join(seen.where(rare).select("w"), "w").select("doc_id", "w")
-    held = held.orderBy(F.xxhash64("doc_id", "w"), "w").limit(CANDIDATES).toArrow()
+    held = held.orderBy(F.xxhash64("doc_id"), "doc_id", "w").limit(CANDIDATES).toArrow()
     coded = held["w"].combine_chunks().dictionary_encode()
     candidates = coded.dictionary.to_pylist()
     if not candidates or not controls:
@@ -304,10 +318,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         good = value > 1e-6 * value[-1]
         root = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
         positive = [candidates[i] for i in found]
-        x = np.concatenate((kernel(positive, marks), kernel(controls, marks))) @ root
-        y = np.concatenate((np.ones(len(positive)), -np.ones(len(controls))))
-        weight = np.where(y > 0, 0.5 / len(positive), 0.5 / len(controls)) * len(y)
+        hardest = np.argsort(-control_scores, kind="stable")[:WORKING] if turn else np.zeros(0, np.int64)
+        negative = [controls[i] for i in np.union1d(hardest, rng.permutation(len(controls))[:WORKING])]
+        x = features(positive + negative, marks, root)
+        y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
+        weight = np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative)) * len(y)
         w, bias = _machine(x, y, weight)
+        del x
         beta = root @ w
         row, which, share = _rows(marks)
         table = np.bincount(which, share * beta[row], 1 << BITS).astype(np.float32)
@@ -333,19 +350,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
     return model
 
 
-def _score_list(words: list[str], table: np.ndarray) -> np.ndarray:
-    s = _spell_words(words)
-    return best(s, word_scores(s, table), -1e9, 1)[:, 0]
+def _score_list(words: list[str], table: np.ndarray, step: int = 20_000) -> np.ndarray:
+    out = [np.zeros(0)]
+    for i in range(0, len(words), step):
+        s = _spell_words(words[i : i + step])
+        out.append(best(s, word_scores(s, table), -1e9, 1)[:, 0])
+    return np.concatenate(out)
 
 
 def _words_of(text: str | None) -> set[str]:
-    """Distinct words as the kernel sees them: letters only, lower case, of four letters at least."""
-    found = set()
+    """Distinct words as the kernel sees them: letters and digits only, lower case, single letters in a row
+    as one word; of two signs at least.
+    """
+    found, single = set(), ""
     for run in (text or "").lower().split():
         w = run if run.isalpha() else "".join(c for c in run if c.isalnum())
-        if len(w) >= 4:
+        if len(w) > 1:
             found.add(w)
-    return found
+        if len(w) == 1:
+            single += w
+        elif w and single:
+            found.add(single)
+            single = ""
+    found.add(single)
+    return {w for w in found if len(w) > 1}
 
 
 def _top_words(table: np.ndarray):
