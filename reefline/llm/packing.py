@@ -2,10 +2,14 @@
 
 Pieces of the same length are exchangeable, so the search works on the histogram of lengths (at most
 ``CAPACITY`` rows, whatever the corpus), and a chromosome is a list of bin groups: a filling of a
-bin and how many bins are filled so. Crossover injects whole well-filled groups of another parent,
-takes out bins of the receiver whose pieces would then be used twice, and puts the displaced pieces
-back by best fit; mutation empties badly filled groups and packs them anew. Each island is a Spark
-group with a population of its own; between epochs the best of each island moves to the next one.
+bin and how many bins are filled so. Every island starts from cheap packings of its own: lengths in
+random order, each put in by next fit or first fit, and on the first island one best-fit packing, so
+that the result is never behind it. Crossover injects whole well-filled groups of
+another parent, takes out bins of the receiver whose pieces would then be used twice, and puts the
+displaced pieces back by best fit; mutation empties badly filled groups and packs them anew. Each
+island is a Spark group with a population of its own; between epochs the best of each island moves to
+the next one. Generations go on until a packing has as few bins as the total length allows, or
+``GENERATIONS`` in each of ``EPOCHS`` are over.
 A best fit adds at most three groups for each length, and a child that grows beyond ``GROUPS`` groups
 is dropped, so a population and the final plan are bounded for any input.
 
@@ -13,7 +17,10 @@ Last, every piece gets its rank among the pieces of its length (counted by salte
 frequent length is spread), and the plan turns rank into sequence and offset.
 
 Defined cases: null text is empty; an empty document is one piece of the closing id alone; only
-documents above the capacity are cut; repeated rows are packed each; an empty table has no pieces.
+documents above the capacity are cut; repeated rows are packed each; an empty table has no pieces; a
+text of any length is cut whole, texts being tokenized in blocks; of the input only doc_id and text are
+read, whatever the names of other columns; pieces of equal length are ranked by doc_id, piece and ids, and
+rows equal in all of these are interchangeable.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from reefline.llm._frames import written
 
 CAPACITY = 2048
 CLOSING = 0
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 6, 4, 4, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 6, 6, 6, 2
 GROUPS = 4 * 3 * CAPACITY
 #: Pieces in a bucket of one length, about.
 BUCKET = 50_000
@@ -114,6 +121,36 @@ def best_fit(counts: dict[int, int], groups: list[Group], capacity: int = CAPACI
     return list(merged.items())
 
 
+def cheap_fit(counts: dict[int, int], rng: random.Random, capacity: int = CAPACITY) -> list[Group]:
+    """All pieces, lengths in random order: next fit into the groups opened last, or first fit into the
+    oldest ones. Pieces of one length stay together, so that few groups arise.
+    """
+    order = list(counts)
+    rng.shuffle(order)
+    last = rng.random() < 0.5
+    open_: list[list] = []  # filling, room, bins
+    for x in order:
+        left = counts[x]
+        for g in range(len(open_) - 1, -1, -1) if last else range(len(open_)):
+            filling, room, bins = open_[g]
+            if not left or last and g < len(open_) - 3:
+                break
+            n = room // x
+            if not n:
+                continue
+            take = min(bins, left // n)
+            if take:
+                open_[g] = [filling, room, bins - take]
+                open_.append([(*filling, (x, n)), room - n * x, take])
+                left -= n * take
+        open_ = [g for g in open_ if g[2]]
+        each = capacity // x
+        for n, bins in ((each, left // each), (left % each, 1)):
+            if n and bins:
+                open_.append([((x, n),), capacity - n * x, bins])
+    return [(filling, bins) for filling, _, bins in open_]
+
+
 def _fill(filling: tuple) -> int:
     return sum(x * n for x, n in filling)
 
@@ -160,20 +197,21 @@ def mutate(a: list[Group], rng: random.Random, capacity: int = CAPACITY) -> list
 
 
 def evolve(counts: dict[int, int], members: list[list[Group]], seed: int, capacity: int = CAPACITY) -> list[list[Group]]:
+    """The population after the generations of an epoch, best first."""
     rng = random.Random(seed)
-    if not members:
-        members = [best_fit(counts, [], capacity)]
+    members = [*members]
     while len(members) < POPULATION:
-        members.append(mutate(members[0], rng, capacity))
+        members.append(cheap_fit(counts, rng, capacity))
+    members.sort(key=lambda m: fitness(m, capacity), reverse=True)
     bound = -(-sum(x * n for x, n in counts.items()) // capacity)
     for _ in range(GENERATIONS):
-        if -fitness(members[0], capacity)[0] == bound:
-            break  # no packing has fewer bins
         born = [mutate(rng.choice(members), rng, capacity)]
         for _ in range(POPULATION - 1):
             a, b = rng.sample(members, 2)
             born.append(crossover(a, b, counts, rng, capacity))
         members = sorted([*members, *(m for m in born if len(m) <= GROUPS)], key=lambda m: fitness(m, capacity), reverse=True)[:POPULATION]
+        if -fitness(members[0], capacity)[0] == bound:
+            break  # no packing has fewer bins
     return members
 
 
@@ -196,18 +234,22 @@ def plan(lengths: DataFrame, capacity: int = CAPACITY) -> list[Group]:
             members = [[(tuple(zip(f[0::2].tolist(), f[1::2].tolist(), strict=True)), int(n)) for f, n in zip(map(np.asarray, fs), ns, strict=True)] for fs, ns in zip(pdf["fillings"], pdf["bins"], strict=True) if len(ns)]
             k = int(pdf["island"].iloc[0])
             members.sort(key=lambda m: fitness(m, capacity), reverse=True)
+            if not epoch and not k:
+                members = [best_fit(counts, [], capacity)]
             best = evolve(counts, members[:POPULATION], 1000 * epoch + k, capacity)
             return pd.DataFrame([(k, i, *packed(m)) for i, m in enumerate(best)], columns=["island", "place", "fillings", "bins"])
 
         return island
 
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
     for epoch in range(EPOCHS):
         state = written(state.repartition(ISLANDS, "island").groupBy("island").applyInPandas(grow(epoch), _STATE), "islands")
-        if epoch + 1 < EPOCHS:  # the best of each island moves on to the next as well
-            moved = state.where("place = 0").withColumn("island", F.expr(f"CAST((island + 1) % {ISLANDS} AS int)"))
-            state = state.union(moved)
-    score = state.where("place = 0").withColumn("n", F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x))
-    best = score.orderBy("n", "island").first()
+        score = state.where("place = 0").withColumn("n", F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x))
+        best = score.orderBy("n", "island").first()
+        if best["n"] == bound:
+            break  # no packing has fewer bins
+        # The best of each island moves on to the next as well.
+        state = state.union(state.where("place = 0").withColumn("island", F.expr(f"CAST((island + 1) % {ISLANDS} AS int)")))
     return [(tuple(zip(f[0::2], f[1::2], strict=True)), n) for f, n in zip(best["fillings"], best["bins"], strict=True)]
 
 
