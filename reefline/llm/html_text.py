@@ -5,17 +5,21 @@ tags, raw text), skips what is not shown (scripts, styles, head matter, ``hidden
 simple style-sheet rules with ``display:none`` or ``visibility:hidden``), and a renderer lays the rest
 out: blocks apart, lists with markers and indents, table cells in aligned columns, white space
 collapsed but in ``pre``. All visible text is kept. Both work through one stack, so nesting depth and
-length are limited by memory only.
+length are limited by memory only, and both take time in proportion to the page, however broken: the
+scanner never reads a stretch twice, and open elements are found by name, not by search.
 
 Defined cases: null html gives null text; an empty page or one without visible text gives an empty
-text; broken markup is text or ignored, never an error; repeated rows are rendered each; extra
-columns are ignored.
+text; broken markup is text or ignored, never an error; a quote that never closes is an ordinary sign; a
+``<`` without any ``>`` ahead is text; rules inside at-rules hold for plain screen media only, and of two
+rules for a selector the later one; repeated rows are rendered each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +29,7 @@ from reefline.llm._frames import map_text
 #: Element kinds and rules of HTML, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object svg math meta link base".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object meta link base".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table hr fieldset".split())
 BLOCK = SPACED | frozenset(
     "html body div section article aside header footer nav main address form li dt dd tr td th thead tbody tfoot caption figcaption details summary legend center option optgroup select dialog menu".split()
@@ -39,13 +43,19 @@ CLOSES = {
 }
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}}
 _CELL_STOPS, _OTHER_STOPS = {"table"}, {"td", "th", "table", "button", "caption"}
+_PARTS, _CELLS, _P = frozenset("table tr tbody thead tfoot td th body html".split()), frozenset(("td", "th", "table")), {"p"}
 HEAD_ONLY = frozenset("title meta link base style script".split())
 
-WIDEST = 60
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<", re.S)
+WIDEST, DEEPEST = 60, 80  # of aligned cells, and of indents; what is wider or deeper stays whole
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_BRACE = re.compile(r"[{};]")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _GONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_SHOWN = re.compile(r"display\s*:\s*(?!none)[a-z]|visibility\s*:\s*visible", re.I)
+_SEEN = re.compile(r"visibility\s*:\s*visible", re.I)
+_SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:screen|all)\s*$", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -90,6 +100,27 @@ class _Flow:
 class _Table:
     def __init__(self) -> None:
         self.rows: list[list[list[str]]] = []
+        self.down: dict[int, int] = {}  # column: rows below that a cell above still covers
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.fill()
+
+    def fill(self) -> None:
+        """Empty cells where one above reaches down to."""
+        row = self.rows[-1]
+        while self.down.get(len(row), 0) > 0:
+            self.down[len(row)] -= 1
+            row.append([""])
+
+    def cell(self, lines: list[str], across: int, down: int) -> None:
+        if not self.rows:
+            self.row()
+        for k in range(across):
+            if down > 1:
+                self.down[len(self.rows[-1])] = down - 1
+            self.rows[-1].append([""] if k else lines)
+        self.fill()
 
     def lines(self) -> list[str]:
         width: dict[int, int] = {}
@@ -103,6 +134,41 @@ class _Table:
         return out
 
 
+def rules_of(sheet: str) -> Iterator[tuple[str, bool]]:
+    """Selectors of a style sheet with whether they hide, in order; at-rules but plain screen media are
+    passed over.
+    """
+    sheet = _COMMENT.sub(" ", sheet)
+    at, skip, depth, opened = 0, 0, 0, ""
+    for m in _BRACE.finditer(sheet):
+        piece = sheet[at : m.start()]
+        at = m.end()
+        if m[0] == ";":
+            if not opened:
+                continue
+            at = m.start() - len(piece)  # a declaration; the body goes on
+            continue
+        if m[0] == "{":
+            head = piece.strip()
+            depth += 1
+            if skip:
+                continue
+            if head.startswith("@"):
+                if not _SCREEN.match(head):
+                    skip = depth
+            else:
+                opened = head
+            continue
+        if skip:
+            skip = 0 if depth <= skip else skip
+        elif opened:
+            gone = bool(_GONE.search(piece))
+            if gone or _SHOWN.search(piece):
+                for s in opened.split(","):
+                    yield s.strip(), gone
+        opened, depth = "", max(0, depth - 1)
+
+
 def _hidden(name: str, attributes: dict[str, str], rules: set[str]) -> bool:
     if name in UNSEEN or "hidden" in attributes or _GONE.search(attributes.get("style", "")):
         return True
@@ -113,20 +179,26 @@ def _hidden(name: str, attributes: dict[str, str], rules: set[str]) -> bool:
 
 class _Page:
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool]] = []  # element, whether it begins an unseen part
-        self.unseen = self.pre = 0
-        self.flows, self.tables, self.lists = [_Flow()], [], []
+        self.open: list[tuple[str, bool, int]] = []  # element, whether it begins an unseen part, kinds of hiding before
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a name
+        self.blocks: list[int] = []  # places of the open block elements
+        self.unseen = self.veiled = self.pre = 0  # veiled: unseen parts by visibility alone, which parts inside may lift
+        self.flows, self.tables, self.lists, self.indents = [_Flow()], [], [], []
         self.rules: set[str] = set()
 
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        """Place of the innermost open element of these names, -1 if none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
     def start(self, name: str, attributes: dict[str, str]) -> None:
         closes = CLOSES.get(name)
         if closes:
             stops = STOPS.get(name) or (_CELL_STOPS if name in ("td", "th", "tr", "tbody", "thead", "tfoot") else _OTHER_STOPS)
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] in closes:
-                    self.close_to(k)
-                elif self.open[k][0] in stops or name not in STOPS and closes == {"p"} and self.open[k][0] in BLOCK:
+            stop = self.last(stops)
+            while (k := self.last(closes)) > stop and k >= 0:
+                if name not in STOPS and closes == _P and self.blocks and self.blocks[-1] > k:
                     break
+                self.close_to(k)
         if name not in HEAD_ONLY and self.open and self.open[-1][0] == "head" and name in BLOCK:
             self.close_to(len(self.open) - 1)
         gone = not self.unseen and _hidden(name, attributes, self.rules)
@@ -139,11 +211,21 @@ class _Page:
                 elif name == "img" and attributes.get("alt"):
                     self.text(attributes["alt"])
             return
-        self.open.append((name, gone))
-        if gone or self.unseen:
-            self.unseen += gone
-            return
+        before = self.unseen, self.veiled
+        if self.unseen and self.unseen == self.veiled and _SEEN.search(attributes.get("style", "")):
+            self.unseen = self.veiled = 0  # shown again inside a part hidden by visibility
+        elif gone:
+            self.unseen += 1
+            self.veiled += name not in UNSEEN and "hidden" not in attributes and "display" not in attributes.get("style", "").lower() and bool(_GONE.search(attributes.get("style", "")))
+        self.open.append((name, gone or before != (self.unseen, self.veiled), before))
+        self.at[name].append(len(self.open) - 1)
+        if name in BLOCK:
+            self.blocks.append(len(self.open) - 1)
         flow = self.flows[-1]
+        if self.unseen:
+            if self.unseen == self.veiled and name in BLOCK and name not in _PARTS:
+                flow.block(0)  # hidden by visibility: its place stays
+            return
         if name in BLOCK and name not in ("td", "th", "tr", "thead", "tbody", "tfoot"):
             flow.block(1 if name in SPACED and not (name in ("ul", "ol") and self.lists) else 0)
         if name in ("ul", "ol", "menu"):
@@ -151,39 +233,52 @@ class _Page:
             self.lists.append([name, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1, flow.indent])
         elif name == "li":
             kind, number, indent = self.lists[-1] if self.lists else ("ul", 1, flow.indent)
-            flow.indent, flow.marker = indent + "  " * (len(self.lists) > 1), f"{number}. " if kind == "ol" else "- "
+            flow.indent, flow.marker = indent + "  " * (len(self.lists) > 1 and len(indent) < DEEPEST), f"{number}. " if kind == "ol" else "- "
             if self.lists:
                 self.lists[-1][1] += 1
         elif name in ("dd", "blockquote"):
-            flow.indent += "  "
+            self.indents.append(flow.indent)
+            flow.indent += "  " * (len(flow.indent) < DEEPEST)
         elif name in ("pre", "textarea"):
             self.pre += 1
         elif name == "table":
             self.tables.append(_Table())
         elif name == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
         elif name in ("td", "th") and self.tables:
             self.flows.append(_Flow())
-            n = attributes.get("colspan", "1")
-            self.flows[-1].span = min(int(n), 100) if n.isdecimal() and n.isascii() else 1
+            number = lambda key: min(int(n), 100) if (n := attributes.get(key, "1")).isdecimal() and n.isascii() and len(n) < 9 else 1
+            self.flows[-1].span = max(1, number("colspan")), max(1, number("rowspan"))
 
     def close_to(self, k: int) -> None:
         while len(self.open) > k:
-            name, gone = self.open.pop()
-            if gone:
-                self.unseen -= 1
-            elif not self.unseen:
+            name, changed, before = self.open.pop()
+            self.at[name].pop()
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+            shown, veiled = not self.unseen, self.unseen == self.veiled
+            if changed:
+                self.unseen, self.veiled = before
+            if shown:
                 self.end(name)
+            elif veiled and name in BLOCK and name not in _PARTS:
+                self.flows[-1].block(0)
+
+    def close(self, name: str) -> None:
+        """An end tag: closes the innermost element of its name, but none outside of a table part for others."""
+        places = self.at.get(name)
+        k = places[-1] if places else -1
+        if k >= 0 and (name in _PARTS or k >= self.last(_CELLS)):
+            self.close_to(k)
+        elif name == "p":
+            self.flows[-1].block(1)
 
     def end(self, name: str) -> None:
         flow = self.flows[-1]
         if name in ("td", "th") and self.tables and len(self.flows) > 1:
             flow.end()
             self.flows.pop()
-            table = self.tables[-1]
-            if not table.rows:
-                table.rows.append([])
-            table.rows[-1] += [flow.lines or [""]] + [[""]] * (getattr(flow, "span", 1) - 1)
+            self.tables[-1].cell(flow.lines or [""], *getattr(flow, "span", (1, 1)))
             return
         if name in ("tr", "thead", "tbody", "tfoot"):
             return
@@ -201,7 +296,7 @@ class _Page:
         elif name == "li":
             flow.indent, flow.marker = self.lists[-1][2] if self.lists else "", ""
         elif name in ("dd", "blockquote"):
-            flow.indent = flow.indent[:-2]
+            flow.indent = self.indents.pop()
         elif name in ("pre", "textarea"):
             self.pre -= 1
 
@@ -210,36 +305,78 @@ class _Page:
             self.flows[-1].put(html.unescape(raw) if "&" in raw else raw, self.pre > 0)
 
 
+class _Scanner:
+    """Tags of a page from left to right."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def tag_end(self, i: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes begin at i; quoted ones don't count."""
+        page, k = self.page, i
+        while self.quotes:
+            k = _PLAIN.match(page, k).end()
+            if k >= len(page):
+                self.quotes = False  # read to the end in vain: from here on quotes are ordinary
+            elif page[k] == ">":
+                return k
+            else:
+                close = page.find(page[k], k + 1)
+                if close < 0:
+                    self.quotes = False
+                k = close + 1
+        return page.find(">", i)
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """Start, end, name (empty for comments), whether it is an end tag, attributes. ``at`` may be moved."""
+        page, self.at = self.page, 0
+        while (i := page.find("<", self.at)) >= 0:
+            if page.startswith("<!--", i):
+                stop = page.find("-->", i + 4)
+                self.at = stop + 3 if stop >= 0 else len(page)
+                yield i, self.at, "", False, ""
+                continue
+            if page.startswith(("<!", "<?"), i):
+                stop = page.find(">", i) if i < self.last else -1
+                self.at = stop + 1 if stop >= 0 else len(page)
+                yield i, self.at, "", False, ""
+                continue
+            end = page.startswith("</", i)
+            m = _NAME.match(page, i + 1 + end) if i < self.last else None
+            if not m or m.end() > self.last:
+                at, self.at = self.at, i + 1  # a sign of the text
+                yield at, i + 1, "<", False, ""
+                continue
+            stop = self.tag_end(m.end())
+            self.at = stop + 1
+            yield i, self.at, m[0].lower(), end, page[m.end() : stop]
+
+
 def render(page: str) -> str:
-    p, at = _Page(), 0
-    while m := _TOKEN.search(page, at):
-        p.text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    p, at, scan = _Page(), 0, _Scanner(page)
+    ends: dict[str, bool] = {}  # raw elements whose end tag may still come
+    for start, stop, name, end, rest in scan.tags():
+        if name == "<":
+            p.text(page[at:stop])
+            at = stop
+            continue
+        p.text(page[at:start])
+        at = stop
         if not name:
-            if m[0] == "<":
-                p.text("<")
             continue
-        if m[1]:
-            for k in range(len(p.open) - 1, -1, -1):
-                if p.open[k][0] == name:
-                    p.close_to(k)
-                    break
-                if p.open[k][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
-            else:
-                if name == "p":
-                    p.flows[-1].block(1)
+        if end:
+            p.close(name)
             continue
-        attributes = {a.lower(): html.unescape(x or y or z) for a, x, y, z in reversed(_ATTRIBUTE.findall(m[3]))}
-        p.start(name, attributes)
+        p.start(name, {a.lower(): html.unescape(x or y or z) for a, x, y, z in reversed(_ATTRIBUTE.findall(rest))})
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            stop = end.start() if end else len(page)
+            found = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at) if ends.get(name, True) else None
+            ends[name] = found is not None
+            stop = found.start() if found else len(page)
             if name == "style":
-                p.rules |= {s.strip() for sel, body in _RULE.findall(page[at:stop]) if _GONE.search(body) for s in sel.split(",")}
+                for selector, gone in rules_of(page[at:stop]):
+                    (p.rules.add if gone else p.rules.discard)(selector)
             p.text(page[at:stop])
-            at = end.end() if end else len(page)
+            at = scan.at = found.end() if found else len(page)
             if p.open and p.open[-1][0] == name:
                 p.close_to(len(p.open) - 1)
     p.text(page[at:])

@@ -331,6 +331,10 @@ def test_genetic_packing_beats_best_fit(spark):
         ("<div>a</div><div hidden>b</div><div style='display: none'>c</div>d", "a\nd"), ("<style>.h, #g{display:none}</style><p class='a h'>x<p id=g>y<p>z", "z"),
         ("<pre>a\n  b</pre>", "a\n  b"), ("a &amp; b &lt;c&gt; &copy;", "a & b <c> ©"), ("1 < 2 and <b>bold</b>", "1 < 2 and bold"), ("<p>a <b> b </b> c</p>", "a b c"),
         ("<title>t</title>body", "body"), ("", ""), ("<p", "<p"), ("</div></p>x", "x"), ("<!-- c --><!doctype html>y<!-- open", "y"), ("<head><meta charset=x><p>in body", "in body"),
+        ("<style>@media print{.m{display:none}} .h{display:none}</style><p class=m>a<p class=h>b", "a"), ("<style>.a{display:none} .a{display:block}</style><p class=a>z", "z"),
+        ("<style>@media screen { .m { color: red; display: none } }</style><p class=m>a<p>b", "b"), ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d", "b\nd"),
+        ("<div hidden><b style='visibility:visible'>b</b></div>d", "d"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<td rowspan=2 colspan=2>b<tr><td>c<tr><td>d<td>e</table>", "a  b\nc\nd  e"),
+        ("<math><mi>x</mi></math>y", "xy"), ("<svg><text>label</text><title>t</title></svg>", "label"), ("a <b title='x>y'>c</b>", "a c"), ("a <b title='x>y", "a y"), ("<blockquote><dl><dd>a</blockquote>b", "    a\n\nb"),
         ("<table><tr><td>a<table><tr><td>b</table></table>", "a\n\nb"), ("<ol start=3><li>x</ol>", "3. x"), ("<dl><dt>k<dd>v</dl>", "k\n  v"), ("<img alt='pic'>!", "pic!"),
     ],
 )
@@ -338,6 +342,25 @@ def test_rendering(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 300_000, "<style>" + "x " * 500_000, "<b>" * 100_000 + "</i>" * 150_000, '<a "' * 250_000, '<a "' * 250_000 + 'x>"', "<b>" * 100_000 + "<hr>" * 150_000, "<" * 1_000_000, "<style>" * 100_000,
+        "<!-- " * 200_000, "<div><table><td>" + "<b>" * 100_000 + "</div>" * 100_000, "<b>" * 100_000 + "<option>" * 60_000, "<div>" * 150_000, "&" * 1_000_000, "<ul><li>" * 80_000 + "x", "<blockquote>" * 60_000 + "x",
+    ],
+    ids=range(15),
+)
+def test_long_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.render(page[: len(page) // 8])
+    part = time.process_time() - began
+    began = time.process_time()
+    html_text.render(page)
+    assert time.process_time() - began < max(1.0, 20 * part)
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<div>" * 20_000 + "deep"), (None, "u", "<table><td colspan=99999999>x")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert [r.text for r in html_text.extract(pages).collect()] == [None, None, "deep", "x"]
