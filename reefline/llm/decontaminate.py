@@ -7,18 +7,21 @@ window's suffix and prefix blocks selects test strings, whose words are then com
 Texts advance side by side: each stretch of ``STRETCH`` words has a cursor of its own, and one
 numpy step moves all cursors of a chunk.
 
-The benchmark goes to the executors in groups of at most ``GROUP_BYTES`` of text (the bound of each
-broadcast, checked before it is sent); a larger benchmark passes over the documents in several
-groups, without a shuffle or a join.
+The benchmark's texts go to the executors in groups of at most ``GROUP_BYTES`` with their ids (the
+bound of each broadcast, checked before it is sent); every Python worker builds a group's tables once,
+as arrays of about 30 bytes for each byte of text (100 while they are built). A larger benchmark passes over the documents in
+several groups, without a shuffle or a join.
 
 Defined cases: null text has no words; an item without words has no window; a null ``item_id`` is
 the empty string; items with the same id are one item; a document without words is not
-contaminated; repeated rows are judged alike, each on its own.
+contaminated; repeated rows are judged alike, each on its own; very long texts are searched whole, a
+chunk of their own; columns beside the named ones are ignored by ``find`` and kept by
+``remove_contaminated``, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +34,68 @@ from reefline.llm._frames import map_text, plain
 WINDOW = 13
 BLOCK = 2
 STRETCH = 256
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Patterns:
-    """All patterns of one length."""
+class _Items:
+    """Words of a group's texts. ``kind`` numbers the different words; ``owners`` the ids of each text."""
+
+    def __init__(self, texts: list[str], owners: list[list[int]]):
+        (w,) = _bytes.words(pa.array(texts, pa.large_string()), _bytes.ALNUM, _bytes.LOWER, 1 << 62) if texts else (_bytes.split(np.zeros(0, np.uint8), np.zeros(1, np.int64), _bytes.ALNUM),)
+        self.data, self.starts, self.ends, self.of, self.hash = w.data.tobytes(), w.starts, w.ends, w.of, w.hash
+        self.kind = np.unique(w.hash, return_inverse=True)[1]
+        lead = np.zeros(len(self.kind), np.int64)
+        lead[self.kind[::-1]] = np.arange(len(self.kind))[::-1]  # the first word of each kind
+        odd = np.flatnonzero(~_alike(w.data, w.starts, w.ends, w.data, w.starts[lead[self.kind]], w.ends[lead[self.kind]]))
+        self.kind[odd] = len(self.kind) + odd  # another word of the same hash stays on its own
+        self.owner_ends = np.concatenate(([0], np.cumsum([len(x) for x in owners], dtype=np.int64)))
+        self.owners = np.array([i for x in owners for i in x], np.int64)
+
+
+def _alike(a: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> np.ndarray:
+    """Whether the stretches of bytes are equal, pair by pair."""
+    same = a_hi - a_lo == b_hi - b_lo
+    live, j = np.flatnonzero(same), 0
+    while len(live := live[a_hi[live] - a_lo[live] > j]):
+        bad = a[a_lo[live] + j] != b[b_lo[live] + j]
+        same[live[bad]] = False
+        live, j = live[~bad], j + 1
+    return same
 
-    def __init__(self, m: int, hashes: np.ndarray, texts: list[list[bytes]], owners: list[list[int]]):
+
+class _Patterns:
+    """All different windows of ``m`` words, in the order of their keys."""
+
+    def __init__(self, m: int, items: _Items):
+        n = np.diff(items.of)
+        fits = np.flatnonzero(n >= m if m == WINDOW else n == m)
+        each = n[fits] - m + 1
+        text = np.repeat(fits, each)
+        first = items.of[text] + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        place = first[:, None] + np.arange(m)
+        order = np.lexsort(items.kind[place].T[::-1])
+        kinds = items.kind[place[order]]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (kinds[1:] != kinds[:-1]).any(1)
+        lead = order[fresh]
+        self.text_ends = np.append(np.flatnonzero(fresh), len(order))  # of the texts that hold each window
+        self.texts = text[order]
+        hashes = items.hash[place[lead]]
         self.m, self.b = m, min(BLOCK, m)
-        self.bits = max(12, int(np.ceil(np.log2(len(hashes) * m + 1))) + 4)
+        self.bits = max(12, int(np.ceil(np.log2(len(hashes) * m + 1))) + 2)
         self.default = m - self.b + 1
-        self.shift = np.full(1 << self.bits, self.default, np.uint16)
+        self.shift = np.full(1 << self.bits, self.default, np.uint8)
         for end in range(self.b - 1, m):
-            np.minimum.at(self.shift, self.slot(self.block(hashes, end)), m - 1 - end)
+            np.minimum.at(self.shift, self.slot(self.block(hashes, end)), np.uint8(m - 1 - end))
         key = self.key(self.block(hashes, self.b - 1), self.block(hashes, m - 1))
-        order = np.argsort(key, kind="stable")
-        self.keys, self.hashes = key[order], hashes[order]
-        self.texts, self.owners = [texts[i] for i in order], [owners[i] for i in order]
+        by_key = np.argsort(key, kind="stable")
+        self.keys, self.hashes, self.first, self.rank = key[by_key], hashes[by_key], first[lead][by_key], by_key
+
+    def owners(self, pattern: int, items: _Items) -> set[int]:
+        r = self.rank[pattern]
+        texts = np.unique(self.texts[self.text_ends[r] : self.text_ends[r + 1]])
+        return {int(i) for x in texts for i in items.owners[items.owner_ends[x] : items.owner_ends[x + 1]]}
 
     def block(self, h: np.ndarray, end: int) -> np.ndarray:
         return h[:, end] if self.b == 1 else h[:, end - 1] * _MUL + h[:, end]
@@ -63,7 +110,7 @@ class _Patterns:
     def key(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         return _bytes.mix(prefix * _MUL ^ suffix)
 
-    def search(self, w: _bytes.Words) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, w: _bytes.Words, items: _Items) -> tuple[np.ndarray, np.ndarray]:
         """Last words of occurrences and the pattern at each."""
         m, h = self.m, w.hash
         first, last = w.of[:-1] + m - 1, w.of[1:]  # window ends of each text: first to last - 1
@@ -93,46 +140,45 @@ class _Patterns:
         for j in range(m):
             same = h[end - m + 1 + j] == self.hashes[pat, j]
             end, pat = end[same], pat[same]
-        data = w.data.tobytes() if len(end) else b""
-        sure = np.fromiter(
-            (all(data[w.starts[p] : w.ends[p]] == t for p, t in zip(range(e - m + 1, e + 1), self.texts[q], strict=True)) for e, q in zip(end, pat, strict=True)),
-            bool,
-            len(end),
-        )
+        place = np.arange(m)
+        mine, theirs = (end[:, None] - m + 1 + place).ravel(), (self.first[pat][:, None] + place).ravel()
+        sure = _alike(w.data, w.starts[mine], w.ends[mine], np.frombuffer(items.data, np.uint8), items.starts[theirs], items.ends[theirs]).reshape(-1, m).all(1)
         return end[sure], pat[sure]
 
 
-def _tables(rows: list[tuple[str, str]]) -> tuple[list[_Patterns], list[str]]:
-    ids = sorted({i for i, _ in rows})
-    place = {x: k for k, x in enumerate(ids)}
-    found: dict[int, dict[bytes, tuple[np.ndarray, list[bytes], set[int]]]] = {}
-    for w in _bytes.words(pa.array([t for _, t in rows], pa.large_string()), _bytes.ALNUM, _bytes.LOWER):
-        data = w.data.tobytes()
-        for d in range(w.n):
-            own = range(w.of[d], w.of[d + 1])
-            if not len(own):
-                continue
-            texts = [data[w.starts[p] : w.ends[p]] for p in own]
-            m = min(WINDOW, len(own))
-            for s in range(len(own) - m + 1):
-                t = texts[s : s + m]
-                entry = found.setdefault(m, {}).setdefault(b" ".join(t), (w.hash[own[s] : own[s] + m], t, set()))
-                entry[2].add(place[rows[w.first + d][0]])
-    return [_Patterns(m, np.array([x[0] for x in v.values()]), [x[1] for x in v.values()], [sorted(x[2]) for x in v.values()]) for m, v in sorted(found.items())], ids
-
-
-def _scan(texts: pa.Array, patterns: list[_Patterns], ids: list[str]) -> dict[str, pa.Array]:
+class Group:
+    """Some items of the benchmark: their texts, the ids of each, and the tables, built where they are used."""
+
+    _built: dict[str, tuple[_Items, list[_Patterns]]] = {}
+
+    def __init__(self, rows: list[tuple[list[str], str]]):
+        self.name = uuid.uuid4().hex
+        self.ids = sorted({i for ids, _ in rows for i in ids})
+        place = {x: k for k, x in enumerate(self.ids)}
+        self.texts, self.owned = [x for _, x in rows], [sorted({place[i] for i in ids}) for ids, _ in rows]
+
+    def tables(self) -> tuple[_Items, list[_Patterns]]:
+        if self.name not in self._built:
+            self._built.clear()
+            items = _Items(self.texts, self.owned)
+            self._built[self.name] = items, [_Patterns(int(m), items) for m in np.unique(np.minimum(np.diff(items.of), WINDOW)) if m]
+        return self._built[self.name]
+
+
+def _scan(texts: pa.Array, group: Group) -> dict[str, pa.Array]:
     n_words, spans, items = [], [], []
+    held, patterns = group.tables()
+    ids = group.ids
     for w in _bytes.words(texts, _bytes.ALNUM, _bytes.LOWER):
         n_words.append(np.diff(w.of))
         edge = np.zeros(len(w.starts) + 1, np.int64)
         owned: dict[int, set[int]] = {}
         for p in patterns:
-            end, pat = p.search(w)
+            end, pat = p.search(w, held)
             np.add.at(edge, end - p.m + 1, 1)
             np.add.at(edge, end + 1, -1)
             for d, q in set(zip((np.searchsorted(w.of, end, "right") - 1).tolist(), pat.tolist(), strict=True)):
-                owned.setdefault(d, set()).update(p.owners[q])
+                owned.setdefault(d, set()).update(p.owners(q, held))
         hit = np.cumsum(edge[:-1]) > 0
         per, own = [[] for _ in range(w.n)], [[] for _ in range(w.n)]
         for d, got in owned.items():
@@ -151,21 +197,23 @@ def _scan(texts: pa.Array, patterns: list[_Patterns], ids: list[str]) -> dict[st
 MADE = "n_words long, spans array<struct<start:int,stop:int>>, item_ids array<string>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (``doc_id``) and n_words, spans (word ranges inside occurrences), item_ids
     (sorted as strings), n_hit, contaminated.
     """
-    assert window == WINDOW, "the window is fixed by WINDOW"
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("id") + 16), F.lit(0))).first()[0]
     n_groups = max(1, -(-total // GROUP_BYTES))
     found = None
     for g in range(n_groups):
-        rows = [(r.id, r.text) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_groups)) == g).collect()]
-        sent = spark.sparkContext.broadcast(_tables(rows))
-        got = map_text(docs if found is None else found, lambda t, sent=sent: _scan(t, *sent.value), MADE, [*keep, "text", *(["_had"] if found is not None else [])] if n_groups > 1 else keep)
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_groups)) == g).collect()  # GROUP_BYTES, about
+        by_text: dict[str, list[str]] = {}
+        for r in rows:
+            by_text.setdefault(r.text, []).append(r.id)
+        sent = spark.sparkContext.broadcast(Group([(ids, text) for text, ids in by_text.items()]))
+        got = map_text(docs if found is None else found, lambda t, sent=sent: _scan(t, sent.value), MADE, [*keep, "text", *(["_had"] if found is not None else [])] if n_groups > 1 else keep)
         if n_groups == 1:
             found = got
             break
@@ -200,7 +248,3 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def items_digest(ids: str) -> F.Column:
     return F.sha2(F.array_join(ids, ","), 256)
-
-
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
