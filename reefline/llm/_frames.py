@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -52,3 +53,35 @@ def plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]
     own = docs.toDF(*names)
     out = own.select(*names, *[own[names[docs.columns.index(c)]].alias(c) for c in ("doc_id", "text")])
     return out, lambda df: df.select(*names).toDF(*docs.columns)
+
+
+#: Rows that a broadcast may have, and rows of one key that go to a task together.
+BROADCAST_ROWS, TOGETHER = 1_000_000, 10_000
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """Inner join with a side of unique keys, whose ``_n`` tells how many rows of ``left`` have the key.
+
+    ``rows`` bounds the rows of ``right``, if known: a small side is broadcast. Else the rows of a frequent
+    key are dealt out, and its row on the right goes along to each share; the list of such keys is
+    broadcast, and its bound is kept by raising the size of a share.
+    """
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop("_n")), keys)
+    many = right.where(F.col("_n") > TOGETHER)
+    sizes = many.groupBy(F.floor(F.log2("_n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()  # a row for each power of two
+    if not sizes:
+        return left.join(right.drop("_n"), keys)
+    share, so_far = 1 << 62, 0
+    for r in sizes:
+        so_far += r["count"]
+        if so_far <= BROADCAST_ROWS:
+            share = max(1 << r["b"], TOGETHER)
+    shares = F.when(F.col("_n") >= share, F.ceil(F.col("_n") / share).cast("int")).otherwise(1)
+    held = right.withColumn("_shares", shares)
+    hot = F.broadcast(held.where("_shares > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_shares").alias("_of")))
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    salt = F.when(F.col("_of").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.col("_of"))).cast("int")
+    spread = left.join(hot, on, "left").select(*left.columns, salt.alias("_salt"))
+    copies = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_n", "_shares")
+    return spread.join(copies, [*keys, "_salt"]).drop("_salt")

@@ -1,19 +1,21 @@
 """SimHash fingerprints and near-duplicate groups by a segment-popcount grid.
 
-A fingerprint is cut into sixteen segments of four bits and mapped to the vector of their bit
-counts. Two fingerprints that differ in at most ``RADIUS`` bits are at most that far apart in
-Manhattan distance, and in one of the two halves of the vector at most ``RADIUS // 2`` apart; there
-they share a grid cell within one step of both. So each distinct fingerprint goes to its own cell
-and the next ones in either half, the pairs of a cell are verified exactly with numpy on blocks, and
-of the links found only a spanning forest leaves the task. Connected components then run on
-fingerprints, never on copies.
+Each half of a fingerprint, 32 bits, is laid out as a square of eight rows and eight columns of four bits,
+and mapped to the vector of their sixteen bit counts. A differing bit changes one row and one column by
+one, so the Manhattan distance of two vectors is at most twice the number of differing bits: a lower
+bound. Fingerprints that differ in at most ``RADIUS`` bits differ in at most ``RADIUS // 2`` in one half,
+so their vectors there are at most ``RADIUS`` apart, and some vector lies within one bit of both. So each
+distinct fingerprint goes to its own grid cell and those one bit away in either half, the pairs of a cell
+are verified exactly with numpy on blocks, and of the links found only a spanning forest leaves the task.
+Connected components then run on fingerprints, never on copies.
 
 A cell above ``BLOCK`` fingerprints is dealt out as pairs of blocks, so no task holds more than two
 blocks at once and no link is lost.
 
 Defined cases: null text has no words and fingerprint zero, linked like any other; rows with the
 same text share a fingerprint; a null ``doc_id`` never names a component unless all its rows are
-null; an empty table gives no rows; extra columns are ignored (``deduplicate`` keeps them).
+null; very long texts are hashed whole, in blocks of shingles; an empty table gives no rows; extra
+columns are ignored (``deduplicate`` keeps them).
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reefline.llm._bytes import LOWER
-from reefline.llm._frames import map_text, plain, written
+from reefline.llm._frames import map_text, meet, plain, written
 
 SHINGLE = 4
 RADIUS = 4
-SEGMENT_BITS = 4
-HALF = 8
+#: Row and column of each of the 32 bits of a half: eight of each, four bits long.
+ROW = np.arange(32) // 4
+COLUMN = (np.arange(32) // 4 + np.arange(32) % 4 * 2) % 8
 BLOCK = 4096
 PAIRS = 1 << 21
 _LOWER = LOWER.tobytes()
@@ -134,19 +137,29 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(rest)
 
 
+def _cells(fp: np.ndarray) -> np.ndarray:
+    """Cells of each fingerprint, 66 to a row: in either half its own, and those one bit away."""
+    out = np.empty((len(fp), 66), np.int64)
+    for half in range(2):
+        bits = (fp[:, None] >> (np.uint64(32 * half) + np.arange(32, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
+        step = (np.int64(1) << (3 * ROW)) + (np.int64(1) << (24 + 3 * COLUMN))
+        own = bits @ step + (np.int64(half) << 48)
+        out[:, 33 * half] = own
+        out[:, 33 * half + 1 : 33 * half + 33] = own[:, None] + (1 - 2 * bits) * step
+    return out
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = batch.column(0).to_numpy()
+        for i in range(0, len(fp), 1 << 13):
+            part = fp[i : i + (1 << 13)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, 66)), pa.array(_cells(part.view(np.uint64)).ravel())], names=["fp", "cell"])
+
+
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """``u, v``: a spanning forest, by cell, of all links among distinct fingerprints ``fp``."""
-    counts = [F.bit_count(F.shiftrightunsigned("fp", SEGMENT_BITS * s).bitwiseAND(F.lit(2**SEGMENT_BITS - 1))) for s in range(2 * HALF)]
-    cells = []
-    for half in range(2):
-        own = counts[half * HALF : (half + 1) * HALF]
-        key = F.lit(half << 24)
-        for j, c in enumerate(own):
-            key = key + c * (1 << (3 * j))
-        cells.append(key)
-        for j, c in enumerate(own):
-            cells += [F.when(c > 0, key - (1 << (3 * j))), F.when(c < SEGMENT_BITS, key + (1 << (3 * j)))]
-    rows = distinct.select("fp", F.explode(F.array(*cells)).alias("cell")).where(F.col("cell").isNotNull())
+    rows = distinct.select("fp").mapInArrow(_spread, "fp long, cell long")
     many = rows.groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("_g"))
     many = written(many, "cells")
     if many.isEmpty():
@@ -169,21 +182,23 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     state = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     state = written(state, "links")
-    if state.isEmpty():
+    size = state.count()
+    if not size:
         return spark.createDataFrame([], "node long, root long")
     seen = None
     while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("v", "u", "m")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+        large = meet(both.where("v > u"), least, ["u"], 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = meet(large, least, ["u"], 2 * size).select("v", "u", "m")
         state = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         state = written(state, "links")
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        seen, size = now, now[0]
 
 
 def groups(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -193,12 +208,12 @@ def groups(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = ["doc_id", *(keep or [])]
     found = written(fingerprints(docs, keep), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), *keep)
-    distinct = written(found.groupBy("fp").agg(F.min(rank).alias("lead")), "distinct")
+    distinct = written(found.groupBy("fp").agg(F.min(rank).alias("lead"), F.count("*").alias("_n")), "distinct")
     root = components(links(distinct.select("fp")))
-    placed = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
-    lead = placed.groupBy("root").agg(F.min("lead").alias("lead"))
-    by_print = placed.select("fp", "root").join(lead, "root").select("fp", "lead")
-    return found.join(by_print, "fp").select(*keep, "fp", F.col("lead.doc_id").alias("component_id"), (rank == F.col("lead")).alias("first"))
+    placed = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "lead", "_n", F.coalesce("root", "fp").alias("root"))
+    lead = placed.groupBy("root").agg(F.min("lead").alias("lead"), F.count("*").alias("_n"))
+    by_print = meet(placed.select("fp", "root", F.col("_n").alias("_rows")), lead, ["root"]).select("fp", "lead", F.col("_rows").alias("_n"))
+    return meet(found, written(by_print, "leads"), ["fp"]).select(*keep, "fp", F.col("lead.doc_id").alias("component_id"), (rank == F.col("lead")).alias("first"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

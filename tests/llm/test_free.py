@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reefline.llm import decontaminate, entries, html_text, lm, packing, q_decontaminate, q_packing, quality, simhash, tokens, toxicity
+from reefline.llm import _frames, decontaminate, entries, html_text, lm, packing, q_decontaminate, q_packing, quality, simhash, tokens, toxicity
 from reefline.llm.folds import held_out
 from tests.compare import same
 
@@ -375,3 +375,28 @@ def test_all_visible_words_stay(spark, small):
         want = h.unescape(re.sub(r"<[a-zA-Z/!][^>]*>", " ", body)).split()
         got = [w for w in html_text.render(r.html).split() if w != "-"]
         assert sorted("".join(got)) == sorted("".join(w for w in want if w != "-")) or sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("together", [10_000, 5])
+def test_meeting_of_frequent_keys(spark, monkeypatch, together):
+    monkeypatch.setattr(_frames, "TOGETHER", together)
+    rows = [(k, i) for k in range(40) for i in range(1 + 60 * (k in (3, 7)))]
+    left = spark.createDataFrame(rows, "k long, i long")
+    right = left.groupBy("k").agg(F.count("*").alias("_n"), (F.col("k") * 10).alias("v"))
+    for bound in (None, 40):
+        assert sorted(map(tuple, _frames.meet(left, right, ["k"], bound).select("k", "i", "v").collect())) == sorted((k, i, 10 * k) for k, i in rows)
+    monkeypatch.setattr(_frames, "BROADCAST_ROWS", 1)
+    assert _frames.meet(left, right, ["k"]).count() == len(rows)
+
+
+def test_grid_is_a_lower_bound_and_thin():
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000).astype(np.uint64)
+    near = fp.copy()
+    for i in range(len(fp)):
+        for b in rng.choice(64, rng.integers(0, 5), replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(b)
+    a, b = simhash._cells(fp), simhash._cells(near)
+    assert all(len(np.intersect1d(x, y)) for x, y in zip(a, b, strict=True))
+    cells, n = np.unique(a, return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 3000 * 2999 // 2 * 66 * 1e-4  # random pairs that share a cell are rare
