@@ -9,7 +9,7 @@ from reefline.llm import lm
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return lm.score(docs, *lm.train(docs))
+    return lm.score(docs, lm.train(docs))
 
 
 QUERIES = {"op5_lm_score": op5_lm_score}

@@ -170,72 +170,136 @@ def test_inserted_and_gapped_spellings_stay_near():
 
 
 def test_language_model(spark, docs, none):
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model = lm.train(d)
-    rows = lm.score(d, *model).toPandas()
-    assert rows.log_likelihood.sum() / rows.n_tokens.sum() > -np.log(lm.VOCABULARY) + 0.8
-    edge = {r.doc_id: r for r in lm.score(docs, *model).collect()}
+    model = lm.train(docs)
+    edge = {r.doc_id: r for r in lm.score(docs, model).collect()}
     assert edge[3].n_tokens == 0 and edge[3].log_likelihood == 0 and edge[3].mean_log_likelihood is None
-    assert lm.score(none, *lm.train(none)).count() == 0
-    net = model[1]
-    context, target = np.array([[1, 2, 3, 4], [9, 9, 9, 9]]), np.arange(lm.VOCABULARY)
-    total = np.exp(net.log_probability(np.repeat(context[:1], lm.VOCABULARY, 0), target)).sum()
-    assert total == pytest.approx(1, abs=1e-3)
+    assert edge[1].n_tokens == 7 and lm.score(docs, model).count() == docs.count()
+    assert lm.score(none, lm.train(none)).count() == 0
+    rows = np.tile(np.array([1, 2, 0, 3, 4], np.int16), (lm.EDGE, 1))
+    rows[:, 2] = np.arange(lm.EDGE)
+    assert np.exp(model.network.log_probability(rows)).sum() == pytest.approx(1, abs=1e-2)
+    entry = np.arange(lm.SLOTS) % lm.RARE
+    counted = np.bincount(entry, np.exp(model.rare) * (model.rare > np.log(1.5) - np.log(1e9)), lm.RARE)
+    assert counted.max() <= lm.SLOTS / lm.RARE + 2
 
 
-def test_rare_words_have_their_own_probability(spark, monkeypatch):
+def _ids(texts, vocabulary):
+    import pyarrow as pa
+
+    from reefline.llm import _bytes
+
+    return [(w, vocabulary.of(w.hash)) for w in _bytes.words(pa.array(texts, pa.string()), _bytes.NOT_SPACE, _bytes.LOWER)]
+
+
+def test_network_beats_counts_on_held_out_text(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    learned, other = d.where("doc_id % 5 <> 0"), [r.text for r in d.where("doc_id % 5 = 0").select("text").limit(300).collect()]
+    model = lm.train(learned)
+    seen = _ids([r.text for r in learned.select("text").collect()], model.vocabulary)
+    whole = lambda pairs: np.concatenate([np.concatenate(lm.streams(w, ids)[1]) for w, ids in pairs]).astype(np.int64)
+    v, train, test = lm.VOCABULARY, whole(seen), whole(_ids(other, model.vocabulary))
+    around = lambda s: (s[1:-1] != lm.EDGE).nonzero()[0] + 1
+    at, to = around(train), around(test)
+    single = np.bincount(train[at], minlength=v) + 0.1
+    single = single / single.sum()
+    share = []
+    for side in (-1, 1):  # counts of the word given the word before, and after
+        keys, n = np.unique(train[at + side] * v + train[at], return_counts=True)
+        key = test[to + side] * v + test[to]
+        k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        share.append((np.where(keys[k] == key, n[k], 0) + 100 * single[test[to]]) / (np.bincount(train[at + side], minlength=v)[test[to + side]] + 100))
+    got = np.concatenate([model.network.log_probability(lm.stretched(x))[lm.stretched(x)[:, lm.SIDE : -lm.SIDE] != lm.EDGE] for w, ids in _ids(other, model.vocabulary) for x in lm.streams(w, ids)[1]])
+    assert len(got) == sum(len(ids) for _, ids in _ids(other, model.vocabulary))
+    assert got.mean() > np.log(np.mean(share, 0)).mean() > np.log(single[test[to]]).mean() + 0.3
+
+
+def test_rare_words_have_the_share_of_their_slot(spark, monkeypatch):
     monkeypatch.setattr(lm, "ROUNDS", 0)
     words = [f"w{i}" for i in range(9000) for _ in range(1 + i % 3)]
     texts = [(i, " ".join(words[i::40])) for i in range(40)]
-    vocabulary, net, rare = lm.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    model = lm.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    net = model.network
     net.embed[:] = net.classes[:] = net.words[:] = 0  # each entry: 1 / VOCABULARY
     from collections import Counter
 
-    import pyarrow as pa
-
-    from reefline.llm import _bytes
-
     kinds = [*dict.fromkeys(words), "unseen"]
-    entry = dict(zip(kinds, (i for w in _bytes.words(pa.array([" ".join(kinds)]), _bytes.NOT_SPACE, _bytes.LOWER) for i in vocabulary.of(w.hash)), strict=True))
-    count, total = Counter(words), Counter(entry[x] for x in words)
-    share = lambda x: max(1, count[x]) / (total[entry[x]] + 1) if entry[x] >= lm.VOCABULARY - 1 - lm.RARE else 1
+    ((w, ids),) = _ids([" ".join(kinds)], model.vocabulary)
+    entry, slot = dict(zip(kinds, ids, strict=True)), dict(zip(kinds, lm.slot_of(w.hash), strict=True))
+    is_rare = lambda x: entry[x] >= lm.VOCABULARY - 1 - lm.RARE
+    in_slot, in_entry = Counter(slot[x] for x in words if is_rare(x)), Counter(entry[x] for x in words)
+    share = lambda x: max(1, in_slot[slot[x]]) / (in_entry[entry[x]] + 1) if is_rare(x) else 1
     want = lambda text: sum(np.log(share(x) / lm.VOCABULARY) for x in text.split())
-    assert {(count[x], share(x) < 1) for x in kinds} >= {(0, True), (1, True), (2, True), (3, False)}
+    assert any(is_rare(x) for x in kinds) and not all(is_rare(x) for x in kinds)
     asked = [*texts, (40, "w1 unseen w2 w2"), (40, "w1 unseen w2 w2"), (41, ""), (42, None)]
-    rows = lm.score(spark.createDataFrame(asked, "doc_id long, text string"), vocabulary, net, rare).collect()
+    rows = lm.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
     assert len(rows) == len(asked)
     for r in rows:
         assert r.log_likelihood == pytest.approx(want(dict(asked)[r.doc_id] or ""), rel=1e-5)
 
 
-def test_every_token_is_a_target(monkeypatch):
-    import pyarrow as pa
-
-    from reefline.llm import _bytes
-
+def test_every_token_is_a_target_in_its_own_window(monkeypatch):
     monkeypatch.setattr(lm, "PIECE", 5)
-    texts = pa.array(["a b c", None, "", "d", " ".join(map(str, range(23))), "e f"])
+    texts = ["a b c", None, "", "d", " ".join(map(str, range(23))), "e f"]
     own = lm.Vocabulary([])
-    for w in _bytes.words(texts, _bytes.NOT_SPACE, _bytes.LOWER):
-        ids = own.of(w.hash)
-        got = np.concatenate([lm.targets(x) for x in lm.streams(w, ids)])
-        assert len(ids) == 29 and (got == np.column_stack((lm.windows(w, ids, np.arange(29)), ids))).all()
+    ((w, ids),) = _ids(texts, own)
+    assert len(ids) == 29
+    places, pieces = lm.streams(w, ids)
+    seen = {}
+    for place, piece in zip(places, pieces, strict=True):
+        rows = lm.stretched(piece, 2)
+        for i, p in enumerate(place):
+            row, k = rows[i // 2], i % 2
+            if p >= 0:
+                seen[p] = row[k : k + 2 * lm.SIDE + 1].tolist()
+        assert (rows[:, lm.SIDE : -lm.SIDE].ravel()[: len(place)][place < 0] == lm.EDGE).all()
+    doc = w.doc()
+    around = lambda i, p: ids[i + p] if 0 <= i + p < len(ids) and doc[i + p] == doc[i] else lm.EDGE
+    assert seen == {i: [around(i, p) for p in range(-lm.SIDE, lm.SIDE + 1)] for i in range(29)}
 
 
 def test_short_texts_train(spark):
     model = lm.train(spark.createDataFrame([("one two three",)] * 300 + [("four",)] * 300, "text string"))
-    assert not np.allclose(model[1].flat(), lm.Network.fresh().flat())
+    assert not np.allclose(model.network.embed, lm.Network.fresh().embed)
+    rows = lm.score(spark.createDataFrame([("one two three",), ("three one two",)], "text string").withColumn("doc_id", F.length("text")), model).collect()
+    assert all(r.n_tokens == 3 for r in rows)
+
+
+def test_slope_of_the_network_is_right(monkeypatch):
+    """A step against finite differences, on one batch."""
+    rng = np.random.default_rng(0)
+    rows = rng.integers(0, 40, (3, 12)).astype(np.int16)
+    rows[1, 5] = lm.EDGE
+    net = lm.Network.fresh(rng.random(lm.VOCABULARY) * 9)
+    before = [a.copy() for a in (net.embed, net.places, net.classes, net.words)]
+    monkeypatch.setattr(lm, "RATE", 1.0)
+    for past in net.past:
+        past[:] = 1e12  # so that a step is the slope / 1e6
+    net._step(rows)
+    total = lambda: -float(net.log_probability(rows).astype(np.float64).sum())
+    used = int(rows[0, 3])
+    for k, (a, at) in enumerate(zip((net.embed, net.places, net.classes, net.words), ((used, 2), (1, 2, 3), (3, int(rows[0, 4]) // lm.WIDTH), (0, 3, used)), strict=True)):
+        for own, old in zip((net.embed, net.places, net.classes, net.words), before, strict=True):
+            own[:] = old
+        a[at] += 1e-2
+        up = total()
+        a[at] -= 2e-2
+        numeric = (up - total()) / 2e-2
+        for own, old in zip((net.embed, net.places, net.classes, net.words), before, strict=True):
+            own[:] = old
+        net._step(rows)
+        slope = (before[k][at] - a[at]) * 1e6
+        assert slope == pytest.approx(numeric, rel=0.1, abs=0.02)
 
 
 def test_network_learns_from_both_sides():
     rng = np.random.default_rng(0)
-    left, right = rng.integers(0, 20, 20_000), rng.integers(0, 20, 20_000)
-    context = np.column_stack((rng.integers(0, 20, 20_000), left, right, rng.integers(0, 20, 20_000)))
+    left, right = rng.integers(0, 20, 40_000), rng.integers(0, 20, 40_000)
     target = 64 * (left % 4) + right
+    rows = np.column_stack((rng.integers(0, 20, 40_000) + 500, left + 300, target, right + 400, rng.integers(0, 20, 40_000) + 500)).astype(np.int16)
     net = lm.Network.fresh()
-    for k in range(6):
-        net.train(context, target, k)
-    assert net.log_probability(context, target).mean() > -1.0  # 80 targets: -4.4 by chance
+    for k in range(8):
+        net.train(rows, k)
+    assert net.log_probability(rows).mean() > -1.0  # 80 targets: -4.4 by chance
 
 
 def _encode(texts):
