@@ -55,5 +55,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLES = {"op6_quality_rules": _SQL}
+
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the strict policy: documents that fail it, and those that it alone rejects."""
+    return rules.ablations(rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), rules.STRICT)
+
+
+_ABLATION = "WITH l AS (" + _SQL + ") " + " UNION ALL ".join(
+    f"SELECT '{rules.STRICT.version}' AS policy, '{r}' AS rule, count(*) FILTER (WHERE failed & {1 << rules.BITS[r]} <> 0)::BIGINT AS failed, count(*) FILTER (WHERE failed = {1 << rules.BITS[r]})::BIGINT AS only_this FROM l"
+    for r in rules.STRICT.rules
+)
+
+QUERIES = {"op6_quality_rules": op6_quality_rules, "rules_ablation": rules_ablation}
+ORACLES = {"op6_quality_rules": _SQL, "rules_ablation": _ABLATION}

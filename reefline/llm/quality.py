@@ -6,12 +6,13 @@ adds a bias, a linear term and all pairwise products of features through ``FACTO
 vectors; the pairs cost linear time by the identity 2 * sum_ij <v_i, v_j> x_i x_j =
 |sum_i v_i x_i|^2 - sum_i |v_i|^2 x_i^2.
 
-It is trained with Adagrad on at most ``TRAIN_ROWS`` labelled rows, taken by hash order.
+It is trained with Adagrad on labelled rows taken by hash order: at most ``TRAIN_ROWS``, and as many of
+them as have ``TRAIN_WORDS`` words together, which bounds what reaches the driver.
 
 Defined cases: null or empty text has no words and statistics of zero; a null ``n_chars`` counts as
 the text's own length; without labels of both kinds every score is the share of label 1 (0.5 if there
-are none); of several labels of a document the smallest holds; extra columns are ignored; repeated
-rows are scored each.
+are none); of several labels of a document the smallest holds; extra columns are ignored, whatever
+their names; repeated rows are scored each; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm import _bytes
-from reefline.llm._frames import map_text
+from reefline.llm._frames import map_text, written
 
-BITS, FACTORS, TRAIN_ROWS = 16, 8, 20_000
+BITS, FACTORS, TRAIN_ROWS, TRAIN_WORDS = 16, 8, 20_000, 16_000_000
 EPOCHS, BATCH, RATE, RIDGE = 6, 128, 0.08, 1e-5
 THRESHOLD = 0.7
 
@@ -166,21 +167,29 @@ def _chars(batch: pa.Array) -> np.ndarray:
 def _with_length(docs: DataFrame) -> DataFrame:
     """Text and recorded length as one column, so that both reach the executors together."""
     n = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.withColumn("_doc", F.struct(F.coalesce("text", F.lit("")).alias("t"), n.alias("n")))
+    return docs.select(*[c for c in docs.columns if c != "_doc"], F.struct(F.coalesce("text", F.lit("")).alias("t"), n.alias("n")).alias("_doc"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", seed: int = 5) -> Machine:
     """A machine from the labelled documents among ``docs``; ``labels`` has doc_id and the label."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("double").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TRAIN_ROWS)
-    sample = _with_length(docs.join(F.broadcast(chosen), "doc_id").select(*[c for c in docs.columns if c in ("doc_id", "text", "n_chars")], "_y"))  # TRAIN_ROWS rows at most
+    own = docs.select(*[c for c in docs.columns if c in ("doc_id", "text", "n_chars")])
+    sample = _with_length(own.join(F.broadcast(chosen), "doc_id"))  # TRAIN_ROWS rows at most
 
     def run(column: pa.Array) -> dict[str, pa.Array]:
         buckets, bounds, stats = features(column.field("t"), _chars(column.field("n")))
         return {"buckets": pa.array([buckets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), "stats": pa.array(stats.tolist(), pa.list_(pa.float64()))}
 
-    rows = map_text(sample, run, "buckets binary, stats array<double>", ["doc_id", "_y"], "_doc").collect()
-    rows.sort(key=lambda r: r.doc_id)
+    held = written(map_text(sample, run, "buckets binary, stats array<double>", ["doc_id", "_y"], "_doc").withColumn("_k", F.xxhash64("doc_id", F.lit(seed))), "features")
+    words, last = 0, None
+    for r in held.groupBy("_k").agg(F.sum(F.octet_length("buckets") / 2).alias("n")).orderBy("_k").collect():
+        words += r.n
+        if words > TRAIN_WORDS and last is not None:
+            break
+        last = r["_k"]
+    rows = held.where(F.col("_k") <= F.lit(last)).collect() if last is not None else []
+    rows.sort(key=lambda r: (r["_k"], r.doc_id, r.buckets))
     stats = np.array([r.stats for r in rows]).reshape(-1, len(STATISTICS))
     return fit([np.frombuffer(r.buckets, np.uint16) for r in rows], stats, np.array([r["_y"] for r in rows]))
 

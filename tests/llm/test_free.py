@@ -136,6 +136,19 @@ def test_classifiers_without_labels(spark, docs, none, operator, label):
     assert operator.score(none, operator.train(none, empty, label)).count() == 0
 
 
+@pytest.mark.parametrize("operator,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_training_ignores_clashing_columns(spark, operator, label, monkeypatch):
+    rows = [(i, "good and quiet words here" if i % 2 else "idiot moron idiot scum", 1 - i % 2, 7.0, 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _y int, _k double, n_chars int").withColumn("_doc", F.lit(1)).withColumn(label, F.lit(None).cast("int"))
+    labels = spark.createDataFrame([(i, i % 2 if label == "quality" else 1 - i % 2, 3) for i in range(80)], f"doc_id long, {label} int, _y int")
+    plain = {r.doc_id: r.score for r in operator.score(docs, operator.train(docs.select("doc_id", "text", "n_chars"), labels.drop("_y"))).collect()}
+    got = {r.doc_id: r.score for r in operator.score(docs, operator.train(docs, labels)).collect()}
+    assert got == pytest.approx(plain)
+    if operator is quality:
+        monkeypatch.setattr(quality, "TRAIN_WORDS", 100)
+        assert operator.score(docs, operator.train(docs, labels)).count() == 80
+
+
 def _kernel(a, b):
     """The string kernel by its definition."""
     from collections import Counter

@@ -10,7 +10,7 @@ from reefline.llm import chat, lines, q_chat, q_lines, q_rules, rules
 from tests.compare import same
 
 
-@pytest.mark.parametrize("module,name", [(q_chat, "op1_chat_format"), (q_rules, "op6_quality_rules"), (q_lines, "op3_line_dedup")])
+@pytest.mark.parametrize("module,name", [(q_chat, "op1_chat_format"), (q_rules, "op6_quality_rules"), (q_rules, "rules_ablation"), (q_lines, "op3_line_dedup")])
 def test_against_sql(spark, con, small, module, name):
     same(module.QUERIES[name](spark, small).toPandas(), con.sql(module.ORACLES[name]).df())
 
