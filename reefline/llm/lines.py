@@ -11,11 +11,16 @@ letters, the members of a key that have its own length are within one edit by co
 have a letter more are compared with them by the line with each letter left out.
 
 A line goes if an equal line stands earlier (by doc_id, then place), or if its class is linked to a
-class that began earlier. Lines under ``MIN_CHARS`` code points without outer white space are left alone.
+class that began earlier. Lines of white space alone stay; lines under ``MIN_CHARS`` code points without
+outer white space go as equal lines only, since one edit makes another word of them.
 
-Defined cases: null text has no lines and stays null; an empty text stays empty; null ``doc_id`` sorts
-last; rows with the same doc_id have the same places, so repeated rows are treated alike; the empty table
-gives no rows; extra columns are kept by ``deduplicate``.
+A line that stands very often is counted where it is read, and where its places meet its class the places
+are dealt out by that count.
+
+Defined cases: null text has no lines and stays null; an empty text stays empty; ``doc_id`` may have any
+type with an order, null sorts last; rows with the same doc_id have the same places, so repeated rows are
+treated alike; lines of any length are compared whole; the empty table gives no rows; extra columns are
+kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reefline.llm._frames import plain, written
+from reefline.llm._frames import meet, plain, written
 
 MAX_EDITS, MIN_CHARS, HOT = 1, 20, 256
 SEGMENTS = (2, 8, 64, 512, 4096, 1 << 15, 1 << 18, 1 << 21, 1 << 24, 1 << 27, 1 << 30)
@@ -43,7 +49,11 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, _h, pos, line``: the lines that take part; ``_h`` tells texts of one id apart."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) >= MIN_CHARS)
+    return rows.where(_letters() > 0)
+
+
+def _letters() -> Column:
+    return F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")))
 
 
 def _hashes(line: Column) -> list[Column]:
@@ -86,8 +96,10 @@ def _halves(line: Column) -> list[Column]:
     ]
 
 
-def _place() -> Column:
-    """doc_id (an integer) and place of a line as one sortable number, null ids last."""
+def _place(rows: DataFrame) -> Column:
+    """doc_id and place of a line as one sortable value, null ids last; a number where ids are integers."""
+    if not isinstance(rows.schema["doc_id"].dataType, T.IntegralType):
+        return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos")
     wide = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
     return F.coalesce(wide.cast("decimal(38,0)"), F.lit(Decimal(10**37)) + F.col("pos"))
 
@@ -95,9 +107,11 @@ def _place() -> Column:
 def classes(docs: DataFrame) -> DataFrame:
     """``h1, h2, n, first`` and the keys ``k0`` to ``k3``: every distinct line and its first place.
 
-    All values are of fixed width, so that Spark aggregates them by hash, on both sides of the shuffle.
+    Short lines have no keys. With integer ids all values are of fixed width, so that Spark aggregates
+    them by hash, on both sides of the shuffle.
     """
-    rows = _lines(docs).select(*_hashes(F.col("line")), _place().alias("place"), *_halves(F.col("line")))
+    rows = _lines(docs)
+    rows = rows.select(*_hashes(F.col("line")), _place(rows).alias("place"), *[F.when(_letters() >= MIN_CHARS, k).alias(f"k{i}") for i, k in enumerate(_halves(F.col("line")))])
     return rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
 
 
@@ -113,8 +127,12 @@ def _texts(docs: DataFrame, ids: DataFrame, held: DataFrame) -> DataFrame:
     """``h1, h2, line, first`` of the classes with these ``h1``."""
     ids = written(ids.select("h1").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    found = _lines(docs).select(*_hashes(F.col("line")), "line").join(F.broadcast(ids) if few else ids, "h1", "left_semi")
+    found = _lines(docs).select(*_hashes(F.col("line")), "line")
+    if few:
+        found = found.join(F.broadcast(ids), "h1", "left_semi")
     found = found.groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
+    if not few:  # after the frequent lines were counted down to one
+        found = found.join(ids, "h1", "left_semi")
     return written(found.join(held.select("h1", "h2", "first"), ["h1", "h2"]), "texts")
 
 
@@ -200,7 +218,7 @@ def _inserted(rows: DataFrame, most: int) -> DataFrame:
 def losers(docs: DataFrame, held: DataFrame) -> DataFrame:
     """``h1, h2`` of the classes that are within ``MAX_EDITS`` of a class that began earlier."""
     keys = F.inline(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("own")) for i in range(4)]))
-    rows = held.select("h1", keys)
+    rows = held.select("h1", keys).where("key IS NOT NULL")
     few, hot = _split_hot(rows)
     few, hot = written(few, "few"), written(hot, "hot")
     texts = _texts(docs, few.select("h1").union(hot.select("h1")), held)
@@ -228,9 +246,10 @@ def removed(docs: DataFrame) -> DataFrame:
     """``doc_id, _h, gone``: places of the lines to take out, for each document that has some."""
     held = written(classes(docs), "classes")
     late = losers(docs, held).withColumn("_late", F.lit(True))
-    acts = held.select("h1", "h2", "n", "first").join(late, ["h1", "h2"], "left").where("n > 1 OR _late").select("h1", "h2", F.when(F.col("_late").isNull(), F.col("first")).alias("first"))
+    acts = held.select("h1", "h2", "n", "first").join(late, ["h1", "h2"], "left").where("n > 1 OR _late").select("h1", "h2", "n", F.when(F.col("_late").isNull(), F.col("first")).alias("first"))
+    acts = written(acts.withColumnRenamed("n", "_n"), "acts")
     lines = _lines(docs).select("doc_id", "_h", "pos", *_hashes(F.col("line")))
-    gone = lines.join(acts, ["h1", "h2"]).where(F.col("first").isNull() | (F.col("first") != _place()))
+    gone = meet(lines, acts, ["h1", "h2"]).where(F.col("first").isNull() | (F.col("first") != _place(lines)))
     return gone.groupBy("doc_id", "_h").agg(F.collect_set("pos").alias("gone"))  # a document's own lines
 
 

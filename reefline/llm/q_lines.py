@@ -16,11 +16,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL = f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents
 ), o AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d
-), e AS (SELECT *, length(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= {lines.MIN_CHARS} AS eligible FROM o
-), c AS (
-  SELECT line, min((doc_id, pos)) AS first, length(line) AS n, left(line, length(line) // 2) AS a, right(line, length(line) - length(line) // 2) AS b,
+), t AS (SELECT *, length(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS letters FROM o
+), e AS (SELECT *, letters > 0 AS eligible FROM t
+), a AS (
+  SELECT line, any_value(letters) AS letters, min((doc_id, pos)) AS first, length(line) AS n, left(line, length(line) // 2) AS a, right(line, length(line) - length(line) // 2) AS b,
     left(line, (length(line) - 1) // 2) AS a1, right(line, (length(line) - 1) - (length(line) - 1) // 2) AS b1
   FROM e WHERE eligible GROUP BY line
+), c AS (SELECT * FROM a WHERE letters >= {lines.MIN_CHARS}
 ), pairs AS (
   SELECT x.line AS x, y.line AS y FROM c x JOIN c y ON x.n = y.n AND x.a = y.a AND x.line < y.line
   UNION SELECT x.line, y.line FROM c x JOIN c y ON x.n = y.n AND x.b = y.b AND x.line < y.line
@@ -31,7 +33,7 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents
   SELECT DISTINCT CASE WHEN cx.first < cy.first THEN y ELSE x END AS line FROM links JOIN c cx ON cx.line = x JOIN c cy ON cy.line = y
 ), kept AS (
   SELECT e.doc_id, e.pos, e.line, NOT e.eligible OR (late.line IS NULL AND c.first = (e.doc_id, e.pos)) AS stays
-  FROM e LEFT JOIN c ON e.eligible AND c.line = e.line LEFT JOIN late ON e.eligible AND late.line = e.line
+  FROM e LEFT JOIN a c ON e.eligible AND c.line = e.line LEFT JOIN late ON e.eligible AND late.line = e.line
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT stays)::BIGINT AS n_removed,
   length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), ''))::BIGINT AS kept_chars,

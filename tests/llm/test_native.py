@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from reefline.llm import chat, lines, q_chat, q_lines, q_rules, rules
+from reefline.llm import _frames, chat, lines, q_chat, q_lines, q_rules, rules
 from tests.compare import same
 
 
@@ -97,14 +97,15 @@ def _dedupe(rows):
     seen, out = [], {}
     for i, text in sorted(rows):
         for p, x in enumerate(text.split("\n")):
-            if len(x.strip(" \t\n\x0b\x0c\r")) >= lines.MIN_CHARS:
+            if x.strip(" \t\n\x0b\x0c\r"):
                 seen.append((i, p, x))
     first = {}
     for i, p, x in seen:
         first.setdefault(x, (i, p))
-    late = {x for x in first if any(first[y] < first[x] and abs(len(x) - len(y)) <= 1 and _distance(x, y) <= 1 for y in first)}
+    long_ = [x for x in first if len(x.strip(" \t\n\x0b\x0c\r")) >= lines.MIN_CHARS]
+    late = {x for x in long_ if any(first[y] < first[x] and abs(len(x) - len(y)) <= 1 and _distance(x, y) <= 1 for y in long_)}
     for i, text in rows:
-        out[i] = "\n".join(x for p, x in enumerate(text.split("\n")) if len(x.strip(" \t\n\x0b\x0c\r")) < lines.MIN_CHARS or x not in late and first[x] == (i, p))
+        out[i] = "\n".join(x for p, x in enumerate(text.split("\n")) if not x.strip(" \t\n\x0b\x0c\r") or x not in late and first[x] == (i, p))
     return out
 
 
@@ -141,6 +142,36 @@ def test_two_letters_for_one_in_frequent_keys(spark, monkeypatch, length):
         assert got == _dedupe(some)
 
 
+def test_frequent_keys_of_lines_two_edits_apart(spark):
+    """More than HOT lines with one head and tail: letters in the middle, all of them two edits from each other."""
+    head, tail = "the same head of each line, over thirty letters ", " the same tail of each line, over thirty letters"
+    rows = [(i, head + chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i) + tail) for i in range(300)] + [(300, head + "z" + tail)]
+    assert len(rows) > lines.HOT
+    got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows)
+
+
+def test_latin_grid_of_frequent_keys(spark):
+    head, tail = "a head of the line that all share ", " and a tail that all of them share too"
+    letters = "abcdefghijklmnopqrst"
+    rows = [(i, head + letters[i % 20] + letters[(i // 20 * 7 + i) % 20] + tail) for i in range(400)]
+    assert len(rows) > lines.HOT
+    got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, want = {}, {}
+    for i, text in rows:  # of a grid, only lines of the same first or second letter are within one edit
+        code = text[len(head) : len(head) + 2]
+        want[i] = text if not any((a == code[0]) != (b == code[1]) or code == a + b for a, b in first) else ""
+        first[code] = i
+    assert got == want
+
+
+def test_ids_of_any_type_and_frequent_short_lines(spark, monkeypatch):
+    monkeypatch.setattr(_frames, "TOGETHER", 5)
+    rows = [("b", "end\na line that is long enough to be compared\n "), ("a", "end\nend\n \na line that is long enough to be compared"), (None, "end\nEnd\na line that is long enough to be compareD")] + [(f"c{k}", "end\nx") for k in range(20)]
+    got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": "end\n \na line that is long enough to be compared", "b": " ", None: "End", "c0": "x", **{f"c{k}": "" for k in range(1, 20)}}
+
+
 def test_line_dedup_edges(spark, docs, none):
     out = lines.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
