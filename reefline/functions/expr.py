@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 
 def parse_time(c: Column) -> Column:
-    """Microseconds, seconds, C time or time of day (then on 1900-01-01); null if none fits."""
+    """Microseconds, seconds, C time or time of day (then on 1900-01-01); null if none fits.
+
+    The shape of the text chooses the parser: dates that begin with their digits are cast, which is the
+    cheapest, and only texts that begin with a letter meet a pattern.
+    """
     text = F.trim(c)
-    clock = F.when(text.rlike(r"^\d{1,2}:\d{2}:\d{2}"), F.concat(F.lit("1900-01-01 "), text))
+    sign = F.substring(text, 1, 1)
     ctime = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3}\s+", ""), r"\s+", " ")
-    tries = [
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(ctime, F.lit("MMM d HH:mm:ss yyyy")),
-        F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm:ss")),
-    ]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    clock = F.concat(F.lit("1900-01-01 "), F.lpad(text, 8, "0"))
+    numbers = F.when(F.substring(text, 5, 1) == "-", F.when(F.length(text) >= 19, text)).when(F.length(F.split(text, ":")[0]) <= 2, F.when(F.length(F.regexp_replace(text, "[^:]", "")) == 2, clock))
+    return F.when(sign.between("0", "9"), numbers.try_cast("timestamp_ntz")).otherwise(F.try_to_timestamp(ctime, F.lit("MMM d HH:mm:ss yyyy")).cast("timestamp_ntz"))
 
 
 def repair_year(time: Column, path: Column) -> Column:
@@ -53,9 +53,16 @@ def typed(c: Column) -> Column:
     )
 
 
+def map_of(entries: Column) -> Column:
+    """A map of ``array<struct<key,value>>``; of several entries with one key the last holds, null keys none."""
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: e["key"].isNotNull() & ~later(e, i)))
+
+
 def key_values(c: Column) -> Column:
-    """``a=1:b=2,c=3`` as a map; separators count only before a letter."""
-    return F.str_to_map(F.regexp_replace(c, r"[,:](?=[A-Za-z_])", "\u0001"), F.lit("\u0001"), F.lit("="))
+    """``a=1:b=2,c=3`` as a map; separators count only before a letter; of a repeated key the last value holds."""
+    parts = F.split(F.regexp_replace(c, r"[,:](?=[A-Za-z_])", "\u0001"), "\u0001")
+    return map_of(F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.contains(x, F.lit("=")), F.substring(x, F.locate("=", x) + 1, F.length(x))).alias("value"))))
 
 
 def minutes_to(event: Column, t: Column) -> Column:

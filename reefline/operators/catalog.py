@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reefline.functions.expr import truth
+from reefline.functions.expr import split_tag, truth
 
 #: Stage and the stages it needs, fixed values.
 NEEDS = {"Prep": ["StartingFiles"], "Depth": ["StartingFiles", "Prep"], "Cluster": ["StartingFiles", "Prep"], "ClusterClassification": ["StartingFiles", "Prep", "Cluster"], "TrackFish": ["StartingFiles", "Prep"], "Summary": ["StartingFiles", "Prep", "Depth", "ClusterClassification"]}
@@ -42,13 +42,61 @@ def stage_complete(required: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def upsert(states: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """``updates`` (key, value) written over one column."""
-    u = updates.select(key, F.col("value").alias("_value"))
+    """``updates`` (key, value) written over one column; of several updates of a key the largest value holds."""
+    u = updates.groupBy(key).agg(F.max("value").alias("_value"))
     return states.join(u, key, "left").withColumn(column, F.coalesce("_value", column)).select(*states.columns)
 
 
 def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return table.unionByName(rows.join(table.select(key), key, "left_anti"), allowMissingColumns=True)
+    """The table and the rows whose key it lacks; of new rows with one key the least goes in, null keys never."""
+    order = [c for c in rows.columns if c != key]
+    new = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("_m")).select(key, "_m.*") if order else rows.where(F.col(key).isNotNull()).distinct()
+    return table.unionByName(new.join(table.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def first_last_images(movies: DataFrame, frames: DataFrame) -> DataFrame:
+    """For each project the picture of its first movie that starts from 8:00 to 20:59 and of its last movie, and the
+    first and last frames by daylight after that first movie began.
+    """
+    hour = F.hour("start_time")
+    first = movies.groupBy("project_id").agg(F.min(F.when(hour.between(8, 20), F.struct("start_time", "pic_file"))).alias("m"), F.max(F.struct("start_time", "pic_file")).alias("l")).where("m IS NOT NULL")
+    day = frames.where(F.hour("time").between(8, 17)).join(first, "project_id").where(F.col("time") > F.col("m.start_time"))
+    ends = day.groupBy("project_id").agg(F.min(F.struct("time", "npy_file", "pic_file")).alias("a"), F.max(F.struct("time", "npy_file", "pic_file")).alias("b"))
+    rows = first.join(ends, "project_id", "left")
+    return rows.select("project_id", F.col("m.pic_file").alias("first_picture"), F.col("l.pic_file").alias("last_picture"), F.col("a.npy_file").alias("first_depth"), F.col("b.npy_file").alias("last_depth"))
+
+
+def project_ids(*tables: DataFrame) -> DataFrame:
+    """The different project ids of all tables."""
+    out = tables[0].select("project_id")
+    for t in tables[1:]:
+        out = out.union(t.select("project_id"))
+    return out.distinct()
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """All rows in an order by hash: the same each time."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+
+
+def project_state(states: DataFrame, stages: list[str], required: DataFrame, listing: DataFrame) -> DataFrame:
+    """The state table with defaults filled, each stage whose required files are all listed set to TRUE, and the
+    stages that each project may run next.
+    """
+    done = stage_complete(required, listing).where("complete")
+    out = fill_defaults(states, ["RunAnalysis", *stages])
+    for s in stages:
+        out = upsert(out, done.where(F.col("stage") == s).select(F.col("project_id").alias("projectID"), F.lit("TRUE").alias("value")), "projectID", s)
+    ready = eligible(out, [s for s in stages if s in NEEDS]).groupBy("projectID").agg(F.array_sort(F.collect_list("stage")).alias("next_stages"))  # a row for each stage at most
+    return out.join(ready, "projectID", "left").withColumn("next_stages", F.coalesce("next_stages", F.array().cast("array<string>")))
+
+
+def annotation_dataset(batches: list[DataFrame], manifest: DataFrame, ranges: DataFrame, one_in: int = 10) -> DataFrame:
+    """All annotators' shapes in one table: the ranges of each, frames' names, boxes from 0 to 1, and a split by frame."""
+    shapes = batches[0]
+    for b in batches[1:]:
+        shapes = shapes.unionByName(b, allowMissingColumns=True)
+    return annotation_rows(shapes, manifest, ranges).withColumn("split", split_tag(F.col("name"), one_in))
 
 
 def annotation_rows(shapes: DataFrame, manifest: DataFrame, ranges: DataFrame) -> DataFrame:

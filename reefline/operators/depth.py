@@ -85,20 +85,29 @@ def gap_interpolate(cells: DataFrame, include_stop: bool = False, p=PARAMS) -> D
 
 
 def night_fill(cells: DataFrame) -> DataFrame:
-    """Frames outside daytime take their values from the nearest day boundary and its neighbour on the
-    frame's side, averaged over what is not null; before the first and after the last boundary alone.
+    """Frames outside daytime (``lof`` false or null) take their values from the nearest day boundary and its
+    neighbour on the frame's side, averaged over what is not null; before the first and after the last
+    boundary alone. Without any boundary they are null.
+
+    The nearest boundary is the last one before or the first one after in one sorted pass over a project's
+    frames and boundaries; of two as near, the earlier.
     """
-    frames = cells.select("project_id", "frame_idx", "day", "lof").distinct()
+    day = F.coalesce("lof", F.lit(False))
+    frames = cells.select("project_id", "frame_idx", "day", day.alias("lof")).distinct()
     ends = frames.where("lof").groupBy("project_id", "day").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
     marks = ends.select("project_id", F.posexplode(F.array("a", "b")).alias("_side", "mark"), "day")
     order = W.partitionBy("project_id").orderBy("day", "_side")
     marks = marks.select("project_id", "mark", F.row_number().over(order).alias("k"), F.lag("mark").over(order).alias("before"), F.lead("mark").over(order).alias("after"))
-    near = frames.where("NOT lof").join(marks, "project_id").withColumn("_d", F.abs(F.col("frame_idx") - F.col("mark")))
-    best = near.groupBy("project_id", "frame_idx").agg(F.min(F.struct("_d", "k", "mark", "before", "after")).alias("m"))
+    marks = marks.groupBy("project_id", "mark").agg(F.min(F.struct("k", "mark", "before", "after")).alias("m"))
+    both = frames.where("NOT lof").select("project_id", "frame_idx", F.lit(None).cast(marks.schema["m"].dataType).alias("m")).distinct().unionByName(marks.select("project_id", F.col("mark").alias("frame_idx"), "m"))
+    line = W.partitionBy("project_id").orderBy("frame_idx")
+    near = both.select("project_id", "frame_idx", "m", F.last("m", True).over(line.rowsBetween(W.unboundedPreceding, 0)).alias("_b"), F.first("m", True).over(line.rowsBetween(0, W.unboundedFollowing)).alias("_a")).where("m IS NULL")
+    nearer = F.col("_a.mark") - F.col("frame_idx") < F.col("frame_idx") - F.col("_b.mark")
+    best = near.select("project_id", "frame_idx", F.when(F.col("_b").isNull() | nearer, F.col("_a")).otherwise(F.col("_b")).alias("m"))
     other = F.when(F.col("m.before").isNull() | F.col("m.after").isNull(), F.col("m.mark")).when(F.col("frame_idx") > F.col("m.mark"), F.col("m.after")).otherwise(F.col("m.before"))
     plan = best.select("project_id", "frame_idx", F.col("m.mark").alias("b1"), other.alias("b2"))
     values = cells.where("lof").select("project_id", F.col("frame_idx").alias("_f"), "y", "x", F.col("depth").alias("_v"))
-    need = cells.where("NOT lof").join(plan, ["project_id", "frame_idx"], "left")
+    need = cells.where(~day).join(plan, ["project_id", "frame_idx"], "left")
     for k in (1, 2):
         v = values.select("project_id", F.col("_f").alias(f"b{k}"), "y", "x", F.col("_v").alias(f"_v{k}"))
         need = need.join(v, ["project_id", f"b{k}", "y", "x"], "left")
@@ -127,13 +136,14 @@ def savgol(cells: DataFrame, window: int = PARAMS.savgol_window, order: int = PA
 
 def asof_frames(frames: DataFrame, times: DataFrame, time: str = "t") -> DataFrame:
     """``times`` (project_id, t, more) with ``frame_idx``: the last frame at or before t, the first
-    frame if none is. One sort by project; no pairs are made.
+    frame if none is; null for a null t. One sort by project; no pairs are made.
     """
     both = times.select("*", F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_f")).unionByName(
         frames.select("project_id", F.col("ts").alias("_t"), F.lit(0).alias("_kind"), F.col("frame_idx").alias("_f")), allowMissingColumns=True
     )
     order = W.partitionBy("project_id").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, 0)
     found = F.coalesce(F.last("_f", ignorenulls=True).over(order), F.min("_f").over(W.partitionBy("project_id")))
+    found = F.when(F.col("_t").isNotNull(), found)
     return both.withColumn("frame_idx", found).where("_kind = 1").drop("_t", "_kind", "_f")
 
 
@@ -150,16 +160,16 @@ def frame_times(cells: DataFrame) -> DataFrame:
     return cells.select("project_id", "frame_idx", "ts").distinct()
 
 
-def height_at(cells: DataFrame, times: DataFrame) -> DataFrame:
-    """Depth of every pixel at each time (J4, W8)."""
-    return asof_frames(frame_times(cells), times).join(cells.select(*PIXEL, "frame_idx", "depth"), ["project_id", "frame_idx"])
+def height_at(cells: DataFrame, times: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Depth of every pixel at each time. ``frames`` (project_id, frame_idx, ts) spares listing them from the cube."""
+    return asof_frames(frame_times(cells) if frames is None else frames, times).join(cells.select(*PIXEL, "frame_idx", "depth"), ["project_id", "frame_idx"])
 
 
-def height_change(cells: DataFrame, windows: DataFrame, forward: bool = False) -> DataFrame:
+def height_change(cells: DataFrame, windows: DataFrame, forward: bool = False, frames: DataFrame | None = None) -> DataFrame:
     """``windows`` (project_id, window_id, t0, t1): first minus last depth of every pixel, so that
-    raised sand is positive. ``forward`` starts at the first frame not before t0.
+    raised sand is positive. ``forward`` starts at the first frame not before t0. ``frames``: as in ``height_at``.
     """
-    frames = frame_times(cells)
+    frames = frame_times(cells) if frames is None else frames
     first = (forward_frames if forward else asof_frames)(frames, windows, "t0").withColumnRenamed("frame_idx", "f0")
     both = asof_frames(frames, first, "t1").withColumnRenamed("frame_idx", "f1")
     c = cells.select(*PIXEL, "frame_idx", "depth")
@@ -169,17 +179,39 @@ def height_change(cells: DataFrame, windows: DataFrame, forward: bool = False) -
 
 
 def calendar_windows(cells: DataFrame, grain: str = "daily") -> DataFrame:
-    """``total``: first to last frame; ``daily``: calendar days; ``hourly``: ten hours from 8:00, each day."""
-    span = frame_times(cells).groupBy("project_id").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    """``total``: first to last frame; ``daily``: calendar days; ``hourly``: ten hours from 8:00, each day;
+    ``two_hourly``: the five pairs of these hours. ``cells`` may be a table of frames.
+    """
+    span = cells.groupBy("project_id").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
     if grain == "total":
         return span.select("project_id", F.lit("total").alias("window_id"), F.col("_a").alias("t0"), F.col("_b").alias("t1"))
     days = span.select("project_id", F.explode(F.sequence(F.to_date("_a"), F.to_date("_b"))).alias("_d"))
     start = F.col("_d").cast("timestamp_ntz")
     if grain == "daily":
         return days.select("project_id", F.date_format("_d", "yyyy-MM-dd").alias("window_id"), start.alias("t0"), (start + F.expr("INTERVAL '1' DAY")).alias("t1"))
-    hours = days.select("project_id", "_d", F.explode(F.sequence(F.lit(8), F.lit(17))).alias("_h"))
+    long_ = 2 if grain == "two_hourly" else 1
+    hours = days.select("project_id", "_d", F.explode(F.sequence(F.lit(8), F.lit(17), F.lit(long_))).alias("_h"))
     begin = F.col("_d").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("_h"))
-    return hours.select("project_id", F.concat(F.date_format("_d", "yyyy-MM-dd"), F.lit(" "), F.lpad(F.col("_h").cast("string"), 2, "0")).alias("window_id"), begin.alias("t0"), (begin + F.expr("INTERVAL '1' HOUR")).alias("t1"))
+    return hours.select("project_id", F.concat(F.date_format("_d", "yyyy-MM-dd"), F.lit(" "), F.lpad(F.col("_h").cast("string"), 2, "0")).alias("window_id"), begin.alias("t0"), (begin + F.expr(f"INTERVAL '{long_}' HOUR")).alias("t1"))
+
+
+def midpoint(t0: Column, t1: Column) -> Column:
+    """The middle of a window, rounded down to a microsecond."""
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    return F.timestamp_micros(F.floor((micros(t0) + micros(t1)) / 2)).cast("timestamp_ntz")
+
+
+def lights_on(ts: Column, last_hour: int = 17) -> Column:
+    """Whether a time lies between 8:00 and the end of ``last_hour``: 17 for captures and the live view, 18 for
+    hourly reports.
+    """
+    return F.hour(ts).between(8, last_hour)
+
+
+def last_hours(rows: DataFrame, key: str, hours: int, time: str = "ts") -> DataFrame:
+    """Rows of each key later than its last time minus ``hours``."""
+    last = rows.groupBy(key).agg(F.max(time).alias("_last"))
+    return rows.join(last, key).where(F.col(time) > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(hours))).drop("_last")
 
 
 def threshold(seconds: Column, small: float, middle: float, large: float) -> Column:
@@ -187,36 +219,49 @@ def threshold(seconds: Column, small: float, middle: float, large: float) -> Col
     return F.when(seconds < 7300, small).when(seconds < 129600, middle).otherwise(large)
 
 
-def kth_threshold(change: DataFrame, keys: list[str], value: str = "change", share: float = 0.1) -> DataFrame:
-    """The k-th largest absolute value by ``keys``, k the tenth part of the values, rounded down; the
-    smallest if k is zero.
+def good_pixels(cells: DataFrame) -> DataFrame:
+    """``project_id, good_pixels``: pixels with a value in the project's first frame."""
+    first = cells.groupBy("project_id").agg(F.min("frame_idx").alias("frame_idx"))
+    return cells.join(first, ["project_id", "frame_idx"]).groupBy("project_id").agg(F.count("depth").alias("good_pixels"))
+
+
+def kth_threshold(change: DataFrame, keys: list[str], good: DataFrame | int, value: str = "change", share: float = PARAMS.index_fraction) -> DataFrame:
+    """The k-th largest absolute value by ``keys``, k the tenth part of the good pixels (by project, or a
+    number), rounded down; the smallest value if k is zero, 0 if there are fewer than k.
     """
     v = change.where(F.col(value).isNotNull()).select(*keys, F.abs(value).alias("_v"))
-    w = W.partitionBy(*keys)
-    ranked = v.select("*", F.row_number().over(w.orderBy(F.desc("_v"))).alias("_r"), F.count("*").over(w).alias("_n"))
-    k = F.floor(F.col("_n") * share)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n_pixels"), F.coalesce(F.max(F.when(F.col("_r") == k, F.col("_v"))), F.min("_v")).alias("threshold"))
+    ranked = v.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_v"))))
+    ranked = ranked.withColumn("good_pixels", F.lit(good)) if isinstance(good, int) else ranked.join(good, "project_id")
+    k = F.floor(F.col("good_pixels") * share)
+    at = F.when(F.max(k) == 0, F.min("_v")).otherwise(F.coalesce(F.max(F.when(F.col("_r") == k, F.col("_v"))), F.lit(0.0)))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n_pixels"), at.alias("threshold"))
 
 
-def volume_summary(change: DataFrame, keys: list[str], regions: DataFrame | None = None, value: str = "change", p=PARAMS) -> DataFrame:
-    """One row for each window. ``regions`` (keys, y, x, label) marks castles (1) and pits (-1); without
-    it the sign of the change does.
+def volume_summary(change: DataFrame, keys: list[str], regions: DataFrame, good: DataFrame | int, value: str = "change", p=PARAMS) -> DataFrame:
+    """One row for each window. ``regions`` (keys, y, x, label) marks castles (1) and pits (-1). The threshold
+    sums are those of absolute values above the k-th largest inside castles and inside pits, and the
+    bower index is their difference over their sum (null if both are zero).
     """
-    rows = change.withColumn("_label", F.signum(value)) if regions is None else change.join(regions.select(*keys, "y", "x", F.col("label").alias("_label")), [*keys, "y", "x"], "left")
-    rows = rows.join(kth_threshold(change, keys, value), keys, "left")
+    rows = change.join(regions.select(*keys, "y", "x", F.col("label").alias("_label")), [*keys, "y", "x"], "left")
+    rows = rows.join(kth_threshold(change, keys, good, value), keys, "left")
     v, a = F.col(value), p.area
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) * a
-    castle, pit = F.col("_label") > 0, F.col("_label") < 0
+    plain = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    total = lambda c: plain(c) * a
+    castle, pit, beyond = F.col("_label") > 0, F.col("_label") < 0, F.abs(v) > F.col("threshold")
     out = rows.groupBy(*keys).agg(
         total(F.abs(v)).alias("absolute_volume"), total(v).alias("summed_volume"), (F.count_if(castle) * a).alias("castle_area"), (F.count_if(pit) * a).alias("pit_area"),
-        total(F.when(castle, v)).alias("castle_volume"), total(F.when(pit, -v)).alias("pit_volume"), total(F.when(castle | pit, F.abs(v))).alias("bower_volume"),
-        total(F.when(v > F.col("threshold"), v)).alias("threshold_castle_volume"), total(F.when(v < -F.col("threshold"), -v)).alias("threshold_pit_volume"),
+        total(F.when(castle, v)).alias("castle_volume"), total(F.when(pit, -v)).alias("pit_volume"), total(F.when(castle, v).when(pit, -v)).alias("bower_volume"),
+        plain(F.when(castle & beyond, F.abs(v))).alias("threshold_castle_volume"), plain(F.when(pit & beyond, F.abs(v))).alias("threshold_pit_volume"),
     )
-    return out.withColumn("bower_index", F.try_divide(F.col("castle_volume") - F.col("pit_volume"), F.col("castle_volume") + F.col("pit_volume")))
+    return out.withColumn("bower_index", F.try_divide(F.col("threshold_castle_volume") - F.col("threshold_pit_volume"), F.col("threshold_castle_volume") + F.col("threshold_pit_volume")))
 
 
-def smooth_depth(cells: DataFrame, crop: Column | None = None) -> DataFrame:
-    """Cleaning of a whole cube: gaps, crop, masks, nights, smoothing."""
+def smooth_depth(cells: DataFrame, crop: Column | None = None, present: DataFrame | None = None) -> DataFrame:
+    """Cleaning of a whole cube: missing frames, gaps, crop, masks, nights, smoothing."""
+    if present is not None:
+        more = [c for c in cells.columns if c not in ("project_id", "frame_idx", "y", "x", "depth")]
+        held = carry_missing_frames(cells.select("project_id", "frame_idx", "y", "x", "depth"), present)
+        cells = held.join(cells.select("project_id", "frame_idx", *more).distinct(), ["project_id", "frame_idx"]).select(*cells.columns)
     rows = gap_interpolate(cells)
     if crop is not None:
         rows = rows.withColumn("depth", F.when(crop, F.col("depth")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reefline.functions.expr import category, hour_bin, seconds_to
 from reefline.operators.depth import volume_summary
 from reefline.schemas import PARAMS
 
@@ -36,27 +37,34 @@ def event_counts(events: DataFrame, keys: list[str], bids: list[str]) -> DataFra
     return events.groupBy(*keys).agg(*[F.count_if(F.col("Prediction") == b).alias(f"n_{b}") for b in bids], F.count("Prediction").alias("n_all"))
 
 
-def in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
+def in_windows(events: DataFrame, windows: DataFrame, bucket_seconds: int = 21_600) -> DataFrame:
     """Events with each window (project_id, window_id, t0, t1) that holds them, both ends included.
-    Windows of a project are few; the join is by project with the range as its condition.
+
+    Windows are laid out over buckets of time, so that a project of many windows is spread over its buckets
+    and an event meets only those of its own.
     """
-    w = windows.select("project_id", "window_id", "t0", "t1")
-    return events.join(w, "project_id").where(F.col("TimeStamp").between(F.col("t0"), F.col("t1")))
+    b = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / (bucket_seconds * 1_000_000))
+    w = windows.where("t0 <= t1").select("project_id", "window_id", "t0", "t1", F.explode(F.sequence(b(F.col("t0")), b(F.col("t1")))).alias("_b"))
+    return events.withColumn("_b", b(F.col("TimeStamp"))).join(w, ["project_id", "_b"]).where(F.col("TimeStamp").between(F.col("t0"), F.col("t1"))).drop("_b")
 
 
-def density_grid(events: DataFrame, grid: DataFrame, keys: list[str], bandwidth: float | None = None, p=PARAMS) -> DataFrame:
+def density_grid(events: DataFrame, grid: DataFrame, keys: list[str], bandwidth: float | None = None, windows: DataFrame | None = None, p=PARAMS) -> DataFrame:
     """Gaussian density of events (keys, X, Y, radius) on every cell of ``grid`` (y, x), scaled so that
     a window's cells add up to its events. Equal places are counted first, and the grid (a camera's
-    cells, a fixed size) is what each distinct place is paired with.
+    cells, a fixed size) is what each distinct place is paired with. The bandwidth is half the mean radius,
+    a quarter of a cell at least. With ``windows`` (keys), those without events have zeros.
     """
     each = events.groupBy(*keys, "X", "Y").agg(F.count("*").alias("_n"), F.sum("radius").alias("_r"))
     w = W.partitionBy(*keys)
-    h = F.lit(bandwidth) if bandwidth else F.sum("_r").over(w) / F.sum("_n").over(w) / 2
+    h = F.lit(bandwidth) if bandwidth else F.greatest(F.lit(0.25), F.coalesce(F.sum("_r").over(w) / F.sum("_n").over(w) / 2, F.lit(0.0)))
     each = each.select(*keys, "X", "Y", "_n", h.alias("_h"), F.sum("_n").over(w).alias("_total"))
     near = each.withColumnsRenamed({"X": "_X", "Y": "_Y"}).crossJoin(F.broadcast(grid))
     d2 = F.pow(F.col("_X") - F.col("x"), 2) + F.pow(F.col("_Y") - F.col("y"), 2)
     z = near.groupBy(*keys, "y", "x").agg(F.sum(F.col("_n") * F.exp(-d2 / (2 * F.col("_h") * F.col("_h")))).alias("_z"), F.max("_total").alias("_total"))
-    return z.select(*keys, "y", "x", F.try_divide(F.col("_z") * F.col("_total"), F.sum("_z").over(w) * p.area).alias("z"))
+    out = z.select(*keys, "y", "x", F.try_divide(F.col("_z") * F.col("_total"), F.sum("_z").over(w) * p.area).alias("z"))
+    if windows is None:
+        return out
+    return windows.select(*keys).distinct().crossJoin(F.broadcast(grid)).join(out, [*keys, "y", "x"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
 
 
 def density_difference(spit: DataFrame, scoop: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,11 +73,39 @@ def density_difference(spit: DataFrame, scoop: DataFrame, keys: list[str]) -> Da
     return both.select(*keys, "y", "x", (zero("_p") - zero("_c")).alias("change"))
 
 
-def cluster_summary(difference: DataFrame, keys: list[str], regions: DataFrame | None = None) -> DataFrame:
-    """The volume summary's formula on a density difference."""
-    return volume_summary(difference, keys, regions)
+def cluster_summary(difference: DataFrame, keys: list[str], regions: DataFrame, good: DataFrame | int) -> DataFrame:
+    """The volume summary's formula on a density difference; ``good`` counts the grid's cells."""
+    return volume_summary(difference, keys, regions, good)
 
 
 def category_ratio(events: DataFrame, keys: list[str]) -> DataFrame:
     """Share of events of category Other; null where there are none at all."""
     return events.groupBy(*keys).agg(F.try_divide(F.count_if(F.col("category") == "Other"), F.count("*")).alias("other_share"), F.count("*").alias("n"))
+
+
+def label_pairs(rows: DataFrame, key: str, kind: Column, kinds: list[str]) -> DataFrame:
+    """How many rows of each kind a key has, a column for each, zero-filled, sorted by key."""
+    return rows.withColumn("_kind", kind).groupBy(key).pivot("_kind", kinds).count().na.fill(0).orderBy(key)
+
+
+def sex_behaviour(events: DataFrame, association: DataFrame, points: DataFrame, reference: DataFrame, names: dict[str, str], inside: Column, least_p: float = 0.75, least_frames: int = 30, of: tuple[str, ...] = ("Construction", "Feeding")) -> DataFrame:
+    """Events by project, category, sex of the nearest track, and two-hour bin relative to the reference event.
+
+    Tracks take the mean class of their points surer than ``least_p``; a track is its video's and its
+    number together. Only events ``inside`` the bounds, of tracks seen in more than ``least_frames`` frames and
+    of the categories ``of`` are counted; the bin is negative before the event.
+    """
+    sexed = points.where(F.col("sex_p_value") > least_p).groupBy("base_name", "track_id").agg(F.count("frame").alias("_frames"), F.avg("sex_class").alias("_class"))
+    e = events.withColumn("category", category(F.col("Prediction"), names)).where(inside)
+    rows = e.join(association.select("LID", "VideoID", "track_id"), ["LID", "VideoID"]).join(sexed.withColumnRenamed("base_name", "VideoID"), ["VideoID", "track_id"])
+    rows = rows.join(reference.select(F.col("pid").alias("project_id"), "dissection_time"), "project_id").where((F.col("_frames") > least_frames) & F.col("category").isin(*of))
+    until = -seconds_to(F.col("dissection_time"), F.col("TimeStamp"))
+    sex = F.when(F.col("_class") > 0.5, "Male").otherwise("Female")
+    return rows.groupBy("project_id", "category", sex.alias("sex"), hour_bin(until).alias("time_bin")).agg(F.count("track_id").alias("n"))
+
+
+def association_ratios(events: DataFrame, names: dict[str, str], inside: Column) -> DataFrame:
+    """Share of events of category Other inside and outside the bounds, by project; null where a side has none."""
+    rows = events.withColumn("category", F.coalesce(category(F.col("Prediction"), names), F.lit("Other"))).withColumn("_in", inside)
+    share = lambda side: F.try_divide(F.count_if((F.col("_in") == side) & (F.col("category") == "Other")), F.count_if(F.col("_in") == side))
+    return rows.groupBy("project_id").agg(share(False).alias("out_other_ratio"), share(True).alias("in_other_ratio"))

@@ -6,59 +6,55 @@ one numpy task; ``fixpoint`` is a DataFrame loop with pointer jumping for masks
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from reefline.operators.depth import threshold
+from reefline.schemas import PARAMS
+from reefline.shared import written
 
 
 def signed_mask(change: DataFrame, keys: list[str], th: float | F.Column, value: str = "change", mode: str = "signed") -> DataFrame:
     """Pixels at or beyond the threshold with their sign; ``abs`` puts both signs into one mask."""
     v = F.col(value)
-    sign = F.when(v >= th, 1).when(v <= -th if not isinstance(th, float) else v <= -th, -1)
+    sign = F.when(v >= th, 1).when(v <= -th, -1)
     rows = change.select(*keys, "y", "x", value, sign.alias("sign")).where("sign IS NOT NULL")
     return rows.withColumn("part", F.lit(0) if mode == "abs" else F.col("sign"))
 
 
+def least_neighbours(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each cell the place of the least cell (by y, then x) of its 4-connected component; cells come
+    sorted. Labels run along neighbour links and are halved by jumping until none changes.
+    """
+    n = len(y)
+    wide = int(x.max()) - int(x.min()) + 2 if n else 1
+    code = (y.astype(np.int64) - (y.min() if n else 0)) * wide + (x - (x.min() if n else 0))
+    a, b = [], []
+    for step in (1, wide):
+        at = np.minimum(np.searchsorted(code, code + step), max(0, n - 1))
+        hit = np.flatnonzero(code[at] == code + step) if n else np.zeros(0, np.int64)
+        a.append(hit)
+        b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    label = np.arange(n)
+    while True:
+        la, lb = label[a], label[b]
+        open_ = la != lb
+        if not open_.any():
+            return label
+        np.minimum.at(label, np.maximum(la, lb)[open_], np.minimum(la, lb)[open_])
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
 def _label_mask(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = sorted(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))
-        root: dict = {c: c for c in cells}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        for y, x in cells:
-            for n in ((y - 1, x), (y, x - 1)):
-                if n in root:
-                    a, b = find((y, x)), find(n)
-                    root[max(a, b)] = min(a, b)
-        out = pd.DataFrame(cells, columns=["y", "x"]).astype("int32")
-        found = [find(c) for c in cells]
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        out["root_y"], out["root_x"] = [f[0] for f in found], [f[1] for f in found]
-        return out.astype({"root_y": "int32", "root_x": "int32"})
+        pdf = pdf.sort_values(["y", "x"])
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        root = least_neighbours(y, x)
+        return pdf[[*keys, "y", "x"]].assign(root_y=y[root].astype("int32"), root_x=x[root].astype("int32"))
 
     return run
 
@@ -110,3 +106,20 @@ def change_inside(change: DataFrame, regions: DataFrame, keys: list[str], area:
     rows = change.join(regions.select(*on, "y", "x", F.lit(True).alias("_in")), [*on, "y", "x"], "left")
     v = F.abs(value)
     return rows.groupBy(*keys).agg((F.coalesce(F.sum(F.when(F.col("_in"), v)), F.lit(0.0)) * area).alias("inside"), (F.coalesce(F.sum(v), F.lit(0.0)) * area).alias("overall"))
+
+
+def timed_regions(change: DataFrame, windows: DataFrame, keys: list[str], levels: tuple[float, float, float], min_pixels: int = PARAMS.min_pixels, value: str = "change", mode: str = "signed") -> DataFrame:
+    """``bower_regions`` with the threshold of each window's own length: ``levels`` are those of windows under
+    7300 s, under 129600 s, and longer. ``windows`` has keys, t0, t1, one row for each window.
+    """
+    seconds = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1_000_000
+    th = windows.select(*keys, threshold(seconds, *levels).alias("_th"))
+    return bower_regions(change.join(th, keys), keys, F.col("_th"), min_pixels, value, mode)
+
+
+def depth_levels(p=PARAMS) -> tuple[float, float, float]:
+    return p.hourly_depth, p.daily_depth, p.total_depth
+
+
+def density_levels(p=PARAMS) -> tuple[float, float, float]:
+    return p.hourly_density, p.daily_density, p.total_density

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reefline.functions.expr import minutes_to
+from reefline.operators import depth, regions
+from reefline.operators.events import cluster_summary, density_difference, density_grid, event_counts, in_windows
+from reefline.schemas import PARAMS
+from reefline.shared import written
 
 
 def cumulative(rows: DataFrame, project: str, order: str, value: str) -> DataFrame:
@@ -35,17 +41,57 @@ def cluster_detail(events: DataFrame, windows: DataFrame, groups: dict[str, list
     names = F.array(*[F.struct(F.lit(k).alias("grp"), F.array(*[F.lit(b) for b in v]).alias("bids")) for k, v in groups.items()])
     scaffold = windows.select("*", F.explode(names).alias("g")).select(*windows.columns, "g.grp", "g.bids")
     bid_groups = F.filter(names, lambda g: F.array_contains(g["bids"], F.col("Prediction")))
-    inside = events.join(windows.select("project_id", "window_id", "t0", "t1"), "project_id").where(F.col("TimeStamp").between(F.col("t0"), F.col("t1")))
+    inside = in_windows(events.select("project_id", "TimeStamp", "Prediction"), windows)
     counts = inside.select("project_id", "window_id", F.explode(bid_groups).alias("g")).groupBy("project_id", "window_id", F.col("g.grp").alias("grp")).agg(F.count("*").alias("_n"))
     rows = scaffold.join(counts, ["project_id", "window_id", "grp"], "left")
     return rows.select("project_id", "window_id", "grp", F.coalesce("_n", F.lit(0)).alias("n"), minutes_to(F.col("event_time"), F.col("t0")).alias("minutes_start"), minutes_to(F.col("event_time"), F.col("t1")).alias("minutes_stop"))
 
 
-def cohort_total(events: DataFrame, windows: DataFrame, bids: list[str]) -> DataFrame:
-    """Counts of each behaviour and of the building and feeding groups over a project's window."""
-    inside = windows.select("project_id", "t0", "t1").join(events, "project_id", "left").withColumn("_b", F.when(F.col("TimeStamp").between(F.col("t0"), F.col("t1")), F.col("Prediction")))
-    n = lambda *b: F.count_if(F.col("_b").isin(*b))
-    return inside.groupBy("project_id").agg(*[n(b).alias(f"n_{b}") for b in bids], n("c", "p", "b").alias("n_building"), n("f", "t", "m").alias("n_feeding"))
+def whole_windows(reference: DataFrame, lead_minutes: int = 5, span_minutes: int = 90) -> DataFrame:
+    """One window (project_id, window_id, t0, t1, event_time) for each event, that ends ``lead_minutes`` before it."""
+    stop = F.col("dissection_time") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lead_minutes))
+    start = stop - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(span_minutes))
+    return reference.select(F.col("pid").alias("project_id"), F.lit(0).alias("window_id"), start.alias("t0"), stop.alias("t1"), F.col("dissection_time").alias("event_time"))
+
+
+def cohort_counts(events: DataFrame, windows: DataFrame, bids: list[str]) -> DataFrame:
+    """Counts of each behaviour and of the building and feeding groups over a project's one window."""
+    counts = in_windows(events.select("project_id", "TimeStamp", "Prediction"), windows)
+    n = lambda *b: F.count_if(F.col("Prediction").isin(*b))
+    found = counts.groupBy("project_id").agg(*[n(b).alias(f"n_{b}") for b in bids], n("c", "p", "b").alias("n_building"), n("f", "t", "m").alias("n_feeding"))
+    rows = windows.select("project_id").join(found, "project_id", "left")
+    return rows.select("project_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in found.columns if c != "project_id"])
+
+
+def bower_mask(cells: DataFrame, windows: DataFrame, min_pixels: int, levels: tuple[float, float, float]) -> DataFrame:
+    """Pixels of the regions of each project's window, which starts at its first frame not before t0."""
+    forward = depth.height_change(cells, windows.select("project_id", "window_id", "t0", "t1"), forward=True)
+    return regions.timed_regions(forward, windows.select("project_id", "window_id", "t0", "t1"), ["project_id", "window_id"], levels, min_pixels).select("project_id", "y", "x")
+
+
+def cohort_total(events: DataFrame, cells: DataFrame, reference: DataFrame, bids: list[str], min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None) -> DataFrame:
+    """For each project its kind, the counts of the 90 minutes before its event, and the absolute volume change
+    then, overall and inside the regions of these 90 minutes.
+    """
+    windows = whole_windows(reference)
+    mask = bower_mask(cells, windows, min_pixels, levels or regions.depth_levels())
+    change = depth.height_change(cells, windows.select("project_id", "window_id", "t0", "t1"))
+    volumes = regions.change_inside(change, mask, ["project_id", "window_id"], PARAMS.area, on=["project_id"]).drop("window_id")
+    kind = reference.select(F.col("pid").alias("project_id"), "behave_or_control")
+    return kind.join(cohort_counts(events, windows, bids), "project_id").join(volumes, "project_id", "left")
+
+
+def cohort_depth_detail(cells: DataFrame, reference: DataFrame, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None) -> DataFrame:
+    """The same volumes for each ten minutes, with the mask of the whole 90, the minutes left, and the running sum
+    of the change inside.
+    """
+    mask = bower_mask(cells, whole_windows(reference), min_pixels, levels or regions.depth_levels())
+    steps = steps_before(reference)
+    change = depth.height_change(cells, steps.select("project_id", "window_id", "t0", "t1"))
+    rows = regions.change_inside(change, mask, ["project_id", "window_id"], PARAMS.area, on=["project_id"])
+    minutes = [minutes_to(F.col("event_time"), F.col(c)).alias(n) for c, n in (("t0", "minutes_start"), ("t1", "minutes_stop"))]
+    both = steps.select("project_id", "window_id", *minutes).join(rows, ["project_id", "window_id"])
+    return cumulative(both, "project_id", "window_id", "inside")
 
 
 def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -54,40 +100,79 @@ def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int) -> D
     return rows.where(F.col(value).between(lo, hi)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def depth_report(cells: DataFrame, grains: tuple[str, ...] = ("total", "daily", "hourly")) -> DataFrame:
-    """Volume summaries of all windows of each grain in one table; sheets are its partitions by ``grain``."""
-    from reefline.operators import depth
+KEYS = ["project_id", "window_id"]
 
-    keys = ["project_id", "window_id"]
+
+def window_volumes(cells: DataFrame, windows: DataFrame, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """The volume summary of each window (project_id, window_id, t0, t1) with the regions of its own length's
+    threshold. The change is worked out once and written, since regions, threshold and sums all need it.
+    """
+    change = written(depth.height_change(cells, windows.select(*KEYS, "t0", "t1"), frames=frames), "change")
+    found = regions.timed_regions(change, windows.select(*KEYS, "t0", "t1"), KEYS, levels or regions.depth_levels(), min_pixels)
+    return depth.volume_summary(change, KEYS, found, depth.good_pixels(cells))
+
+
+def window_densities(events: DataFrame, windows: DataFrame, grid: DataFrame, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None, good: int | None = None) -> DataFrame:
+    """The cluster summary of each window: density of spits minus that of scoops, its regions and their sums.
+    ``events`` have project_id, TimeStamp, Prediction, X, Y and radius; windows without any are all zero.
+    """
+    w = windows.select(*KEYS, "t0", "t1")
+    e = in_windows(events.where(F.col("Prediction").isin("c", "p")), w)
+    spit, scoop = (density_grid(e.where(F.col("Prediction") == b), grid, KEYS, windows=w) for b in ("p", "c"))
+    difference = written(density_difference(spit, scoop, KEYS), "densities")
+    found = regions.timed_regions(difference, w, KEYS, levels or regions.density_levels(), min_pixels)
+    return cluster_summary(difference, KEYS, found, grid.count() if good is None else good)
+
+
+def by_grain(make: Callable[[DataFrame], DataFrame], frames: DataFrame, grains: tuple[str, ...]) -> DataFrame:
+    """One table of all grains' windows, with each window's length, start and middle; sheets are its partitions
+    by ``grain``.
+    """
     out = None
     for grain in grains:
-        rows = depth.volume_summary(depth.height_change(cells, depth.calendar_windows(cells, grain)), keys).withColumn("grain", F.lit(grain))
+        windows = depth.calendar_windows(frames, grain)
+        when = windows.select(*KEYS, F.col("t0").alias("start_time"), depth.midpoint(F.col("t0"), F.col("t1")).alias("midpoint"))
+        rows = make(windows).join(when, KEYS).withColumn("grain", F.lit(grain))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def pre_event_report(cells: DataFrame, events: DataFrame, reference: DataFrame, bids: list[str]) -> DataFrame:
+GRAINS = ("total", "daily", "hourly")
+
+
+def depth_report(cells: DataFrame, grains: tuple[str, ...] = GRAINS, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None) -> DataFrame:
+    """Volume summaries of all windows of each grain in one table."""
+    frames = written(depth.frame_times(cells), "frames")
+    return by_grain(lambda w: window_volumes(cells, w, min_pixels, levels, frames), frames, grains)
+
+
+def cluster_report(events: DataFrame, frames: DataFrame, grid: DataFrame, grains: tuple[str, ...] = GRAINS, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None) -> DataFrame:
+    """Cluster summaries of all windows of each grain; ``frames`` (project_id, ts) span them."""
+    return by_grain(lambda w: window_densities(events, w, grid, min_pixels, levels), frames, grains)
+
+
+def pre_event_report(cells: DataFrame, events: DataFrame, reference: DataFrame, bids: list[str], grid: DataFrame | None = None, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None, density: tuple[float, float, float] | None = None) -> DataFrame:
     """For each step before a project's event, and for the whole span (window_id -1): the volume summary,
-    the counts of events, and the minutes left.
+    the counts of events, the cluster summary (if there is a ``grid``; its columns begin with kde_), and the
+    minutes left.
     """
-    from reefline.operators import depth
-    from reefline.operators.events import event_counts, in_windows
-
-    steps = steps_before(reference)
-    whole = steps.groupBy("project_id", "event_time").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).withColumn("window_id", F.lit(-1))
-    windows = steps.unionByName(whole)
-    keys = ["project_id", "window_id"]
-    volumes = depth.volume_summary(depth.height_change(cells, windows.select(*keys, "t0", "t1")), keys)
-    counts = event_counts(in_windows(events, windows), keys, bids)
-    rows = windows.join(volumes, keys, "left").join(counts, keys, "left")
+    windows = steps_before(reference).unionByName(whole_windows(reference).withColumn("window_id", F.lit(-1)))
+    windows = written(windows, "windows")
+    volumes = window_volumes(cells, windows, min_pixels, levels)
+    counts = event_counts(in_windows(events, windows), KEYS, bids)
+    rows = windows.join(volumes, KEYS, "left").join(counts, KEYS, "left")
     minutes = [minutes_to(F.col("event_time"), F.col(c)).alias(n) for c, n in (("t0", "minutes_start"), ("t1", "minutes_stop"))]
-    return rows.select(*keys, *minutes, *[c for c in volumes.columns if c not in keys], *[F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c not in keys])
+    more = [c for c in volumes.columns if c not in KEYS]
+    if grid is not None:
+        kde = window_densities(events, windows, grid, min_pixels, density)
+        kde = kde.select(*KEYS, *[F.col(c).alias(f"kde_{c}") for c in kde.columns if c not in KEYS])
+        rows = rows.join(kde, KEYS, "left")
+        more += [c for c in kde.columns if c not in KEYS]
+    return rows.select(*KEYS, *minutes, *more, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c not in KEYS])
 
 
 def region_consistency(change: DataFrame, whole: DataFrame, keys: list[str], th: float, min_pixels: int) -> DataFrame:
     """Agreement of each window's regions with those of the whole trial (one grid per project)."""
-    from reefline.operators import regions
-
     on = [k for k in keys if k != "window_id"]
     daily = regions.bower_regions(change, keys, th, min_pixels)
     trial = regions.bower_regions(whole, on, th, min_pixels)

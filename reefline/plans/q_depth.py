@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefline.functions.expr import in_polygon, savgol_coefficients
-from reefline.operators import depth, regions
+from reefline.operators import depth, regions, reports
 from reefline.plans import proxies
 from reefline.schemas import PARAMS
+from reefline.shared import written
 
 QUERIES, ORACLES = {}, {}
 CELLS = proxies.CELLS
@@ -30,29 +31,35 @@ def r6(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _frames_sql(grain: str) -> str:
+def _windows_sql(grain: str) -> str:
     if grain == "total":
-        w = "SELECT project_id, 'total' AS window_id, min(ts) AS t0, max(ts) AS t1 FROM fr GROUP BY project_id"
-    else:
-        days = "SELECT DISTINCT project_id, CAST(ts AS DATE) AS d FROM fr"
-        if grain == "daily":
-            w = f"SELECT project_id, strftime(d, '%Y-%m-%d') AS window_id, CAST(d AS TIMESTAMP) AS t0, CAST(d AS TIMESTAMP) + INTERVAL 1 DAY AS t1 FROM ({days})"
-        else:
-            w = f"SELECT project_id, strftime(d, '%Y-%m-%d') || ' ' || lpad(h::VARCHAR, 2, '0') AS window_id, CAST(d AS TIMESTAMP) + to_hours(h) AS t0, CAST(d AS TIMESTAMP) + to_hours(h + 1) AS t1 FROM ({days}), (SELECT unnest(range(8, 18)) AS h)"
-    return f"fr AS (SELECT DISTINCT project_id, frame_idx, ts FROM cells), w AS ({w})"
+        return "SELECT project_id, 'total' AS window_id, min(ts) AS t0, max(ts) AS t1 FROM fr GROUP BY project_id"
+    days = "SELECT project_id, CAST(unnest(generate_series(CAST(CAST(min(ts) AS DATE) AS TIMESTAMP), CAST(CAST(max(ts) AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM fr GROUP BY project_id"
+    if grain == "daily":
+        return f"SELECT project_id, strftime(d, '%Y-%m-%d') AS window_id, CAST(d AS TIMESTAMP) AS t0, CAST(d AS TIMESTAMP) + INTERVAL 1 DAY AS t1 FROM ({days})"
+    n = 2 if grain == "two_hourly" else 1
+    return f"SELECT project_id, strftime(d, '%Y-%m-%d') || ' ' || lpad(h::VARCHAR, 2, '0') AS window_id, CAST(d AS TIMESTAMP) + to_hours(h) AS t0, CAST(d AS TIMESTAMP) + to_hours(h + {n}) AS t1 FROM ({days}), (SELECT unnest(range(8, 18, {n})) AS h)"
 
 
-def _change_sql(grain: str = "daily", forward: bool = False) -> str:
-    asof = lambda t: f"coalesce((SELECT max(frame_idx) FROM fr WHERE fr.project_id = w.project_id AND fr.ts <= w.{t}), (SELECT min(frame_idx) FROM fr WHERE fr.project_id = w.project_id))"
-    first = "(SELECT min(frame_idx) FROM fr WHERE fr.project_id = w.project_id AND fr.ts >= w.t0)" if forward else asof("t0")
-    return f"""WITH {CELLS}, {_frames_sql(grain)}, b AS (SELECT w.*, {first} AS f0, {asof("t1")} AS f1 FROM w),
-change AS (
-  SELECT b.project_id, b.window_id, p.y, p.x, p.depth - q.depth AS change FROM b
+FRAMES = "fr AS (SELECT DISTINCT project_id, frame_idx, ts FROM cells)"
+
+
+def change_in(windows: str = "w", name: str = "change", forward: bool = False) -> str:
+    """CTEs of the change in each of ``windows`` (project_id, window_id, t0, t1); needs cells and fr."""
+    asof = lambda t: f"coalesce((SELECT max(frame_idx) FROM fr WHERE fr.project_id = {windows}.project_id AND fr.ts <= {windows}.{t}), (SELECT min(frame_idx) FROM fr WHERE fr.project_id = {windows}.project_id))"
+    first = f"(SELECT min(frame_idx) FROM fr WHERE fr.project_id = {windows}.project_id AND fr.ts >= {windows}.t0)" if forward else asof("t0")
+    return f"""{name}_b AS (SELECT {windows}.*, {first} AS f0, {asof("t1")} AS f1 FROM {windows}),
+{name} AS (
+  SELECT b.project_id, b.window_id, p.y, p.x, p.depth - q.depth AS change FROM {name}_b b
   JOIN cells p ON p.project_id = b.project_id AND p.frame_idx = b.f0
   JOIN cells q ON q.project_id = b.project_id AND q.frame_idx = b.f1 AND q.y = p.y AND q.x = p.x
 )"""
 
 
+def _change_sql(grain: str = "daily", forward: bool = False) -> str:
+    return f"WITH {CELLS}, {FRAMES}, w AS ({_windows_sql(grain)}), {change_in('w', 'change', forward)}"
+
+
 def _change(spark: SparkSession, d: str, grain: str = "daily", forward: bool = False) -> DataFrame:
     c = proxies.cells(spark, d)
     return depth.height_change(c, depth.calendar_windows(c, grain), forward)
@@ -176,19 +183,47 @@ def polygon_mask(spark: SparkSession, d: str) -> DataFrame:
 TH, LEAST = 1.2, 3
 
 
-def _regions_sql(mode: str = "signed") -> str:
+#: Thresholds of the proxies for short, middle and long windows.
+LEVELS = (0.8, 1.2, 1.6)
+
+
+def level_sql(levels: tuple[float, float, float]) -> str:
+    return f"CASE WHEN epoch(t1 - t0) < 7300 THEN {levels[0]} WHEN epoch(t1 - t0) < 129600 THEN {levels[1]} ELSE {levels[2]} END"
+
+
+def _regions_sql(mode: str = "signed", th: str = str(TH), source: str = "change", p: str = "", least: int = LEAST) -> str:
+    """CTEs of the regions ``{p}reg`` of ``source``; ``th`` may name its columns."""
     part = "0" if mode == "abs" else "sign"
-    return f""", mask AS (SELECT *, {part} AS part FROM (SELECT project_id, window_id, y, x, change, CASE WHEN change >= {TH} THEN 1 WHEN change <= -{TH} THEN -1 END AS sign FROM change) WHERE sign IS NOT NULL
-), reach AS (
-  SELECT project_id, window_id, part, y, x, y * 8 + x AS root FROM mask
-  UNION SELECT m.project_id, m.window_id, m.part, m.y, m.x, r.root FROM reach r JOIN mask m ON m.project_id = r.project_id AND m.window_id = r.window_id AND m.part = r.part AND abs(m.y - r.y) + abs(m.x - r.x) = 1
-), lab AS (SELECT project_id, window_id, part, y, x, min(root) AS root FROM reach GROUP BY ALL
-), big AS (SELECT project_id, window_id, part, root, count(*) AS size FROM lab GROUP BY ALL HAVING count(*) >= {LEAST}
-), reg AS (SELECT lab.project_id, lab.window_id, lab.y, lab.x, mask.sign AS label, big.size, mask.change FROM lab JOIN big USING (project_id, window_id, part, root) JOIN mask USING (project_id, window_id, part, y, x))"""
+    return f""", {p}mask AS (SELECT *, {part} AS part FROM (SELECT project_id, window_id, y, x, change, CASE WHEN change >= {th} THEN 1 WHEN change <= -({th}) THEN -1 END AS sign FROM {source}) WHERE sign IS NOT NULL
+), {p}reach AS (
+  SELECT project_id, window_id, part, y, x, y * 100 + x AS root FROM {p}mask
+  UNION SELECT m.project_id, m.window_id, m.part, m.y, m.x, r.root FROM {p}reach r JOIN {p}mask m ON m.project_id = r.project_id AND m.window_id = r.window_id AND m.part = r.part AND abs(m.y - r.y) + abs(m.x - r.x) = 1
+), {p}lab AS (SELECT project_id, window_id, part, y, x, min(root) AS root FROM {p}reach GROUP BY ALL
+), {p}big AS (SELECT project_id, window_id, part, root, count(*) AS size FROM {p}lab GROUP BY ALL HAVING count(*) >= {least}
+), {p}reg AS (SELECT l.project_id, l.window_id, l.y, l.x, m.sign AS label, b.size, m.change FROM {p}lab l JOIN {p}big b USING (project_id, window_id, part, root) JOIN {p}mask m USING (project_id, window_id, part, y, x))"""
+
+
+GOOD = """good AS (SELECT c.project_id, count(depth) AS good FROM cells c JOIN (SELECT project_id, min(frame_idx) AS f FROM cells GROUP BY project_id) m ON m.project_id = c.project_id AND m.f = c.frame_idx GROUP BY c.project_id)"""
+
+
+def summary_in(source: str = "change", windows: str = "w", p: str = "", levels: tuple[float, float, float] = LEVELS, good: str | None = None, least: int = LEAST, digits: int = 6) -> str:
+    """CTEs of the volume summary ``{p}s`` of ``source``, with regions by each window's length."""
+    total = lambda x: f"round(coalesce(sum({x}), 0) * {AREA}, {digits}) + 0::DOUBLE"
+    beyond = lambda sign: f"coalesce(sum(abs(c.change)) FILTER (WHERE r.label = {sign} AND abs(c.change) > th), 0)"
+    g = f"(SELECT {good} AS good)" if good else "good"
+    on = "CROSS JOIN" if good else "JOIN"
+    using = "" if good else " USING (project_id)"
+    return f"""{p}t AS (SELECT c.*, {level_sql(levels)} AS lv FROM {source} c JOIN {windows} USING (project_id, window_id)){_regions_sql("signed", "lv", f"{p}t", p, least)}
+, {p}v AS (SELECT project_id, window_id, abs(change) AS v, row_number() OVER (PARTITION BY project_id, window_id ORDER BY abs(change) DESC) AS r FROM {source} WHERE change IS NOT NULL
+), {p}th AS (SELECT project_id, window_id, CASE WHEN any_value(floor(good * {PARAMS.index_fraction})) = 0 THEN min(v) ELSE coalesce(max(v) FILTER (WHERE r = floor(good * {PARAMS.index_fraction})), 0) END AS th FROM {p}v {on} {g}{using} GROUP BY ALL
+), {p}s0 AS (SELECT c.project_id, c.window_id, {total("abs(c.change)")} AS absolute_volume, {total("c.change")} AS summed_volume, round(count(*) FILTER (WHERE r.label = 1) * {AREA}, {digits}) AS castle_area, round(count(*) FILTER (WHERE r.label = -1) * {AREA}, {digits}) AS pit_area,
+    {total("CASE WHEN r.label = 1 THEN c.change END")} AS castle_volume, {total("CASE WHEN r.label = -1 THEN -c.change END")} AS pit_volume, {total("CASE WHEN r.label = 1 THEN c.change WHEN r.label = -1 THEN -c.change END")} AS bower_volume, {beyond(1)} AS tc, {beyond(-1)} AS tp
+  FROM {source} c LEFT JOIN {p}reg r USING (project_id, window_id, y, x) LEFT JOIN {p}th USING (project_id, window_id) GROUP BY ALL
+), {p}s AS (SELECT * EXCLUDE (tc, tp), round(tc, {digits}) AS threshold_castle_volume, round(tp, {digits}) AS threshold_pit_volume, round((tc - tp) / nullif(tc + tp, 0), {digits}) AS bower_index FROM {p}s0)"""
 
 
 def _recursive(sql: str) -> str:
-    return sql.replace("WITH cells", "WITH RECURSIVE cells", 1)
+    return sql if "WITH RECURSIVE" in sql else sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query(_recursive(f"{_change_sql()}{_regions_sql()} SELECT project_id, window_id, y, x, label::INT AS label, size::BIGINT AS size, round(change, 6) AS change FROM reg"))
@@ -198,7 +233,7 @@ def bower_regions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_recursive(f"{_change_sql()}{_regions_sql()} SELECT project_id, window_id, y, x, label::INT AS label, size::BIGINT AS size, round(change, 6) AS change FROM reg"))
 def bower_regions_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    return r6(regions.bower_regions(regions.written(_change(spark, d), "change"), KEYS, TH, LEAST, how="fixpoint"))
+    return r6(regions.bower_regions(written(_change(spark, d), "change"), KEYS, TH, LEAST, how="fixpoint"))
 
 
 @query(_recursive(f"{_change_sql()}{_regions_sql('abs')} SELECT project_id, window_id, y, x, label::INT AS label, size::BIGINT AS size, round(change, 6) AS change FROM reg"))
@@ -218,38 +253,33 @@ def region_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return r6(regions.jaccard(a, b, KEYS, windows.select(*KEYS)))
 
 
-def _volume_sql(grain: str, label: str = "sign(change)", extra: str = "") -> str:
-    total = lambda x: f"round(coalesce(sum({x}), 0) * {AREA}, 6)"
-    return f"""{_change_sql(grain)}{extra}, v AS (SELECT project_id, window_id, abs(change) AS v, row_number() OVER (PARTITION BY project_id, window_id ORDER BY abs(change) DESC) AS r, count(*) OVER (PARTITION BY project_id, window_id) AS n FROM change WHERE change IS NOT NULL
-), th AS (SELECT project_id, window_id, coalesce(max(v) FILTER (WHERE r = floor(n * 0.1)), min(v)) AS th FROM v GROUP BY ALL
-), q AS (SELECT c.project_id, c.window_id, c.change, {label} AS l, th.th FROM change c LEFT JOIN th USING (project_id, window_id){" LEFT JOIN reg USING (project_id, window_id, y, x)" if extra else ""}
-), s AS (SELECT project_id, window_id, {total("abs(change)")} AS absolute_volume, {total("change")} AS summed_volume, round(count(*) FILTER (WHERE l > 0) * {AREA}, 6) AS castle_area, round(count(*) FILTER (WHERE l < 0) * {AREA}, 6) AS pit_area,
-  {total("CASE WHEN l > 0 THEN change END")} AS castle_volume, {total("CASE WHEN l < 0 THEN -change END")} AS pit_volume, {total("CASE WHEN l <> 0 THEN abs(change) END")} AS bower_volume,
-  {total("CASE WHEN change > th THEN change END")} AS threshold_castle_volume, {total("CASE WHEN change < -th THEN -change END")} AS threshold_pit_volume,
-  round((coalesce(sum(CASE WHEN l > 0 THEN change END), 0) - coalesce(sum(CASE WHEN l < 0 THEN -change END), 0)) / nullif(coalesce(sum(CASE WHEN l > 0 THEN change END), 0) + coalesce(sum(CASE WHEN l < 0 THEN -change END), 0), 0), 6) AS bower_index FROM q GROUP BY ALL)
-SELECT * FROM s"""
+def _volume_sql(grain: str) -> str:
+    return _recursive(f"{_change_sql(grain)}, {GOOD}, {summary_in()} SELECT * FROM s")
 
 
-@query(_recursive(_volume_sql("daily", "reg.label", _regions_sql())))
+def _volumes(spark: SparkSession, d: str, grain: str) -> DataFrame:
+    c = proxies.cells(spark, d)
+    return r6(reports.window_volumes(c, depth.calendar_windows(c, grain), LEAST, LEVELS))
+
+
+@query(_volume_sql("daily"))
 def volume_summary_daily(spark: SparkSession, d: str) -> DataFrame:
-    change = _change(spark, d)
-    return r6(depth.volume_summary(change, KEYS, regions.bower_regions(change, KEYS, TH, LEAST)))
+    return _volumes(spark, d, "daily")
 
 
 @query(_volume_sql("hourly"))
 def volume_summary_hourly(spark: SparkSession, d: str) -> DataFrame:
-    return r6(depth.volume_summary(_change(spark, d, "hourly"), KEYS))
+    return _volumes(spark, d, "hourly")
 
 
 @query(_volume_sql("total"))
 def volume_summary_total(spark: SparkSession, d: str) -> DataFrame:
-    return r6(depth.volume_summary(_change(spark, d, "total"), KEYS))
+    return _volumes(spark, d, "total")
 
 
-@query(f"""{_change_sql()}, v AS (SELECT project_id, window_id, abs(change) AS v, row_number() OVER (PARTITION BY project_id, window_id ORDER BY abs(change) DESC) AS r, count(*) OVER (PARTITION BY project_id, window_id) AS n FROM change WHERE change IS NOT NULL)
-SELECT project_id, window_id, count(*)::BIGINT AS n_pixels, round(coalesce(max(v) FILTER (WHERE r = floor(n * 0.1)), min(v)), 6) AS threshold FROM v GROUP BY ALL""")
+@query(_recursive(f"""{_change_sql()}, {GOOD}, {summary_in()} SELECT project_id, window_id, (SELECT count(v) FROM v WHERE v.project_id = th.project_id AND v.window_id = th.window_id)::BIGINT AS n_pixels, round(th, 6) AS threshold FROM th"""))
 def kth_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return r6(depth.kth_threshold(_change(spark, d), KEYS))
+    return r6(depth.kth_threshold(_change(spark, d), KEYS, depth.good_pixels(proxies.cells(spark, d))))
 
 
 @query(f"""{_change_sql()} SELECT project_id, window_id, round(max(abs(change)), 6) AS vmax, round(0.75 * max(abs(change)), 6) AS scale, round(quantile_cont(abs(change), 0.99), 6) AS q99, round(median(change), 6) AS middle FROM change GROUP BY ALL""")
@@ -271,26 +301,44 @@ def day_first_last(spark: SparkSession, d: str) -> DataFrame:
 SELECT h.project_id, h.y, h.x, round(b.depth - a.depth, 6) AS change FROM h JOIN cells a ON a.project_id = h.project_id AND a.y = h.y AND a.x = h.x AND a.frame_idx = h.f0 JOIN cells b ON b.project_id = h.project_id AND b.y = h.y AND b.x = h.x AND b.frame_idx = h.f1""")
 def last_hours_change(spark: SparkSession, d: str) -> DataFrame:
     c = proxies.cells(spark, d)
-    last = c.groupBy("project_id").agg(F.max("ts").alias("_last"))
-    recent = c.join(last, "project_id").where(F.col("ts") > F.col("_last") - F.expr("INTERVAL '2' HOUR"))
+    recent = depth.last_hours(c, "project_id", 2)
     ends = recent.groupBy("project_id", "y", "x").agg(F.min(F.struct("ts", "depth")).alias("a"), F.max(F.struct("ts", "depth")).alias("b"))
     return r6(ends.select("project_id", "y", "x", (F.col("b.depth") - F.col("a.depth")).alias("change")))
 
 
-@query(f"""{_change_sql()}, i AS (SELECT project_id, y, x FROM change WHERE window_id = '2024-01-05' AND abs(change) >= 1.0
-), c AS (SELECT c.project_id, c.window_id, sum(CASE WHEN i.y IS NOT NULL THEN abs(change) END) AS a, sum(abs(change)) AS b FROM change c LEFT JOIN i USING (project_id, y, x) GROUP BY ALL)
-SELECT project_id, window_id, round(coalesce(a, 0) * {AREA}, 6) AS inside, round(coalesce(b, 0) * {AREA}, 6) AS overall FROM c""")
-def cohort_depth_detail(spark: SparkSession, d: str) -> DataFrame:
-    change = _change(spark, d)
-    mask = regions.signed_mask(change.where("window_id = '2024-01-05'"), ["project_id"], 1.0)
-    return r6(regions.change_inside(change, mask, KEYS, AREA, on=["project_id"]))
+@query(f"""WITH {CELLS}, p AS (SELECT project_id, frame_idx, max(CASE WHEN frame_idx % 7 <> 3 THEN frame_idx END) OVER (PARTITION BY project_id ORDER BY frame_idx) AS src FROM (SELECT DISTINCT project_id, frame_idx FROM cells))
+SELECT p.project_id, p.frame_idx, q.y, q.x, round(q.depth, 6) AS depth FROM p JOIN cells q ON q.project_id = p.project_id AND q.frame_idx = p.src""")
+def carry_missing_frames(spark: SparkSession, d: str) -> DataFrame:
+    c = proxies.cells(spark, d).select("project_id", "frame_idx", "y", "x", "depth")
+    present = c.select("project_id", "frame_idx").distinct().withColumn("has_file", F.col("frame_idx") % 7 != 3)
+    return r6(depth.carry_missing_frames(c, present).select("project_id", "frame_idx", "y", "x", "depth"))
+
+
+@query(f"""{_INTERP}, mk AS (SELECT project_id, y, x, count(*) FILTER (WHERE lof) AS n, count(depth) FILTER (WHERE lof) AS n_good, avg(depth) FILTER (WHERE lof) AS mean, stddev_pop(depth) FILTER (WHERE lof) AS std FROM filled GROUP BY ALL
+), md AS (SELECT project_id, median(mean) AS mid FROM mk GROUP BY ALL
+), ok AS (SELECT project_id, y, x FROM mk JOIN md USING (project_id) WHERE NOT (n_good < {PARAMS.sparse_fraction} * n) AND NOT coalesce(std > {PARAMS.max_std}, false) AND NOT coalesce(mean > mid + {PARAMS.max_depth} OR mean < mid - {PARAMS.max_height}, false)
+), cl AS (SELECT f.* REPLACE (CASE WHEN ok.y IS NOT NULL THEN f.depth END AS depth) FROM filled f LEFT JOIN ok USING (project_id, y, x)
+), e AS (SELECT project_id, day, min(frame_idx) AS a, max(frame_idx) AS b FROM cl WHERE lof GROUP BY ALL
+), m0 AS (SELECT project_id, day, 0 AS side, a AS mark FROM e UNION ALL SELECT project_id, day, 1, b FROM e
+), m AS (SELECT project_id, mark, row_number() OVER o AS k, lag(mark) OVER o AS bef, lead(mark) OVER o AS aft FROM m0 WINDOW o AS (PARTITION BY project_id ORDER BY day, side)
+), nf AS (SELECT DISTINCT project_id, frame_idx FROM cl WHERE NOT lof
+), nn AS (SELECT nf.project_id, nf.frame_idx, m.*, row_number() OVER (PARTITION BY nf.project_id, nf.frame_idx ORDER BY abs(nf.frame_idx - mark), k) AS rn FROM nf JOIN m ON m.project_id = nf.project_id
+), pl AS (SELECT project_id, frame_idx, mark AS b1, CASE WHEN bef IS NULL OR aft IS NULL THEN mark WHEN frame_idx > mark THEN aft ELSE bef END AS b2 FROM nn WHERE rn = 1
+), whole AS (SELECT c.project_id, c.frame_idx, c.y, c.x, CASE WHEN c.lof THEN c.depth ELSE coalesce((v1.depth + v2.depth) / 2, v1.depth, v2.depth) END AS depth
+  FROM cl c LEFT JOIN pl ON NOT c.lof AND pl.project_id = c.project_id AND pl.frame_idx = c.frame_idx
+  LEFT JOIN cl v1 ON v1.project_id = c.project_id AND v1.frame_idx = pl.b1 AND v1.y = c.y AND v1.x = c.x
+  LEFT JOIN cl v2 ON v2.project_id = c.project_id AND v2.frame_idx = pl.b2 AND v2.y = c.y AND v2.x = c.x
+), kk(o, c) AS (VALUES {_COEFF}), sr AS (SELECT *, count(*) OVER (PARTITION BY project_id, y, x) AS n FROM whole
+), mir AS (SELECT sr.*, kk.c, (((frame_idx + o) % (2 * (n - 1))) + 2 * (n - 1)) % (2 * (n - 1)) AS m FROM sr, kk)
+SELECT mir.project_id, mir.y, mir.x, mir.frame_idx, CASE WHEN count(q.depth) = {_W} THEN round(sum(mir.c * q.depth), 6) END AS depth
+FROM mir JOIN sr q ON q.project_id = mir.project_id AND q.y = mir.y AND q.x = mir.x AND q.frame_idx = least(mir.m, 2 * (mir.n - 1) - mir.m) GROUP BY ALL""")
+def smooth_depth(spark: SparkSession, d: str) -> DataFrame:
+    return r6(depth.smooth_depth(proxies.cells(spark, d)).select("project_id", "y", "x", "frame_idx", "depth"))
 
 
 @query(f"""{_change_sql()}, c AS (SELECT project_id, window_id, coalesce(sum(abs(change)), 0) AS v FROM change GROUP BY ALL)
 SELECT project_id, window_id, round(sum(v) OVER (PARTITION BY project_id ORDER BY window_id ROWS UNBOUNDED PRECEDING), 6) AS cumulative FROM c""")
 def cumulative_change(spark: SparkSession, d: str) -> DataFrame:
-    from reefline.operators import reports
-
     v = _change(spark, d).groupBy(*KEYS).agg(F.coalesce(F.sum(F.abs("change")), F.lit(0.0)).alias("v"))
     return r6(reports.cumulative(v, "project_id", "window_id", "v").select("project_id", "window_id", "cumulative"))
 
@@ -300,8 +348,6 @@ def cumulative_change(spark: SparkSession, d: str) -> DataFrame:
 SELECT project_id, round(c, 6) AS final, CASE WHEN substr(project_id, 2)::INT % 2 = 0 THEN 'control' ELSE 'behave' END AS kind,
   CASE WHEN substr(project_id, 2)::INT % 2 = 0 THEN c > 0 ELSE c < 0.1 END AS flagged FROM s WHERE r = 1""")
 def outcome_flags(spark: SparkSession, d: str) -> DataFrame:
-    from reefline.operators import reports
-
     v = _change(spark, d).groupBy(*KEYS).agg(F.coalesce(F.sum("change"), F.lit(0.0)).alias("v"))
     kind = F.when(F.substring("project_id", 2, 9).cast("int") % 2 == 0, "control").otherwise("behave")
     return r6(reports.outcome(reports.cumulative(v, "project_id", "window_id", "v"), "project_id", "window_id", kind))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.functions.expr import approx_radius, category, hour_bin, in_polygon, minutes_to, project, seconds_to, softmax, arg_max, crop_box
-from reefline.operators import events, reports
+from reefline.functions.expr import approx_radius, arg_max, category, crop_box, hour_bin, in_polygon, in_polygon_array, minutes_to, project, seconds_to, softmax, unit_colour
+from reefline.operators import events, reports, tracks
 from reefline.plans import proxies
-from reefline.plans.q_depth import _INSIDE, _POLYGON, r6
+from reefline.plans.q_depth import _INSIDE, _POLYGON, _windows_sql, r6, summary_in
 from reefline.schemas import CATEGORIES, PARAMS
 
 QUERIES, ORACLES = {}, {}
@@ -65,31 +65,68 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return proxies.clusters(spark, d).select("LID", in_polygon(px, py, _POLYGON).alias("inside"))
 
 
-def _density(spark: SparkSession, d: str, bid: str) -> DataFrame:
-    c = proxies.clusters(spark, d).where(F.col("Prediction") == bid).select("VideoID", (F.col("X") / 10).alias("X"), (F.col("Y") / 10).alias("Y"), ((F.col("X_span") + F.col("Y_span")) / 4).alias("radius"))
-    grid = spark.range(100).select(F.floor(F.col("id") / 10).cast("int").alias("y"), (F.col("id") % 10).cast("int").alias("x"))
-    return events.density_grid(c, grid, ["VideoID"])
+GRID = 10
 
 
-def _kde_sql(name: str, bid: str) -> str:
-    return f"""{name}_e AS (SELECT "VideoID", "X" / 10 AS px, "Y" / 10 AS py, ("X_span" + "Y_span") / 4 AS radius FROM clusters WHERE "Prediction" = '{bid}'
-), {name}_h AS (SELECT "VideoID", avg(radius) / 2 AS h, count(*) AS n FROM {name}_e GROUP BY ALL
-), {name}_z AS (SELECT "VideoID", (g // 10)::INT AS y, (g % 10)::INT AS x, any_value(n) AS n, sum(exp(-((px - g % 10) * (px - g % 10) + (py - g // 10) * (py - g // 10)) / (2 * h * h))) AS z FROM {name}_e JOIN {name}_h USING ("VideoID"), (SELECT unnest(range(100)) AS g) GROUP BY ALL
-), {name} AS (SELECT "VideoID", y, x, z * n / (sum(z) OVER (PARTITION BY "VideoID") * {PARAMS.area}) AS z FROM {name}_z)"""
+def _grid(spark: SparkSession) -> DataFrame:
+    return spark.range(GRID * GRID).select(F.floor(F.col("id") / GRID).cast("int").alias("y"), (F.col("id") % GRID).cast("int").alias("x"))
 
 
-@query(f"""WITH {CL}, {_kde_sql("k", "p")} SELECT "VideoID", y, x, round(z, 4) AS z FROM k""")
+def video_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events by video, with places on the grid and a radius."""
+    return proxies.clusters(spark, d).select(F.col("VideoID").alias("project_id"), "TimeStamp", "Prediction", (F.col("X") / 10).alias("X"), (F.col("Y") / 10).alias("Y"), ((F.col("X_span") + F.col("Y_span")) / 4).alias("radius"))
+
+
+EVENTS = """ev AS (SELECT "VideoID" AS project_id, "TimeStamp", "Prediction", "X" / 10 AS px, "Y" / 10 AS py, ("X_span" + "Y_span") / 4 AS radius FROM clusters)"""
+
+
+def density_in(name: str, bid: str) -> str:
+    """CTEs of the density ``name`` of one behaviour in each of the windows w; needs ev."""
+    return f"""{name}_e AS (SELECT w.project_id, w.window_id, px, py, radius FROM ev JOIN w ON w.project_id = ev.project_id AND "TimeStamp" BETWEEN t0 AND t1 WHERE "Prediction" = '{bid}'
+), {name}_h AS (SELECT project_id, window_id, greatest(0.25, avg(radius) / 2) AS h, count(*) AS n FROM {name}_e GROUP BY ALL
+), {name}_z AS (SELECT project_id, window_id, (g // {GRID})::INT AS y, (g % {GRID})::INT AS x, any_value(n) AS n, sum(exp(-((px - g % {GRID}) * (px - g % {GRID}) + (py - g // {GRID}) * (py - g // {GRID})) / (2 * h * h))) AS z FROM {name}_e JOIN {name}_h USING (project_id, window_id), (SELECT unnest(range({GRID * GRID})) AS g) GROUP BY ALL
+), {name} AS (SELECT w.project_id, w.window_id, (g // {GRID})::INT AS y, (g % {GRID})::INT AS x, coalesce(k.z, 0) AS z FROM w CROSS JOIN (SELECT unnest(range({GRID * GRID})) AS g)
+  LEFT JOIN (SELECT project_id, window_id, y, x, z * n / (sum(z) OVER (PARTITION BY project_id, window_id) * {PARAMS.area}) AS z FROM {name}_z) k ON k.project_id = w.project_id AND k.window_id = w.window_id AND k.y = g // {GRID} AND k.x = g % {GRID})"""
+
+
+#: Density thresholds of the proxies.
+DENSITY, DENSE = (0.5, 2.0, 20.0), 3
+
+
+def densities_in() -> str:
+    """CTEs of the cluster summary ``d_s`` of the windows w."""
+    return f"""{density_in("spit", "p")}, {density_in("scoop", "c")}, df AS (SELECT project_id, window_id, y, x, spit.z - scoop.z AS change FROM spit JOIN scoop USING (project_id, window_id, y, x)), {summary_in("df", "w", "d_", DENSITY, str(GRID * GRID), DENSE, 4)}"""
+
+
+@query(f"""WITH {CL}, {EVENTS}, w AS (SELECT DISTINCT project_id, 'total' AS window_id, TIMESTAMP '2000-01-01' AS t0, TIMESTAMP '2100-01-01' AS t1 FROM ev), {density_in("k", "p")} SELECT project_id, y, x, round(z, 4) AS z FROM k""")
 def kde_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _density(spark, d, "p").withColumn("z", F.round("z", 4))
+    e = video_events(spark, d)
+    return events.density_grid(e.where("Prediction = 'p'"), _grid(spark), ["project_id"], windows=e).withColumn("z", F.round("z", 4))
+
+
+def _clusters_sql(grain: str) -> str:
+    return f"""WITH RECURSIVE {CL}, {EVENTS}, fr AS (SELECT project_id, "TimeStamp" AS ts FROM ev), w AS ({_windows_sql(grain)}), {densities_in()}
+SELECT s.*, t0 AS start_time, make_timestamp(epoch_us(t0) + (epoch_us(t1) - epoch_us(t0)) // 2) AS midpoint, '{grain}' AS grain FROM d_s s JOIN w USING (project_id, window_id)"""
+
+
+def r4(df: DataFrame) -> DataFrame:
+    """Doubles at four places; no negative zero."""
+    return df.select(*[(F.round(F.col(c), 4) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
 
+def _report(spark: SparkSession, d: str, grains: tuple[str, ...]) -> DataFrame:
+    e = video_events(spark, d)
+    return r4(reports.cluster_report(e, e.select("project_id", F.col("TimeStamp").alias("ts")), _grid(spark), grains, DENSE, DENSITY))
 
-@query(f"""WITH {CL}, {_kde_sql("s", "p")}, {_kde_sql("c", "c")}, df AS (SELECT "VideoID", y, x, coalesce(s.z, 0) - coalesce(c.z, 0) AS v FROM s FULL JOIN c USING ("VideoID", y, x))
-SELECT "VideoID", round(sum(abs(v)) * {PARAMS.area}, 4) AS absolute_volume, round(sum(v) * {PARAMS.area}, 4) + 0::DOUBLE AS summed_volume, round(count(*) FILTER (WHERE v > 0) * {PARAMS.area}, 4) AS castle_area,
-  round((sum(v) FILTER (WHERE v > 0) + sum(v) FILTER (WHERE v < 0)) / (sum(v) FILTER (WHERE v > 0) - sum(v) FILTER (WHERE v < 0)), 4) + 0::DOUBLE AS bower_index FROM df GROUP BY ALL""")
+
+@query(_clusters_sql("daily"))
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    diff = events.density_difference(_density(spark, d, "p"), _density(spark, d, "c"), ["VideoID"])
-    s = events.cluster_summary(diff, ["VideoID"])
-    return s.select("VideoID", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("absolute_volume", "summed_volume", "castle_area", "bower_index")])  # no negative zero
+    return _report(spark, d, ("daily",))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_clusters_sql(g)})" for g in ("total", "two_hourly")))
+def cluster_report(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d, ("total", "two_hourly"))
 
 
 GROUPS = {"building": ["c", "p", "b"], "feeding": ["f", "t", "m"], "scoop": ["c"], "spit": ["p"]}
@@ -106,14 +143,6 @@ def cohort_cluster_detail(spark: SparkSession, d: str) -> DataFrame:
     return r6(reports.cluster_detail(proxies.clusters(spark, d), reports.steps_before(proxies.reference_events(spark, d)), GROUPS))
 
 
-@query(f"""WITH {CL}, {REF} SELECT pid AS project_id, {", ".join(f"count(*) FILTER (WHERE b = '{x}')::BIGINT AS n_{x}" for x in BIDS)}, count(*) FILTER (WHERE b IN ('c', 'p', 'b'))::BIGINT AS n_building, count(*) FILTER (WHERE b IN ('f', 't', 'm'))::BIGINT AS n_feeding
-FROM (SELECT pid, CASE WHEN "TimeStamp" BETWEEN dissection_time - INTERVAL 7 DAY AND dissection_time - INTERVAL 5 MINUTE THEN "Prediction" END AS b FROM ref LEFT JOIN clusters ON project_id = pid) GROUP BY ALL""")
-def cohort_total(spark: SparkSession, d: str) -> DataFrame:
-    ref = proxies.reference_events(spark, d)
-    w = ref.select(F.col("pid").alias("project_id"), (F.col("dissection_time") - F.expr("INTERVAL '7' DAY")).alias("t0"), (F.col("dissection_time") - F.expr("INTERVAL '5' MINUTE")).alias("t1"))
-    return reports.cohort_total(proxies.clusters(spark, d), w, BIDS)
-
-
 @query(f"""WITH {CL}, {REF} SELECT behave_or_control, bin::INT AS bin, "Prediction", count(*)::BIGINT AS n, round(min(minutes), 3) AS least_minutes FROM (
   SELECT behave_or_control, "Prediction", floor(epoch(dissection_time - "TimeStamp") / 7200) * 2 AS bin, (epoch_us(dissection_time) - epoch_us("TimeStamp")) % 86400000000 / 60000000.0 AS minutes FROM clusters JOIN ref ON pid = project_id WHERE "Prediction" IS NOT NULL
 ) GROUP BY ALL""")
@@ -145,7 +174,7 @@ def category_ratio(spark: SparkSession, d: str) -> DataFrame:
 def label_pivot(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 20).alias("pid"), "event_type", (F.col("event_id") % 2).alias("s"))
     kind = F.when(F.col("event_type") == "click", F.when(F.col("s") == 0, "MM").otherwise("MF")).when(F.col("event_type") == "view", F.when(F.col("s") == 0, "FM").otherwise("FF"))
-    return e.withColumn("kind", kind).groupBy("pid").pivot("kind", ["MM", "MF", "FM", "FF"]).count().na.fill(0).orderBy("pid")
+    return events.label_pairs(e, "pid", kind, ["MM", "MF", "FM", "FF"])
 
 
 @query("""SELECT width_bucket_::INT AS bin, count(*)::BIGINT AS n FROM (SELECT least(30, floor((value - 0) / (500.0 / 30)) + 1) AS width_bucket_ FROM events WHERE value BETWEEN 0 AND 500) GROUP BY ALL""")
@@ -164,3 +193,42 @@ def softmax_class(spark: SparkSession, d: str) -> DataFrame:
 SELECT base_name, track_id, frame, greatest(0, trunc(xc)::INT - d)::INT AS "left", greatest(0, trunc(yc)::INT - d)::INT AS top, least(1296, trunc(xc)::INT + d)::INT AS "right", least(972, trunc(yc)::INT + d)::INT AS bottom FROM t""")
 def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     return proxies.tracks(spark, d).select("base_name", "track_id", "frame", *crop_box(F.col("xc"), F.col("yc"), F.col("w"), F.col("h")))
+
+
+_BOX = "\"X\" BETWEEN 10 AND 90 AND \"Y\" BETWEEN 5 AND 95"
+_SEX = f"""{CL}, {proxies.TRACKS}, sx AS (SELECT base_name, track_id, count(*) AS frames, avg(class_id) AS cls FROM tracks WHERE p_value > 0.95 GROUP BY ALL
+), ev AS (SELECT * FROM clusters WHERE "ClipCreated" = 'Yes'
+), m AS (
+  SELECT "LID", "VideoID", track_id, row_number() OVER (PARTITION BY "VideoID", "LID" ORDER BY (yc - "X") * (yc - "X") + (xc - "Y") * (xc - "Y"), frame, track_id) AS r
+  FROM ev JOIN tracks ON base_name = "VideoID" AND frame > (t - 0.5) * 29 AND frame < (t + 0.5) * 29
+), j AS (SELECT ev.*, m.track_id, frames, cls FROM ev JOIN m ON m."LID" = ev."LID" AND m."VideoID" = ev."VideoID" AND r = 1 JOIN sx ON base_name = ev."VideoID" AND sx.track_id = m.track_id)"""
+
+
+@query(f"""WITH {_SEX}, {REF} SELECT project_id, {_CASE} AS category, CASE WHEN cls > 0.5 THEN 'Male' ELSE 'Female' END AS sex, (floor(-epoch(dissection_time - "TimeStamp") / 7200) * 2)::INT AS time_bin, count(*)::BIGINT AS n
+FROM j JOIN ref ON pid = project_id WHERE frames > 10 AND {_CASE} IN ('Construction', 'Feeding') AND {_BOX} GROUP BY ALL""")
+def sex_behaviour(spark: SparkSession, d: str) -> DataFrame:
+    c, points = proxies.clusters(spark, d), proxies.tracks(spark, d)
+    sexed = points.withColumns({"sex_p_value": F.col("p_value"), "sex_class": F.col("class_id")})
+    inside = F.col("X").between(10, 90) & F.col("Y").between(5, 95)
+    return events.sex_behaviour(c, tracks.associate(c, points), sexed, proxies.reference_events(spark, d), CATEGORIES, inside, 0.95, 10)
+
+
+@query(f"""WITH {CL}, e AS (SELECT project_id, coalesce({_CASE}, 'Other') = 'Other' AS other, {_BOX} AS ins FROM clusters)
+SELECT project_id, round(count(*) FILTER (WHERE NOT ins AND other) / nullif(count(*) FILTER (WHERE NOT ins), 0), 6) AS out_other_ratio, round(count(*) FILTER (WHERE ins AND other) / nullif(count(*) FILTER (WHERE ins), 0), 6) AS in_other_ratio FROM e GROUP BY ALL""")
+def association_ratios(spark: SparkSession, d: str) -> DataFrame:
+    inside = F.col("X").between(10, 90) & F.col("Y").between(5, 95)
+    return r6(events.association_ratios(proxies.clusters(spark, d), CATEGORIES, inside))
+
+
+@query("""SELECT vec_id, pos::INT AS pos, round((greatest(-5, least(5, v::DOUBLE * 20)) + 5) / 10, 6) AS colour FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings)""")
+def unit_colours(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    return r6(e.select("vec_id", "pos", unit_colour(F.col("v").cast("double") * 20).alias("colour")))
+
+
+@query(f"""WITH {CL}, pts AS (SELECT "LID" AS id, "X" / 14 AS px, "Y" / 14 AS py FROM clusters), {_INSIDE}
+SELECT id AS "LID", odd AS inside FROM t""")
+def point_in_row_polygon(spark: SparkSession, d: str) -> DataFrame:
+    shape = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _POLYGON])
+    rows = proxies.clusters(spark, d).select("LID", (F.col("X") / 14).alias("px"), (F.col("Y") / 14).alias("py"), shape.alias("shape"))
+    return rows.select("LID", in_polygon_array(F.col("px"), F.col("py"), F.col("shape")).alias("inside"))

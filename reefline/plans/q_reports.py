@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from reefline.operators import reports, scoring
 from reefline.plans import proxies
-from reefline.plans.q_depth import KEYS, TH, LEAST, _change, _change_sql, _recursive, _regions_sql, _volume_sql, r6
+from reefline.plans.q_depth import FRAMES, GOOD, KEYS, LEAST, LEVELS, TH, _change, _change_sql, _recursive, _regions_sql, _windows_sql, change_in, level_sql, r6, summary_in
+from reefline.plans.q_events import DENSITY, _grid, densities_in
 from reefline.schemas import PARAMS
 
 QUERIES, ORACLES = {}, {}
@@ -23,44 +24,72 @@ def query(sql: str):
     return add
 
 
-_SHEETS = " UNION ALL ".join(f"SELECT *, '{g}' AS grain FROM ({_volume_sql(g)})" for g in ("total", "daily", "hourly"))
+def _sheet(grain: str) -> str:
+    body = f"{_change_sql(grain)}, {GOOD}, {summary_in()}"
+    return f"SELECT * FROM ({_recursive(body)} SELECT s.*, t0 AS start_time, make_timestamp(epoch_us(t0) + (epoch_us(t1) - epoch_us(t0)) // 2) AS midpoint, '{grain}' AS grain FROM s JOIN w USING (project_id, window_id))"
 
 
-@query(_SHEETS)
+@query(" UNION ALL ".join(map(_sheet, reports.GRAINS)))
 def depth_report(spark: SparkSession, d: str) -> DataFrame:
-    return r6(reports.depth_report(proxies.cells(spark, d)))
+    return r6(reports.depth_report(proxies.cells(spark, d), min_pixels=LEAST, levels=LEVELS))
 
 
-_CASES = ", ".join(f"count(*) FILTER (WHERE e.b = '{b}')::BIGINT AS n_{b}" for b in "cpbf")
-_ASOF = "coalesce((SELECT max(frame_idx) FROM fr WHERE fr.project_id = w.project_id AND fr.ts <= w.{0}), (SELECT min(frame_idx) FROM fr WHERE fr.project_id = w.project_id))"
+BIDS = "cpbf"
+_CASES = ", ".join(f"count(*) FILTER (WHERE e.\"Prediction\" = '{b}')::BIGINT AS n_{b}" for b in BIDS)
+_NEAR = f"""{proxies.CELLS}, {FRAMES}, ref AS (SELECT project_id, max(ts) + INTERVAL 37 MINUTE AS ev_at FROM fr GROUP BY ALL
+), ev AS (SELECT 'P' || user_id % 2 AS project_id, ts AS "TimeStamp", CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'p' WHEN 'purchase' THEN 'b' WHEN 'signup' THEN 'f' END AS "Prediction",
+  (value % 100.0) / 10 AS px, json_extract_string(props, '$.k')::DOUBLE / 10 AS py, (value % 7.0 + 1 + value % 5.0 + 1) / 4 AS radius FROM events
+), steps AS (SELECT project_id, k::INT AS window_id, ev_at, ev_at - INTERVAL 5 MINUTE - to_minutes((9 - k) * 10) AS t0, ev_at - INTERVAL 5 MINUTE - to_minutes((8 - k) * 10) AS t1 FROM ref, (SELECT unnest(range(9)) AS k)
+), span AS (SELECT project_id, -1 AS window_id, ev_at, ev_at - INTERVAL 95 MINUTE AS t0, ev_at - INTERVAL 5 MINUTE AS t1 FROM ref)"""
 
 
-@query(f"""WITH {proxies.CELLS}, fr AS (SELECT DISTINCT project_id, frame_idx, ts FROM cells), r AS (SELECT project_id, max(ts) + INTERVAL 37 MINUTE AS ev FROM fr GROUP BY ALL
-), w AS (SELECT project_id, k::INT AS window_id, ev, ev - INTERVAL 5 MINUTE - to_minutes((9 - k) * 10) AS t0, ev - INTERVAL 5 MINUTE - to_minutes((8 - k) * 10) AS t1 FROM r, (SELECT unnest(range(9)) AS k)
-  UNION ALL SELECT project_id, -1, ev, ev - INTERVAL 95 MINUTE, ev - INTERVAL 5 MINUTE FROM r
-), b AS (SELECT w.*, {_ASOF.format("t0")} AS f0, {_ASOF.format("t1")} AS f1 FROM w
-), v AS (SELECT b.project_id, b.window_id, round(coalesce(sum(abs(p.depth - q.depth)), 0) * {PARAMS.area}, 6) AS absolute_volume, round(coalesce(sum(p.depth - q.depth), 0) * {PARAMS.area}, 6) AS summed_volume
-  FROM b JOIN cells p ON p.project_id = b.project_id AND p.frame_idx = b.f0 JOIN cells q ON q.project_id = b.project_id AND q.frame_idx = b.f1 AND q.y = p.y AND q.x = p.x GROUP BY ALL
-), e AS (SELECT 'P' || user_id % 2 AS project_id, ts, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'p' WHEN 'purchase' THEN 'b' WHEN 'signup' THEN 'f' END AS b FROM events
-), n AS (SELECT w.project_id, w.window_id, {_CASES}, count(e.b)::BIGINT AS n_all FROM w LEFT JOIN e ON e.project_id = w.project_id AND e.ts BETWEEN w.t0 AND w.t1 GROUP BY ALL)
-SELECT w.project_id, w.window_id, round(epoch(ev - t0) / 60, 6) AS minutes_start, round(epoch(ev - t1) / 60, 6) AS minutes_stop, absolute_volume, summed_volume, n_c, n_p, n_b, n_f, n_all
-FROM w JOIN v USING (project_id, window_id) JOIN n USING (project_id, window_id)""")
-def pre_event_detail(spark: SparkSession, d: str) -> DataFrame:
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, events and a reference event for each project, shortly after its last frame."""
     c = proxies.cells(spark, d)
     ref = c.groupBy(F.col("project_id").alias("pid")).agg((F.max("ts") + F.expr("INTERVAL '37' MINUTE")).alias("dissection_time"))
+    ref = ref.withColumn("behave_or_control", F.when(F.substring("pid", 2, 9).cast("long") % 2 == 0, "B").otherwise("C"))
     e = proxies.clusters(spark, d).withColumn("project_id", F.concat(F.lit("P"), (F.substring("project_id", 2, 9).cast("long") % 2).cast("string")))
-    rows = reports.pre_event_report(c, e, ref, list("cpbf"))
-    return r6(rows.select(*KEYS, "minutes_start", "minutes_stop", "absolute_volume", "summed_volume", "n_c", "n_p", "n_b", "n_f", "n_all"))
+    e = e.withColumns({"radius": (F.col("X_span") + F.col("Y_span")) / 4, "X": F.col("X") / 10, "Y": F.col("Y") / 10})
+    return c, e, ref
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, w AS (SELECT * FROM steps UNION ALL SELECT * FROM span), {change_in()}, {GOOD}, {summary_in()}, {densities_in()}
+, n AS (SELECT w.project_id, w.window_id, {_CASES}, count(e."Prediction")::BIGINT AS n_all FROM w LEFT JOIN ev e ON e.project_id = w.project_id AND e."TimeStamp" BETWEEN w.t0 AND w.t1 GROUP BY ALL)
+SELECT w.project_id, w.window_id, round(epoch(ev_at - t0) / 60, 6) AS minutes_start, round(epoch(ev_at - t1) / 60, 6) AS minutes_stop, s.absolute_volume, s.summed_volume, s.bower_index, d_s.absolute_volume AS kde_absolute_volume, d_s.summed_volume AS kde_summed_volume, d_s.bower_index AS kde_bower_index, n_c, n_p, n_b, n_f, n_all
+FROM w JOIN s USING (project_id, window_id) JOIN n USING (project_id, window_id) JOIN d_s USING (project_id, window_id)""")
+def pre_event_detail(spark: SparkSession, d: str) -> DataFrame:
+    c, e, ref = _near(spark, d)
+    rows = reports.pre_event_report(c, e, ref, list(BIDS), _grid(spark), LEAST, LEVELS, DENSITY)
+    kde = ("kde_absolute_volume", "kde_summed_volume", "kde_bower_index")
+    return r6(rows.select(*KEYS, "minutes_start", "minutes_stop", "absolute_volume", "summed_volume", "bower_index", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in kde], "n_c", "n_p", "n_b", "n_f", "n_all"))
+
+
+_MASK = f"""wf AS (SELECT * REPLACE (0 AS window_id) FROM span), {change_in("wf", "fw", True)}, ft AS (SELECT c.*, {level_sql(LEVELS)} AS lv FROM fw c JOIN wf USING (project_id, window_id)){_regions_sql("signed", "lv", "ft", "f_")}"""
+_VOLUMES = f"round(coalesce(sum(CASE WHEN r.y IS NOT NULL THEN abs(c.change) END), 0) * {PARAMS.area}, 6) AS inside, round(coalesce(sum(abs(c.change)), 0) * {PARAMS.area}, 6) AS overall"
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, {_MASK}, {change_in("wf")}, v AS (SELECT c.project_id, {_VOLUMES} FROM change c LEFT JOIN f_reg r USING (project_id, y, x) GROUP BY ALL
+), n AS (SELECT wf.project_id, {_CASES}, count(*) FILTER (WHERE e."Prediction" IN ('c', 'p', 'b'))::BIGINT AS n_building, count(*) FILTER (WHERE e."Prediction" IN ('f', 't', 'm'))::BIGINT AS n_feeding FROM wf LEFT JOIN ev e ON e.project_id = wf.project_id AND e."TimeStamp" BETWEEN t0 AND t1 GROUP BY ALL)
+SELECT n.*, CASE WHEN substr(n.project_id, 2)::INT % 2 = 0 THEN 'B' ELSE 'C' END AS behave_or_control, inside, overall FROM n LEFT JOIN v USING (project_id)""")
+def cohort_total(spark: SparkSession, d: str) -> DataFrame:
+    c, e, ref = _near(spark, d)
+    return r6(reports.cohort_total(e, c, ref, list(BIDS), LEAST, LEVELS))
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, {_MASK}, {change_in("steps")}, v AS (SELECT c.project_id, c.window_id, {_VOLUMES} FROM change c LEFT JOIN (SELECT project_id, y, x FROM f_reg) r USING (project_id, y, x) GROUP BY ALL)
+SELECT project_id, window_id, round(epoch(ev_at - t0) / 60, 6) AS minutes_start, round(epoch(ev_at - t1) / 60, 6) AS minutes_stop, inside, overall, round(sum(inside) OVER (PARTITION BY project_id ORDER BY window_id ROWS UNBOUNDED PRECEDING), 6) AS cumulative FROM v JOIN steps USING (project_id, window_id)""")
+def cohort_depth_detail(spark: SparkSession, d: str) -> DataFrame:
+    c, _, ref = _near(spark, d)
+    return r6(reports.cohort_depth_detail(c, ref, LEAST, LEVELS))
 
 
-@query(_recursive(f"""{_change_sql()}{_regions_sql()}, day AS (SELECT * FROM reg WHERE window_id <> '2024-01-04'), one AS (SELECT * FROM reg WHERE window_id = '2024-01-04'
-), ww AS (SELECT DISTINCT project_id, window_id FROM change WHERE window_id <> '2024-01-04'), tr AS (SELECT ww.project_id, ww.window_id, y, x, label FROM one JOIN ww USING (project_id)
-), j AS (SELECT project_id, window_id, count(*) FILTER (WHERE day.label = tr.label) AS same, count(*) AS n FROM day FULL JOIN tr USING (project_id, window_id, y, x) GROUP BY ALL)
+@query(_recursive(f"""WITH {proxies.CELLS}, {FRAMES}, w AS ({_windows_sql("daily")}), wt AS ({_windows_sql("total")}), {change_in()}, {change_in("wt", "tc")}{_regions_sql()}{_regions_sql("signed", str(TH), "tc", "t_")}
+, ww AS (SELECT DISTINCT project_id, window_id FROM change), tr AS (SELECT ww.project_id, ww.window_id, y, x, label FROM (SELECT project_id, y, x, label FROM t_reg) JOIN ww USING (project_id)
+), j AS (SELECT project_id, window_id, count(*) FILTER (WHERE reg.label = tr.label) AS same, count(*) AS n FROM reg FULL JOIN tr USING (project_id, window_id, y, x) GROUP BY ALL)
 SELECT ww.project_id, ww.window_id, round(CASE WHEN n IS NULL THEN 1.0 ELSE same / n END, 6) AS agreement FROM ww LEFT JOIN j USING (project_id, window_id)"""))
 def region_consistency(spark: SparkSession, d: str) -> DataFrame:
-    change = _change(spark, d)
-    one = change.where("window_id = '2024-01-04'").drop("window_id")
-    return r6(reports.region_consistency(change.where("window_id <> '2024-01-04'"), one, KEYS, TH, LEAST))
+    """Each day's regions against those of the whole trial."""
+    return r6(reports.region_consistency(_change(spark, d), _change(spark, d, "total").drop("window_id"), KEYS, TH, LEAST))
 
 
 def _load():

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reefline import shared
+from reefline.functions.expr import parse_time
+from reefline.plans import proxies
 from reefline.plans.q_depth import r6
+from reefline.sources import logs
 from reefline.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -55,11 +59,45 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_once(jobs.deduplicated(both).select("event_id", "user_id", "event_type"), spark, "append", "dedup")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, floor(value / 10)::BIGINT AS gp, lag(floor(value / 10)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) SELECT user_id, event_id, gp FROM e WHERE gp = prev""")
+_SEEN = "epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM events) - 600000"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, floor(value / 10)::BIGINT AS gp, lag(floor(value / 10)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) SELECT user_id, event_id, gp FROM e WHERE gp = prev AND {_SEEN}""")
 def stream_stateful_dup(spark: SparkSession, d: str) -> DataFrame:
+    """All that the watermark has passed."""
     return jobs.run_once(jobs.repeats(_events(spark, d)), spark, "append", "repeats")
 
 
+@query("""SELECT event_id, user_id FROM events WHERE hour(ts) BETWEEN 8 AND 17""")
+def stream_daylight(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.run_once(jobs.daylight(_events(spark, d)).select("event_id", "user_id"), spark, "append", "daylight")
+
+
+@query("""SELECT 'U' || user_id % 10 AS project_id, 'Frames/F_' || event_id || '.npy' AS npy_file, ts AS time, floor(value * 100)::BIGINT AS gp FROM events""")
+def stream_log(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines written as text files by project, read as a stream, and their frame records."""
+    path = shared.place(spark, "logs")
+    proxies.log_lines(spark, d).repartition("project_id").write.partitionBy("project_id").text(path)
+    lines = jobs.log_stream(spark, f"{path}/*/*.txt")
+    fields = logs.fields_of(F.col("value"))
+    rows = lines.where(F.col("value").startswith("FrameCaptured:")).select(F.regexp_replace("project_id", "^project_id=", "").alias("project_id"), fields.alias("f"))
+    get = lambda k: F.try_element_at("f", F.lit(k))
+    return jobs.run_once(rows.select("project_id", get("NpyFile").alias("npy_file"), parse_time(get("Time")).alias("time"), get("GP").cast("bigint").alias("gp")), spark, "append", "log")
+
+
+@query(None)
+def stream_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """The tracker as a stream over boxes that drift, a video for each supplier; tests hold it against the batch."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    frame = (F.col("l_orderkey") % 200).cast("int")
+    boxes = x.groupBy(F.col("l_suppkey").cast("string").alias("base_name"), frame.alias("frame"), (F.col("l_partkey") % 8).alias("k")).agg(F.avg("l_discount").alias("s"))
+    left, top = F.col("k") * 150.0 + F.col("frame") * 0.5, F.col("k") * 90.0 + F.col("frame") * 0.25
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame") * 60)
+    made = shared.written(boxes.select("base_name", "frame", ts.alias("ts"), left.alias("x1"), top.alias("y1"), (left + 60).alias("x2"), (top + 40).alias("y2"), (1 - F.col("s")).alias("score"), (F.col("k") % 2).cast("double").alias("class_id")), "boxes")
+    stream = spark.readStream.schema(made.schema).parquet(made.inputFiles()[0].rsplit("/", 1)[0])
+    return jobs.run_once(jobs.online_tracks(stream), spark, "append", "tracks")
+
+
 @query("""SELECT user_id, epoch_us(max(ts)) AS last_us FROM events GROUP BY ALL HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 25 MINUTE""")
 def stream_silence(spark: SparkSession, d: str) -> DataFrame:
     """The last report of each key: all that fell silent before the watermark's end."""

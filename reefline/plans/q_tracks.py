@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reefline.functions.expr import box_from_centre, split_tag
+from reefline.functions.expr import box_from_centre, box_shape, in_polygon, repair_year, split_tag, typed
 from reefline.operators import catalog, tracks
 from reefline.plans import proxies
 from reefline.plans.q_depth import r6
-from reefline.sources import logs
+from reefline.shared import place
+from reefline.sources import files, logs
 
 QUERIES, ORACLES = {}, {}
 TR, CL, ST = proxies.TRACKS, proxies.CLUSTERS, proxies.STATES
@@ -43,9 +44,9 @@ def track_length_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {TR}, {CL}, e AS (SELECT * FROM clusters WHERE "ClipCreated" = 'Yes'), m AS (
-  SELECT "LID", frame, track_id, (yc - "X") * (yc - "X") + (xc - "Y") * (xc - "Y") AS dd, row_number() OVER (PARTITION BY "LID" ORDER BY (yc - "X") * (yc - "X") + (xc - "Y") * (xc - "Y"), frame, track_id) AS r
+  SELECT "LID", "VideoID", frame, track_id, (yc - "X") * (yc - "X") + (xc - "Y") * (xc - "Y") AS dd, row_number() OVER (PARTITION BY "VideoID", "LID" ORDER BY (yc - "X") * (yc - "X") + (xc - "Y") * (xc - "Y"), frame, track_id) AS r
   FROM e JOIN tracks ON base_name = "VideoID" AND frame > (t - 0.5) * 29 AND frame < (t + 0.5) * 29
-) SELECT e."LID", e."VideoID", track_id, frame, round(dd, 6) AS distance2 FROM e LEFT JOIN m ON m."LID" = e."LID" AND r = 1""")
+) SELECT e."LID", e."VideoID", track_id, frame, round(dd, 6) AS distance2 FROM e LEFT JOIN m ON m."LID" = e."LID" AND m."VideoID" = e."VideoID" AND r = 1""")
 def event_track_association(spark: SparkSession, d: str) -> DataFrame:
     return r6(tracks.associate(proxies.clusters(spark, d), proxies.tracks(spark, d)))
 
@@ -76,16 +77,52 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
 ), p AS (SELECT a.base_name, a.frame, a.id AS a_id, b.id AS b_id, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS u FROM b a JOIN b ON a.base_name = b.base_name AND a.frame = b.frame AND a.id < b.id)
 SELECT base_name, frame, a_id, b_id, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) > 0.3""")
 def box_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return r6(tracks.iou_pairs(_boxes(spark, d), least=0.3))
+
+
+@query("""WITH b AS (SELECT (l_suppkey % 10)::VARCHAR AS base_name, (l_orderkey % 2000)::INT AS frame, l_linenumber AS line, l_orderkey * 10 + l_linenumber AS id, l_quantity * 20 - (l_tax * 400 + 100) / 2 AS x1, l_extendedprice % 972.0 - (l_discount * 300 + 100) / 2 AS y1, l_quantity * 20 + (l_tax * 400 + 100) / 2 AS x2, l_extendedprice % 972.0 + (l_discount * 300 + 100) / 2 AS y2 FROM lineitem
+), p AS (SELECT a.base_name, a.frame, a.id AS a_id, b.id AS b_id, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS u FROM b a JOIN b ON a.base_name = b.base_name AND a.frame = b.frame AND a.line > 3 AND b.line <= 3)
+SELECT base_name, frame, a_id, b_id, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) > 0.3""")
+def box_iou_two_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of one table against those of another, whatever the order of their ids."""
     b = _boxes(spark, d)
-    return r6(tracks.iou_pairs(b, b, 0.3))
+    return r6(tracks.iou_pairs(b.where(F.col("box_id") % 10 > 3), b.where(F.col("box_id") % 10 <= 3), 0.3))
+
+
+_LONG = f"""{TR}, p AS (SELECT base_name, track_id, frame, xc / 1000 * 1296 AS xc, yc / 972 * 972 AS yc, class_id, p_value FROM tracks
+), n AS (SELECT *, count(p_value) OVER (PARTITION BY base_name, track_id) AS len, CASE WHEN (xc > 200 AND xc < 1000 AND yc > 100 AND yc < 900) THEN 1.0 ELSE 0.0 END AS inb FROM p
+), s AS (SELECT base_name, track_id, count(p_value) AS track_length, avg(class_id) AS r, avg(p_value) AS pv, avg(inb) AS ib FROM n WHERE len > 100 GROUP BY ALL)"""
+
+
+def _summarized(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    points = proxies.tracks(spark, d).withColumns({"xc": F.col("xc") / 1000, "yc": F.col("yc") / 972, "w": F.col("w") / 1296, "h": F.col("h") / 972})
+    sizes = points.select("base_name").distinct().withColumns({"width": F.lit(1296), "height": F.lit(972)})
+    inside = in_polygon(F.col("xc"), F.col("yc"), [(200.0, 100.0), (1000.0, 100.0), (1000.0, 900.0), (200.0, 900.0)])
+    return tracks.summarize(points, sizes, inside, 100)
+
+
+@query(f"""WITH {_LONG} SELECT base_name, track_id, track_length::BIGINT AS track_length, round(r, 6) AS "Reflection", round(pv, 6) AS p_value, round(ib, 6) AS "InBounds" FROM s""")
+def tracks_in_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return r6(_summarized(spark, d)[1])
+
+
+@query(f"""WITH {_LONG}, lv AS (SELECT unnest(range(7)) AS level), k AS (SELECT level, base_name, frame, track_id FROM n, lv WHERE len > 190 - 15 * level
+), sh AS (SELECT level, base_name, frame FROM k GROUP BY ALL HAVING count(*) > 1
+), c AS (SELECT level, base_name, track_id FROM k JOIN sh USING (level, base_name, frame) GROUP BY ALL HAVING count(*) > 40
+), f AS (SELECT c.level, s.* FROM c JOIN s USING (base_name, track_id) WHERE ib > 0.3 AND track_length > 190 - 15 * level
+), pk AS (SELECT coalesce(min(level) FILTER (WHERE n >= 30), 6) AS level FROM (SELECT level, count(*) AS n FROM f GROUP BY level))
+SELECT base_name, track_id, track_length::BIGINT AS track_length, round(r, 6) AS "Reflection", round(pv, 6) AS p_value, round(ib, 6) AS "InBounds", (190 - 15 * level)::INT AS min_length FROM f JOIN pk USING (level)""")
+def video_candidates(spark: SparkSession, d: str) -> DataFrame:
+    points, summary = _summarized(spark, d)
+    return r6(tracks.video_candidates(points, summary, 30, 190, 15, 40, 0.3))
 
 
 @query(None)
 def sort_tracks(spark: SparkSession, d: str) -> DataFrame:
-    """Drifting boxes made from line items: rows of a part move along with the frame number."""
+    """Drifting boxes made from line items: a video for each supplier, whose rows of a part move along with the frame."""
     x = spark.read.parquet(f"{d}/lineitem.parquet")
     frame = (F.col("l_orderkey") % 200).cast("int")
-    boxes = x.groupBy((F.col("l_suppkey") % 10).cast("string").alias("base_name"), frame.alias("frame"), (F.col("l_partkey") % 8).alias("k")).agg(F.avg("l_discount").alias("s"))
+    boxes = x.groupBy(F.col("l_suppkey").cast("string").alias("base_name"), frame.alias("frame"), (F.col("l_partkey") % 8).alias("k")).agg(F.avg("l_discount").alias("s"))
     left, top = F.col("k") * 150.0 + F.col("frame") * 0.5, F.col("k") * 90.0 + F.col("frame") * 0.25
     return tracks.track_objects(boxes.select("base_name", "frame", left.alias("x1"), top.alias("y1"), (left + 60).alias("x2"), (top + 40).alias("y2"), (1 - F.col("s")).alias("score"), (F.col("k") % 2).cast("double").alias("class_id")))
 
@@ -199,3 +236,170 @@ def job_log_pivot(spark: SparkSession, d: str) -> DataFrame:
     lines = F.array(F.concat(F.lit("Job id: "), k), F.concat(F.lit("Job name: job"), F.col("o_custkey").cast("string")), F.concat(F.lit("Resources: nodes="), (F.col("o_orderkey") % 4 + 1).cast("string"), F.lit(":ppn="), (F.col("o_orderkey") % 8 + 1).cast("string")), F.concat(F.lit("Rsrc Used: mem="), F.floor("o_totalprice").cast("bigint").cast("string"), F.lit("kb,cput=01:02:03")), F.when(F.col("o_orderkey") % 10 == 0, "=>> PBS: job killed: walltime exceeded"))
     text = o.select(F.concat(F.lit("j"), k).alias("file"), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("value"))
     return logs.job_logs(text).select("file", "job_id", "job_name", "nodes", "ppn", "outcome", "used_mem")
+
+
+@query("""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS box_id, l_quantity * 20 AS xc, l_extendedprice % 972.0 AS yc, l_tax * 400 + 100 AS w, l_discount * 300 + 100 AS h FROM lineitem)
+SELECT box_id, round(xc, 6) AS u, round(yc, 6) AS v, round(w * h, 6) AS s, round(w / h, 6) AS r FROM b""")
+def box_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return r6(_boxes(spark, d).select("box_id", *box_shape(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])))
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN '(' || event_id || ', 2)' WHEN 2 THEN 'True' WHEN 3 THEN event_id::VARCHAR WHEN 4 THEN event_id || '.5' WHEN 5 THEN event_id || 'x972' ELSE event_type END AS v FROM events)
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'date' WHEN 1 THEN 'tuple' WHEN 2 THEN 'bool' WHEN 3 THEN 'int' WHEN 4 THEN 'float' WHEN 5 THEN 'resolution' ELSE 'text' END AS kind FROM e""")
+def typed_values(spark: SparkSession, d: str) -> DataFrame:
+    e, n, k = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id").cast("string"), F.col("event_id") % 7
+    v = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.concat(F.lit("("), n, F.lit(", 2)"))).when(k == 2, "True").when(k == 3, n).when(k == 4, F.concat(n, F.lit(".5"))).when(k == 5, F.concat(n, F.lit("x972"))).otherwise(F.col("event_type"))
+    return e.select("event_id", typed(v).alias("kind"))
+
+
+@query("""SELECT event_id, date_trunc('second', ts) AS time FROM events""")
+def year_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Times of day, dated by the folder that names the day."""
+    from reefline.functions.expr import parse_time
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    path = F.concat(F.date_format("ts", "MMMM-dd-yyyy"), F.lit("/F.npy"))
+    return e.select("event_id", repair_year(parse_time(F.date_format("ts", "HH:mm:ss")), path).alias("time"))
+
+
+def _all_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The log lines, with a header for each user and other records."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    pid = F.concat(F.lit("U"), (F.col("user_id") % 10).cast("string"))
+    swapped = F.col("user_id") % 2 == 0
+    tank, project = F.concat(F.lit("Tk"), F.col("user_id").cast("string")), F.concat(F.lit("P_"), F.col("user_id").cast("string"))
+    head = F.concat(F.lit("MasterStart: System: pi,,Device: kinect,,Uname: u,,TankID: "), F.when(swapped, project).otherwise(tank), F.lit(",,ProjectID: "), F.when(swapped, tank).otherwise(project), F.lit(",,AnalysisID: A"))
+    heads = e.groupBy("user_id").agg(F.count("*").alias("_n")).select(pid.alias("project_id"), head.alias("value"))
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    back = F.concat(F.lit("BackgroundCaptured: NpyFile: B_"), F.col("event_id").cast("string"), F.lit(".npy,,PicFile: b.jpg,,Time: "), time, F.lit(",,AvgMed: 1.5,,AvgStd: 0.5,,GP: 7,,LOF: True"))
+    reset = F.concat(F.lit("TankResetStart: Time: "), time, F.lit(",,Time: "), time)
+    more = e.where("event_id % 20 = 0").select(pid.alias("project_id"), F.explode(F.array(back, reset)).alias("value"))
+    return proxies.log_lines(spark, d).unionByName(heads).unionByName(more)
+
+
+@query("""SELECT 'U' || user_id % 10 AS project_id, 'Tk' || user_id AS tank_id, 'P_' || user_id AS log_project, count(*) OVER (PARTITION BY user_id % 10)::BIGINT AS n_headers FROM (SELECT DISTINCT user_id FROM events)""")
+def log_headers(spark: SparkSession, d: str) -> DataFrame:
+    return logs.headers(_all_lines(spark, d)).select("project_id", "tank_id", "log_project", "n_headers")
+
+
+@query("""SELECT 'U' || user_id % 10 AS project_id, 'B_' || event_id || '.npy' AS npy_file, date_trunc('second', ts) AS time, 1.5::DOUBLE AS med, 7::BIGINT AS gp, true AS lof FROM events WHERE event_id % 20 = 0""")
+def log_backgrounds(spark: SparkSession, d: str) -> DataFrame:
+    return logs.frames(_all_lines(spark, d), "BackgroundCaptured").select("project_id", "npy_file", "time", "med", "gp", "lof")
+
+
+@query("""SELECT 'U' || user_id % 10 AS project_id, 'TankResetStart' AS type, date_trunc('second', ts) AS time FROM events WHERE event_id % 20 = 0""")
+def log_others(spark: SparkSession, d: str) -> DataFrame:
+    return logs.other_records(_all_lines(spark, d)).select("project_id", "type", "time")
+
+
+@query("""WITH m AS (SELECT 'U' || user_id % 10 AS project_id, ts, CASE WHEN event_id % 100 = 0 THEN 'Unknown' ELSE 'Videos/' || event_id || '_pic.jpg' END AS pic, event_id FROM events WHERE event_id % 50 = 0
+), f AS (SELECT project_id, arg_min(pic, ts) FILTER (WHERE hour(ts) BETWEEN 8 AND 20) AS a, min(ts) FILTER (WHERE hour(ts) BETWEEN 8 AND 20) AS t, arg_max(pic, ts) AS b FROM m GROUP BY project_id HAVING t IS NOT NULL
+), e AS (SELECT f.project_id, arg_min('Frames/F_' || event_id || '.npy', ts) AS c, arg_max('Frames/F_' || event_id || '.npy', ts) AS d FROM f JOIN events ON 'U' || user_id % 10 = f.project_id AND ts > t AND hour(ts) BETWEEN 8 AND 17 GROUP BY ALL)
+SELECT f.project_id, a AS first_picture, b AS last_picture, c AS first_depth, d AS last_depth FROM f LEFT JOIN e USING (project_id)""")
+def first_last_images(spark: SparkSession, d: str) -> DataFrame:
+    lines = proxies.log_lines(spark, d)
+    frames = logs.frames(lines)
+    return catalog.first_last_images(logs.movies(lines, frames), frames)
+
+
+@query("""SELECT DISTINCT 'C' || o_custkey AS project_id FROM orders UNION SELECT 'C' || c_custkey FROM customer""")
+def project_ids(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda t, c: spark.read.parquet(f"{d}/{t}.parquet").select(F.concat(F.lit("C"), F.col(c).cast("string")).alias("project_id"))
+    return catalog.project_ids(name("orders", "o_custkey"), name("customer", "c_custkey"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders""")
+def shuffled_rows(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.shuffled(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@query("""SELECT base_name, count(*)::BIGINT AS n FROM (SELECT DISTINCT (l_suppkey % 10)::VARCHAR AS base_name, l_orderkey, l_linenumber FROM lineitem) GROUP BY ALL""".replace("count(*)", "least(count(*), 50)"))
+def sampled_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty boxes of each video, the same each time."""
+    b = _boxes(spark, d)
+    k = F.row_number().over(W.partitionBy("base_name").orderBy(F.xxhash64("box_id"), "box_id"))
+    return b.withColumn("k", k).where("k <= 50").groupBy("base_name").count().withColumnRenamed("count", "n")
+
+
+# --- tables written to files and read again ----------------------------------------------------------
+
+
+@query(f"""WITH {TR} SELECT base_name, track_id, frame, round(xc, 6) AS xc, round(p_value, 6) AS p_value FROM tracks""")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "csv")
+    files.write_csv(proxies.tracks(spark, d).select("base_name", "track_id", "frame", "xc", "p_value"), path)
+    return r6(files.read_csv(spark, path, "base_name string, track_id long, frame int, xc double, p_value double"))
+
+
+@query("""SELECT l_orderkey % 1200 AS index, 'f' || (l_orderkey % 1200) AS name, 1296 AS width, 972 AS height, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL""")
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "manifest")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 1200).cast("int").alias("index"), F.lit(1296).alias("width"), F.lit(972).alias("height"))
+    header = rows.limit(1).select(F.lit(None).cast("int").alias("index"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("string").alias("name"))
+    rows.withColumn("name", F.concat(F.lit("f"), F.col("index").cast("string"))).unionByName(header).write.json(path)
+    return files.read_manifest(spark, path).groupBy(F.col("index").cast("long").alias("index"), "name", "width", "height").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT (l_orderkey % 1000)::INT AS frame, l_returnflag AS label, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS x FROM lineitem GROUP BY ALL""")
+def annotations_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "annotations")
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    shape = F.struct(F.lit("rectangle").alias("type"), F.array(F.col("l_quantity").cast("double"), F.lit(1.0)).alias("points"), (F.col("l_orderkey") % 1000).cast("int").alias("frame"), F.array(F.lit("a")).alias("attributes"), F.col("l_returnflag").alias("label"))
+    x.groupBy("l_orderkey").agg(F.collect_list(shape).alias("shapes")).select("shapes").write.json(path)  # an order's own lines
+    return files.read_annotations(spark, path, lines=True).groupBy("frame", "label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("points")[0]), 2).alias("x"))
+
+
+@query(f"""WITH {TR} SELECT base_name AS project_id, count(*)::BIGINT AS n, round(sum(xc), 4) AS x FROM tracks GROUP BY ALL""")
+def by_project_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "cubes")
+    files.write_by_project(proxies.tracks(spark, d).withColumnRenamed("base_name", "project_id").repartition("project_id"), path)
+    rows = spark.read.parquet(path).groupBy(F.col("project_id").cast("string").alias("project_id")).agg(F.count("*").alias("n"), F.round(F.sum("xc"), 4).alias("x"))
+    return rows
+
+
+@query(f"""WITH {TR} SELECT DISTINCT 'project_id=' || base_name AS dir FROM tracks""")
+def file_listing(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "listed")
+    files.write_by_project(proxies.tracks(spark, d).withColumnRenamed("base_name", "project_id").repartition("project_id"), path)
+    return files.read_listing(spark, path).where(F.col("name").endswith(".parquet")).select("dir").distinct()
+
+
+@query("""SELECT 'Orders' AS sheet, count(*)::BIGINT AS n FROM orders UNION ALL SELECT 'Customers', count(*) FROM customer""")
+def sheets_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "sheets")
+    key = lambda t, c: spark.read.parquet(f"{d}/{t}.parquet").select(F.col(c).alias("key"))
+    files.write_sheets({"Orders": key("orders", "o_orderkey"), "Customers": key("customer", "c_custkey")}, path)
+    return spark.read.parquet(path).groupBy("sheet").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey AS key, o_custkey AS customer, NULL::VARCHAR AS name FROM orders UNION ALL SELECT c_custkey, NULL, c_name FROM customer""")
+def append_merge(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"))
+    return files.append_merge(orders, spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")))
+
+
+@query("""WITH r(annotator, lo, hi) AS (VALUES (0, 750, 99999), (1, 0, 249), (2, 551, 749)), m AS (SELECT DISTINCT o_orderkey % 1200 AS idx FROM orders)
+SELECT annotator, label, count(*)::BIGINT AS n FROM (SELECT l_linenumber % 3 AS annotator, l_orderkey % 1000 AS frame, CASE WHEN l_returnflag = 'R' THEN 'Reflection' ELSE 'Fish' END AS label FROM lineitem) JOIN r USING (annotator) JOIN m ON idx = frame WHERE frame BETWEEN lo AND hi GROUP BY ALL""")
+def annotation_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Three annotators' batches joined, ranged, boxed, tagged, written by tag and read again."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    left, top = F.col("l_quantity") * 10, F.col("l_quantity") * 5
+    shapes = x.select((F.col("l_linenumber") % 3).cast("int").alias("annotator"), (F.col("l_orderkey") % 1000).alias("frame"), F.when(F.col("l_returnflag") == "R", "Reflection").otherwise(F.col("l_returnflag")).alias("label"), F.array(left, top, left + 40, top + 30).alias("points"))
+    manifest = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") % 1200).alias("index")).distinct().select("index", F.concat(F.lit("f"), F.col("index").cast("string")).alias("name"), F.lit(1296).alias("width"), F.lit(972).alias("height"))
+    ranges = spark.createDataFrame([(0, 750, 99999), (1, 0, 249), (2, 551, 749)], "annotator int, lo int, hi int")
+    whole = catalog.annotation_dataset([shapes.where(F.col("annotator") == k) for k in range(3)], manifest, F.broadcast(ranges))
+    path = place(spark, "dataset")
+    files.write_split(whole, path)
+    return spark.read.parquet(path).groupBy("annotator", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ST}, f AS (SELECT l_orderkey, l_linenumber, bool_or(l_returnflag <> 'R') AS listed FROM lineitem GROUP BY ALL
+), r AS (SELECT 'O' || l_orderkey AS project_id, bool_and(listed) AS complete FROM f GROUP BY ALL
+), s AS (SELECT "projectID", upper(coalesce("RunAnalysis", 'TRUE')) = 'TRUE' AND {_true("StartingFiles")} AND {_true("Prep")} AS go, {_true("Depth")} OR coalesce(complete, false) AS depth, {_true("TrackFish")} AS track FROM states LEFT JOIN r ON project_id = "projectID")
+SELECT "projectID", depth AS depth_done, CASE WHEN go AND NOT depth AND NOT track THEN 'Depth,TrackFish' WHEN go AND NOT depth THEN 'Depth' WHEN go AND NOT track THEN 'TrackFish' ELSE '' END AS next FROM s""")
+def project_state(spark: SparkSession, d: str) -> DataFrame:
+    """States with the stage whose files are all listed set, and what each project may run next."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    need = x.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("project_id"), F.lit("Depth").alias("stage"), F.lit("d").alias("dir"), F.col("l_linenumber").cast("string").alias("name"), "l_returnflag")
+    out = catalog.project_state(proxies.states(spark, d), ["Depth", "TrackFish"], need.drop("l_returnflag"), need.where("l_returnflag <> 'R'"))
+    return out.select("projectID", (F.upper("Depth") == "TRUE").alias("depth_done"), F.array_join("next_stages", ",").alias("next"))

@@ -40,6 +40,7 @@ class Params:
     day_start: int = 8
     day_stop: int = 18
     frame_rate: float = 29.0
+    index_fraction: float = 0.1
     half_window: float = 0.5
     min_track: int = 30
 

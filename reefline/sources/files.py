@@ -43,10 +43,10 @@ def read_detections(spark: SparkSession, path: str, width: int = 1296, height: i
     )
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Shapes of nested annotation files, one row each."""
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Shapes of nested annotation files, one row each; with ``lines`` a file has a batch of shapes on each line."""
     schema = "shapes ARRAY<STRUCT<type: STRING, points: ARRAY<DOUBLE>, frame: INT, attributes: ARRAY<STRING>, label: STRING>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("shapes").alias("s")).select("s.*")
+    return spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("shapes").alias("s")).select("s.*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -66,6 +66,32 @@ def tray(c: F.Column) -> F.Column:
     return F.array(F.least(c[0], c[2]), F.least(c[1], c[3]), F.greatest(c[0], c[2]), F.greatest(c[1], c[3]))
 
 
+def read_polygon(spark: SparkSession, path: str) -> DataFrame:
+    """``project_id`` (the file's folder), ``vertices``: polygons as text, a vertex ``x,y`` on each line."""
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    rows = spark.read.text(path, wholetext=True).select(folder.alias("project_id"), F.filter(F.split("value", "\n"), lambda v: F.trim(v) != "").alias("v"))
+    at = lambda v, i: F.split(v, ",")[i].try_cast("double")
+    return rows.select("project_id", F.transform("v", lambda v: F.struct(at(v, 0).alias("x"), at(v, 1).alias("y"))).alias("vertices"))
+
+
+def read_tray(spark: SparkSession, path: str) -> DataFrame:
+    """``project_id``, ``tray`` of tray files: four numbers by comma on the first line."""
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    rows = spark.read.text(path, wholetext=True).select(folder.alias("project_id"), F.transform(F.split(F.split("value", "\n")[0], ","), lambda v: F.trim(v).try_cast("int")).alias("t"))
+    return rows.select("project_id", tray(F.col("t")).alias("tray"))
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``m``: grids of ``.npy`` files row by row, such as a 3 by 3 transform (small ones only)."""
+    rows = read_arrays(spark, path)
+    return rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("c")).select("file", F.transform("c", lambda c: c["value"]).alias("m"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Comma-separated files with a header; nulls are empty, times ISO."""
+    df.write.mode("overwrite").csv(path, header=True)
+
+
 def write_by_project(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("project_id").parquet(path)
 

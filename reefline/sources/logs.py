@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reefline.functions.expr import int_tuple, key_values, log_field, parse_time, repair_year, truth
+from reefline.functions.expr import int_tuple, key_values, log_field, map_of, parse_time, repair_year, truth
 
 JOB_FIELDS = {"job_id": r"Job id:\s*(\S+)", "job_name": r"Job name:\s*(\S+)", "queue": r"Queue:\s*(\S+)", "user": r"User id:\s*(\S+)", "end": r"End PBS Epilogue (.*)$", "start": r"Begin PBS Prologue (.*)$"}
 
@@ -17,19 +17,29 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(folder.alias("project_id"), F.rtrim("value").alias("value"))
 
 
+def fields_of(value: Column) -> Column:
+    """The ``Key: value`` parts of a record as a map, read once; of a repeated key the last value holds."""
+    body = F.substring(value, F.locate(":", value) + 1, F.length(value))
+    parts = F.filter(F.split(body, ",,"), lambda x: x.rlike("[:=]"))
+    key = lambda x: F.trim(F.split(x, "[:=]", 2)[0])
+    return map_of(F.transform(parts, lambda x: F.struct(key(x).alias("key"), F.ltrim(F.split(x, "[:=]", 2)[1]).alias("value"))))
+
+
 def records(lines: DataFrame) -> DataFrame:
-    """Every record with its type and its fields as a map; other types stay readable here."""
-    body = F.regexp_replace("value", r"^[^:]*:\s*", "")
-    fields = F.map_from_entries(
-        F.transform(F.filter(F.split(body, ",,"), lambda x: x.rlike("[:=]")), lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:=]*)[:=]", 1)).alias("key"), F.regexp_extract(x, r"^[^:=]*(?:: |:|=)(.*)$", 1).alias("value")))
-    )
-    return lines.select("*", F.split("value", ":")[0].alias("type"), F.col("value").alias("line")).withColumn("fields", fields)
+    """Every record with its type and its fields as a map; types without a projection of their own stay readable here."""
+    return lines.select("*", F.split("value", ":")[0].alias("type"), F.col("value").alias("line")).withColumn("fields", fields_of(F.col("value")))
+
+
+def other_records(lines: DataFrame, known: tuple[str, ...] = ("MasterStart", "FrameCaptured", "BackgroundCaptured", "PiCameraStarted", "PiCameraStopped")) -> DataFrame:
+    """``project_id, type, time, fields`` of the records of all other types."""
+    rows = records(lines).where(~F.col("type").isin(*known))
+    return rows.select("project_id", "type", parse_time(F.try_element_at("fields", F.lit("Time"))).alias("time"), "fields")
 
 
 def frames(lines: DataFrame, kind: str = "FrameCaptured") -> DataFrame:
     """Frame (or ``BackgroundCaptured``) records with their place in time and relative day."""
-    get = lambda k: log_field(F.col("value"), k)
-    rows = lines.where(F.col("value").startswith(kind + ":")).select(
+    get = lambda k: F.try_element_at("fields", F.lit(k))
+    rows = lines.where(F.col("value").startswith(kind + ":")).select("project_id", fields_of(F.col("value")).alias("fields")).select(
         "project_id", get("NpyFile").alias("npy_file"), get("PicFile").alias("pic_file"),
         parse_time(get("Time")).alias("time"), get("AvgMed").try_cast("double").alias("med"),
         get("AvgStd").try_cast("double").alias("std"), get("GP").try_cast("bigint").alias("gp"), truth(get("LOF")).alias("lof"),
@@ -69,14 +79,21 @@ def headers(lines: DataFrame) -> DataFrame:
     return rows.withColumn("n_headers", F.count("*").over(W.partitionBy("project_id")))
 
 
-def job_logs(lines: DataFrame) -> DataFrame:
-    """One row for each job log (``file, value``): fields, resources as columns, outcome."""
+#: Columns that job logs may turn into.
+MOST_KEYS = 1000
+
+
+def job_logs(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row for each job log (``file, value``): fields, resources as columns, outcome. ``keys`` names the
+    resources wanted; without it they are listed first. A resource without a value is Y.
+    """
     text = lines.groupBy("file").agg(F.array_join(F.collect_list("value"), "\n").alias("text"))
     get = lambda p: F.nullif(F.regexp_extract("text", "(?m)" + p, 1), F.lit(""))
     rows = text.select(
         "file", *[get(p).alias(k) for k, p in JOB_FIELDS.items()], get(r"^Resources:\s*(.*)$").alias("asked"), get(r"^Rsrc Used:\s*(.*)$").alias("used"),
         F.when(F.col("text").rlike("(?i)job killed"), "killed").otherwise("successful").alias("outcome"),
     )
-    pairs = rows.select("file", F.explode(F.map_concat(F.coalesce(key_values(F.col("asked")), F.create_map().cast("map<string,string>")), F.transform_keys(F.coalesce(key_values(F.col("used")), F.create_map().cast("map<string,string>")), lambda k, _: F.concat(F.lit("used_"), k)))))
-    wide = pairs.groupBy("file").pivot("key").agg(F.first(F.coalesce("value", F.lit("Y"))))
-    return rows.drop("asked", "used").join(wide, "file", "left").orderBy("job_name")
+    given = lambda c, prefix: F.transform(F.map_entries(F.coalesce(key_values(F.col(c)), F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("key"), F.coalesce(e["value"], F.lit("Y")).alias("value")))
+    pairs = rows.withColumn("given", map_of(F.concat(given("asked", ""), given("used", "used_"))))
+    names = [r[0] for r in pairs.select(F.explode(F.map_keys("given")).alias("k")).distinct().orderBy("k").limit(MOST_KEYS).collect()] if keys is None else keys
+    return pairs.select(*[c for c in rows.columns if c not in ("asked", "used")], *[F.try_element_at("given", F.lit(k)).alias(k) for k in names]).orderBy("job_name")

@@ -1,17 +1,25 @@
 """Streaming forms of the live loops: windows of samples, sliding change, sessions, duplicate and
-staleness alerts, deduplication and online tracking. Late rows: a watermark of ten minutes.
+staleness alerts, deduplication and online tracking.
+
+Late rows: a watermark of ten minutes. Jobs that need the order of rows (``in_order``) hold a key's rows back
+until the watermark has passed them, so that late rows take their place and a micro-batch's bounds don't
+matter; a key without rows for a day of event time is forgotten.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from reefline import shared
+from reefline.operators import depth, regions
+from reefline.operators.tracks import TRACKED, Tracker, skip, tracked_rows
+
 LATE = "10 minutes"
 
 
@@ -49,55 +57,79 @@ def deduplicated(events: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def daylight(events: DataFrame) -> DataFrame:
-    return events.where(F.hour("ts").between(8, 17))
+    return events.where(depth.lights_on(F.col("ts")))
 
 
-def _repeats(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(batches).sort_values(["ts", "event_id"])
-    found = []
-    for r in rows.itertuples():
-        if last is not None and r.gp == last:
-            found.append((key[0], r.event_id, r.gp))
-        last = r.gp
-    state.update((last,))
-    yield pd.DataFrame(found, columns=["user_id", "event_id", "gp"])
+#: Milliseconds of event time after which a silent key is forgotten.
+FORGET = 86_400_000
+
+
+def in_order(rows: DataFrame, key: str, made: str, start: Callable[[], object], step: Callable[[object, pd.DataFrame, object], tuple[pd.DataFrame, object]], late: str = LATE) -> DataFrame:
+    """What ``step(key, rows, state)`` makes (a DDL ``made``, and the next state) of each key's rows in order of
+    ``ts``, then the other columns, once the watermark has passed them. ``start`` gives a key's first state.
+    """
+    names = [c for c in rows.columns if c != key]
+    source = rows.withWatermark("ts", late).select("*", F.unix_millis("ts").alias("_ms"))
+    empty = [c.split()[0] for c in made.split(", ")]
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, own = pickle.loads(state.get[0]) if state.exists else (None, start())
+        parts = [x for x in ([held] if held is not None else []) + [b[[*names, "_ms"]] for b in batches] if len(x)]
+        mark = state.getCurrentWatermarkMs()
+        if not parts:
+            if state.hasTimedOut:
+                state.remove()
+            yield pd.DataFrame(columns=empty)
+            return
+        both = pd.concat(parts)
+        due, wait = both[both["_ms"] <= mark], both[both["_ms"] > mark]
+        out = pd.DataFrame(columns=empty)
+        if len(due):
+            out, own = step(k[0], due.sort_values(["ts", *[c for c in names if c != "ts"]]), own)
+        state.update((pickle.dumps((wait if len(wait) else None, own)),))
+        state.setTimeoutTimestamp(int(wait["_ms"].min()) if len(wait) else max(mark, int(both["_ms"].max())) + FORGET)
+        yield out
+
+    return source.groupBy(key).applyInPandasWithState(run, made, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _repeats(user: object, rows: pd.DataFrame, last: object) -> tuple[pd.DataFrame, object]:
+    before = rows["gp"].shift(1)
+    before.iloc[0] = last
+    same = rows[(rows["gp"] == before).to_numpy()]
+    return pd.DataFrame({"user_id": user, "event_id": same["event_id"], "gp": same["gp"]}), int(rows["gp"].iloc[-1])
 
 
 def repeats(events: DataFrame) -> DataFrame:
     """Readings equal to the project's previous one, with the previous one kept as state."""
     rows = events.select("user_id", "event_id", "ts", F.floor(F.col("value") / 10).cast("long").alias("gp"))
-    return rows.groupBy("user_id").applyInPandasWithState(_repeats, "user_id long, event_id long, gp long", "gp long", "append", GroupStateTimeout.NoTimeout)
+    return in_order(rows, "user_id", "user_id long, event_id long, gp long", lambda: None, _repeats)
 
 
-def online_tracks(detections: DataFrame) -> DataFrame:
-    """Tracks of each micro-batch's detections; the tracker of a video is its pickled state."""
-    import pickle
-
-    from reefline.operators.tracks import Tracker, _corners
+def _follow(name: str, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+    tracker, last = state
+    found = []
+    for frame, g in rows.sort_values(["frame", "x1", "y1", "x2", "y2"]).groupby("frame"):
+        if last is not None:
+            found += skip(name, tracker, last + 1, int(frame))
+        found += tracked_rows(name, tracker, int(frame), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float), g["class_id"].to_numpy(float))
+        last = int(frame)
+    return pd.DataFrame(found, columns=[c.split()[0] for c in TRACKED.split(", ")]), (tracker, last)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = pickle.loads(state.get[0]) if state.exists else Tracker()
-        rows = []
-        for frame, g in pd.concat(batches).sort_values(["frame", "x1"]).groupby("frame"):
-            for t in tracker.step(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float), g["class_id"].to_numpy(float)):
-                b = _corners(t["x"])
-                rows.append((key[0], t["id"], int(frame), *map(float, b)))
-        state.update((pickle.dumps(tracker),))
-        yield pd.DataFrame(rows, columns=["base_name", "track_id", "frame", "x1", "y1", "x2", "y2"])
 
-    return detections.groupBy("base_name").applyInPandasWithState(step, "base_name string, track_id long, frame int, x1 double, y1 double, x2 double, y2 double", "tracker binary", "append", GroupStateTimeout.NoTimeout)
+def online_tracks(detections: DataFrame) -> DataFrame:
+    """Tracks of a stream of boxes (base_name, ts, frame, x1, y1, x2, y2, score, class_id), as ``track_objects``
+    finds them in the whole: the tracker of a video is its state, and frames without boxes are stepped.
+    """
+    rows = detections.select("base_name", "ts", "frame", "x1", "y1", "x2", "y2", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("class_id", F.lit(0.0)).alias("class_id"))
+    return in_order(rows, "base_name", TRACKED, lambda: (Tracker(), None), _follow)
 
 
 def run_once(stream: DataFrame, spark: SparkSession, mode: str, name: str) -> DataFrame:
     """All available input through a stream, result as a table in the shared folder (or in memory for
     modes that rewrite their result).
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    import uuid
-
-    run = uuid.uuid4().hex
-    log = f"{at.rstrip('/')}/stream-{name}-{run}"
+    log = shared.place(spark, f"stream-{name}")
     if mode == "append":
         out = f"{log}-out"
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
@@ -131,17 +163,27 @@ def silence_alerts(events: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def live_monitor(cells: DataFrame, out: str, checkpoint: str, th: float, min_pixels: int, hours: int = 2):
-    """Starts the live view: for each batch of new frames (project_id, frame_idx, y, x, depth, ts, lof) the
-    change over its last hours by daylight and the regions in it, appended to ``out``.
+    """Starts the live view: after each batch of new frames (project_id, frame_idx, y, x, depth, ts, lof) the
+    change over the last hours by daylight, whatever batch their frames came in, and the regions in it,
+    written to ``out`` by batch.
+
+    Frames are kept by day beside ``checkpoint``; a batch reads back the days that its projects' last hours touch.
+    A batch that runs again writes the same files anew.
     """
-    from reefline.operators import regions
+    store = f"{checkpoint.rstrip('/')}-frames"
 
     def update(batch: DataFrame, n: int) -> None:
-        day = batch.where("lof")
-        last = day.groupBy("project_id").agg(F.max("ts").alias("_last"))
-        recent = day.join(last, "project_id").where(F.col("ts") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+        spark = batch.sparkSession
+        batch.where("lof").select("*", F.to_date("ts").alias("_day")).write.mode("overwrite").partitionBy("_day").parquet(f"{store}/batch={n}")
+        if batch.where("lof").isEmpty():
+            return
+        last = batch.where("lof").groupBy("project_id").agg(F.max("ts").alias("_new"))
+        since = last.agg(F.min("_new")).first()[0] - pd.Timedelta(hours=hours)
+        kept = spark.read.option("basePath", store).schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema)}, batch int, _day date").parquet(store)
+        kept = kept.where((F.col("batch") <= n) & (F.col("_day") >= F.lit(since.date()))).join(last.select("project_id"), "project_id", "left_semi")
+        recent = depth.last_hours(kept, "project_id", hours)
         ends = recent.groupBy("project_id", "y", "x").agg(F.min(F.struct("ts", "depth")).alias("a"), F.max(F.struct("ts", "depth")).alias("b"))
         change = ends.select("project_id", "y", "x", (F.col("b.depth") - F.col("a.depth")).alias("change"))
-        regions.bower_regions(change, ["project_id"], th, min_pixels, mode="abs").withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+        regions.bower_regions(change, ["project_id"], th, min_pixels, mode="abs").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return cells.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

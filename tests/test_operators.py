@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reefline.functions import expr
 from reefline.operators import catalog, depth, events, regions, reports, tracks
+from reefline.schemas import PARAMS
 from reefline.sources import files, logs
 from reefline.streaming import jobs
 
@@ -146,19 +147,43 @@ def test_components_agree_and_partition_the_mask(spark):
     assert regions.jaccard(r, r.limit(0), ["window_id"], windows).first().agreement == 0.0
 
 
-def test_volume_threshold_of_few_pixels_is_the_smallest(spark):
-    change = spark.createDataFrame([("w", 0, i, float(v)) for i, v in enumerate([3, -2, 1])], "window_id string, y int, x int, change double")
-    assert depth.kth_threshold(change, ["window_id"]).first().threshold == 1.0
-    s = depth.volume_summary(change, ["window_id"]).first()
-    assert s.bower_index == pytest.approx((4 - 2) / 6)
+def test_volume_summary_by_hand(spark):
+    """Castle 3, 2 and pit -4; outside 1, -1. Of 25 good pixels the second largest is 3: only the pit lies above it."""
+    rows = [("p", "w", 0, i, float(v)) for i, v in enumerate([3, 2, 1, -1, -4])] + [("p", "w", 0, 5, None)]
+    change = spark.createDataFrame(rows, "project_id string, window_id string, y int, x int, change double")
+    marks = spark.createDataFrame([("p", "w", 0, 0, 1), ("p", "w", 0, 1, 1), ("p", "w", 0, 4, -1)], "project_id string, window_id string, y int, x int, label int")
+    keys = ["project_id", "window_id"]
+    s = depth.volume_summary(change, keys, marks, 25).first()
+    a = PARAMS.area
+    want = dict(absolute_volume=11 * a, summed_volume=1 * a, castle_area=2 * a, pit_area=a, castle_volume=5 * a, pit_volume=4 * a, bower_volume=9 * a, threshold_castle_volume=0, threshold_pit_volume=4, bower_index=-1)
+    assert s.asDict() == {"project_id": "p", "window_id": "w", **{k: pytest.approx(v) for k, v in want.items()}}
+    s = depth.volume_summary(change, keys, marks, 9).first()  # k is zero: the smallest, 1
+    assert (s.threshold_castle_volume, s.threshold_pit_volume, s.bower_index) == (5, 4, pytest.approx(1 / 9))
+    s = depth.volume_summary(change, keys, marks, 100).first()  # fewer values than k: 0
+    assert s.bower_index == pytest.approx(1 / 9) and depth.kth_threshold(change, keys, 100).first().threshold == 0
+    assert depth.volume_summary(change, keys, marks.limit(0), 25).first().bower_index is None
+    cube = spark.createDataFrame([("p", f, 0, x, None if (f, x) == (1, 0) else 1.0) for f in (1, 2) for x in range(3)], "project_id string, frame_idx int, y int, x int, depth double")
+    assert depth.good_pixels(cube).first().good_pixels == 2
+
+
+def test_thresholds_by_length_of_window(spark):
+    change = spark.createDataFrame([("p", w, 0, 0, 0.5) for w in "abc"], "project_id string, window_id string, y int, x int, change double")
+    windows = spark.sql("SELECT 'p' AS project_id, w AS window_id, TIMESTAMP_NTZ '2024-01-01' AS t0, TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, s) AS t1 FROM VALUES ('a', 7299), ('b', 7300), ('c', 129600) AS v(w, s)")
+    found = regions.timed_regions(change, windows, ["project_id", "window_id"], (0.2, 0.4, 1.0), 1)
+    assert {r.window_id for r in found.collect()} == {"a", "b"}
+    assert regions.timed_regions(change, windows, ["project_id", "window_id"], regions.depth_levels()).count() == 0  # under 1000 pixels
 
 
 def test_density_adds_up_to_its_events(spark):
     e = spark.createDataFrame([("w", 1.0, 1.0, 1.0), ("w", 1.0, 1.0, 1.0), ("w", 4.0, 2.0, 2.0)], "window_id string, X double, Y double, radius double")
     grid = spark.range(36).select(F.floor(F.col("id") / 6).cast("int").alias("y"), (F.col("id") % 6).cast("int").alias("x"))
-    from reefline.schemas import PARAMS
-
     assert events.density_grid(e, grid, ["window_id"]).agg(F.sum("z")).first()[0] * PARAMS.area == pytest.approx(3)
+    points = e.withColumn("radius", F.lit(0.0))  # no radius: all at the nearest cells
+    z = {(r.y, r.x): r.z * PARAMS.area for r in events.density_grid(points, grid, ["window_id"]).collect()}
+    assert z[1, 1] == pytest.approx(2, rel=0.01) and z[2, 4] == pytest.approx(1, rel=0.01)
+    windows = spark.createDataFrame([("w",), ("none",)], "window_id string")
+    rows = events.density_grid(e, grid, ["window_id"], windows=windows)
+    assert rows.count() == 72 and rows.where("window_id = 'none'").agg(F.max("z")).first()[0] == 0
 
 
 def test_polygon_edges(spark):
@@ -221,6 +246,71 @@ def test_boundary_events_are_in_both_windows(spark):
     assert rows.count() == 18 and rows.where("n > 0").count() == 2
 
 
+def test_events_are_their_video_and_number(spark):
+    e = spark.createDataFrame([(1, "v", 1.0, 5.0, 5.0, "Yes"), (1, "w", 1.0, 5.0, 5.0, "Yes")], "LID long, VideoID string, t double, X double, Y double, ClipCreated string")
+    p = spark.createDataFrame([("v", 9, 29, 5.0, 6.0)], "base_name string, track_id long, frame int, xc double, yc double")
+    assert {(r.VideoID, r.track_id) for r in tracks.associate(e, p).collect()} == {("v", 9), ("w", None)}
+
+
+def test_boxes_of_two_tables(spark):
+    box = "base_name string, frame int, box_id long, x1 double, y1 double, x2 double, y2 double"
+    a, b = spark.createDataFrame([("v", 1, 5, 250.0, 250.0, 270.0, 270.0)], box), spark.createDataFrame([("v", 1, 1, 250.0, 250.0, 270.0, 270.0), ("v", 1, 2, 260.0, 260.0, 600.0, 600.0), ("v", 2, 3, 250.0, 250.0, 270.0, 270.0)], box)
+    assert {(r.a_id, r.b_id) for r in tracks.iou_pairs(a, b).collect()} == {(5, 1), (5, 2)}
+    assert {(r.a_id, r.b_id) for r in tracks.iou_pairs(b).collect()} == {(1, 2)}
+
+
+def test_candidates_by_hand(spark):
+    """At 40 only a and b qualify together (c is shorter), at 30 c shares its frames with them too."""
+    rows = [("v", t, f) for t, n in (("a", 60), ("b", 55), ("c", 35), ("d", 80)) for f in range(n)]
+    rows = [(v, ord(t), f + 1000 * (t == "d")) for v, t, f in rows]
+    points = spark.createDataFrame(rows, "base_name string, track_id long, frame int").selectExpr("*", "1D AS p_value", "0D AS class_id", "true AS in_bounds")
+    long_ = tracks.with_length(points)
+    summary = tracks.track_summary(points)
+    pick = lambda want: {(chr(r.track_id), r.min_length) for r in tracks.video_candidates(long_, summary, want, 50, 10, 20, 0.75, 4).collect()}
+    assert pick(2) == {("a", 50), ("b", 50)}
+    assert pick(3) == {("a", 30), ("b", 30), ("c", 30)} and pick(9) == {("a", 20), ("b", 20), ("c", 20)}
+
+
+def test_tracker_skips_long_gaps(spark):
+    box = lambda f: ("v", f, 10.0, 10.0, 40.0, 40.0, 0.9, 0.0)
+    d = pd.DataFrame([box(f) for f in (0, 1, 2, 300_000_000)], columns=["base_name", "frame", "x1", "y1", "x2", "y2", "score", "class_id"])
+    assert set(tracks.run_video(d).track_id) == {0}  # after the gap a new track needs hits before it shows
+
+
+def test_night_without_light_flag(spark):
+    c = _cube(spark, {(0, 0): [1, 2, 3, 4]}).withColumn("lof", F.when(F.col("frame_idx") == 1, True))
+    assert _series(depth.night_fill(c)) == [2, 2, 2, 2]
+    assert depth.night_fill(c.withColumn("lof", F.lit(None).cast("boolean"))).count() == 4
+    times = spark.sql("SELECT 'P' AS project_id, CAST(NULL AS TIMESTAMP_NTZ) AS t")
+    assert depth.asof_frames(depth.frame_times(c), times).first().frame_idx is None
+
+
+def test_repeated_keys(spark):
+    df = spark.createDataFrame([("a=1:b=2:a=3,c",)], "v string")
+    assert df.select(expr.key_values(F.col("v"))).first()[0] == {"a": "3", "b": "2", "c": None}
+    line = spark.createDataFrame([("P", "Odd: Time: 1,,Time: 2020-02-12 08:00:00,,K=x")], "project_id string, value string")
+    r = logs.other_records(line).first()
+    assert str(r.time) == "2020-02-12 08:00:00" and r.fields == {"Time": "2020-02-12 08:00:00", "K": "x"}
+    job = spark.createDataFrame([("f", "Resources: a=1:a=2,b"), ("f", "Job name: n")], "file string, value string")
+    r = logs.job_logs(job).first()
+    assert (r.a, r.b, r.job_name) == ("2", "Y", "n")
+    states = spark.createDataFrame([("a", "F")], "projectID string, Depth string")
+    two = spark.createDataFrame([("a", "FALSE"), ("a", "TRUE")], "projectID string, value string")
+    assert [tuple(r) for r in catalog.upsert(states, two, "projectID", "Depth").collect()] == [("a", "TRUE")]
+    new = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "x"), (None, "z")], "projectID string, Depth string")
+    assert {tuple(r) for r in catalog.insert_absent(states, new, "projectID").collect()} == {("a", "F"), ("b", "x")}
+
+
+def test_geometry_files(spark, tmp_path):
+    (tmp_path / "P1").mkdir()
+    (tmp_path / "P1" / "crop.txt").write_text("1,2\n3.5,4\n\n5,6\n")
+    (tmp_path / "P1" / "tray.txt").write_text("9,1,2,8\nnote\n")
+    np.save(tmp_path / "P1" / "m.npy", np.arange(9.0).reshape(3, 3))
+    assert [tuple(v) for v in files.read_polygon(spark, str(tmp_path / "P1" / "crop.txt")).first().vertices] == [(1, 2), (3.5, 4), (5, 6)]
+    assert files.read_tray(spark, str(tmp_path / "P1" / "tray.txt")).first().tray == [2, 1, 9, 8]
+    assert files.read_matrix(spark, str(tmp_path / "P1")).first().m == list(range(9))
+
+
 def test_smooth_depth_runs_whole(spark):
     rng = np.random.default_rng(2)
     day = lambda i: f"2024-01-0{1 + i // 24}"
@@ -229,21 +319,46 @@ def test_smooth_depth_runs_whole(spark):
     assert depth.smooth_depth(c).where("depth IS NULL").count() == 0
 
 
+def _stream(spark, rows, path, cuts):
+    """The rows as a stream, a file and micro-batch for each share."""
+    pdf = rows.toPandas()
+    for k, part in enumerate(np.array_split(pdf, cuts)):
+        spark.createDataFrame(part, rows.schema).coalesce(1).write.mode("append").parquet(str(path))
+        for f in path.glob("*.parquet"):
+            if not f.name.startswith("n"):
+                f.rename(path / f"n{k}-{f.name}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
 def test_stream_of_repeats_equals_batch(spark, tmp_path):
-    rows = spark.sql("SELECT id AS event_id, id % 3 AS user_id, TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, cast(id AS int)) AS ts, cast(id DIV 6 * 10 AS double) AS value FROM range(60)")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = jobs.read_events(spark, str(tmp_path / "in"), rows.schema)
-    assert jobs.run_once(jobs.repeats(stream), spark, "append", "t").count() == 30
-    boxes = rows.selectExpr("'v' AS base_name", "cast(event_id AS int) AS frame", "cast(event_id AS double) AS x1", "0D AS y1", "event_id + 50D AS x2", "50D AS y2", "1D AS score", "0D AS class_id")
-    boxes.write.parquet(str(tmp_path / "boxes"))
-    tracked = jobs.run_once(jobs.online_tracks(spark.readStream.schema(boxes.schema).parquet(str(tmp_path / "boxes"))), spark, "append", "t")
-    assert tracked.select("track_id").distinct().count() == 1
-
-
-def test_live_monitor_reports_regions(spark, tmp_path):
-    c = _cube(spark, {(y, x): [50.0, 50.0 - 2 * (y < 2)] for y in range(4) for x in range(4)})
-    c.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(c.schema).parquet(str(tmp_path / "in"))
+    rows = spark.sql("SELECT id AS event_id, id % 3 AS user_id, TIMESTAMP '2024-01-01' + make_dt_interval(0, 0, cast(id + 6 * (id % 2) AS int)) AS ts, cast(id DIV 6 * 10 AS double) AS value FROM range(60)")
+    got = jobs.run_once(jobs.repeats(_stream(spark, rows, tmp_path / "in", 4)), spark, "append", "t").toPandas()
+    pdf = rows.toPandas().sort_values(["user_id", "ts", "event_id"])
+    pdf["gp"] = (pdf.value // 10).astype(int)
+    pdf = pdf[(pdf.gp == pdf.groupby("user_id").gp.shift(1)) & (pdf.ts <= pdf.ts.max() - pd.Timedelta(minutes=10))]
+    assert set(got.event_id) == set(pdf.event_id) and len(got) == len(pdf)
+
+
+def test_stream_of_tracks_equals_batch(spark, tmp_path):
+    rows = []
+    for f in range(60):
+        if not 20 <= f < 23 and not 40 <= f < 48:  # gaps that the tracker bridges, and not
+            rows.append(("v", f, 10.0 + 5 * f, 10.0, 40.0 + 5 * f, 40.0, 0.9, 0.0))
+        rows.append(("w", f, 300.0 - 5 * f, 60.0, 330.0 - 5 * f, 90.0, 0.8, 1.0))
+    rows[30], rows[38] = rows[38], rows[30]  # late rows
+    boxes = spark.createDataFrame(rows, "base_name string, frame int, x1 double, y1 double, x2 double, y2 double, score double, class_id double")
+    boxes = boxes.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame") * 60))
+    got = jobs.run_once(jobs.online_tracks(_stream(spark, boxes, tmp_path / "in", 5)), spark, "append", "t").toPandas()
+    want = tracks.track_objects(boxes).toPandas()
+    want = want[want.frame <= 59 - 10]
+    order = ["base_name", "frame", "track_id"]
+    pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True), check_dtype=False)
+
+
+def test_live_monitor_remembers_earlier_batches(spark, tmp_path):
+    c = _cube(spark, {(y, x): [50.0, 50.0, 50.0 - 2 * (y < 2)] for y in range(4) for x in range(4)})
+    c = c.orderBy("frame_idx")
+    stream = _stream(spark, c, tmp_path / "in", 3)
     jobs.live_monitor(stream, str(tmp_path / "out"), str(tmp_path / "log"), 1.0, 4).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    rows = spark.read.parquet(str(tmp_path / "out")).where("batch = 2").collect()
     assert len(rows) == 8 and {(r.label, r["size"]) for r in rows} == {(-1, 8)}
