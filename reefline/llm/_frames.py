@@ -1,16 +1,19 @@
-"""Small helpers shared by the operators: column-safe mapping and the shared checkpoint folder."""
+"""Small helpers shared by the operators: column-safe mapping, joins with frequent keys, steps in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reefline.shared import written
+
+
+__all__ = ["map_text", "meet", "plain", "written"]
+
 
 def map_text(docs: DataFrame, fn: Callable[[pa.Array], dict[str, pa.Array]], made: str, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` of each row, and what ``fn`` returns for the batch's texts (a DDL ``made``)."""
@@ -28,23 +31,6 @@ def map_text(docs: DataFrame, fn: Callable[[pa.Array], dict[str, pa.Array]], mad
     return source.mapInArrow(run, T.StructType(fields))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """The frame after it was written to the shared folder: lineage ends there and survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The frame with all columns under names that clash with none (and ``doc_id`` and ``text`` beside
     them), and the way back to the columns it came with.
