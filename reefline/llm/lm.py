@@ -291,8 +291,8 @@ def train(docs: DataFrame) -> Model:
     total = gathered.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     trainers = max(1, -(-total // SHARE))
     key = F.xxhash64("stream")
-    dealt = gathered.select("stream", F.pmod(key, F.lit(max(1, ROUNDS))).cast("int").alias("round"), F.pmod(F.shiftright(key, 8), F.lit(trainers)).cast("int").alias("trainer"))
-    dealt = written(dealt.repartition(trainers, "trainer"), "dealt")
+    # Round by round in turn, so that every trainer has as much to do.
+    dealt = written(gathered.select("stream", F.pmod(key, F.lit(max(1, ROUNDS))).cast("int").alias("round")).repartition(trainers), "dealt")
     for round_ in range(ROUNDS if total else 0):
         sent = spark.sparkContext.broadcast(flat)
 
