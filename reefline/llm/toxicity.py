@@ -285,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         share = sum(truth.values()) / max(1, len(truth))
         return Model(flat.table, -1.0, _curve(float(np.log(max(share, 1e-17) / max(1 - share, 1e-17)))))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("_late"))  # TRAIN_ROWS rows at most
-    lists = map_text(sample.where("NOT _late"), lambda t: {"words": pa.array([sorted(_words_of(x)) for x in t.to_pylist()], pa.list_(pa.string()))}, "words array<string>", ["doc_id", "_y"])
+    lists = map_text(sample.where("NOT _late"), lambda t: {"words": _word_lists(t)}, "words array<string>", ["doc_id", "_y"])
     lists = written(lists, "words")
     pairs = lists.select("doc_id", "_y", F.explode("words").alias("w"))
     seen = pairs.groupBy("w").agg(F.count_if(F.col("_y") == 0).alias("clean"), F.count_if(F.col("_y") == 1).alias("toxic"))
@@ -330,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         table = np.bincount(which, share * beta[row], 1 << BITS).astype(np.float32)
         if turn + 1 < ROUNDS:  # the likeliest words of every clean text are clean all the same
             known = {*controls, *candidates}
-            top = lists.where("_y = 0").select("words").mapInPandas(_top_words(table), "w string").distinct()
+            top = lists.where("_y = 0").select("words").mapInArrow(_top_words(table), "w string").distinct()
             controls += sorted(w for w in top.toArrow()["w"].to_pylist() if w not in known)  # WITNESSES a sampled text at most
         scores = _score_list(candidates, table) + bias
         control_scores = _score_list(controls, table) + bias
@@ -376,21 +376,26 @@ def _words_of(text: str | None) -> set[str]:
     return {w for w in found if len(w) > 1}
 
 
-def _top_words(table: np.ndarray):
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+def _word_lists(texts: pa.Array) -> pa.Array:
+    """The distinct words of each text; a few texts at a time are Python objects."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([sorted(_words_of(x)) for x in texts.slice(i, TEXTS).to_pylist()], kind) for i in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
 
-        for pdf in batches:
-            for lo in range(0, len(pdf), TEXTS):
-                lists = pdf["words"].iloc[lo : lo + TEXTS]
-                words = [str(w) for some in lists for w in some]
+def _top_words(table: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                lists = batch.column(0).slice(lo, TEXTS)
+                words = lists.flatten().to_pylist()
                 if not words:
                     continue
-                n = np.fromiter(map(len, lists), np.int64, len(lists))
+                n = lists.value_lengths().fill_null(0).to_numpy()
                 doc, got = np.repeat(np.arange(len(n)), n), _score_list(words, table)
                 order = np.lexsort((-got, doc))
                 rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-                yield pd.DataFrame({"w": [words[i] for i in order[rank < WITNESSES]]})
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in order[rank < WITNESSES]], pa.string())], names=["w"])
 
     return run
 
