@@ -48,23 +48,37 @@ def in_windows(events: DataFrame, windows: DataFrame, bucket_seconds: int = 21_6
     return events.withColumn("_b", b(F.col("TimeStamp"))).join(w, ["project_id", "_b"]).where(F.col("TimeStamp").between(F.col("t0"), F.col("t1"))).drop("_b")
 
 
+#: Bandwidths from a place beyond which a double's exponential is zero.
+REACH = 38.7
+
+
 def density_grid(events: DataFrame, grid: DataFrame, keys: list[str], bandwidth: float | None = None, windows: DataFrame | None = None, p=PARAMS) -> DataFrame:
-    """Gaussian density of events (keys, X, Y, radius) on every cell of ``grid`` (y, x), scaled so that
-    a window's cells add up to its events. Equal places are counted first, and the grid (a camera's
-    cells, a fixed size) is what each distinct place is paired with. The bandwidth is half the mean radius,
-    a quarter of a cell at least. With ``windows`` (keys), those without events have zeros.
+    """Gaussian density of events (keys, X, Y, radius) on every cell of ``grid`` (y, x: whole numbers), scaled
+    so that a window's cells add up to its events. The bandwidth is half the mean radius, a quarter of a cell
+    at least. Events without a place are left out. With ``windows`` (keys), those without events have zeros.
+
+    The kernel is a product, so a place is spread over the columns within ``REACH`` first, the places of one
+    height are added up there, and only these sums are spread over the rows. Places that are whole numbers
+    thus meet a column and a row, not the whole grid; cells out of reach are never made.
     """
-    each = events.groupBy(*keys, "X", "Y").agg(F.count("*").alias("_n"), F.sum("radius").alias("_r"))
+    each = events.where("X IS NOT NULL AND Y IS NOT NULL").groupBy(*keys, "X", "Y").agg(F.count("*").alias("_n"), F.sum("radius").alias("_r"))
     w = W.partitionBy(*keys)
     h = F.lit(bandwidth) if bandwidth else F.greatest(F.lit(0.25), F.coalesce(F.sum("_r").over(w) / F.sum("_n").over(w) / 2, F.lit(0.0)))
-    each = each.select(*keys, "X", "Y", "_n", h.alias("_h"), F.sum("_n").over(w).alias("_total"))
-    near = each.withColumnsRenamed({"X": "_X", "Y": "_Y"}).crossJoin(F.broadcast(grid))
-    d2 = F.pow(F.col("_X") - F.col("x"), 2) + F.pow(F.col("_Y") - F.col("y"), 2)
-    z = near.groupBy(*keys, "y", "x").agg(F.sum(F.col("_n") * F.exp(-d2 / (2 * F.col("_h") * F.col("_h")))).alias("_z"), F.max("_total").alias("_total"))
+    each = each.select(*keys, F.col("X").alias("_px"), F.col("Y").alias("_py"), "_n", h.alias("_h"), F.sum("_n").over(w).alias("_total"))
+    size = F.broadcast(grid.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1")))  # one row
+
+    def spread(rows: DataFrame, at: str, lo: str, hi: str, to: str) -> DataFrame:
+        first, last = F.greatest(F.col(lo), F.ceil(F.col(at) - REACH * F.col("_h")).cast("int")), F.least(F.col(hi), F.floor(F.col(at) + REACH * F.col("_h")).cast("int"))
+        return rows.withColumn(to, F.explode(F.when(first <= last, F.sequence(first, last))))
+
+    share = lambda at, to: F.exp(-F.pow(F.col(at) - F.col(to), 2) / (2 * F.col("_h") * F.col("_h")))
+    wide = spread(each.join(size), "_px", "_x0", "_x1", "_x").groupBy(*keys, "_py", "_x", "_h", "_total", "_y0", "_y1").agg(F.sum(F.col("_n") * share("_px", "_x")).alias("_a"))
+    z = spread(wide, "_py", "_y0", "_y1", "_y").groupBy(*keys, F.col("_y").alias("y"), F.col("_x").alias("x")).agg(F.sum(F.col("_a") * share("_py", "_y")).alias("_z"), F.max("_total").alias("_total"))
+    z = z.join(F.broadcast(grid.select("y", "x")), ["y", "x"])
     out = z.select(*keys, "y", "x", F.try_divide(F.col("_z") * F.col("_total"), F.sum("_z").over(w) * p.area).alias("z"))
-    if windows is None:
-        return out
-    return windows.select(*keys).distinct().crossJoin(F.broadcast(grid)).join(out, [*keys, "y", "x"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    windows = each if windows is None else windows
+    cells = windows.select(*keys).distinct().join(F.broadcast(grid.select("y", "x")))  # as many rows as are returned
+    return cells.join(out, [*keys, "y", "x"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
 
 
 def density_difference(spit: DataFrame, scoop: DataFrame, keys: list[str]) -> DataFrame:
