@@ -54,9 +54,18 @@ def typed(c: Column) -> Column:
 
 
 def map_of(entries: Column) -> Column:
-    """A map of ``array<struct<key,value>>``; of several entries with one key the last holds, null keys none."""
-    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: e["key"].isNotNull() & ~later(e, i)))
+    """A map of ``array<struct<key,value>>``; of several entries with one key the last holds, null keys none.
+
+    The array is worked out once; entries are compared with each other only where a key is null or repeated.
+    """
+
+    def build(m: Column) -> Column:
+        keys = F.transform(m, lambda e: e["key"])
+        later = lambda e, i: F.exists(F.slice(m, i + 2, F.size(m)), lambda o: o["key"] == e["key"])
+        single = (F.size(F.array_distinct(keys)) == F.size(m)) & ~F.exists(keys, lambda k: k.isNull())
+        return F.map_from_entries(F.when(single, m).otherwise(F.filter(m, lambda e, i: e["key"].isNotNull() & ~later(e, i))))
+
+    return F.get(F.transform(F.array(entries), build), F.lit(0))
 
 
 def key_values(c: Column) -> Column:

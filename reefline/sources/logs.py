@@ -20,9 +20,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def fields_of(value: Column) -> Column:
     """The ``Key: value`` parts of a record as a map, read once; of a repeated key the last value holds."""
     body = F.substring(value, F.locate(":", value) + 1, F.length(value))
-    parts = F.filter(F.split(body, ",,"), lambda x: x.rlike("[:=]"))
-    key = lambda x: F.trim(F.split(x, "[:=]", 2)[0])
-    return map_of(F.transform(parts, lambda x: F.struct(key(x).alias("key"), F.ltrim(F.split(x, "[:=]", 2)[1]).alias("value"))))
+    parts = F.filter(F.transform(F.split(body, ",,"), lambda x: F.split(x, "[:=]", 2)), lambda x: F.size(x) == 2)
+    return map_of(F.transform(parts, lambda x: F.struct(F.trim(x[0]).alias("key"), F.ltrim(x[1]).alias("value"))))
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -38,11 +37,11 @@ def other_records(lines: DataFrame, known: tuple[str, ...] = ("MasterStart", "Fr
 
 def frames(lines: DataFrame, kind: str = "FrameCaptured") -> DataFrame:
     """Frame (or ``BackgroundCaptured``) records with their place in time and relative day."""
-    get = lambda k: log_field(F.col("value"), k)
-    rows = lines.where(F.col("value").startswith(kind + ":")).select(
-        "project_id", get("NpyFile").alias("npy_file"), get("PicFile").alias("pic_file"),
-        parse_time(get("Time")).alias("time"), get("AvgMed").try_cast("double").alias("med"),
-        get("AvgStd").try_cast("double").alias("std"), get("GP").try_cast("bigint").alias("gp"), truth(get("LOF")).alias("lof"),
+    names = {"npy_file": "NpyFile", "pic_file": "PicFile", "time": "Time", "med": "AvgMed", "std": "AvgStd", "gp": "GP", "lof": "LOF"}
+    read = lines.where(F.col("value").startswith(kind + ":")).select("project_id", fields_of(F.col("value")).alias("fields"))
+    rows = read.select("project_id", *[F.try_element_at("fields", F.lit(k)).alias(c) for c, k in names.items()]).select(
+        "project_id", "npy_file", "pic_file", parse_time(F.col("time")).alias("time"), F.col("med").try_cast("double").alias("med"),
+        F.col("std").try_cast("double").alias("std"), F.col("gp").try_cast("bigint").alias("gp"), truth(F.col("lof")).alias("lof"),
     )
     rows = rows.withColumn("time", repair_year(F.col("time"), F.col("npy_file")))
     return relative_day(rows.withColumn("frame_idx", F.row_number().over(W.partitionBy("project_id").orderBy("time", "npy_file")) - 1))
