@@ -82,7 +82,7 @@ EVENTS = """ev AS (SELECT "VideoID" AS project_id, "TimeStamp", "Prediction", "X
 
 def density_in(name: str, bid: str) -> str:
     """CTEs of the density ``name`` of one behaviour in each of the windows w; needs ev."""
-    return f"""{name}_e AS (SELECT w.project_id, w.window_id, px, py, radius FROM ev JOIN w ON w.project_id = ev.project_id AND "TimeStamp" BETWEEN t0 AND t1 WHERE "Prediction" = '{bid}'
+    return f"""{name}_e AS (SELECT w.project_id, w.window_id, px, py, radius FROM ev JOIN w ON w.project_id = ev.project_id AND "TimeStamp" BETWEEN t0 AND t1 WHERE "Prediction" = '{bid}' AND px IS NOT NULL AND py IS NOT NULL
 ), {name}_h AS (SELECT project_id, window_id, greatest(0.25, avg(radius) / 2) AS h, count(*) AS n FROM {name}_e GROUP BY ALL
 ), {name}_z AS (SELECT project_id, window_id, (g // {GRID})::INT AS y, (g % {GRID})::INT AS x, any_value(n) AS n, sum(exp(-((px - g % {GRID}) * (px - g % {GRID}) + (py - g // {GRID}) * (py - g // {GRID})) / (2 * h * h))) AS z FROM {name}_e JOIN {name}_h USING (project_id, window_id), (SELECT unnest(range({GRID * GRID})) AS g) GROUP BY ALL
 ), {name} AS (SELECT w.project_id, w.window_id, (g // {GRID})::INT AS y, (g % {GRID})::INT AS x, coalesce(k.z, 0) AS z FROM w CROSS JOIN (SELECT unnest(range({GRID * GRID})) AS g)
