@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from reefline.llm import licenses, manifest, q_licenses, q_manifest
+from reefline.llm import entries, licenses, manifest, q_licenses, q_manifest, q_repair, repair
 from tests.compare import same
 
 
@@ -115,3 +115,94 @@ def test_manifest_against_brute_force(spark, fanout, levels, sizes):
 def test_manifest_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, lang string, n_chars long, text string")
     assert manifest.audit(manifest.build(docs)).count() == 0
+
+
+def test_repair_against_sql(spark, con, small):
+    same(q_repair.op13_conversation_repair(spark, small).toPandas(), con.sql(q_repair.ORACLES["op13_conversation_repair"]).df())
+
+
+def _repaired(rows):
+    """Faults, and the cheapest edits by trying every list of edits as they come (rows in order)."""
+    seen, faults = set(), []
+    for role, text in rows:
+        body = text.strip(" \t\n\x0b\x0c\r")
+        faults.append("b" if not body else "d" if (role, text) in seen else "t" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    nothing = (10**9, "", ())
+    known = {}
+
+    def best(i, roles):
+        """Cost, audit and rows from row i on, where the roles so far end in state ``roles``."""
+        if (i, roles) in known:
+            return known[i, roles]
+        found = [(0, "", ())] if i == len(rows) and roles[:1] in ("", "a") else []
+        after = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}[roles[:1]]
+        due = {"": "u", "s": "u", "u": "a", "a": "u"}[roles[:1]]
+        name = {"u": "user", "a": "assistant"}[due]
+        if not roles.endswith("!!"):  # two insertions in a row are enough to reach any state
+            c, a, r = best(i, due + "!" * (roles.count("!") + 1)) if (i < len(rows) or roles[:1] not in ("", "a")) else nothing
+            found.append((c + 2, "I" + a, (f"{name}:", *r)))
+        if i < len(rows):
+            (role, text), cut = rows[i], faults[i] == "t"
+            c, a, r = best(i + 1, roles[:1])
+            found.append((c + 3, "D" + a, r))
+            if faults[i] not in ("b", "d"):
+                if role[:1] in after:
+                    c, a, r = best(i + 1, after[role[:1]])
+                    found.append((c + cut, "K" + a, (f"{role}:{text}", *r)))
+                c, a, r = best(i + 1, due)
+                found.append((c + 2 + cut, "R" + a, (f"{name}:{text}", *r)))
+        known[i, roles] = min(found, default=nothing)
+        return known[i, roles]
+
+    cost, audit, said = best(0, "")
+    pairs = [a[0][:1] + b[0][:1] for a, b in itertools.pairwise(rows)]
+    return [faults.count(x) for x in "bdt"], sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, H("\n".join(said))
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_repair_against_brute_force(spark, monkeypatch, block):
+    """With blocks of two rows and more, conversations are cut at checkpoints."""
+    monkeypatch.setattr(repair, "LEAST_BLOCK", block)
+    rng = random.Random(11)
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", "s", "", None]
+    rows = [(rng.choice([c, c, None]) if c == 3 else c, k if rng.random() < 0.8 else rng.choice([None, 2, 5]), rng.choice(roles[: rng.choice([3, 5, 9])]), rng.choice(["hm. ", "and so", "yes!", "", None, " \n", "é?", "x1.", f"t{k}."])) for c in range(40) for k in range(rng.choice([1, 2, 3, 6, 14, 40]))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS g", "2 AS block", "3 AS state")
+    got = repair.repair(df).collect()
+    by = {}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((turn is not None, turn or 0, " " if role is None else role, H(" " if text is None else text), " " if text is None else text))
+    assert sorted((r.conv_id is not None, r.conv_id or 0) for r in got) == sorted((c is not None, c or 0) for c in by)
+    for r in got:
+        own = sorted(by[r.conv_id])
+        faults, illegal, cost, audit, said = _repaired([(x[2], x[4]) for x in own])
+        turns = {x[1] for x in own if x[0]}
+        assert r.gaps == (max(turns) - min(turns) + 1 - len(turns) if turns else 0)
+        assert ([r.blank, r.duplicate, r.truncated], r.illegal, r.cost, r.audit, r.repaired_sha256) == (faults, illegal, cost, audit, said), own
+        assert re.fullmatch("[DIKR]*", r.audit)
+
+
+def test_repair_of_one_long_conversation(spark):
+    """A third of all rows in one conversation: cut into blocks, the same as in one piece."""
+    long = spark.range(3000).selectExpr("7 AS conv_id", "id AS turn", "element_at(array('user', 'assistant', 'user', 'assistant', 'tool', 'system'), CAST(pmod(xxhash64(id), 6) + 1 AS int)) AS role", "CASE WHEN id % 7 = 0 THEN '' WHEN id % 5 = 0 THEN 'same.' ELSE concat(id, IF(id % 3 = 0, '', '.')) END AS text")
+    r = repair.repair(long.withColumn("conv_id", F.lit(7).cast("long"))).first()
+    rows = [(x.role, x.text) for x in long.orderBy("turn").collect()]
+    codes, seen = [], set()
+    for role, text in rows:
+        kill = not text or (role, text) in seen
+        seen.add((role, text))
+        codes.append({"s": 1, "u": 2, "a": 3}.get(role[0], 0) + 4 * kill + 8 * (not kill and text[-1] != "."))
+    import numpy as np
+
+    table = np.array([codes])
+    v = repair.backward(table, np.array([3000]), repair.END[None, :], True)
+    _, (edits,) = repair.forward(table, np.array([3000]), v, np.array([0]), np.array([True]))
+    assert (r.cost, r.audit) == (int(v[0, 0, 0]), edits.decode())
+
+
+def test_repair_of_an_empty_table(spark):
+    assert repair.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_new_queries_are_registered():
+    assert {"op11_license_scan", "op12_merkle_manifest", "op13_conversation_repair"} <= set(entries.queries()) & set(entries.oracle_sql())
