@@ -229,12 +229,11 @@ def kth_threshold(change: DataFrame, keys: list[str], good: DataFrame | int, val
     """The k-th largest absolute value by ``keys``, k the tenth part of the good pixels (by project, or a
     number), rounded down; the smallest value if k is zero, 0 if there are fewer than k.
     """
-    v = change.where(F.col(value).isNotNull()).select(*keys, F.abs(value).alias("_v"))
-    ranked = v.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_v"))))
-    ranked = ranked.withColumn("good_pixels", F.lit(good)) if isinstance(good, int) else ranked.join(good, "project_id")
-    k = F.floor(F.col("good_pixels") * share)
-    at = F.when(F.max(k) == 0, F.min("_v")).otherwise(F.coalesce(F.max(F.when(F.col("_r") == k, F.col("_v"))), F.lit(0.0)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n_pixels"), at.alias("threshold"))
+    v = change.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.abs(value)), asc=False).alias("_v"))  # a grid at most
+    v = v.withColumn("good_pixels", F.lit(good)) if isinstance(good, int) else v.join(good, "project_id")
+    k = F.floor(F.col("good_pixels") * share).cast("int")
+    at = F.when(k == 0, F.element_at("_v", -1)).otherwise(F.coalesce(F.get("_v", k - 1), F.lit(0.0)))
+    return v.select(*keys, F.size("_v").cast("long").alias("n_pixels"), at.alias("threshold"))
 
 
 def volume_summary(change: DataFrame, keys: list[str], regions: DataFrame, good: DataFrame | int, value: str = "change", p=PARAMS) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,43 +54,95 @@ def in_windows(events: DataFrame, windows: DataFrame, bucket_seconds: int = 21_6
     return events.withColumn("_b", b(F.col("TimeStamp"))).join(w, ["project_id", "_b"]).where(F.col("TimeStamp").between(F.col("t0"), F.col("t1"))).drop("_b")
 
 
-#: Bandwidths from a place beyond which a double's exponential is zero.
-REACH = 38.7
-
-
-def density_grid(events: DataFrame, grid: DataFrame, keys: list[str], bandwidth: float | None = None, windows: DataFrame | None = None, p=PARAMS) -> DataFrame:
-    """Gaussian density of events (keys, X, Y, radius) on every cell of ``grid`` (y, x: whole numbers), scaled
-    so that a window's cells add up to its events. The bandwidth is half the mean radius, a quarter of a cell
-    at least. Events without a place are left out. With ``windows`` (keys), those without events have zeros.
-
-    The kernel is a product, so a place is spread over the columns within ``REACH`` first, the places of one
-    height are added up there, and only these sums are spread over the rows. Places that are whole numbers
-    thus meet a column and a row, not the whole grid; cells out of reach are never made.
+#: Bandwidths from a place beyond which its kernel is left out, along either axis: what is left out of a cell is less
+#: than 3e-18 of the place's own peak, so a cell that n places miss lacks less than n times that.
+REACH = 9.0
+#: Side of the square tiles that events are dealt to, and events of a window that are worked on in one task.
+TILE, TOGETHER = 32, 20_000
+
+
+def _tile_sums(keys: list[str], out: list[str]):
+    """Sums of kernels over the cells of a tile, for each run of rows (sorted by keys and tile); empty cells are left out."""
+    own = [*keys, "_ty", "_tx"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.ones(batch.num_rows, bool)
+            fresh[1:] = False
+            for c in own:
+                v = batch[c]
+                a, b = v.slice(1), v.slice(0, len(v) - 1)
+                fresh[1:] |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+            starts = np.append(np.flatnonzero(fresh), batch.num_rows)
+            px, py, h, ty, tx, x0, x1, y0, y1 = (batch[c].to_numpy() for c in ("_px", "_py", "_h", "_ty", "_tx", "_x0", "_x1", "_y0", "_y1"))
+            which, ys, xs, zs = [], [], [], []
+            for i, j in itertools.pairwise(starts.tolist()):
+                sides = []
+                for at, t, lo, hi in ((py, ty, y0, y1), (px, tx, x0, x1)):
+                    cells = np.arange(max(lo[i], t[i] * TILE), min(hi[i], t[i] * TILE + TILE - 1) + 1)
+                    away = (cells - at[i:j, None]) / h[i]
+                    sides.append((cells, np.where(np.abs(away) <= REACH, np.exp(-0.5 * away * away), 0.0)))
+                (cy, ky), (cx, kx) = sides
+                z = ky.T @ kx
+                r, c = np.nonzero(z)
+                which.append(np.full(len(r), i))
+                ys.append(cy[r])
+                xs.append(cx[c])
+                zs.append(z[r, c])
+            at = pa.array(np.concatenate(which))
+            made = [pa.array(np.concatenate(ys), pa.int32()), pa.array(np.concatenate(xs), pa.int32()), pa.array(np.concatenate(zs))]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in keys), *made], names=out)
+
+    return run
+
+
+def density_cells(events: DataFrame, grid: DataFrame, keys: list[str], bandwidth: float | None = None, p=PARAMS) -> DataFrame:
+    """Gaussian density of events (keys, X, Y, radius) on the cells of ``grid`` (y, x: whole numbers) that they reach: ``keys,
+    y, x, z``, scaled so that a window's cells add up to its events. The bandwidth is half the mean radius, a quarter
+    of a cell at least. Events without a place or a key are left out, and a window is empty if none of its events reaches the grid.
+
+    An event is sent to the tiles within ``REACH`` bandwidths, so a row's copies are bounded by its radius. The kernel is a
+    product, so a tile's cells are one matrix product of its events' rows and columns. Busy windows are dealt out
+    by place, and partial tiles are added up.
     """
-    each = events.where("X IS NOT NULL AND Y IS NOT NULL").groupBy(*keys, "X", "Y").agg(F.count("*").alias("_n"), F.sum("radius").alias("_r"))
-    w = W.partitionBy(*keys)
-    h = F.lit(bandwidth) if bandwidth else F.greatest(F.lit(0.25), F.coalesce(F.sum("_r").over(w) / F.sum("_n").over(w) / 2, F.lit(0.0)))
-    each = each.select(*keys, F.col("X").alias("_px"), F.col("Y").alias("_py"), "_n", h.alias("_h"), F.sum("_n").over(w).alias("_total"))
+    placed = events.where("X IS NOT NULL AND Y IS NOT NULL").select(*keys, F.col("X").cast("double").alias("_px"), F.col("Y").cast("double").alias("_py"), "radius")
+    h = F.lit(float(bandwidth)) if bandwidth else F.greatest(F.lit(0.25), F.coalesce(F.avg("radius") / 2, F.lit(0.0)))
+    stats = placed.groupBy(*keys).agg(h.alias("_h"), F.count("*").alias("_total"))
     size = F.broadcast(grid.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1")))  # one row
 
-    def spread(rows: DataFrame, at: str, lo: str, hi: str, to: str) -> DataFrame:
+    def tiles(at: str, lo: str, hi: str) -> Column:
         first, last = F.greatest(F.col(lo), F.ceil(F.col(at) - REACH * F.col("_h")).cast("int")), F.least(F.col(hi), F.floor(F.col(at) + REACH * F.col("_h")).cast("int"))
-        return rows.withColumn(to, F.explode(F.when(first <= last, F.sequence(first, last))))
-
-    share = lambda at, to: F.exp(-F.pow(F.col(at) - F.col(to), 2) / (2 * F.col("_h") * F.col("_h")))
-    wide = spread(each.join(size), "_px", "_x0", "_x1", "_x").groupBy(*keys, "_py", "_x", "_h", "_total", "_y0", "_y1").agg(F.sum(F.col("_n") * share("_px", "_x")).alias("_a"))
-    z = spread(wide, "_py", "_y0", "_y1", "_y").groupBy(*keys, F.col("_y").alias("y"), F.col("_x").alias("x")).agg(F.sum(F.col("_a") * share("_py", "_y")).alias("_z"), F.max("_total").alias("_total"))
-    z = z.join(F.broadcast(grid.select("y", "x")), ["y", "x"])
-    out = z.select(*keys, "y", "x", F.try_divide(F.col("_z") * F.col("_total"), F.sum("_z").over(w) * p.area).alias("z"))
-    windows = each if windows is None else windows
+        return F.explode(F.when(first <= last, F.sequence(F.floor(first / TILE).cast("int"), F.floor(last / TILE).cast("int"))))
+
+    salt = F.pmod(F.xxhash64("_px", "_py"), F.ceil(F.col("_total") / F.lit(TOGETHER)))
+    dealt = placed.drop("radius").join(stats, keys).join(size).withColumn("_ty", tiles("_py", "_y0", "_y1")).withColumn("_tx", tiles("_px", "_x0", "_x1")).withColumn("_salt", salt)
+    order = [*keys, "_ty", "_tx"]
+    sent = dealt.drop("_total").repartition(*order, "_salt").sortWithinPartitions(*order, "_salt")
+    out = [*keys, "y", "x", "z"]
+    kinds = {f.name: f.dataType.simpleString() for f in placed.select(*keys).schema}
+    made = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "y int, x int, z double"])
+    z = sent.mapInArrow(_tile_sums(keys, out), made).groupBy(*keys, "y", "x").agg(F.sum("z").alias("_z"))
+    z = z.join(F.broadcast(grid.select("y", "x")), ["y", "x"]).join(stats.select(*keys, "_total"), keys)
+    return z.select(*keys, "y", "x", F.try_divide(F.col("_z") * F.col("_total"), F.sum("_z").over(W.partitionBy(*keys)) * p.area).alias("z"))
+
+
+def density_grid(events: DataFrame, grid: DataFrame, keys: list[str], bandwidth: float | None = None, windows: DataFrame | None = None, p=PARAMS) -> DataFrame:
+    """``density_cells`` on every cell of the grid, zero where none reaches. With ``windows`` (keys), those without events
+    have zeros throughout.
+    """
+    out = density_cells(events, grid, keys, bandwidth, p)
+    windows = events.where("X IS NOT NULL AND Y IS NOT NULL") if windows is None else windows
     cells = windows.select(*keys).distinct().join(F.broadcast(grid.select("y", "x")))  # as many rows as are returned
     return cells.join(out, [*keys, "y", "x"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
 
 
-def density_difference(spit: DataFrame, scoop: DataFrame, keys: list[str]) -> DataFrame:
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    both = spit.withColumnRenamed("z", "_p").join(scoop.withColumnRenamed("z", "_c"), [*keys, "y", "x"], "full")
-    return both.select(*keys, "y", "x", (zero("_p") - zero("_c")).alias("change"))
+def density_difference(events: DataFrame, grid: DataFrame, keys: list[str], plus: str = "p", minus: str = "c") -> DataFrame:
+    """Density of one behaviour minus that of another (``keys, y, x, change``) on the cells that either reaches, in one pass."""
+    both = events.where(F.col("Prediction").isin(plus, minus)).withColumn("_sign", F.when(F.col("Prediction") == plus, 1).otherwise(-1))
+    z = density_cells(both, grid, [*keys, "_sign"])
+    return z.groupBy(*keys, "y", "x").agg(F.sum(F.col("z") * F.col("_sign")).alias("change"))
 
 
 def cluster_summary(difference: DataFrame, keys: list[str], regions: DataFrame, good: DataFrame | int) -> DataFrame:

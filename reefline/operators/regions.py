@@ -6,9 +6,13 @@ one numpy task; ``fixpoint`` is a DataFrame loop with pointer jumping for masks
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reefline.operators.depth import threshold
@@ -24,17 +28,21 @@ def signed_mask(change: DataFrame, keys: list[str], th: float | F.Column, value:
     return rows.withColumn("part", F.lit(0) if mode == "abs" else F.col("sign"))
 
 
-def least_neighbours(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+def least_neighbours(y: np.ndarray, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
     """For each cell the place of the least cell (by y, then x) of its 4-connected component; cells come
-    sorted. Labels run along neighbour links and are halved by jumping until none changes.
+    sorted, by ``mask`` first if there are several. Labels run along neighbour links and are halved by jumping until none changes.
     """
     n = len(y)
-    wide = int(x.max()) - int(x.min()) + 2 if n else 1
-    code = (y.astype(np.int64) - (y.min() if n else 0)) * wide + (x - (x.min() if n else 0))
+    if not n:
+        return np.zeros(0, np.int64)
+    wide, tall = int(x.max()) - int(x.min()) + 2, int(y.max()) - int(y.min()) + 2
+    code = (y.astype(np.int64) - y.min()) * wide + (x - x.min())
+    if mask is not None:
+        code += mask.astype(np.int64) * (wide * tall)
     a, b = [], []
     for step in (1, wide):
-        at = np.minimum(np.searchsorted(code, code + step), max(0, n - 1))
-        hit = np.flatnonzero(code[at] == code + step) if n else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(code, code + step), n - 1)
+        hit = np.flatnonzero(code[at] == code + step)
         a.append(hit)
         b.append(at[hit])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -49,20 +57,49 @@ def least_neighbours(y: np.ndarray, x: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _label_mask(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        root = least_neighbours(y, x)
-        return pdf[[*keys, "y", "x"]].assign(root_y=y[root].astype("int32"), root_x=x[root].astype("int32"))
+def _label_runs(keys: list[str]):
+    """Labels masks, many at a time; the last one of a batch waits for the next, which may go on with it."""
+
+    def fresh(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in keys:
+            v = t[c].combine_chunks()
+            a, b = v.slice(1), v.slice(0, max(0, len(v) - 1))
+            new[1:] |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+        return new
+
+    def label(t: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        y, x = t["y"].to_numpy(), t["x"].to_numpy()
+        root = least_neighbours(y, x, np.cumsum(new))
+        yield from t.append_column("root_y", pa.array(y[root], pa.int32())).append_column("root_x", pa.array(x[root], pa.int32())).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if not held.num_rows:
+                continue
+            new = fresh(held)
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield from label(held.slice(0, last), new[:last])
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from label(held, fresh(held))
 
     return run
 
 
-def per_mask(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, y, x, root_y, root_x``: the least pixel of each 4-connected component."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mask.select(*keys).schema) + ", y int, x int, root_y int, root_x int"
-    return mask.select(*keys, "y", "x").groupBy(*keys).applyInPandas(_label_mask(keys), schema)
+def per_mask(mask: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """``keys, y, x, root_y, root_x``: the least pixel of each 4-connected component of masks with ``least`` pixels and more.
+    Small masks share a batch, so a table of many windows costs no call for each.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mask.select(*keys).schema) + ", y int, x int, root_y int, root_x int"
+    n = F.count("*").over(W.partitionBy(*keys))
+    own = mask.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), n.alias("_n")).where(F.col("_n") >= least)
+    return own.drop("_n").sortWithinPartitions(*keys, "y", "x").mapInArrow(_label_runs(keys), schema)
 
 
 def fixpoint(mask: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,7 +124,7 @@ def bower_regions(change: DataFrame, keys: list[str], th: float | F.Column, min_
     """
     mask = signed_mask(change, keys, th, value, mode)
     parts = [*keys, "part"]
-    labelled = (per_mask if how == "per_mask" else fixpoint)(mask, parts)
+    labelled = per_mask(mask, parts, min_pixels) if how == "per_mask" else fixpoint(mask, parts)
     sizes = labelled.groupBy(*parts, "root_y", "root_x").agg(F.count("*").alias("size")).where(F.col("size") >= min_pixels)
     return labelled.join(sizes, [*parts, "root_y", "root_x"]).join(mask, [*parts, "y", "x"]).select(*keys, "y", "x", F.col("sign").alias("label"), "size", value)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reefline.functions.expr import minutes_to
 from reefline.operators import depth, regions
-from reefline.operators.events import cluster_summary, density_difference, density_grid, event_counts, in_windows
+from reefline.operators.events import cluster_summary, density_difference, event_counts, in_windows
 from reefline.schemas import PARAMS
 from reefline.shared import written
 
@@ -115,26 +115,40 @@ def window_volumes(cells: DataFrame, windows: DataFrame, min_pixels: int = PARAM
 def window_densities(events: DataFrame, windows: DataFrame, grid: DataFrame, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None, good: int | None = None) -> DataFrame:
     """The cluster summary of each window: density of spits minus that of scoops, its regions and their sums.
     ``events`` have project_id, TimeStamp, Prediction, X, Y and radius; windows without any are all zero.
+
+    Only cells that an event reaches are made: all others are zero and change no sum, region or threshold.
     """
     w = windows.select(*KEYS, "t0", "t1")
-    e = in_windows(events.where(F.col("Prediction").isin("c", "p")), w)
-    spit, scoop = (density_grid(e.where(F.col("Prediction") == b), grid, KEYS, windows=w) for b in ("p", "c"))
-    difference = written(density_difference(spit, scoop, KEYS), "densities")
+    good = grid.count() if good is None else good
+    difference = window_difference(events, w, grid)
+    if int(good * PARAMS.index_fraction) == 0:  # the threshold is the least value of all cells, zeros included
+        difference = w.select(*KEYS).join(F.broadcast(grid.select("y", "x"))).join(difference, [*KEYS, "y", "x"], "left").withColumn("change", F.coalesce("change", F.lit(0.0)))
+    difference = written(difference, "densities")
     found = regions.timed_regions(difference, w, KEYS, levels or regions.density_levels(), min_pixels)
-    return cluster_summary(difference, KEYS, found, grid.count() if good is None else good)
+    summed = cluster_summary(difference, KEYS, found, good)
+    rows = w.select(*KEYS).join(summed, KEYS, "left")
+    return rows.select(*KEYS, *[F.coalesce(c, F.lit(0.0)).alias(c) if c != "bower_index" else F.col(c) for c in summed.columns if c not in KEYS])
+
+
+def window_difference(events: DataFrame, windows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Density of spits minus that of scoops in each window, on the cells that either reaches."""
+    inside = in_windows(events.where(F.col("Prediction").isin("c", "p")), windows.select(*KEYS, "t0", "t1"))
+    return density_difference(inside, grid, KEYS)
 
 
 def by_grain(make: Callable[[DataFrame], DataFrame], frames: DataFrame, grains: tuple[str, ...]) -> DataFrame:
     """One table of all grains' windows, with each window's length, start and middle; sheets are its partitions
-    by ``grain``.
+    by ``grain``. The windows of all grains go through ``make`` at once.
     """
-    out = None
+    windows = None
     for grain in grains:
-        windows = depth.calendar_windows(frames, grain)
-        when = windows.select(*KEYS, F.col("t0").alias("start_time"), depth.midpoint(F.col("t0"), F.col("t1")).alias("midpoint"))
-        rows = make(windows).join(when, KEYS).withColumn("grain", F.lit(grain))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        own = depth.calendar_windows(frames, grain).withColumn("grain", F.lit(grain))
+        windows = own if windows is None else windows.unionByName(own)
+    windows = written(windows.withColumnRenamed("window_id", "_own").withColumn("window_id", F.concat_ws("/", "grain", "_own")), "windows")
+    rows = make(windows.select(*KEYS, "t0", "t1"))
+    when = windows.select(*KEYS, "_own", "grain", F.col("t0").alias("start_time"), depth.midpoint(F.col("t0"), F.col("t1")).alias("midpoint"))
+    both = rows.join(when, KEYS)
+    return both.select("project_id", F.col("_own").alias("window_id"), *[c for c in rows.columns if c not in KEYS], "start_time", "midpoint", "grain")
 
 
 GRAINS = ("total", "daily", "hourly")
@@ -153,8 +167,8 @@ def cluster_report(events: DataFrame, frames: DataFrame, grid: DataFrame, grains
 
 def pre_event_report(cells: DataFrame, events: DataFrame, reference: DataFrame, bids: list[str], grid: DataFrame | None = None, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None, density: tuple[float, float, float] | None = None) -> DataFrame:
     """For each step before a project's event, and for the whole span (window_id -1): the volume summary,
-    the counts of events, the cluster summary (if there is a ``grid``; its columns begin with kde_), and the
-    minutes left.
+    the counts of events, the cluster summary (if there is a ``grid``; its columns begin with kde_) with the agreement of
+    both kinds of regions, and the minutes left.
     """
     windows = steps_before(reference).unionByName(whole_windows(reference).withColumn("window_id", F.lit(-1)))
     windows = written(windows, "windows")
@@ -166,15 +180,38 @@ def pre_event_report(cells: DataFrame, events: DataFrame, reference: DataFrame,
     if grid is not None:
         kde = window_densities(events, windows, grid, min_pixels, density)
         kde = kde.select(*KEYS, *[F.col(c).alias(f"kde_{c}") for c in kde.columns if c not in KEYS])
-        rows = rows.join(kde, KEYS, "left")
-        more += [c for c in kde.columns if c not in KEYS]
+        same = region_consistency(cells, events, windows, grid, min_pixels, levels, density).select(*KEYS, "agreement")
+        rows = rows.join(kde, KEYS, "left").join(same, KEYS, "left")
+        more += [*[c for c in kde.columns if c not in KEYS], "agreement"]
     return rows.select(*KEYS, *minutes, *more, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c not in KEYS])
 
 
-def region_consistency(change: DataFrame, whole: DataFrame, keys: list[str], th: float, min_pixels: int) -> DataFrame:
-    """Agreement of each window's regions with those of the whole trial (one grid per project)."""
-    on = [k for k in keys if k != "window_id"]
-    daily = regions.bower_regions(change, keys, th, min_pixels)
-    trial = regions.bower_regions(whole, on, th, min_pixels)
-    windows = change.select(*keys).distinct()
-    return regions.jaccard(daily, trial.join(windows, on), keys, windows)
+def region_consistency(cells: DataFrame, events: DataFrame, windows: DataFrame, grid: DataFrame, min_pixels: int = PARAMS.min_pixels, levels: tuple[float, float, float] | None = None, density: tuple[float, float, float] | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """How far the regions of height change and those of event density agree in each window: cells where both have the
+    same label over cells where either has one; 1 if neither has any, 0 if they share none.
+
+    Both families of masks are labelled in one pass, each at its own threshold for the window's length. ``grid`` has
+    the cells events are counted on, with the cube's own numbers.
+    """
+    w = windows.select(*KEYS, "t0", "t1")
+    kinds = {"depth": levels or regions.depth_levels(), "density": density or regions.density_levels()}
+    change = depth.height_change(cells, w, frames=frames).select(*KEYS, "y", "x", "change")
+    both = [df.withColumn("family", F.lit(k)) for k, df in (("depth", change), ("density", window_difference(events, w, grid)))]
+    seconds = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1_000_000
+    th = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), depth.threshold(seconds, *v))])
+    masks = both[0].unionByName(both[1]).join(w.select(*KEYS, th.alias("_th")), KEYS)
+    masks = masks.select(*KEYS, "family", "y", "x", "change", F.try_element_at("_th", F.col("family")).alias("_th"))
+    found = regions.bower_regions(masks, [*KEYS, "family"], F.col("_th"), min_pixels)
+    label = lambda k: F.max(F.when(F.col("family") == k, F.col("label")))
+    cells_of = found.groupBy(*KEYS, "y", "x").agg(label("depth").alias("_a"), label("density").alias("_b"))
+    counts = cells_of.groupBy(*KEYS).agg(F.count("_a").alias("n_depth"), F.count("_b").alias("n_density"), F.count_if(F.col("_a") == F.col("_b")).alias("n_same"), F.count("*").alias("n_any"))
+    rows = w.select(*KEYS).join(counts, KEYS, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(*KEYS, *[zero(c) for c in ("n_depth", "n_density", "n_same")], F.when(F.col("n_any").isNull(), 1.0).otherwise(F.col("n_same") / F.col("n_any")).alias("agreement"))
+
+
+def trial_windows(frames: DataFrame) -> DataFrame:
+    """Each calendar day of a project, and ``trial``: from the first day's beginning to the last day's end."""
+    daily = depth.calendar_windows(frames, "daily")
+    whole = daily.groupBy("project_id").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    return daily.unionByName(whole.select("project_id", F.lit("trial").alias("window_id"), "t0", "t1"))

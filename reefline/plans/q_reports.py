@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.operators import reports, scoring
+from reefline.operators import depth, reports, scoring
 from reefline.plans import proxies
-from reefline.plans.q_depth import FRAMES, GOOD, KEYS, LEAST, LEVELS, TH, _change, _change_sql, _recursive, _regions_sql, _windows_sql, change_in, level_sql, r6, summary_in
-from reefline.plans.q_events import DENSITY, _grid, densities_in
+from reefline.plans.q_depth import FRAMES, GOOD, KEYS, LEAST, LEVELS, _change_sql, _recursive, _regions_sql, _windows_sql, change_in, level_sql, r6, summary_in
+from reefline.plans.q_events import DENSITY, _grid, densities_in, density_in
 from reefline.schemas import PARAMS
 
 QUERIES, ORACLES = {}, {}
@@ -37,7 +37,7 @@ def depth_report(spark: SparkSession, d: str) -> DataFrame:
 BIDS = "cpbf"
 _CASES = ", ".join(f"count(*) FILTER (WHERE e.\"Prediction\" = '{b}')::BIGINT AS n_{b}" for b in BIDS)
 _NEAR = f"""{proxies.CELLS}, {FRAMES}, ref AS (SELECT project_id, max(ts) + INTERVAL 37 MINUTE AS ev_at FROM fr GROUP BY ALL
-), ev AS (SELECT 'P' || user_id % 2 AS project_id, ts AS "TimeStamp", CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'p' WHEN 'purchase' THEN 'b' WHEN 'signup' THEN 'f' END AS "Prediction",
+), ev AS (SELECT 'P' || user_id % (SELECT ceil(count(*) / {proxies.FRAMES_PER_PROJECT}.0)::BIGINT FROM embeddings) AS project_id, ts AS "TimeStamp", CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'p' WHEN 'purchase' THEN 'b' WHEN 'signup' THEN 'f' END AS "Prediction",
   (value % 100.0) / 10 AS px, json_extract_string(props, '$.k')::DOUBLE / 10 AS py, (value % 7.0 + 1 + value % 5.0 + 1) / 4 AS radius FROM events
 ), steps AS (SELECT project_id, k::INT AS window_id, ev_at, ev_at - INTERVAL 5 MINUTE - to_minutes((9 - k) * 10) AS t0, ev_at - INTERVAL 5 MINUTE - to_minutes((8 - k) * 10) AS t1 FROM ref, (SELECT unnest(range(9)) AS k)
 ), span AS (SELECT project_id, -1 AS window_id, ev_at, ev_at - INTERVAL 95 MINUTE AS t0, ev_at - INTERVAL 5 MINUTE AS t1 FROM ref)"""
@@ -48,20 +48,27 @@ def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     c = proxies.cells(spark, d)
     ref = c.groupBy(F.col("project_id").alias("pid")).agg((F.max("ts") + F.expr("INTERVAL '37' MINUTE")).alias("dissection_time"))
     ref = ref.withColumn("behave_or_control", F.when(F.substring("pid", 2, 9).cast("long") % 2 == 0, "B").otherwise("C"))
-    e = proxies.clusters(spark, d).withColumn("project_id", F.concat(F.lit("P"), (F.substring("project_id", 2, 9).cast("long") % 2).cast("string")))
+    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    projects = -(-n // proxies.FRAMES_PER_PROJECT)
+    e = proxies.clusters(spark, d).withColumn("project_id", F.concat(F.lit("P"), (F.substring("project_id", 2, 9).cast("long") % projects).cast("string")))
     e = e.withColumns({"radius": (F.col("X_span") + F.col("Y_span")) / 4, "X": F.col("X") / 10, "Y": F.col("Y") / 10})
     return c, e, ref
 
 
-@query(f"""WITH RECURSIVE {_NEAR}, w AS (SELECT * FROM steps UNION ALL SELECT * FROM span), {change_in()}, {GOOD}, {summary_in()}, {densities_in()}
+#: Agreement of the regions behind the two summaries of the windows w.
+_AGREE_SUMMARY = """j AS (SELECT project_id, window_id, count(*) FILTER (WHERE a.label = b.label) AS n_same, count(*) AS n
+  FROM (SELECT project_id, window_id, y, x, label FROM reg) a FULL JOIN (SELECT project_id, window_id, y, x, label FROM d_reg) b USING (project_id, window_id, y, x) GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, w AS (SELECT * FROM steps UNION ALL SELECT * FROM span), {change_in()}, {GOOD}, {summary_in()}, {densities_in()}, {_AGREE_SUMMARY}
 , n AS (SELECT w.project_id, w.window_id, {_CASES}, count(e."Prediction")::BIGINT AS n_all FROM w LEFT JOIN ev e ON e.project_id = w.project_id AND e."TimeStamp" BETWEEN w.t0 AND w.t1 GROUP BY ALL)
-SELECT w.project_id, w.window_id, round(epoch(ev_at - t0) / 60, 6) AS minutes_start, round(epoch(ev_at - t1) / 60, 6) AS minutes_stop, s.absolute_volume, s.summed_volume, s.bower_index, d_s.absolute_volume AS kde_absolute_volume, d_s.summed_volume AS kde_summed_volume, d_s.bower_index AS kde_bower_index, n_c, n_p, n_b, n_f, n_all
-FROM w JOIN s USING (project_id, window_id) JOIN n USING (project_id, window_id) JOIN d_s USING (project_id, window_id)""")
+SELECT w.project_id, w.window_id, round(epoch(ev_at - t0) / 60, 6) AS minutes_start, round(epoch(ev_at - t1) / 60, 6) AS minutes_stop, s.absolute_volume, s.summed_volume, s.bower_index, d_s.absolute_volume AS kde_absolute_volume, d_s.summed_volume AS kde_summed_volume, d_s.bower_index AS kde_bower_index, round(CASE WHEN j.n IS NULL THEN 1.0 ELSE j.n_same / j.n END, 6) AS agreement, n_c, n_p, n_b, n_f, n_all
+FROM w JOIN s USING (project_id, window_id) JOIN n USING (project_id, window_id) JOIN d_s USING (project_id, window_id) LEFT JOIN j USING (project_id, window_id)""")
 def pre_event_detail(spark: SparkSession, d: str) -> DataFrame:
     c, e, ref = _near(spark, d)
     rows = reports.pre_event_report(c, e, ref, list(BIDS), _grid(spark), LEAST, LEVELS, DENSITY)
     kde = ("kde_absolute_volume", "kde_summed_volume", "kde_bower_index")
-    return r6(rows.select(*KEYS, "minutes_start", "minutes_stop", "absolute_volume", "summed_volume", "bower_index", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in kde], "n_c", "n_p", "n_b", "n_f", "n_all"))
+    return r6(rows.select(*KEYS, "minutes_start", "minutes_stop", "absolute_volume", "summed_volume", "bower_index", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in kde], "agreement", "n_c", "n_p", "n_b", "n_f", "n_all"))
 
 
 _MASK = f"""wf AS (SELECT * REPLACE (0 AS window_id) FROM span), {change_in("wf", "fw", True)}, ft AS (SELECT c.*, {level_sql(LEVELS)} AS lv FROM fw c JOIN wf USING (project_id, window_id)){_regions_sql("signed", "lv", "ft", "f_")}"""
@@ -83,13 +90,19 @@ def cohort_depth_detail(spark: SparkSession, d: str) -> DataFrame:
     return r6(reports.cohort_depth_detail(c, ref, LEAST, LEVELS))
 
 
-@query(_recursive(f"""WITH {proxies.CELLS}, {FRAMES}, w AS ({_windows_sql("daily")}), wt AS ({_windows_sql("total")}), {change_in()}, {change_in("wt", "tc")}{_regions_sql()}{_regions_sql("signed", str(TH), "tc", "t_")}
-, ww AS (SELECT DISTINCT project_id, window_id FROM change), tr AS (SELECT ww.project_id, ww.window_id, y, x, label FROM (SELECT project_id, y, x, label FROM t_reg) JOIN ww USING (project_id)
-), j AS (SELECT project_id, window_id, count(*) FILTER (WHERE reg.label = tr.label) AS same, count(*) AS n FROM reg FULL JOIN tr USING (project_id, window_id, y, x) GROUP BY ALL)
-SELECT ww.project_id, ww.window_id, round(CASE WHEN n IS NULL THEN 1.0 ELSE same / n END, 6) AS agreement FROM ww LEFT JOIN j USING (project_id, window_id)"""))
+_AGREE = """reg_d AS (SELECT project_id, window_id, y, x, label FROM reg), reg_k AS (SELECT project_id, window_id, y, x, label FROM k_reg
+), j AS (SELECT project_id, window_id, count(a.label) AS n_depth, count(b.label) AS n_density, count(*) FILTER (WHERE a.label = b.label) AS n_same, count(*) AS n FROM reg_d a FULL JOIN reg_k b USING (project_id, window_id, y, x) GROUP BY ALL)"""
+_FAMILIES = f"""{change_in()}, dt AS (SELECT c.*, {level_sql(LEVELS)} AS lv FROM change c JOIN w USING (project_id, window_id)){_regions_sql("signed", "lv", "dt", "", LEAST)}
+, {density_in("spit", "p")}, {density_in("scoop", "c")}, kt AS (SELECT spit.project_id, spit.window_id, spit.y, spit.x, spit.z - scoop.z AS change, {level_sql(DENSITY)} AS lv FROM spit JOIN scoop USING (project_id, window_id, y, x) JOIN w USING (project_id, window_id)){_regions_sql("signed", "lv", "kt", "k_", LEAST)}"""
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, wd AS ({_windows_sql("daily")}), w AS (SELECT * FROM wd UNION ALL SELECT project_id, 'trial', min(t0), max(t1) FROM wd GROUP BY project_id), {_FAMILIES}, {_AGREE}
+SELECT w.project_id, w.window_id, coalesce(n_depth, 0)::BIGINT AS n_depth, coalesce(n_density, 0)::BIGINT AS n_density, coalesce(n_same, 0)::BIGINT AS n_same, round(CASE WHEN n IS NULL THEN 1.0 ELSE n_same / n END, 6) AS agreement FROM w LEFT JOIN j USING (project_id, window_id)""")
 def region_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """Each day's regions against those of the whole trial."""
-    return r6(reports.region_consistency(_change(spark, d), _change(spark, d, "total").drop("window_id"), KEYS, TH, LEAST))
+    """Regions of height change against regions of event density, by day and over the trial."""
+    c, e, _ = _near(spark, d)
+    frames = depth.frame_times(c)
+    return r6(reports.region_consistency(c, e, reports.trial_windows(frames), _grid(spark), LEAST, LEVELS, DENSITY, frames))
 
 
 def _load():
