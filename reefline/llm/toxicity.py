@@ -41,6 +41,8 @@ from reefline.llm._frames import map_text, plain, written
 
 TRAIN_ROWS, CONTROLS, CANDIDATES = 20_000, 40_000, 400_000
 LANDMARKS, ROUNDS, WITNESSES, BEST = 768, 5, 3, 4
+#: Rounds of the machine that only the curve is fitted on.
+FIRST_ROUNDS = 3
 #: Clean words that a fit takes: as many of the hardest, and as many of all.
 WORKING = 16_000
 #: Bits of the hash of a subsequence.
@@ -49,8 +51,11 @@ BITS = 20
 TEXTS = 128
 #: A word of toxic texts may be a witness if clean texts with it are fewer by this factor.
 RARER = 8
-#: Log likelihood ratio from which a word may be a first witness (a tenth of the largest, if that is more).
-STANDS_OUT = 15.0
+#: Log likelihood ratio from which a word may be a first witness, and its share of the best in its text. Both look at the text
+#: alone: a bar by the whole corpus is one that a language with few labelled texts never passes.
+STANDS_OUT, NEAR_BEST = 12.0, 0.5
+#: Letters of the runs that first witnesses are found by: stems show in the longer ones, other spellings in the short ones.
+RUNS = (4, 7)
 DECAY, SPAN, REGULAR = 0.5, 6, 1e-5
 THRESHOLD = 0.3
 
@@ -249,12 +254,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _enrichment(words: list[str], in_docs: np.ndarray, controls: list[str]) -> np.ndarray:
-    """First guess of how toxic a word of a toxic text is: how far its oddest four letters stand out.
+    """First guess of how toxic a word of a toxic text is: how far its oddest run of letters stands out.
 
     A letter run's count over the words of toxic texts is held against what the controls let expect,
     as a Poisson log likelihood ratio.
     """
-    runs = lambda w: {f"^{w}$"[i : i + 4] for i in range(len(w) - 1)}
+    runs = lambda w: {f"^{w}$"[i : i + k] for k in RUNS for i in range(len(w) + 3 - k)}
     seen: Counter[str] = Counter()
     for w, n in zip(words, in_docs.tolist(), strict=True):
         for r in runs(w):
@@ -285,25 +290,58 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         share = sum(truth.values()) / max(1, len(truth))
         return Model(flat.table, -1.0, _curve(float(np.log(max(share, 1e-17) / max(1 - share, 1e-17)))))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("_late"))  # TRAIN_ROWS rows at most
-    lists = map_text(sample.where("NOT _late"), lambda t: {"words": _word_lists(t)}, "words array<string>", ["doc_id", "_y"])
-    lists = written(lists, "words")
+    lists = written(map_text(sample, lambda t: {"words": _word_lists(t)}, "words array<string>", ["doc_id", "_y", "_late"]), "words")
+    first = _fit(lists.where("NOT _late"), seed, FIRST_ROUNDS)
+    if first is None:
+        return flat
+    table, bias, floor = first
+    sent = spark.sparkContext.broadcast(Model(table, floor, _curve(0.0)))
+    late = map_text(sample.where("_late"), lambda t: {"x": pa.array(sent.value.best(t).tolist(), pa.list_(pa.float64()))}, "x array<double>", ["_y"]).collect()
+    # The curve comes from texts the first machine has not seen, the machine itself from all of them.
+    table, bias, floor = _fit(lists, seed) or first
+    model = Model(table, floor, _curve(4.0 * bias, 4.0))
+    if len({r["_y"] for r in late}) < 2:
+        return model
+    x, y = np.array([r.x for r in late]), np.array([r["_y"] for r in late], float)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    c = _logistic((x - mean) / scale, y)
+    model.curve = np.append(c[:-1] / scale, c[-1] - (c[:-1] * mean / scale).sum())
+    return model
+
+
+def _fit(lists: DataFrame, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float] | None:
+    """The weight table, the bias and the least score of a machine on the words of some labelled texts (doc_id, _y, words); None
+    without words of both kinds.
+    """
+    spark = lists.sparkSession
     pairs = lists.select("doc_id", "_y", F.explode("words").alias("w"))
     seen = pairs.groupBy("w").agg(F.count_if(F.col("_y") == 0).alias("clean"), F.count_if(F.col("_y") == 1).alias("toxic"))
     rare = f"{RARER} * clean <= toxic"
     controls = seen.where(f"NOT ({rare})").orderBy(F.xxhash64("w"), "w").select("w").limit(CONTROLS).toArrow()["w"].to_pylist()
     held = pairs.where("_y = 1").join(seen.where(rare).select("w"), "w").select("doc_id", "w")
-    held = held.orderBy(F.xxhash64("doc_id"), "doc_id", "w").limit(CANDIDATES).toArrow()
+    of = held.groupBy("doc_id").count().select(F.col("doc_id").cast("string").alias("i"), "count").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # TRAIN_ROWS rows at most
+    total, taken = 0, []
+    for r in of:  # whole texts, one at least
+        total += r["count"]
+        if taken and total > CANDIDATES:
+            break
+        taken.append((r.i,))
+    taken = spark.createDataFrame(taken, "_i string")
+    held = held.join(F.broadcast(taken), F.col("doc_id").cast("string") == F.col("_i")).select("doc_id", "w").orderBy(F.xxhash64("doc_id"), "doc_id", "w").toArrow()
     coded = held["w"].combine_chunks().dictionary_encode()
     candidates = coded.dictionary.to_pylist()
     if not candidates or not controls:
-        return flat
+        return None
     doc, word = np.unique(held["doc_id"].to_numpy(), return_inverse=True)[1], coded.indices.to_numpy()
     in_docs = np.bincount(word, minlength=len(candidates))
     rng = np.random.default_rng(seed)
     odd = _enrichment(candidates, in_docs, controls)
-    scores, sure = odd, odd >= max(STANDS_OUT, 0.1 * odd.max())
+    scores, own_best = odd, np.zeros(int(doc.max()) + 1)
+    np.maximum.at(own_best, doc, odd[word])
+    sure = np.zeros(len(candidates), bool)
+    sure[word[odd[word] >= np.maximum(STANDS_OUT, NEAR_BEST * own_best[doc])]] = True
     control_scores = np.zeros(len(controls))
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         order = np.lexsort((word, -scores[word], doc))
         rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
         found = np.unique(word[order][rank < WITNESSES])  # the likeliest words of each toxic text
@@ -328,26 +366,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         beta = root @ w
         row, which, share = _rows(marks)
         table = np.bincount(which, share * beta[row], 1 << BITS).astype(np.float32)
-        if turn + 1 < ROUNDS:  # the likeliest words of every clean text are clean all the same
+        if turn + 1 < rounds:  # the likeliest words of every clean text are clean all the same
             known = {*controls, *candidates}
             top = lists.where("_y = 0").select("words").mapInArrow(_top_words(table), "w string").distinct()
             controls += sorted(w for w in top.toArrow()["w"].to_pylist() if w not in known)  # WITNESSES a sampled text at most
         scores = _score_list(candidates, table) + bias
         control_scores = _score_list(controls, table) + bias
     if not control_scores.any():
-        return flat
-    floor = float(min(control_scores.min(), -1.0)) - bias
-    model = Model(table, floor, _curve(0.0))
-    sent = spark.sparkContext.broadcast(model)
-    late = map_text(sample.where("_late"), lambda t: {"x": pa.array(sent.value.best(t).tolist(), pa.list_(pa.float64()))}, "x array<double>", ["_y"]).collect()
-    if len({r["_y"] for r in late}) < 2:
-        model.curve = _curve(4.0 * bias, 4.0)
-        return model
-    x, y = np.array([r.x for r in late]), np.array([r["_y"] for r in late], float)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    c = _logistic((x - mean) / scale, y)
-    model.curve = np.append(c[:-1] / scale, c[-1] - (c[:-1] * mean / scale).sum())
-    return model
+        return None
+    return table, bias, float(min(control_scores.min(), -1.0)) - bias
 
 
 def _score_list(words: list[str], table: np.ndarray, step: int = 20_000) -> np.ndarray:
