@@ -6,11 +6,12 @@ simple style-sheet rules with ``display:none`` or ``visibility:hidden``), and a
 out: blocks apart, lists with markers and indents, table cells in aligned columns, white space
 collapsed but in ``pre``. All visible text is kept. Both work through one stack, so nesting depth and
 length are limited by memory only, and both take time in proportion to the page, however broken: the
-scanner never reads a stretch twice, and open elements are found by name, not by search.
+scanner never reads a stretch twice, open elements are found by name, not by search, and a table is kept as a
+block of cells, whose text is written once, at the end, however many tables it stands in.
 
 Defined cases: null html gives null text; an empty page or one without visible text gives an empty
 text; broken markup is text or ignored, never an error; a quote that never closes is an ordinary sign; a
-``<`` without any ``>`` ahead is text; rules inside at-rules hold for plain screen media only, and of two
+``<`` without any ``>`` ahead is text; a cell spans ``SPAN`` columns and rows at most; rules inside at-rules hold for plain screen media only, and of two
 rules for a selector the later one; repeated rows are rendered each; extra columns are ignored.
 """
 
@@ -46,7 +47,8 @@ _CELL_STOPS, _OTHER_STOPS = {"table"}, {"td", "th", "table", "button", "caption"
 _PARTS, _CELLS, _P = frozenset("table tr tbody thead tfoot td th body html".split()), frozenset(("td", "th", "table")), {"p"}
 HEAD_ONLY = frozenset("title meta link base style script".split())
 
-WIDEST, DEEPEST = 60, 80  # of aligned cells, and of indents; what is wider or deeper stays whole
+#: Widest aligned cell, deepest indent, rightmost column of a cell, most columns or rows of a span; what is wider or deeper stays whole.
+WIDEST, DEEPEST, RIGHTMOST, SPAN = 60, 80, 400, 100
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -63,7 +65,7 @@ class _Flow:
     """Lines of one block context."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list = []  # lines, and tables with what stands before their first line
         self.line: list[str] = []
         self.gap, self.indent, self.marker = 0, "", ""
         self.open_space = False
@@ -92,14 +94,83 @@ class _Flow:
             self.lines.append((self.indent + self.marker + text).rstrip())
             self.gap, self.marker = 0, " " * len(self.marker)
 
+    def table(self, block: _Block) -> None:
+        if block.height:
+            if self.lines and self.gap:
+                self.lines.append("")
+            self.lines.append((self.indent + self.marker, block))
+            self.gap, self.marker = 0, " " * len(self.marker)
+
     def block(self, gap: int) -> None:
         self.end()
         self.gap = max(self.gap, gap)
 
 
+class _Block:
+    """A laid-out table: cells with their first line and column. What stands in them is written only once, at the page's end."""
+
+    def __init__(self, rows: list[list[list]]) -> None:
+        sizes = [[_size(cell) for cell in row] for row in rows]
+        width: dict[int, int] = {}
+        for row in sizes:
+            for k, (_, right) in enumerate(row):
+                width[k] = max(width.get(k, 0), min(WIDEST, right))
+        at = [0]
+        for k in range(len(width)):
+            at.append(min(at[-1] + width[k] + 2, RIGHTMOST))
+        self.cells: list[tuple[list, int, int]] = []
+        self.height = self.right = 0
+        for row, of in zip(rows, sizes, strict=True):
+            for k, (cell, (_, right)) in enumerate(zip(row, of, strict=True)):
+                if right:
+                    self.cells.append((cell, self.height, at[k]))
+                    self.right = max(self.right, min(at[k] + right, RIGHTMOST))
+            self.height += max((h for h, _ in of), default=0)
+
+
+def _size(items: list) -> tuple[int, int]:
+    """Lines and width of lines and blocks below each other."""
+    height = right = 0
+    for x in items:
+        if isinstance(x, str):
+            height, right = height + 1, max(right, len(x))
+        else:
+            height, right = height + x[1].height, max(right, len(x[0]) + x[1].right)
+    return height, right
+
+
+def _written(items: list) -> list[str]:
+    """The lines of a page: every piece of text is put at its line and column once, left cells before right ones."""
+    lines: list[list[tuple[int, str]]] = [[] for _ in range(_size(items)[0])]
+    todo = [(items, 0, 0)]
+    while todo:
+        some, line, column = todo.pop()
+        for x in some:
+            if isinstance(x, str):
+                if x:
+                    lines[line].append((column, x))
+                line += 1
+                continue
+            lead, block = x
+            if mark := lead.rstrip():
+                lines[line].append((column, mark))
+            inner = min(column + len(lead), RIGHTMOST)
+            todo.extend((cell, line + y, min(inner + k, RIGHTMOST)) for cell, y, k in reversed(block.cells))
+            line += block.height
+    out = []
+    for pieces in lines:
+        n, parts = 0, []
+        for column, text in pieces:
+            gap = column - n if n < column else 2 if parts else 0
+            parts += (" " * gap, text)
+            n += gap + len(text)
+        out.append("".join(parts).rstrip())
+    return out
+
+
 class _Table:
     def __init__(self) -> None:
-        self.rows: list[list[list[str]]] = []
+        self.rows: list[list[list]] = []
         self.down: dict[int, int] = {}  # column: rows below that a cell above still covers
 
     def row(self) -> None:
@@ -113,26 +184,15 @@ class _Table:
             self.down[len(row)] -= 1
             row.append([""])
 
-    def cell(self, lines: list[str], across: int, down: int) -> None:
+    def cell(self, items: list, across: int, down: int) -> None:
         if not self.rows:
             self.row()
         for k in range(across):
             if down > 1:
                 self.down[len(self.rows[-1])] = down - 1
-            self.rows[-1].append([""] if k else lines)
+            self.rows[-1].append([""] if k else items)
         self.fill()
 
-    def lines(self) -> list[str]:
-        width: dict[int, int] = {}
-        for row in self.rows:
-            for k, cell in enumerate(row):
-                width[k] = max(width.get(k, 0), *(min(WIDEST, len(x)) for x in cell), 0)
-        out = []
-        for row in self.rows:
-            for i in range(max(map(len, row), default=0)):
-                out.append("  ".join((cell[i] if i < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
-        return out
-
 
 def rules_of(sheet: str) -> Iterator[tuple[str, bool]]:
     """Selectors of a style sheet with whether they hide, in order; at-rules but plain screen media are
@@ -247,7 +307,7 @@ class _Page:
             self.tables[-1].row()
         elif name in ("td", "th") and self.tables:
             self.flows.append(_Flow())
-            number = lambda key: min(int(n), 100) if (n := attributes.get(key, "1")).isdecimal() and n.isascii() and len(n) < 9 else 1
+            number = lambda key: min(int(n), SPAN) if (n := attributes.get(key, "1")).isdecimal() and n.isascii() and len(n) < 9 else 1
             self.flows[-1].span = max(1, number("colspan")), max(1, number("rowspan"))
 
     def close_to(self, k: int) -> None:
@@ -284,9 +344,7 @@ class _Page:
             return
         if name == "table" and self.tables:
             flow.block(1)
-            for line in self.tables.pop().lines():
-                flow.line = [line]
-                flow.end(True)
+            flow.table(_Block(self.tables.pop().rows))
             flow.block(1)
             return
         if name in BLOCK:
@@ -382,7 +440,7 @@ def render(page: str) -> str:
     p.text(page[at:])
     p.close_to(0)
     p.flows[0].end()
-    return "\n".join(p.flows[0].lines).strip("\n")
+    return "\n".join(_written(p.flows[0].lines)).strip("\n")
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
