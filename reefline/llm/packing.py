@@ -3,13 +3,13 @@
 Pieces of the same length are exchangeable, so the search works on the histogram of lengths (at most
 ``CAPACITY`` rows, whatever the corpus), and a chromosome is a list of bin groups: a filling of a
 bin and how many bins are filled so. Every island starts from cheap packings of its own: lengths in
-random order, each put in by next fit or first fit, and on the first island one best-fit packing, so
-that the result is never behind it. Crossover injects whole well-filled groups of
+random order, each put in by next fit or first fit. Crossover injects whole well-filled groups of
 another parent, takes out bins of the receiver whose pieces would then be used twice, and puts the
 displaced pieces back by best fit; mutation empties badly filled groups and packs them anew. Each
 island is a Spark group with a population of its own; between epochs the best of each island moves to
 the next one. Generations go on until a packing has as few bins as the total length allows, or
-``GENERATIONS`` in each of ``EPOCHS`` are over.
+``GENERATIONS`` in each of ``EPOCHS`` are over. A best-fit packing is the yardstick beside it: only if the islands
+need more bins than it does then does it join their population, for one more epoch; so the result is never behind it.
 A best fit adds at most three groups for each length, and a child that grows beyond ``GROUPS`` groups
 is dropped, so a population and the final plan are bounded for any input.
 
@@ -40,7 +40,7 @@ from reefline.llm._frames import written
 
 CAPACITY = 2048
 CLOSING = 0
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 6, 6, 6, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 6, 6, 6, 4
 GROUPS = 4 * 3 * CAPACITY
 #: Pieces in a bucket of one length, about.
 BUCKET = 50_000
@@ -233,21 +233,24 @@ def plan(lengths: DataFrame, capacity: int = CAPACITY) -> list[Group]:
         def island(pdf: pd.DataFrame) -> pd.DataFrame:
             members = [[(tuple(zip(f[0::2].tolist(), f[1::2].tolist(), strict=True)), int(n)) for f, n in zip(map(np.asarray, fs), ns, strict=True)] for fs, ns in zip(pdf["fillings"], pdf["bins"], strict=True) if len(ns)]
             k = int(pdf["island"].iloc[0])
+            if epoch == EPOCHS:
+                members.append(best_fit(counts, [], capacity))
             members.sort(key=lambda m: fitness(m, capacity), reverse=True)
-            if not epoch and not k:
-                members = [best_fit(counts, [], capacity)]
             best = evolve(counts, members[:POPULATION], 1000 * epoch + k, capacity)
             return pd.DataFrame([(k, i, *packed(m)) for i, m in enumerate(best)], columns=["island", "place", "fillings", "bins"])
 
         return island
 
     bound = -(-sum(x * n for x, n in counts.items()) // capacity)
-    for epoch in range(EPOCHS):
+    yardstick = sum(n for _, n in best_fit(counts, [], capacity))
+    for epoch in range(EPOCHS + 1):
         state = written(state.repartition(ISLANDS, "island").groupBy("island").applyInPandas(grow(epoch), _STATE), "islands")
         score = state.where("place = 0").withColumn("n", F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x))
         best = score.orderBy("n", "island").first()
         if best["n"] == bound:
             break  # no packing has fewer bins
+        if epoch == EPOCHS - 1 and best["n"] <= yardstick:
+            break
         # The best of each island moves on to the next as well.
         state = state.union(state.where("place = 0").withColumn("island", F.expr(f"CAST((island + 1) % {ISLANDS} AS int)")))
     return [(tuple(zip(f[0::2], f[1::2], strict=True)), n) for f, n in zip(best["fillings"], best["bins"], strict=True)]

@@ -400,6 +400,16 @@ def test_genetic_packing_beats_best_fit(spark):
     assert _check_plan(found, counts, 2048) < first < min(starts)
 
 
+def test_the_plan_is_evolved(spark, small):
+    """At registered settings: what is returned is no best fit, and needs no more sequences."""
+    cut = packing.pieces(spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet"), q_packing.tokenizer_path())
+    lengths = cut.groupBy("length").agg(F.count("*").alias("n")).cache()
+    counts = {r["length"]: r["n"] for r in lengths.collect()}
+    seed, found = packing.best_fit(counts, []), packing.plan(lengths)
+    assert _check_plan(found, counts, packing.CAPACITY) <= _check_plan(seed, counts, packing.CAPACITY)
+    assert sorted(found) != sorted(seed)
+
+
 @pytest.mark.parametrize(
     "page,text",
     [
@@ -411,6 +421,7 @@ def test_genetic_packing_beats_best_fit(spark):
         ("<style>@media print{.m{display:none}} .h{display:none}</style><p class=m>a<p class=h>b", "a"), ("<style>.a{display:none} .a{display:block}</style><p class=a>z", "z"),
         ("<style>@media screen { .m { color: red; display: none } }</style><p class=m>a<p>b", "b"), ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d", "b\nd"),
         ("<div hidden><b style='visibility:visible'>b</b></div>d", "d"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<td rowspan=2 colspan=2>b<tr><td>c<tr><td>d<td>e</table>", "a  b\nc\nd  e"),
+        ("<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>long<td>d</table><td>e</table>", "a  b     c  e\n   long  d"), ("<ul><li><table><tr><td>a<td>b<tr><td>c</table></ul>", "- a  b\n  c"),
         ("<math><mi>x</mi></math>y", "xy"), ("<svg><text>label</text><title>t</title></svg>", "label"), ("a <b title='x>y'>c</b>", "a c"), ("a <b title='x>y", "a y"), ("<blockquote><dl><dd>a</blockquote>b", "    a\n\nb"),
         ("<table><tr><td>a<table><tr><td>b</table></table>", "a\n\nb"), ("<ol start=3><li>x</ol>", "3. x"), ("<dl><dt>k<dd>v</dl>", "k\n  v"), ("<img alt='pic'>!", "pic!"),
     ],
@@ -424,8 +435,9 @@ def test_rendering(page, text):
     [
         "<a " * 300_000, "<style>" + "x " * 500_000, "<b>" * 100_000 + "</i>" * 150_000, '<a "' * 250_000, '<a "' * 250_000 + 'x>"', "<b>" * 100_000 + "<hr>" * 150_000, "<" * 1_000_000, "<style>" * 100_000,
         "<!-- " * 200_000, "<div><table><td>" + "<b>" * 100_000 + "</div>" * 100_000, "<b>" * 100_000 + "<option>" * 60_000, "<div>" * 150_000, "&" * 1_000_000, "<ul><li>" * 80_000 + "x", "<blockquote>" * 60_000 + "x",
+        "<table><tr><td>a" * 65_000, "<table><tr><td>a<td>" * 52_000, "<table><tr><td>" * 66_000 + "x<td>y</table>z" * 66_000,
     ],
-    ids=range(15),
+    ids=range(18),
 )
 def test_long_broken_pages_take_linear_time(page):
     import time
