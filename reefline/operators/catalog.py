@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefline.functions.expr import split_tag, truth
+from reefline.shared import written
+from reefline.sources import files, versions
 
 #: Stage and the stages it needs, fixed values.
 NEEDS = {"Prep": ["StartingFiles"], "Depth": ["StartingFiles", "Prep"], "Cluster": ["StartingFiles", "Prep"], "ClusterClassification": ["StartingFiles", "Prep", "Cluster"], "TrackFish": ["StartingFiles", "Prep"], "Summary": ["StartingFiles", "Prep", "Depth", "ClusterClassification"]}
@@ -54,6 +56,21 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(new.join(table.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def store_update(spark: SparkSession, root: str, updates: DataFrame, key: str, column: str) -> DataFrame:
+    """``upsert`` on a stored table: the new version is current once it is complete."""
+    return versions.update(spark, root, lambda states: upsert(states, updates, key, column))
+
+
+def store_insert(spark: SparkSession, root: str, rows: DataFrame, key: str) -> DataFrame:
+    """``insert_absent`` on a stored table, which the first rows begin."""
+    return versions.update(spark, root, lambda table: insert_absent(rows.limit(0) if table is None else table, rows, key))
+
+
+def store_append(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """A stored master table with new rows; columns that one side lacks are null there."""
+    return versions.update(spark, root, lambda table: rows if table is None else files.append_merge(table, rows))
+
+
 def first_last_images(movies: DataFrame, frames: DataFrame) -> DataFrame:
     """For each project the picture of its first movie that starts from 8:00 to 20:59 and of its last movie, and the
     first and last frames by daylight after that first movie began.
@@ -75,8 +92,27 @@ def project_ids(*tables: DataFrame) -> DataFrame:
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """All rows in an order by hash: the same each time."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    """All rows with their ``place`` in an order by digest: the same each time. The place is a column, since a frame's order
+    is lost at the next shuffle.
+    """
+    order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return numbered(rows.withColumn("_o", order), ["_o", key]).drop("_o").withColumnRenamed("number", "place")
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with their ``number`` in this order, from 0. Rows are dealt by range and written; only each part's count
+    reaches the driver.
+    """
+    held = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before, so_far = [], 0
+    for r in counts:
+        before.append((r["_part"], so_far))
+        so_far += r["n"]
+    offsets = rows.sparkSession.createDataFrame(before, "_part long, _before long")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*rows.columns, (F.col("_before") + inside).alias("number"))
 
 
 def project_state(states: DataFrame, stages: list[str], required: DataFrame, listing: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ group grows with the number of projects. Small per-frame tables join by hash on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,11 @@ from reefline.schemas import PARAMS
 PIXEL = ["project_id", "y", "x"]
 
 
+def cell_keys(cells: DataFrame) -> list[str]:
+    """A cell's keys. A stored cube has its tile too: with it among the keys, work by cell needs no shuffle."""
+    return [*PIXEL, *(c for c in ("tile_y", "tile_x") if c in cells.columns)]
+
+
 def zero_to_null(raw: Column, units: float = 1.0) -> Column:
     """Zero means missing; centimetres from sensor units."""
     return F.nullif(raw, F.lit(0).cast("bigint")) * units * 100
@@ -36,6 +43,51 @@ def trimmed_median(samples: DataFrame, keys: list[str], value: str = "raw") -> D
     return total.join(stats, keys, "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def trimmed(samples: Column) -> Column:
+    """``median``, ``std`` (of the population) and ``kept`` of an array of samples without nulls, by the rule of ``trimmed_median``."""
+
+    def without_lowest(v: Column) -> Column:
+        return _let(F.array_min(v), lambda low: F.when(F.size(F.filter(v, lambda x: x == low)) <= 3, F.filter(v, lambda x: x != low)).otherwise(v))
+
+    kept = samples
+    for _ in range(3):
+        kept = _let(kept, without_lowest)
+
+    def stats(v: Column) -> Column:
+        n = F.size(v)
+        half = F.floor((n - 1) / 2).cast("int")
+        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
+        square = _let(mean, lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+        return F.struct(F.when(n > 0, (F.get(v, half) + F.get(v, F.floor(n / 2).cast("int"))) / 2).alias("median"), F.when(n > 0, F.sqrt(square / n)).alias("std"), n.cast("long").alias("kept"))
+
+    return _let(F.array_sort(F.transform(kept, lambda x: x.cast("double"))), stats)
+
+
+def cell_medians(samples: DataFrame, keys: list[str | Column], value: str = "raw") -> DataFrame:
+    """By ``keys`` (a capture window and a cell): trimmed median, deviation and counts of its samples, of which a window has a few
+    dozen. One aggregation that Spark can merge, so the frame may be a stream; the state of a cell is its samples.
+    """
+    held = samples.groupBy(*keys).agg(F.collect_list(value).alias("_v"), F.count(value).alias("n_good"), F.count_if(F.col(value).isNull()).alias("n_bad"))  # nulls are not collected
+    names = [c for c in held.columns if c not in ("_v", "n_good", "n_bad")]
+    return held.select(*names, "n_good", "n_bad", trimmed(F.col("_v")).alias("_s")).select(*names, "n_good", "n_bad", "_s.median", "_s.std", F.col("_s.kept").alias("n_kept"))
+
+
+def frame_statistics(medians: DataFrame, keys: list[str | Column], samples: int | None = None) -> DataFrame:
+    """What a frame record says of the cells' medians: ``avg_med`` and ``avg_std`` over the cells that have one, their number ``gp``,
+    and samples kept (``pixels_good``) and not (``pixels_bad``: missing, or taken out). ``samples`` is how many a cell should have;
+    without it, as many as came.
+    """
+    due = F.col("n_good") + F.col("n_bad") if samples is None else F.lit(samples).cast("long")
+    return medians.groupBy(*keys).agg(
+        F.avg("median").alias("avg_med"), F.avg("std").alias("avg_std"), F.count("median").alias("gp"), F.sum("n_kept").alias("pixels_good"), F.sum(due - F.col("n_kept")).alias("pixels_bad"),
+    )
+
+
 def carry_missing_frames(cells: DataFrame, present: DataFrame) -> DataFrame:
     """Cells of frames without a file take the last frame that has one; ``present`` is
     (project_id, frame_idx, has_file). Nulls inside a present frame stay null.
@@ -60,6 +112,31 @@ def pixel_masks(cells: DataFrame, p=PARAMS) -> DataFrame:
     return rows.withColumn("good", ~(F.col("sparse") | F.col("noisy") | F.col("out_of_range")))
 
 
+def two_frame_difference(cells: DataFrame, ends: DataFrame, p=PARAMS) -> DataFrame:
+    """Last minus first depth of each pixel, null where the mean of both frames lies out of the height range around the first
+    frame's median; of two frames of which one is null the other one counts. ``ends``: project_id, f0, f1.
+    """
+    side = F.explode(F.array(F.struct(F.col("f0").alias("frame_idx"), F.lit(0).alias("k")), F.struct(F.col("f1").alias("frame_idx"), F.lit(1).alias("k")))).alias("e")
+    rows = ends.select("project_id", side).select("project_id", "e.*").join(cells.select(*PIXEL, "frame_idx", "depth"), ["project_id", "frame_idx"])
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("depth")))
+    both = rows.groupBy(*PIXEL).agg(at(0).alias("_a"), at(1).alias("_b"))
+    middle = rows.where("k = 0").groupBy("project_id").agg(F.median("depth").alias("_middle"))
+    mean = F.coalesce((F.col("_a") + F.col("_b")) / 2, "_a", "_b")
+    out = (mean > F.col("_middle") + p.max_depth) | (mean < F.col("_middle") - p.max_height)
+    return both.join(middle, "project_id", "left").select(*PIXEL, F.when(~F.coalesce(out, F.lit(False)), F.col("_b") - F.col("_a")).alias("change"))
+
+
+def scales(change: DataFrame, keys: list[str], value: str = "change", order: str | None = None) -> DataFrame:
+    """What a stack of maps is scaled by, for each: the largest absolute value, three quarters of it, the 0.99 quantile of absolute
+    values and the median; with ``order`` (one of the keys) also the largest quantile of the maps so far.
+    """
+    v = F.abs(value)
+    rows = change.groupBy(*keys).agg(F.max(v).alias("vmax"), (0.75 * F.max(v)).alias("scale"), F.percentile(v, 0.99).alias("q99"), F.median(value).alias("middle"))
+    if order is None:
+        return rows
+    return rows.withColumn("q99_so_far", F.max("q99").over(W.partitionBy(*[k for k in keys if k != order]).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+
+
 def apply_masks(cells: DataFrame, masks: DataFrame) -> DataFrame:
     good = masks.where("good").select(*PIXEL, F.lit(True).alias("_ok"))
     return cells.join(good, PIXEL, "left").withColumn("depth", F.when(F.col("_ok"), F.col("depth"))).drop("_ok")
@@ -74,7 +151,7 @@ def gap_interpolate(cells: DataFrame, include_stop: bool = False, p=PARAMS) -> D
     rows = cells.join(span, ["project_id", "day"], "left")
     inside = (F.col("frame_idx") >= F.col("_a")) & ((F.col("frame_idx") <= F.col("_b")) if include_stop else (F.col("frame_idx") < F.col("_b")))
     rows = rows.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    w = W.partitionBy(*PIXEL, "day", "_in")
+    w = W.partitionBy(*cell_keys(cells), "day", "_in")
     back, ahead = w.orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0), w.orderBy("frame_idx").rowsBetween(0, W.unboundedFollowing)
     seen = F.when(F.col("depth").isNotNull(), F.struct("frame_idx", "depth"))
     rows = rows.select("*", F.last(seen, ignorenulls=True).over(back).alias("_l"), F.first(seen, ignorenulls=True).over(ahead).alias("_r"), (F.count("depth").over(w) / F.count("*").over(w)).alias("_share"))
@@ -90,7 +167,8 @@ def night_fill(cells: DataFrame) -> DataFrame:
     boundary alone. Without any boundary they are null.
 
     The nearest boundary is the last one before or the first one after in one sorted pass over a project's
-    frames and boundaries; of two as near, the earlier.
+    frames and boundaries; of two as near, the earlier. Frames between the same boundaries share their values, which are
+    worked out from the boundary frames alone; of the cube only night cells are shuffled, once.
     """
     day = F.coalesce("lof", F.lit(False))
     frames = cells.select("project_id", "frame_idx", "day", day.alias("lof")).distinct()
@@ -106,13 +184,17 @@ def night_fill(cells: DataFrame) -> DataFrame:
     best = near.select("project_id", "frame_idx", F.when(F.col("_b").isNull() | nearer, F.col("_a")).otherwise(F.col("_b")).alias("m"))
     other = F.when(F.col("m.before").isNull() | F.col("m.after").isNull(), F.col("m.mark")).when(F.col("frame_idx") > F.col("m.mark"), F.col("m.after")).otherwise(F.col("m.before"))
     plan = best.select("project_id", "frame_idx", F.col("m.mark").alias("b1"), other.alias("b2"))
-    values = cells.where("lof").select("project_id", F.col("frame_idx").alias("_f"), "y", "x", F.col("depth").alias("_v"))
-    need = cells.where(~day).join(plan, ["project_id", "frame_idx"], "left")
-    for k in (1, 2):
-        v = values.select("project_id", F.col("_f").alias(f"b{k}"), "y", "x", F.col("_v").alias(f"_v{k}"))
-        need = need.join(v, ["project_id", f"b{k}", "y", "x"], "left")
+    pairs = plan.where("b1 IS NOT NULL").select("project_id", "b1", "b2").distinct()
+    marked = pairs.select("project_id", F.explode(F.array("b1", "b2")).alias("frame_idx")).distinct()
+    edges = cells.where("lof").join(marked, ["project_id", "frame_idx"], "left_semi").select("project_id", "frame_idx", "y", "x", "depth")  # two frames a day
+    sides = F.explode(F.array(F.struct(F.col("b1").alias("frame_idx"), F.lit(1).alias("k")), F.struct(F.col("b2").alias("frame_idx"), F.lit(2).alias("k")))).alias("s")
+    found = pairs.select("project_id", "b1", "b2", sides).select("project_id", "b1", "b2", "s.*").join(edges, ["project_id", "frame_idx"])
+    value = lambda k: F.max(F.when(F.col("k") == k, F.col("depth")))
+    fills = found.groupBy("project_id", "b1", "b2", "y", "x").agg(value(1).alias("_v1"), value(2).alias("_v2"))
     mean = F.coalesce((F.col("_v1") + F.col("_v2")) / 2, "_v1", "_v2")
-    return cells.where("lof").unionByName(need.withColumn("depth", mean).select(*cells.columns))
+    need = cells.where(~day).join(plan, ["project_id", "frame_idx"], "left").drop("depth")
+    need = need.join(fills.select("project_id", "b1", "b2", "y", "x", mean.alias("depth")), ["project_id", "b1", "b2", "y", "x"], "left")
+    return cells.where("lof").unionByName(need.select(*cells.columns))
 
 
 def savgol(cells: DataFrame, window: int = PARAMS.savgol_window, order: int = PARAMS.savgol_order) -> DataFrame:
@@ -121,7 +203,8 @@ def savgol(cells: DataFrame, window: int = PARAMS.savgol_window, order: int = PA
     """
     half = window // 2
     weights = F.array(*[F.lit(c) for c in savgol_coefficients(window, order)])
-    series = cells.groupBy(*PIXEL).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "depth"))).alias("s"))
+    own = cell_keys(cells)
+    series = cells.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "depth"))).alias("s"))
     n = F.size("s")
     period = F.greatest(F.lit(1), 2 * (n - 1))
 
@@ -131,7 +214,7 @@ def savgol(cells: DataFrame, window: int = PARAMS.savgol_window, order: int = PA
 
     padded = F.transform(F.sequence(F.lit(-half), n - 1 + half), mirrored)
     smooth = F.transform("s", lambda e, i: F.struct(e["frame_idx"].alias("frame_idx"), F.aggregate(F.zip_with(F.slice("_p", i + 1, window), weights, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v).alias("depth")))
-    return series.select("*", padded.alias("_p")).select(*PIXEL, F.explode(smooth).alias("e")).select(*PIXEL, "e.frame_idx", "e.depth")
+    return series.select("*", padded.alias("_p")).select(*own, F.explode(smooth).alias("e")).select(*own, "e.frame_idx", "e.depth")
 
 
 def asof_frames(frames: DataFrame, times: DataFrame, time: str = "t") -> DataFrame:
@@ -168,14 +251,18 @@ def height_at(cells: DataFrame, times: DataFrame, frames: DataFrame | None = Non
 def height_change(cells: DataFrame, windows: DataFrame, forward: bool = False, frames: DataFrame | None = None) -> DataFrame:
     """``windows`` (project_id, window_id, t0, t1): first minus last depth of every pixel, so that
     raised sand is positive. ``forward`` starts at the first frame not before t0. ``frames``: as in ``height_at``.
+    Only the windows' own frames are read on, and a cell's two values meet in one aggregation.
     """
     frames = frame_times(cells) if frames is None else frames
     first = (forward_frames if forward else asof_frames)(frames, windows, "t0").withColumnRenamed("frame_idx", "f0")
     both = asof_frames(frames, first, "t1").withColumnRenamed("frame_idx", "f1")
-    c = cells.select(*PIXEL, "frame_idx", "depth")
-    start = both.join(c.withColumnsRenamed({"frame_idx": "f0", "depth": "_d0"}), ["project_id", "f0"])
-    stop = c.withColumnsRenamed({"frame_idx": "f1", "depth": "_d1"})
-    return start.join(stop, ["project_id", "f1", "y", "x"]).select("project_id", "window_id", "y", "x", (F.col("_d0") - F.col("_d1")).alias("change"))
+    ends = F.explode(F.array(F.struct(F.col("f0").alias("frame_idx"), F.lit(0).alias("k")), F.struct(F.col("f1").alias("frame_idx"), F.lit(1).alias("k")))).alias("e")
+    need = both.select("project_id", "window_id", ends).select("project_id", "window_id", "e.*")
+    own = cell_keys(cells)
+    rows = need.join(cells.select(*own, "frame_idx", "depth"), ["project_id", "frame_idx"])
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("depth")))
+    change = rows.groupBy(*own, "window_id").agg((at(0) - at(1)).alias("change"), F.bit_or(F.col("k") + 1).alias("_k"))  # 3: the cell is in both frames
+    return change.where("_k = 3").select("project_id", "window_id", "y", "x", "change")
 
 
 def calendar_windows(cells: DataFrame, grain: str = "daily") -> DataFrame:
@@ -265,7 +352,7 @@ def smooth_depth(cells: DataFrame, crop: Column | None = None, present: DataFram
     if crop is not None:
         rows = rows.withColumn("depth", F.when(crop, F.col("depth")))
     rows = night_fill(apply_masks(rows, pixel_masks(rows)))
-    smooth = savgol(rows)
+    smooth = savgol(rows).drop("tile_y", "tile_x")
     return smooth.join(frame_times(cells), ["project_id", "frame_idx"])
 
 

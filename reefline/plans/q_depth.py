@@ -284,8 +284,7 @@ def kth_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_change_sql()} SELECT project_id, window_id, round(max(abs(change)), 6) AS vmax, round(0.75 * max(abs(change)), 6) AS scale, round(quantile_cont(abs(change), 0.99), 6) AS q99, round(median(change), 6) AS middle FROM change GROUP BY ALL""")
 def quantile99(spark: SparkSession, d: str) -> DataFrame:
-    v = F.abs("change")
-    return r6(_change(spark, d).groupBy(*KEYS).agg(F.max(v).alias("vmax"), (0.75 * F.max(v)).alias("scale"), F.percentile(v, 0.99).alias("q99"), F.median("change").alias("middle")))
+    return r6(depth.scales(_change(spark, d), KEYS))
 
 
 @query(f"""WITH {CELLS}, e AS (SELECT project_id, day, min(frame_idx) AS f0, max(frame_idx) AS f1 FROM cells WHERE lof GROUP BY ALL

@@ -62,10 +62,11 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 _SEEN = "epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM events) - 600000"
 
 
-@query(f"""WITH e AS (SELECT user_id, event_id, ts, floor(value / 10)::BIGINT AS gp, lag(floor(value / 10)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) SELECT user_id, event_id, gp FROM e WHERE gp = prev AND {_SEEN}""")
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, floor(value / 10)::BIGINT AS gp, lag(floor(value / 10)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, CASE WHEN event_type = 'error' THEN 0.05 ELSE 0.000001 END AS std FROM events) SELECT user_id, event_id, gp FROM e WHERE gp = prev AND std < 0.00001 AND {_SEEN}""")
 def stream_stateful_dup(spark: SparkSession, d: str) -> DataFrame:
     """All that the watermark has passed."""
-    return jobs.run_once(jobs.repeats(_events(spark, d)), spark, "append", "repeats")
+    std = F.when(F.col("event_type") == "error", 0.05).otherwise(0.000001)
+    return jobs.run_once(jobs.repeats(_events(spark, d), std=std), spark, "append", "repeats")
 
 
 @query("""SELECT event_id, user_id FROM events WHERE hour(ts) BETWEEN 8 AND 17""")

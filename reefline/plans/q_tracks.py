@@ -308,7 +308,7 @@ def project_ids(spark: SparkSession, d: str) -> DataFrame:
     return catalog.project_ids(name("orders", "o_custkey"), name("customer", "c_custkey"))
 
 
-@query("""SELECT o_orderkey, o_custkey FROM orders""")
+@query("""SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY md5('0/' || o_orderkey), o_orderkey) - 1 AS place FROM orders""")
 def shuffled_rows(spark: SparkSession, d: str) -> DataFrame:
     return catalog.shuffled(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey")
 
@@ -316,9 +316,7 @@ def shuffled_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT base_name, count(*)::BIGINT AS n FROM (SELECT DISTINCT (l_suppkey % 10)::VARCHAR AS base_name, l_orderkey, l_linenumber FROM lineitem) GROUP BY ALL""".replace("count(*)", "least(count(*), 50)"))
 def sampled_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Fifty boxes of each video, the same each time."""
-    b = _boxes(spark, d)
-    k = F.row_number().over(W.partitionBy("base_name").orderBy(F.xxhash64("box_id"), "box_id"))
-    return b.withColumn("k", k).where("k <= 50").groupBy("base_name").count().withColumnRenamed("count", "n")
+    return tracks.sample(_boxes(spark, d), "box_id", 50, ["base_name"]).groupBy("base_name").count().withColumnRenamed("count", "n")
 
 
 # --- tables written to files and read again ----------------------------------------------------------

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reefline.plans import q_depth, q_events, q_reports, q_stream, q_tracks
+from reefline.plans import q_depth, q_events, q_reports, q_stored, q_stream, q_tracks
 
 
 def _modules():
-    return [q_depth, q_events, q_tracks, q_reports, q_stream]
+    return [q_depth, q_events, q_tracks, q_reports, q_stream, q_stored]
 
 
 def queries() -> dict:

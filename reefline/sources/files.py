@@ -4,28 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     """``file, y, x, value`` of ``.npy`` grids, NaN as null. A missing file has no rows."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
+    return array_cells(files.select(F.col("path").alias("file"), "content"))
+
+
+#: Cells of a grid that are made at once.
+BAND = 1 << 18
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
 
-        import numpy as np
+def array_cells(files: DataFrame) -> DataFrame:
+    """``file, y, x, value`` of grids given as ``file`` and ``content`` (the bytes of an ``.npy`` file); a grid is
+    unfolded in bands of rows, so a large one never stands there whole as rows.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
 
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                grid = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
-                y, x = np.indices(grid.shape)
-                yield pd.DataFrame({"file": name, "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "value": grid.ravel()})
+            for k in range(batch.num_rows):
+                content = batch["content"][k].as_py()
+                if content is None:
+                    continue
+                grid = np.load(io.BytesIO(content), allow_pickle=False)
+                step = max(1, BAND // max(1, grid.shape[1]))
+                for first in range(0, grid.shape[0], step):
+                    band = grid[first : first + step].astype(float)
+                    y, x = np.indices(band.shape, dtype=np.int32)
+                    same = pa.array(np.full(band.size, k))
+                    yield pa.RecordBatch.from_arrays([batch["file"].take(same), pa.array((y + np.int32(first)).ravel()), pa.array(x.ravel()), pa.array(band.ravel(), from_pandas=True)], names=["file", "y", "x", "value"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", "content").mapInPandas(decode, "file string, y int, x int, value double")
-    return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    return files.select("file", "content").mapInArrow(decode, "file string, y int, x int, value double")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -34,8 +50,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_detections(spark: SparkSession, path: str, width: int = 1296, height: int = 972) -> DataFrame:
     """Boxes of per-frame text files ``name_12.txt`` with rows ``class xc yc w h score`` (0 to 1)."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = spark.read.text(path).select(F.regexp_extract(name, r"^(.*)_\d+\.txt$", 1).alias("base_name"), F.regexp_extract(name, r"_(\d+)\.txt$", 1).cast("int").alias("frame"), F.split(F.trim("value"), r"\s+").alias("v"))
+    return detection_rows(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"), width, height)
+
+
+def detection_rows(lines: DataFrame, width: int = 1296, height: int = 972) -> DataFrame:
+    """The same of lines (``file, value``)."""
+    name = F.element_at(F.split("file", "/"), -1)
+    rows = lines.select(F.regexp_extract(name, r"^(.*)_\d+\.txt$", 1).alias("base_name"), F.regexp_extract(name, r"_(\d+)\.txt$", 1).cast("int").alias("frame"), F.split(F.trim("value"), r"\s+").alias("v"))
     v = lambda i: F.get("v", F.lit(i)).try_cast("double")
     return rows.where(F.size("v") >= 6).select(
         "base_name", "frame", ((v(1) - v(3) / 2) * width).alias("x1"), ((v(2) - v(4) / 2) * height).alias("y1"), ((v(1) + v(3) / 2) * width).alias("x2"),
@@ -68,16 +89,26 @@ def tray(c: F.Column) -> F.Column:
 
 def read_polygon(spark: SparkSession, path: str) -> DataFrame:
     """``project_id`` (the file's folder), ``vertices``: polygons as text, a vertex ``x,y`` on each line."""
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    rows = spark.read.text(path, wholetext=True).select(folder.alias("project_id"), F.filter(F.split("value", "\n"), lambda v: F.trim(v) != "").alias("v"))
+    return polygon_rows(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def polygon_rows(texts: DataFrame) -> DataFrame:
+    """The same of whole texts (``file, value``)."""
+    folder = F.element_at(F.split("file", "/"), -2)
+    rows = texts.select(folder.alias("project_id"), F.filter(F.split("value", "\n"), lambda v: F.trim(v) != "").alias("v"))
     at = lambda v, i: F.split(v, ",")[i].try_cast("double")
     return rows.select("project_id", F.transform("v", lambda v: F.struct(at(v, 0).alias("x"), at(v, 1).alias("y"))).alias("vertices"))
 
 
 def read_tray(spark: SparkSession, path: str) -> DataFrame:
     """``project_id``, ``tray`` of tray files: four numbers by comma on the first line."""
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    rows = spark.read.text(path, wholetext=True).select(folder.alias("project_id"), F.transform(F.split(F.split("value", "\n")[0], ","), lambda v: F.trim(v).try_cast("int")).alias("t"))
+    return tray_rows(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def tray_rows(texts: DataFrame) -> DataFrame:
+    """The same of whole texts (``file, value``)."""
+    folder = F.element_at(F.split("file", "/"), -2)
+    rows = texts.select(folder.alias("project_id"), F.transform(F.split(F.split("value", "\n")[0], ","), lambda v: F.trim(v).try_cast("int")).alias("t"))
     return rows.select("project_id", tray(F.col("t")).alias("tray"))
 
 

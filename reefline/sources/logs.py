@@ -84,7 +84,7 @@ MOST_KEYS = 1000
 
 def job_logs(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row for each job log (``file, value``): fields, resources as columns, outcome. ``keys`` names the
-    resources wanted; without it they are listed first. A resource without a value is Y.
+    resources wanted; without it they are listed first, and more than ``MOST_KEYS`` are refused. A resource without a value is Y.
     """
     text = lines.groupBy("file").agg(F.array_join(F.collect_list("value"), "\n").alias("text"))
     get = lambda p: F.nullif(F.regexp_extract("text", "(?m)" + p, 1), F.lit(""))
@@ -94,5 +94,7 @@ def job_logs(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
     given = lambda c, prefix: F.transform(F.map_entries(F.coalesce(key_values(F.col(c)), F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("key"), F.coalesce(e["value"], F.lit("Y")).alias("value")))
     pairs = rows.withColumn("given", map_of(F.concat(given("asked", ""), given("used", "used_"))))
-    names = [r[0] for r in pairs.select(F.explode(F.map_keys("given")).alias("k")).distinct().orderBy("k").limit(MOST_KEYS).collect()] if keys is None else keys
+    names = [r[0] for r in pairs.select(F.explode(F.map_keys("given")).alias("k")).distinct().orderBy("k").limit(MOST_KEYS + 1).collect()] if keys is None else keys
+    if keys is None and len(names) > MOST_KEYS:
+        raise ValueError(f"the logs name more than {MOST_KEYS} resources: say which ones are wanted (keys)")
     return pairs.select(*[c for c in rows.columns if c not in ("asked", "used")], *[F.try_element_at("given", F.lit(k)).alias(k) for k in names]).orderBy("job_name")

@@ -42,6 +42,37 @@ def tumbling(events: DataFrame, size: str = "5 minutes", late: str = LATE) -> Da
     return events.withWatermark("ts", late).groupBy("user_id", F.window("ts", size).alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def captures(samples: DataFrame, size: str = "5 minutes", late: str = LATE, due: int | None = None) -> DataFrame:
+    """What is captured of each window of depth samples (project_id, ts, y, x, raw) once the watermark has passed it: the
+    trimmed median and deviation by cell, and of these the statistics of the frame, one row for each project and window.
+
+    Two aggregations in a row: a cell's state is its window's samples, a frame's the sums over its cells. Both are the
+    batch's own functions. ``due``: samples that a cell should have.
+    """
+    cells = depth.cell_medians(samples.withWatermark("ts", late), ["project_id", F.window("ts", size).alias("w"), "y", "x"])
+    return depth.frame_statistics(cells, ["project_id", "w"], due)
+
+
+def recordings(starts: DataFrame, stops: DataFrame, most: str = "1 day", late: str = LATE) -> DataFrame:
+    """Starts (project_id, h264_file, start_time) with the stops (project_id, h264_file, stop_time) of the same file up to ``most``
+    later, as both streams come in; a start without one is given with a null stop once both watermarks have passed that time.
+    """
+    a = starts.withWatermark("start_time", late)
+    b = stops.select(F.col("project_id").alias("_p"), F.col("h264_file").alias("_f"), "stop_time").withWatermark("stop_time", late)
+    same = (F.col("project_id") == F.col("_p")) & (F.col("h264_file") == F.col("_f"))
+    near = (F.col("stop_time") >= F.col("start_time")) & (F.col("stop_time") <= F.col("start_time") + F.expr(f"INTERVAL {most}"))
+    return a.join(b, same & near, "leftOuter").drop("_p", "_f")
+
+
+def close_recordings(starts: DataFrame, pairs: DataFrame, frames: DataFrame) -> DataFrame:
+    """Every start with its end: the last stop paired with it so far, else the project's last frame (project_id, time)."""
+    keys = ["project_id", "h264_file", "start_time"]
+    ends = pairs.where("stop_time IS NOT NULL").groupBy(*keys).agg(F.max("stop_time").alias("_stop"))
+    last = frames.groupBy("project_id").agg(F.max("time").alias("_last"))
+    rows = starts.join(ends, keys, "left").join(last, "project_id", "left")
+    return rows.select(*starts.columns, F.coalesce("_stop", "_last").alias("end_time"), F.col("_stop").isNull().alias("open"))
+
+
 def sliding(events: DataFrame, size: str = "2 hours", step: str = "30 minutes", late: str = LATE) -> DataFrame:
     """Change from the first to the last value of sliding windows."""
     ends = events.withWatermark("ts", late).groupBy("user_id", F.window("ts", size, step).alias("w")).agg(F.min(F.struct("ts", "value")).alias("a"), F.max(F.struct("ts", "value")).alias("b"), F.count("*").alias("n"))
@@ -96,13 +127,20 @@ def in_order(rows: DataFrame, key: str, made: str, start: Callable[[], object],
 def _repeats(user: object, rows: pd.DataFrame, last: object) -> tuple[pd.DataFrame, object]:
     before = rows["gp"].shift(1)
     before.iloc[0] = last
-    same = rows[(rows["gp"] == before).to_numpy()]
+    same = rows[((rows["gp"] == before) & (rows["std"] < STILL)).to_numpy()]
     return pd.DataFrame({"user_id": user, "event_id": same["event_id"], "gp": same["gp"]}), int(rows["gp"].iloc[-1])
 
 
-def repeats(events: DataFrame) -> DataFrame:
-    """Readings equal to the project's previous one, with the previous one kept as state."""
-    rows = events.select("user_id", "event_id", "ts", F.floor(F.col("value") / 10).cast("long").alias("gp"))
+#: Deviation of a frame under which its sensor stands still (fixed value).
+STILL = 0.00001
+
+
+def repeats(events: DataFrame, gp: Column | None = None, std: Column | None = None) -> DataFrame:
+    """Alerts of a stuck sensor: frames with as many good pixels as the project's previous one and next to no deviation. The
+    previous count is the project's state.
+    """
+    gp = F.floor(F.col("value") / 10) if gp is None else gp
+    rows = events.select("user_id", "event_id", "ts", gp.cast("long").alias("gp"), (F.lit(0.0) if std is None else std).alias("std"))
     return in_order(rows, "user_id", "user_id long, event_id long, gp long", lambda: None, _repeats)
 
 
@@ -162,28 +200,66 @@ def silence_alerts(events: DataFrame, late: str = LATE) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_silent, "user_id long, last_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_monitor(cells: DataFrame, out: str, checkpoint: str, th: float, min_pixels: int, hours: int = 2):
-    """Starts the live view: after each batch of new frames (project_id, frame_idx, y, x, depth, ts, lof) the
-    change over the last hours by daylight, whatever batch their frames came in, and the regions in it,
-    written to ``out`` by batch.
+_VIEW = ["project_id", "kind", "slot", "y", "x"]
+
 
-    Frames are kept by day beside ``checkpoint``; a batch reads back the days that its projects' last hours touch.
-    A batch that runs again writes the same files anew.
+def _held(cells: DataFrame) -> DataFrame:
+    """Mergeable first and last values: of each frame's cells (``frame``, by its time) and of each day's daylight (``day``)."""
+    at = F.struct("ts", "depth")
+    kinds = F.explode(F.array(F.struct(F.lit("frame").alias("kind"), F.col("ts").alias("slot")), F.struct(F.lit("day").alias("kind"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("slot")))).alias("k")
+    rows = cells.where("lof").select("project_id", "y", "x", "ts", "depth", kinds).select("project_id", "k.kind", "k.slot", "y", "x", at.alias("a"))
+    return rows.groupBy(*_VIEW).agg(F.min("a").alias("a"), F.max("a").alias("b"))
+
+
+def live_views(state: DataFrame, hours: tuple[int, ...]) -> DataFrame:
+    """``project_id, window_id, y, x, change`` of the live view: over each of the last ``hours``, over the last day's
+    daylight, and from the day before's last daylight to that day's first.
     """
-    store = f"{checkpoint.rstrip('/')}-frames"
+    last = state.where("kind = 'frame'").groupBy("project_id").agg(F.max("slot").alias("_last"))
+    rows = state.join(last, "project_id")
+    out = None
+    for h in hours:
+        recent = rows.where((F.col("kind") == "frame") & (F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(h))))
+        own = recent.groupBy("project_id", "y", "x").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("project_id", F.lit(f"last {h} h").alias("window_id"), "y", "x", (F.col("b.depth") - F.col("a.depth")).alias("change"))
+        out = own if out is None else out.unionByName(own)
+    today = F.date_trunc("day", "_last").cast("timestamp_ntz")
+    days = rows.where("kind = 'day'").groupBy("project_id", "y", "x").agg(F.max(F.when(F.col("slot") == today, F.struct("a", "b"))).alias("d"), F.max(F.when(F.col("slot") < today, F.struct("slot", "b"))).alias("p"))
+    day = days.where("d IS NOT NULL").select("project_id", F.lit("day").alias("window_id"), "y", "x", (F.col("d.b.depth") - F.col("d.a.depth")).alias("change"))
+    night = days.where("d IS NOT NULL AND p IS NOT NULL").select("project_id", F.lit("night").alias("window_id"), "y", "x", (F.col("d.a.depth") - F.col("p.b.depth")).alias("change"))
+    return out.unionByName(day).unionByName(night)
+
+
+def live_monitor(cells: DataFrame, out: str, checkpoint: str, th: float, min_pixels: int, hours: int | tuple[int, ...] = 2):
+    """Starts the live view: after each batch of new frames (project_id, frame_idx, y, x, depth, ts, lof) the changes of
+    ``live_views``, whatever batch their frames came in, the regions in them (``out``/regions) and their sums
+    (``out``/changes), by batch.
+
+    Its state lies beside ``checkpoint``: first and last values by frame for the last hours and by day for the last two
+    days, of which each batch merges the version before and its own rows into a new one. Older slots are left out there,
+    and versions before the last two are removed, so neither state nor what a batch reads grows with the run. A batch
+    that runs again writes the same version anew.
+    """
+    hours = (hours,) if isinstance(hours, int) else hours
+    store = f"{checkpoint.rstrip('/')}-state"
 
     def update(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.where("lof").select("*", F.to_date("ts").alias("_day")).write.mode("overwrite").partitionBy("_day").parquet(f"{store}/batch={n}")
-        if batch.where("lof").isEmpty():
-            return
-        last = batch.where("lof").groupBy("project_id").agg(F.max("ts").alias("_new"))
-        since = last.agg(F.min("_new")).first()[0] - pd.Timedelta(hours=hours)
-        kept = spark.read.option("basePath", store).schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema)}, batch int, _day date").parquet(store)
-        kept = kept.where((F.col("batch") <= n) & (F.col("_day") >= F.lit(since.date()))).join(last.select("project_id"), "project_id", "left_semi")
-        recent = depth.last_hours(kept, "project_id", hours)
-        ends = recent.groupBy("project_id", "y", "x").agg(F.min(F.struct("ts", "depth")).alias("a"), F.max(F.struct("ts", "depth")).alias("b"))
-        change = ends.select("project_id", "y", "x", (F.col("b.depth") - F.col("a.depth")).alias("change"))
-        regions.bower_regions(change, ["project_id"], th, min_pixels, mode="abs").write.mode("overwrite").parquet(f"{out}/batch={n}")
+        jvm = spark._jvm.org.apache.hadoop.fs.Path
+        fs = jvm(store).getFileSystem(spark._jsc.hadoopConfiguration())
+        done = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(jvm(store)) if int(s.getPath().getName()[1:]) < n and fs.exists(jvm(f"{store}/{s.getPath().getName()}/_SUCCESS"))) if fs.exists(jvm(store)) else []
+        both = _held(batch)
+        if done:
+            both = both.unionByName(spark.read.schema(both.schema).parquet(f"{store}/v{done[-1]}"))
+        merged = both.groupBy(*_VIEW).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        last = both.where("kind = 'frame'").groupBy("project_id").agg(F.max("slot").alias("_last"))
+        day = F.date_trunc("day", "_last").cast("timestamp_ntz")
+        fresh = F.when(F.col("kind") == "frame", F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(max(hours)))).otherwise(F.col("slot") >= day - F.make_dt_interval(F.lit(1)))
+        merged.join(last, "project_id").where(fresh).select(*_VIEW, "a", "b").write.mode("overwrite").parquet(f"{store}/v{n}")
+        for k in done[:-1]:
+            fs.delete(jvm(f"{store}/v{k}"), True)
+        names = batch.select("project_id").distinct()
+        views = shared.written(live_views(spark.read.schema(both.schema).parquet(f"{store}/v{n}").join(names, "project_id", "left_semi"), hours), "views")
+        views.groupBy("project_id", "window_id").agg(F.coalesce(F.sum(F.abs("change")), F.lit(0.0)).alias("absolute"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("summed"), F.count("change").alias("n")).write.mode("overwrite").parquet(f"{out}/changes/batch={n}")
+        regions.bower_regions(views, ["project_id", "window_id"], th, min_pixels, mode="abs").write.mode("overwrite").parquet(f"{out}/regions/batch={n}")
 
     return cells.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

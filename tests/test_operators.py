@@ -360,5 +360,178 @@ def test_live_monitor_remembers_earlier_batches(spark, tmp_path):
     c = c.orderBy("frame_idx")
     stream = _stream(spark, c, tmp_path / "in", 3)
     jobs.live_monitor(stream, str(tmp_path / "out"), str(tmp_path / "log"), 1.0, 4).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).where("batch = 2").collect()
+    rows = spark.read.parquet(str(tmp_path / "out" / "regions")).where("batch = 2 AND window_id = 'last 2 h'").collect()
     assert len(rows) == 8 and {(r.label, r["size"]) for r in rows} == {(-1, 8)}
+    state = sorted(p.name for p in (tmp_path / "log-state").iterdir())
+    assert state == ["v1", "v2"]  # versions before the last two are gone
+
+
+def test_live_state_does_not_grow(spark, tmp_path):
+    """Frames of three days, one at a time: the state holds the last two hours and two days, the views are those of all frames."""
+    c = _cube(spark, {(y, x): [50.0 - i % 5 * (y + x) for i in range(12)] for y in range(2) for x in range(2)}).withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01 09:00:00' + make_dt_interval(frame_idx DIV 4, frame_idx % 4)"))
+    jobs.live_monitor(_stream(spark, c.orderBy("frame_idx"), tmp_path / "in", 12), str(tmp_path / "out"), str(tmp_path / "log"), 1.0, 1, (2,)).awaitTermination()
+    state = spark.read.parquet(str(tmp_path / "log-state" / "v11"))
+    assert state.where("kind = 'frame'").select("slot").distinct().count() == 2 and state.where("kind = 'day'").select("slot").distinct().count() == 2
+    got = {r.window_id: (r.absolute, r.summed) for r in spark.read.parquet(str(tmp_path / "out" / "changes")).where("batch = 11").collect()}
+    want = {r.window_id: (r.a, r.s) for r in jobs.live_views(jobs._held(c), (2,)).groupBy("window_id").agg(F.sum(F.abs("change")).alias("a"), F.sum("change").alias("s")).collect()}
+    assert got == want and set(got) == {"last 2 h", "day", "night"}
+
+
+def test_captures_as_stream_and_batch(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [("P", t, 0, x, int(rng.integers(1, 9)) if rng.random() > 0.2 else -1) for t in range(0, 3600, 10) for x in range(3)]
+    s = spark.createDataFrame(rows, "project_id string, t int, y int, x int, raw long").select("project_id", F.timestamp_seconds(F.lit(1_700_000_400) + F.col("t")).alias("ts"), "y", "x", "raw")
+    good = lambda df: df.withColumn("raw", F.nullif("raw", F.lit(-1)))
+    stream, s = good(_stream(spark, s, tmp_path / "in", 4)), good(s)
+    batch = depth.cell_medians(s, ["project_id", F.window("ts", "5 minutes").alias("w"), "y", "x"])
+    old = depth.trimmed_median(s.withColumn("w", F.window("ts", "5 minutes")), ["project_id", "w", "y", "x"])
+    key = lambda df: sorted((str(r.w), r.x, r["median"], round(r["std"], 9), r.n_good, r.n_bad, r.n_kept) for r in df.collect())
+    assert key(batch) == key(old) and len(key(old)) == 36
+    want = depth.frame_statistics(batch, ["project_id", "w"], 40).where("w.end <= timestamp_seconds(1700000400 + 3590 - 600)")
+    got = jobs.run_once(jobs.captures(stream, due=40), spark, "append", "t")
+    flat = lambda df: sorted((str(r.w), round(r.avg_med, 9), round(r.avg_std, 9), r.gp, r.pixels_good, r.pixels_bad) for r in df.collect())
+    assert flat(got) == flat(want) and len(flat(got)) == 9
+
+
+def test_trimming_by_hand(spark):
+    v = spark.createDataFrame([([1, 1, 2, 3, 3, 3, 3, 9],), ([1, 1, 1, 1, 5],), ([2],), ([],)], "v array<long>")
+    got = [(r.s["median"], r.s.kept) for r in v.select(depth.trimmed(F.col("v")).alias("s")).collect()]
+    assert got == [(3.0, 5), (1.0, 5), (None, 0), (None, 0)]
+
+
+def test_recordings_as_streams(spark, tmp_path):
+    at = lambda h: f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {h} HOURS"
+    starts = spark.sql(f"SELECT 'P' AS project_id, f AS h264_file, t AS start_time FROM VALUES ('a', {at(1)}), ('b', {at(2)}), ('c', {at(3)}), ('z', {at(90)}) AS v(f, t)")
+    stops = spark.sql(f"SELECT 'P' AS project_id, f AS h264_file, t AS stop_time FROM VALUES ('a', {at(5)}), ('a', {at(6)}), ('c', {at(40)}), ('z', {at(91)}), ('y', {at(92)}) AS v(f, t)")
+    pairs = jobs.run_once(jobs.recordings(_stream(spark, starts, tmp_path / "a", 2), _stream(spark, stops, tmp_path / "b", 2)), spark, "append", "t")
+    assert {(r.h264_file, r.stop_time.hour if r.stop_time else None) for r in pairs.collect()} >= {("a", 5), ("a", 6), ("b", None), ("z", 19)}
+    frames = spark.sql(f"SELECT 'P' AS project_id, {at(95)} AS time")
+    rows = {r.h264_file: (r.end_time.day, r.end_time.hour, r.open) for r in jobs.close_recordings(starts, pairs, frames).collect()}
+    assert rows == {"a": (1, 6, False), "b": (4, 23, True), "c": (4, 23, True), "z": (4, 19, False)}
+
+
+def test_stuck_sensor_needs_both_conditions(spark, tmp_path):
+    rows = spark.sql("SELECT id AS event_id, 1L AS user_id, TIMESTAMP '2024-01-01' + make_dt_interval(0, 0, cast(id AS int)) AS ts, 7.0D AS value, IF(id % 3 = 0, 0.000001D, 0.5D) AS std FROM range(30)")
+    got = jobs.run_once(jobs.repeats(_stream(spark, rows, tmp_path / "in", 3), std=F.col("std")), spark, "append", "t").toPandas()
+    assert sorted(got.event_id) == [i for i in range(1, 20) if i % 3 == 0]
+
+
+def test_stored_cube_needs_no_shuffle(spark, tmp_path):
+    from reefline.sources import cubes
+
+    c = _cube(spark, {(y, x): np.arange(80.0) * (y - x) for y in range(6) for x in range(6)}).withColumn("day", F.to_date("ts"))
+    stored = cubes.write_cube(c, "test_cube", str(tmp_path / "cube"), 3, 2)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for f in (depth.savgol, lambda x: depth.gap_interpolate(x), depth.savgol):
+        assert sorted(f(stored).select("y", "x", "frame_idx", "depth").collect()) == sorted(f(c).select("y", "x", "frame_idx", "depth").collect())
+    assert "Exchange" not in plan(depth.savgol(stored)) and "Exchange" in plan(depth.savgol(c))
+    span = plan(depth.gap_interpolate(stored))
+    cells_moved = [line for line in span.splitlines() if "Exchange hashpartitioning" in line and "tile_y" in line]
+    assert not cells_moved
+    windows = spark.sql("SELECT 'P' AS project_id, 'w' AS window_id, TIMESTAMP_NTZ '2024-01-01 08:00:00' AS t0, TIMESTAMP_NTZ '2024-01-01 12:00:00' AS t1")
+    frames = c.select("project_id", "frame_idx", "ts").distinct()
+    assert sorted(depth.height_change(stored, windows, frames=frames).collect()) == sorted(depth.height_change(c, windows).collect())
+    spark.sql("DROP TABLE test_cube")
+
+
+def test_versions_survive_failed_jobs(spark, tmp_path):
+    from reefline.sources import versions
+
+    root = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root)
+    assert versions.publish(spark.range(3), root, 0) == 1
+    broken = spark.range(5).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        versions.update(spark, root, lambda t: t.union(broken))
+    assert versions.read(spark, root).count() == 3 and versions.current(spark, root)[0] == 1
+    assert versions.update(spark, root, lambda t: t.union(spark.range(2))).count() == 5
+    with pytest.raises(versions.Outdated):
+        versions.publish(spark.range(1), root, 1)  # another job was first
+    assert versions.read(spark, root).count() == 5
+    versions.update(spark, root, lambda t: t)
+    versions.forget(spark, root, 1)
+    assert versions.read(spark, root).count() == 5 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("version-")]) == 1
+
+
+def test_tracker_streams_long_videos(spark):
+    """Tiny batches, frames cut between them: the same tracks, and as little held."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = [(v, f, k * 90.0 + f % 50 + rng.random(), 10.0, k * 90.0 + f % 50 + 30, 40.0, 0.9, float(k)) for v in "vw" for f in range(200) for k in range(3) if rng.random() > 0.1]
+    pdf = pd.DataFrame(rows, columns=tracks._BOXES).sort_values(["base_name", "frame", "x1", "y1", "x2", "y2"])
+    whole = pd.concat([tracks.run_video(g) for _, g in pdf.groupby("base_name")], ignore_index=True)
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    cut = pd.concat([b.to_pandas() for b in tracks._tracks(iter(table.to_batches(max_chunksize=7)))], ignore_index=True)
+    pd.testing.assert_frame_equal(cut, whole)
+    got = tracks.track_objects(spark.createDataFrame(pdf)).toPandas().sort_values(["base_name", "frame", "track_id"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, whole.sort_values(["base_name", "frame", "track_id"]).reset_index(drop=True), check_dtype=False)
+
+
+def test_large_boxes_have_few_cells(spark):
+    box = "base_name string, frame int, box_id long, x1 double, y1 double, x2 double, y2 double"
+    b = spark.createDataFrame([("v", 1, 1, 0.0, 0.0, 1e7, 1e7), ("v", 1, 2, 5e6, 5e6, 2e7, 2e7), ("v", 1, 3, 9e6, 9e6, 9.1e6, 9.1e6), ("v", 2, 4, 0.0, 0.0, 9.0, 9.0), ("v", 2, 5, 1.0, 1.0, 8.0, 8.0)], box)
+    assert {(r.a_id, r.b_id) for r in tracks.iou_pairs(b).collect()} == {(1, 2), (1, 3), (2, 3), (4, 5)}
+
+
+def test_agreement_of_depth_and_density_by_hand(spark):
+    """Raised sand on two columns, spits on one of them: half of the cells agree; without either the windows agree."""
+    cells = [("P", f, y, x, 50.0 - 2.0 * (f == 1 and x < 2)) for f in (0, 1) for y in range(4) for x in range(6)]
+    c = spark.createDataFrame(cells, "project_id string, frame_idx int, y int, x int, depth double").withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, frame_idx * 20)"))
+    e = spark.createDataFrame([("P", "p", 0.0, float(y), 0.0) for y in range(4) for _ in range(3)], "project_id string, Prediction string, X double, Y double, radius double").withColumn("TimeStamp", F.expr("TIMESTAMP_NTZ '2024-01-01 05:00:00'"))
+    grid = c.select("y", "x").distinct()
+    frames = c.select("project_id", "frame_idx", "ts").distinct()
+    windows = reports.trial_windows(frames).unionByName(spark.sql("SELECT 'P' AS project_id, 'none' AS window_id, TIMESTAMP_NTZ '2024-01-03' AS t0, TIMESTAMP_NTZ '2024-01-04' AS t1"))
+    rows = {r.window_id: r for r in reports.region_consistency(c, e, windows, grid, 2, (0.5, 1.0, 1.5), (50.0, 100.0, 150.0), frames).collect()}
+    assert set(rows) == {"2024-01-01", "trial", "none"}
+    assert (rows["trial"].n_depth, rows["trial"].n_density, rows["trial"].n_same, rows["trial"].agreement) == (8, 4, 4, 0.5)
+    assert (rows["none"].n_depth, rows["none"].n_density, rows["none"].agreement) == (0, 0, 1.0)
+    apart = reports.region_consistency(c, e.withColumn("X", F.lit(5.0)), windows, grid, 2, (0.5, 1.0, 1.5), (50.0, 100.0, 150.0), frames)
+    assert apart.where("window_id = 'trial'").first().agreement == 0.0
+
+
+def test_density_against_brute_force(spark):
+    """A camera's grid, places that are no whole numbers: under 1e-9 of the sum over all events, rows bounded by the radius."""
+    rng = np.random.default_rng(8)
+    n, h, w = 2000, 96, 128
+    px, py = rng.random(n) * w, rng.random(n) * h
+    e = spark.createDataFrame(pd.DataFrame({"k": "a", "X": px, "Y": py, "radius": 4.0}))
+    grid = spark.range(h * w).select(F.floor(F.col("id") / w).cast("int").alias("y"), (F.col("id") % w).cast("int").alias("x"))
+    z = np.zeros((h, w))
+    for r in events.density_cells(e, grid, ["k"]).collect():
+        z[r.y, r.x] = r.z
+    ky, kx = (np.exp(-0.5 * ((np.arange(m)[None] - at[:, None]) / 2.0) ** 2) for m, at in ((h, py), (w, px)))
+    want = ky.T @ kx
+    want *= n / (want.sum() * PARAMS.area)
+    assert np.abs(z - want).max() < 1e-9
+
+
+def test_array_source(spark, tmp_path):
+    """Bands of a large grid, small files together, column order, and files that come as a stream."""
+    from reefline.sources import arrays
+
+    arrays.register(spark)
+    grids = {"a": np.arange(600.0).reshape(60, 10), "b": np.asfortranarray(np.arange(12.0).reshape(3, 4)), "c": np.array([[np.nan, 2.0]]), "d": np.zeros((0, 3)), "e": np.arange(4, dtype=np.int16).reshape(2, 2)}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in "ab":
+        np.save(folder / f"{k}.npy", grids[k])
+    key = lambda rows: sorted((r.file.rsplit("/", 1)[1][0], r.y, r.x, r.value) for r in rows)
+    want = lambda names: sorted((k, int(y), int(x), None if np.isnan(grids[k][y, x]) else float(grids[k][y, x])) for k in names for y, x in np.ndindex(grids[k].shape))
+    load = lambda: spark.read.format("npy").option("band_bytes", "1000").load(str(folder))
+    assert key(load().collect()) == want("ab") and load().rdd.getNumPartitions() == 6  # five bands of twelve rows, one batch
+    stream = spark.readStream.format("npy").option("band_bytes", "1000").load(str(folder))
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    run = lambda: stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    run()
+    assert key(spark.read.parquet(out).collect()) == want("ab")
+    for k in "cde":
+        np.save(folder / f"{k}.npy", grids[k])
+    run()
+    got = spark.read.parquet(out).collect()
+    assert len(got) == len(want("abcde")) and key([r for r in got if r.value is not None]) == sorted([*want("abe"), ("c", 0, 1, 2.0)])
+    assert files.read_arrays(spark, str(folder)).count() == len(want("abcde"))
+    np.save(folder / "o.npy", np.array([[{}]]), allow_pickle=True)
+    with pytest.raises(Exception, match="grid of numbers"):
+        load().collect()
