@@ -9,8 +9,9 @@ numpy step moves all cursors of a chunk.
 
 The benchmark's texts go to the executors in groups of at most ``GROUP_BYTES`` with their ids (the
 bound of each broadcast, checked before it is sent); every Python worker builds a group's tables once,
-as arrays of about 30 bytes for each byte of text (100 while they are built). A larger benchmark passes over the documents in
-several groups, without a shuffle or a join.
+as arrays of about 30 bytes for each byte of text (100 while they are built). A larger benchmark has several groups. The
+documents are read once all the same: a task gathers ``GATHER`` bytes of texts and lets one group after another pass
+over them, with the tables of one group at a time. Nothing is shuffled or joined.
 
 Defined cases: null text has no words; an item without words has no window; a null ``item_id`` is
 the empty string; items with the same id are one item; a document without words is not
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm import _bytes
-from reefline.llm._frames import map_text, plain
+from reefline.llm._frames import map_text, plain, written
 
 WINDOW = 13
 BLOCK = 2
 STRETCH = 256
 GROUP_BYTES = 4 << 20
+#: Bytes of text that all groups go through together, so that a group's tables are built once for them.
+GATHER = 64 << 20
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -194,6 +197,20 @@ def _scan(texts: pa.Array, group: Group) -> dict[str, pa.Array]:
     }
 
 
+def _scan_all(texts: pa.Array, sent: list) -> dict[str, pa.Array]:
+    """The same for all groups, one after another; the group whose tables stand goes first. Ranges may overlap."""
+    order = sorted(range(len(sent)), key=lambda g: sent[g].value.name not in Group._built)
+    n_words, spans, items = None, [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
+    for g in order:
+        got = _scan(texts, sent[g].value)
+        n_words = got["n_words"]
+        for d in np.flatnonzero(got["item_ids"].value_lengths().to_numpy()).tolist():
+            spans[d] += got["spans"][d].as_py()
+            items[d] += got["item_ids"][d].as_py()
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    return {"n_words": n_words, "spans": pa.array(spans, kind), "item_ids": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))}
+
+
 MADE = "n_words long, spans array<struct<start:int,stop:int>>, item_ids array<string>"
 
 
@@ -203,26 +220,20 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -
     """
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = written(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "items")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("id") + 16), F.lit(0))).first()[0]
     n_groups = max(1, -(-total // GROUP_BYTES))
-    found = None
+    sent = []
     for g in range(n_groups):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_groups)) == g).collect()  # GROUP_BYTES, about
         by_text: dict[str, list[str]] = {}
         for r in rows:
             by_text.setdefault(r.text, []).append(r.id)
-        sent = spark.sparkContext.broadcast(Group([(ids, text) for text, ids in by_text.items()]))
-        got = map_text(docs if found is None else found, lambda t, sent=sent: _scan(t, sent.value), MADE, [*keep, "text", *(["_had"] if found is not None else [])] if n_groups > 1 else keep)
-        if n_groups == 1:
-            found = got
-            break
-        now = F.struct("n_words", "spans", "item_ids")
-        if found is not None:  # spans and items of the groups so far
-            now = F.struct("n_words", F.concat("_had.spans", "spans").alias("spans"), F.array_sort(F.array_union("_had.item_ids", "item_ids")).alias("item_ids"))
-        found = got.select(*keep, "text", now.alias("_had"))
-    if n_groups > 1:
-        found = found.select(*keep, "_had.*").withColumn("spans", _merged("spans"))
+        sent.append(spark.sparkContext.broadcast(Group([(ids, text) for text, ids in by_text.items()])))
+    if n_groups == 1:
+        found = map_text(docs, lambda t: _scan(t, sent[0].value), MADE, keep)
+    else:
+        found = map_text(docs, lambda t: _scan_all(t, sent), MADE, keep, gather=GATHER).withColumn("spans", _merged("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
