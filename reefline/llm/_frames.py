@@ -15,34 +15,22 @@ from reefline.shared import written
 __all__ = ["map_text", "meet", "plain", "written"]
 
 
-def map_text(docs: DataFrame, fn: Callable[[pa.Array], dict[str, pa.Array]], made: str, keep: list[str], text: str = "text", gather: int = 0) -> DataFrame:
-    """Columns ``keep`` of each row, and what ``fn`` returns for the batch's texts (a DDL ``made``); ``gather``: bytes of text
-    that are taken together at least, if there are as many.
+def map_text(docs: DataFrame, fn: Callable[[pa.Array], dict[str, pa.Array]], made: str, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` of each row, and what ``fn`` returns for the batch's texts (a DDL ``made``). A text that is kept goes
+    to Python once.
     """
     fields = [docs.schema[c] for c in keep] + T._parse_datatype_string(made).fields
     names = [f.name for f in fields]
     k = len(keep)
-    source = docs.select(*[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)], docs[text].alias("_text"))
-
-    def made_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = fn(held[0].column(k) if len(held) == 1 else pa.concat_arrays([b.column(k) for b in held]))
-        at = 0
-        for batch in held:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *(got[c].slice(at, n) for c in names[k:])], names=names)
-            at += n
+    own = [docs[c].alias(f"_k{i}") for i, c in enumerate(keep)]
+    at = keep.index(text) if text in keep else k
+    source = docs.select(*own) if text in keep else docs.select(*own, docs[text].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
-                size += batch.column(k).nbytes
-                if size >= gather:
-                    yield from made_of(held)
-                    held, size = [], 0
-        if held:
-            yield from made_of(held)
+                got = fn(batch.column(at))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *(got[n] for n in names[k:])], names=names)
 
     return source.mapInArrow(run, T.StructType(fields))
 

@@ -23,11 +23,13 @@ chunk of their own; columns beside the named ones are ignored by ``find`` and ke
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reefline.llm import _bytes
 from reefline.llm._frames import map_text, plain, written
@@ -214,6 +216,34 @@ def _scan_all(texts: pa.Array, sent: list) -> dict[str, pa.Array]:
 MADE = "n_words long, spans array<struct<start:int,stop:int>>, item_ids array<string>"
 
 
+def _gathered(docs: DataFrame, sent: list, keep: list[str]) -> DataFrame:
+    """``_scan_all`` on ``GATHER`` bytes of texts at a time, with the columns ``keep``."""
+    k = len(keep)
+    source = docs.select(*[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)], docs["text"].alias("_text"))
+    schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(MADE).fields)
+    names = [f.name for f in schema.fields]
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, at = _scan_all(pa.concat_arrays([b.column(k) for b in held]), sent), 0
+        for b in held:
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), *(got[c].slice(at, b.num_rows) for c in names[k:])], names=names)
+            at += b.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(k).nbytes
+            if size >= GATHER:
+                yield from made(held)
+                held, size = [], 0
+        if held:
+            yield from made(held)
+
+    return source.mapInArrow(run, schema)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (``doc_id``) and n_words, spans (word ranges inside occurrences), item_ids
     (sorted as strings), n_hit, contaminated.
@@ -233,7 +263,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -
     if n_groups == 1:
         found = map_text(docs, lambda t: _scan(t, sent[0].value), MADE, keep)
     else:
-        found = map_text(docs, lambda t: _scan_all(t, sent), MADE, keep, gather=GATHER).withColumn("spans", _merged("spans"))
+        found = _gathered(docs, sent, keep).withColumn("spans", _merged("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -427,14 +427,14 @@ def _top_words(table: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (``doc_id``) and ``score``, the probability that a text is toxic."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """Columns ``keep`` (``doc_id``) and ``score``, the probability that a text (in the column ``text``) is toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return map_text(docs, lambda t: {"score": pa.array(sent.value.score(t), pa.float64())}, "score double", ["doc_id"] if keep is None else keep)
+    return map_text(docs, lambda t: {"score": pa.array(sent.value.score(t), pa.float64())}, "score double", ["doc_id"] if keep is None else keep, text)
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that score below the threshold."""
     named, back = plain(docs)
     names = [c for c in named.columns if c.startswith("_c")]
-    return back(score(named, model, names).where(F.col("score") < threshold))
+    return back(score(named, model, names, names[docs.columns.index("text")]).where(F.col("score") < threshold))
