@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from reefline.functions.expr import savgol_coefficients
 from reefline.schemas import PARAMS
+from reefline.shared import sized
 
 PIXEL = ["project_id", "y", "x"]
 
@@ -99,7 +100,7 @@ def carry_missing_frames(cells: DataFrame, present: DataFrame) -> DataFrame:
 
 def pixel_stats(cells: DataFrame) -> DataFrame:
     day = F.when(F.col("lof"), F.col("depth"))
-    return cells.groupBy(*PIXEL).agg(F.count_if("lof").alias("n_day"), F.count(day).alias("n_good"), F.avg(day).alias("mean"), F.stddev_pop(day).alias("std"))
+    return cells.groupBy(*cell_keys(cells)).agg(F.count_if("lof").alias("n_day"), F.count(day).alias("n_good"), F.avg(day).alias("mean"), F.stddev_pop(day).alias("std"))
 
 
 def pixel_masks(cells: DataFrame, p=PARAMS) -> DataFrame:
@@ -108,7 +109,7 @@ def pixel_masks(cells: DataFrame, p=PARAMS) -> DataFrame:
     middle = stats.groupBy("project_id").agg(F.median("mean").alias("_middle"))
     sparse, noisy = F.col("n_good") < p.sparse_fraction * F.col("n_day"), F.coalesce(F.col("std") > p.max_std, F.lit(False))
     out = F.coalesce((F.col("mean") > F.col("_middle") + p.max_depth) | (F.col("mean") < F.col("_middle") - p.max_height), F.lit(False))
-    rows = stats.join(middle, "project_id").select(*PIXEL, "n_good", "mean", "std", sparse.alias("sparse"), noisy.alias("noisy"), out.alias("out_of_range"))
+    rows = stats.join(middle, "project_id").select(*cell_keys(cells), "n_good", "mean", "std", sparse.alias("sparse"), noisy.alias("noisy"), out.alias("out_of_range"))
     return rows.withColumn("good", ~(F.col("sparse") | F.col("noisy") | F.col("out_of_range")))
 
 
@@ -138,8 +139,9 @@ def scales(change: DataFrame, keys: list[str], value: str = "change", order: str
 
 
 def apply_masks(cells: DataFrame, masks: DataFrame) -> DataFrame:
-    good = masks.where("good").select(*PIXEL, F.lit(True).alias("_ok"))
-    return cells.join(good, PIXEL, "left").withColumn("depth", F.when(F.col("_ok"), F.col("depth"))).drop("_ok")
+    own = [k for k in cell_keys(cells) if k in masks.columns]
+    good = masks.where("good").select(*own, F.lit(True).alias("_ok"))
+    return cells.join(good, own, "left").withColumn("depth", F.when(F.col("_ok"), F.col("depth"))).drop("_ok")
 
 
 def gap_interpolate(cells: DataFrame, include_stop: bool = False, p=PARAMS) -> DataFrame:
@@ -148,7 +150,7 @@ def gap_interpolate(cells: DataFrame, include_stop: bool = False, p=PARAMS) -> D
     """
     span = cells.where("lof").select("project_id", "day", "frame_idx").distinct()
     span = span.groupBy("project_id", "day").agg(F.min("frame_idx").alias("_a"), F.max("frame_idx").alias("_b"))
-    rows = cells.join(span, ["project_id", "day"], "left")
+    rows = cells.join(sized(span, "days") if "tile_y" in cells.columns else span, ["project_id", "day"], "left")
     inside = (F.col("frame_idx") >= F.col("_a")) & ((F.col("frame_idx") <= F.col("_b")) if include_stop else (F.col("frame_idx") < F.col("_b")))
     rows = rows.withColumn("_in", F.coalesce(inside, F.lit(False)))
     w = W.partitionBy(*cell_keys(cells), "day", "_in")
@@ -168,7 +170,8 @@ def night_fill(cells: DataFrame) -> DataFrame:
 
     The nearest boundary is the last one before or the first one after in one sorted pass over a project's
     frames and boundaries; of two as near, the earlier. Frames between the same boundaries share their values, which are
-    worked out from the boundary frames alone; of the cube only night cells are shuffled, once.
+    worked out from the boundary frames alone; of the cube only night cells are shuffled, once, and of a stored cube none
+    (the frames' plan, a row for each night frame of a project, is sent to all tasks if its size allows).
     """
     day = F.coalesce("lof", F.lit(False))
     frames = cells.select("project_id", "frame_idx", "day", day.alias("lof")).distinct()
@@ -181,20 +184,27 @@ def night_fill(cells: DataFrame) -> DataFrame:
     line = W.partitionBy("project_id").orderBy("frame_idx")
     near = both.select("project_id", "frame_idx", "m", F.last("m", True).over(line.rowsBetween(W.unboundedPreceding, 0)).alias("_b"), F.first("m", True).over(line.rowsBetween(0, W.unboundedFollowing)).alias("_a")).where("m IS NULL")
     nearer = F.col("_a.mark") - F.col("frame_idx") < F.col("frame_idx") - F.col("_b.mark")
+    stored = "tile_y" in cells.columns
     best = near.select("project_id", "frame_idx", F.when(F.col("_b").isNull() | nearer, F.col("_a")).otherwise(F.col("_b")).alias("m"))
     other = F.when(F.col("m.before").isNull() | F.col("m.after").isNull(), F.col("m.mark")).when(F.col("frame_idx") > F.col("m.mark"), F.col("m.after")).otherwise(F.col("m.before"))
     plan = best.select("project_id", "frame_idx", F.col("m.mark").alias("b1"), other.alias("b2"))
+    plan = sized(plan, "plan") if stored else plan
     pairs = plan.where("b1 IS NOT NULL").select("project_id", "b1", "b2").distinct()
     marked = pairs.select("project_id", F.explode(F.array("b1", "b2")).alias("frame_idx")).distinct()
-    edges = cells.where("lof").join(marked, ["project_id", "frame_idx"], "left_semi").select("project_id", "frame_idx", "y", "x", "depth")  # two frames a day
+    own = cell_keys(cells)
+    edges = cells.where("lof").join(sized(marked, "marks") if stored else marked, ["project_id", "frame_idx"], "left_semi").select(*own, "frame_idx", "depth")  # two frames a day
     sides = F.explode(F.array(F.struct(F.col("b1").alias("frame_idx"), F.lit(1).alias("k")), F.struct(F.col("b2").alias("frame_idx"), F.lit(2).alias("k")))).alias("s")
-    found = pairs.select("project_id", "b1", "b2", sides).select("project_id", "b1", "b2", "s.*").join(edges, ["project_id", "frame_idx"])
+    of = pairs.select("project_id", "b1", "b2", sides).select("project_id", "b1", "b2", "s.*")
+    found = edges.join(sized(of, "sides") if stored else of, ["project_id", "frame_idx"])
     value = lambda k: F.max(F.when(F.col("k") == k, F.col("depth")))
-    fills = found.groupBy("project_id", "b1", "b2", "y", "x").agg(value(1).alias("_v1"), value(2).alias("_v2"))
+    fills = found.groupBy(*own, "b1", "b2").agg(value(1).alias("_v1"), value(2).alias("_v2"))
     mean = F.coalesce((F.col("_v1") + F.col("_v2")) / 2, "_v1", "_v2")
-    need = cells.where(~day).join(plan, ["project_id", "frame_idx"], "left").drop("depth")
-    need = need.join(fills.select("project_id", "b1", "b2", "y", "x", mean.alias("depth")), ["project_id", "b1", "b2", "y", "x"], "left")
-    return cells.where("lof").unionByName(need.select(*cells.columns))
+    fills = fills.select(*own, "b1", "b2", mean.alias("_fill"))
+    if stored:  # every cell stays where it is
+        whole = cells.join(plan, ["project_id", "frame_idx"], "left").join(fills, [*own, "b1", "b2"], "left")
+        return whole.withColumn("depth", F.when(F.coalesce("lof", F.lit(False)), F.col("depth")).otherwise(F.col("_fill"))).select(*cells.columns)
+    need = cells.where(~day).join(plan, ["project_id", "frame_idx"], "left").join(fills, [*own, "b1", "b2"], "left")
+    return cells.where("lof").unionByName(need.withColumn("depth", F.col("_fill")).select(*cells.columns))
 
 
 def savgol(cells: DataFrame, window: int = PARAMS.savgol_window, order: int = PARAMS.savgol_order) -> DataFrame:

@@ -182,10 +182,10 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
     return reports.histogram(spark.read.parquet(f"{d}/events.parquet"), "value", 0, 500, 30)
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE * 8 AS a, embedding[2]::DOUBLE * 8 AS b FROM embeddings)
-SELECT vec_id, CASE WHEN a >= b THEN 0 ELSE 1 END::INT AS sex_class, round(greatest(exp(a), exp(b)) / (exp(a) + exp(b)), 6) AS sex_p_value FROM e""")
+@query("""WITH e AS (SELECT vec_id, [exp(v::DOUBLE * 8) for v in embedding] AS p FROM embeddings)
+SELECT vec_id, (list_position(p, list_max(p)) - 1)::INT AS sex_class, round(list_max(p) / list_sum(p), 6) AS sex_p_value FROM e""")
 def softmax_class(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double") * 8).alias("l"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 8).alias("l"))
     return r6(e.select("vec_id", softmax(F.col("l")).alias("p")).select("vec_id", arg_max(F.col("p")).alias("sex_class"), F.array_max("p").alias("sex_p_value")))
 
 

@@ -60,6 +60,12 @@ def tiled_change(spark: SparkSession, d: str) -> DataFrame:
     return r6(depth.height_change(cube, depth.calendar_windows(frames), frames=frames))
 
 
+@query(DEPTH["smooth_depth"])
+def tiled_smooth_depth(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cleaning of a stored cube."""
+    return r6(depth.smooth_depth(stored_cube(spark, d)).select("project_id", "y", "x", "frame_idx", "depth"))
+
+
 HEIGHT, WIDTH, SCALE = 480, 640, 4
 _PROJECTED = f"""ev AS (SELECT "VideoID" AS project_id, ({MATRIX[3]} * "Y" + {MATRIX[4]} * "X" + {MATRIX[5]}) / ({MATRIX[6]} * "Y" + {MATRIX[7]} * "X" + {MATRIX[8]}) * {SCALE} AS px,
   ({MATRIX[0]} * "Y" + {MATRIX[1]} * "X" + {MATRIX[2]}) / ({MATRIX[6]} * "Y" + {MATRIX[7]} * "X" + {MATRIX[8]}) * {SCALE} AS py, ("X_span" + "Y_span") * sqrt({_DET}) / 2 AS radius FROM clusters WHERE "Prediction" = 'p' AND "X" IS NOT NULL AND "Y" IS NOT NULL)"""
@@ -125,25 +131,39 @@ def stream_recordings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("project_id", "h264_file", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_time", "end_time")], "open")
 
 
-@query(_recursive(f"""WITH {proxies.CELLS}, l AS (SELECT project_id, max(ts) AS last FROM cells WHERE lof GROUP BY ALL), c AS (SELECT cells.*, last FROM cells JOIN l USING (project_id) WHERE lof
-), v AS (SELECT project_id, 'last 1 h' AS window_id, y, x, arg_max(depth, ts) AS b, arg_min(depth, ts) AS a FROM (SELECT * REPLACE (coalesce(depth, -1e9) AS depth) FROM c WHERE ts > last - INTERVAL 1 HOUR) GROUP BY ALL
-  UNION ALL SELECT project_id, 'last 2 h', y, x, arg_max(depth, ts), arg_min(depth, ts) FROM (SELECT * REPLACE (coalesce(depth, -1e9) AS depth) FROM c WHERE ts > last - INTERVAL 2 HOUR) GROUP BY ALL
-  UNION ALL SELECT project_id, 'day', y, x, arg_max(depth, ts), arg_min(depth, ts) FROM (SELECT * REPLACE (coalesce(depth, -1e9) AS depth) FROM c WHERE CAST(ts AS DATE) = CAST(last AS DATE)) GROUP BY ALL
-  UNION ALL SELECT project_id, 'night', y, x, arg_min(depth, ts) FILTER (WHERE CAST(ts AS DATE) = CAST(last AS DATE)), arg_max(depth, ts) FILTER (WHERE CAST(ts AS DATE) < CAST(last AS DATE)) FROM (SELECT * REPLACE (coalesce(depth, -1e9) AS depth) FROM c WHERE CAST(ts AS DATE) >= CAST(last AS DATE) - INTERVAL 1 DAY) GROUP BY ALL
-), change AS (SELECT project_id, window_id, y, x, CASE WHEN a > -1e8 AND b > -1e8 THEN b - a END AS change FROM v){_regions_sql("abs")}
+@query(_recursive(f"""WITH {proxies.CELLS}, c AS (SELECT cells.* REPLACE (coalesce(depth, -1e9) AS depth), max(ts) OVER (PARTITION BY project_id) AS last, hour(ts) BETWEEN 8 AND 17 AS light FROM cells
+), dy AS (SELECT project_id, day, y, x, arg_min(depth, ts) AS a, arg_max(depth, ts) AS b FROM c WHERE light GROUP BY ALL
+), ng AS (SELECT *, lag(b) OVER (PARTITION BY project_id, y, x ORDER BY day) AS p FROM dy
+), v AS (SELECT project_id, 'last 1 h' AS window_id, y, x, arg_min(depth, ts) AS a, arg_max(depth, ts) AS b FROM c WHERE ts > last - INTERVAL 1 HOUR GROUP BY ALL
+  UNION ALL SELECT project_id, 'last 2 h', y, x, arg_min(depth, ts), arg_max(depth, ts) FROM c WHERE ts > last - INTERVAL 2 HOUR GROUP BY ALL
+  UNION ALL SELECT project_id, 'day ' || strftime(day, '%Y-%m-%d'), y, x, a, b FROM dy
+  UNION ALL SELECT project_id, 'night ' || strftime(day, '%Y-%m-%d'), y, x, p, a FROM ng WHERE p IS NOT NULL
+  UNION ALL SELECT project_id, 'trial', y, x, arg_min(depth, ts) FILTER (WHERE light), arg_max(depth, ts) FROM c GROUP BY ALL
+), change AS (SELECT project_id, window_id, y, x, CASE WHEN a > -1e8 AND b > -1e8 THEN b - a END AS change, CASE WHEN window_id LIKE 'last%' THEN 0.8 ELSE 1.2 END AS lv FROM v){_regions_sql("abs", "lv")}
 SELECT project_id, window_id, round(coalesce(sum(abs(c.change)), 0), 6) AS absolute, round(coalesce(sum(c.change), 0), 6) AS summed, count(c.change)::BIGINT AS n, count(r.y)::BIGINT AS n_region FROM change c LEFT JOIN (SELECT project_id, window_id, y, x FROM reg) r USING (project_id, window_id, y, x) GROUP BY ALL"""))
 def live_view(spark: SparkSession, d: str) -> DataFrame:
-    """The live monitor over all frames, in micro-batches of a few files: its last view of each project."""
-    c = proxies.cells(spark, d).select("project_id", "frame_idx", "y", "x", "depth", "ts", "lof")
+    """The live monitor over all frames as they come, in six batches: the last view of each window."""
+    c = proxies.cells(spark, d).select("project_id", "frame_idx", "y", "x", "depth", "ts")
     path, out = shared.place(spark, "frames"), shared.place(spark, "live")
-    c.repartitionByRange(6, "ts").write.parquet(path)
-    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    jobs.live_monitor(stream, out, shared.place(spark, "live-log"), 1.2, LEAST, (1, 2)).awaitTermination()
+    for k in range(6):  # one after another, as a recording writes them
+        c.where(F.floor(F.col("frame_idx") * 6 / proxies.FRAMES_PER_PROJECT) == k).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.live_monitor(stream, out, shared.place(spark, "live-log"), (0.8, 1.2), LEAST, (1, 2)).awaitTermination()
     changes, found = (spark.read.parquet(f"{out}/{k}") for k in ("changes", "regions"))
-    last = changes.groupBy("project_id").agg(F.max("batch").alias("batch"))
-    n = found.groupBy("project_id", "window_id", "batch").agg(F.count("*").alias("n_region"))
-    rows = changes.join(last, ["project_id", "batch"]).join(n, ["project_id", "window_id", "batch"], "left")
-    return r6(rows.select("project_id", "window_id", "absolute", "summed", "n", F.coalesce("n_region", F.lit(0)).alias("n_region")))
+    last = changes.groupBy(*KEYS).agg(F.max("batch").alias("batch"))
+    n = found.groupBy(*KEYS, "batch").agg(F.count("*").alias("n_region"))
+    rows = changes.join(last, [*KEYS, "batch"]).join(n, [*KEYS, "batch"], "left")
+    return r6(rows.select(*KEYS, "absolute", "summed", "n", F.coalesce("n_region", F.lit(0)).alias("n_region")))
+
+
+@query("""WITH f AS (SELECT 'U' || user_id % 10 AS project_id, ts, floor(value / 100)::BIGINT AS gp, CASE WHEN event_type = 'error' THEN 0.05 ELSE 0.000001 END AS std FROM events
+), r AS (SELECT *, lead(gp) OVER o AS prev, row_number() OVER o AS k, (SELECT max(ts) FROM f) AS now FROM f WINDOW o AS (PARTITION BY project_id ORDER BY ts DESC))
+SELECT project_id, ts AS last_frame, gp, coalesce(std < 0.00001 AND gp = prev, false) AS stuck, now - ts > INTERVAL 15 MINUTE AS silent FROM r WHERE k = 1""")
+def live_status(spark: SparkSession, d: str) -> DataFrame:
+    """Stuck and silent projects by their frame records."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    std = F.when(F.col("event_type") == "error", 0.05).otherwise(0.000001)
+    return jobs.live_status(e.select(F.concat(F.lit("U"), (F.col("user_id") % 10).cast("string")).alias("project_id"), "ts", F.floor(F.col("value") / 100).cast("long").alias("gp"), std.alias("std")))
 
 
 @query(f"""WITH {proxies.CELLS}, e AS (SELECT project_id, min(frame_idx) AS f0, max(frame_idx) AS f1 FROM cells GROUP BY ALL

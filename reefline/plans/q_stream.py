@@ -91,8 +91,8 @@ def stream_tracks(spark: SparkSession, d: str) -> DataFrame:
     """The tracker as a stream over boxes that drift, a video for each supplier; tests hold it against the batch."""
     x = spark.read.parquet(f"{d}/lineitem.parquet")
     frame = (F.col("l_orderkey") % 200).cast("int")
-    boxes = x.groupBy(F.col("l_suppkey").cast("string").alias("base_name"), frame.alias("frame"), (F.col("l_partkey") % 8).alias("k")).agg(F.avg("l_discount").alias("s"))
-    left, top = F.col("k") * 150.0 + F.col("frame") * 0.5, F.col("k") * 90.0 + F.col("frame") * 0.25
+    boxes = x.groupBy(F.col("l_suppkey").cast("string").alias("base_name"), frame.alias("frame"), (F.col("l_partkey") % 8).alias("k")).agg(F.avg("l_discount").alias("s"), F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t"))
+    left, top = F.col("k") * 150.0 + F.col("frame") * 0.5 + F.col("q") / 5, F.col("k") * 90.0 + F.col("frame") * 0.25 + F.col("t") * 50
     ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame") * 60)
     made = shared.written(boxes.select("base_name", "frame", ts.alias("ts"), left.alias("x1"), top.alias("y1"), (left + 60).alias("x2"), (top + 40).alias("y2"), (1 - F.col("s")).alias("score"), (F.col("k") % 2).cast("double").alias("class_id")), "boxes")
     stream = spark.readStream.schema(made.schema).parquet(made.inputFiles()[0].rsplit("/", 1)[0])

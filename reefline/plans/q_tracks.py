@@ -122,8 +122,8 @@ def sort_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Drifting boxes made from line items: a video for each supplier, whose rows of a part move along with the frame."""
     x = spark.read.parquet(f"{d}/lineitem.parquet")
     frame = (F.col("l_orderkey") % 200).cast("int")
-    boxes = x.groupBy(F.col("l_suppkey").cast("string").alias("base_name"), frame.alias("frame"), (F.col("l_partkey") % 8).alias("k")).agg(F.avg("l_discount").alias("s"))
-    left, top = F.col("k") * 150.0 + F.col("frame") * 0.5, F.col("k") * 90.0 + F.col("frame") * 0.25
+    boxes = x.groupBy(F.col("l_suppkey").cast("string").alias("base_name"), frame.alias("frame"), (F.col("l_partkey") % 8).alias("k")).agg(F.avg("l_discount").alias("s"), F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t"))
+    left, top = F.col("k") * 150.0 + F.col("frame") * 0.5 + F.col("q") / 5, F.col("k") * 90.0 + F.col("frame") * 0.25 + F.col("t") * 50
     return tracks.track_objects(boxes.select("base_name", "frame", left.alias("x1"), top.alias("y1"), (left + 60).alias("x2"), (top + 40).alias("y2"), (1 - F.col("s")).alias("score"), (F.col("k") % 2).cast("double").alias("class_id")))
 
 
@@ -215,9 +215,15 @@ def annotation_join(spark: SparkSession, d: str) -> DataFrame:
     return r6(catalog.annotation_rows(shapes, manifest, F.broadcast(ranges)).groupBy("annotator", "frame", "name", "label", F.round("xc", 6).alias("xc")).agg(F.count("*").alias("n")))
 
 
-@query(None)
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text in SQL, bit by bit."""
+    return f"""xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split({text}, '')]),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN {crc32_sql("l_orderkey || '_' || l_linenumber")} % 11 = 0 THEN 'val' ELSE 'train' END AS split FROM lineitem""")
 def split_tags(spark: SparkSession, d: str) -> DataFrame:
-    """SQL here has no CRC-32; tests check the tag against zlib."""
+    """Tags by hash; tests check them against zlib too."""
     return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", split_tag(F.concat_ws("_", "l_orderkey", "l_linenumber"), 11).alias("split"))
 
 
@@ -376,8 +382,8 @@ def append_merge(spark: SparkSession, d: str) -> DataFrame:
     return files.append_merge(orders, spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")))
 
 
-@query("""WITH r(annotator, lo, hi) AS (VALUES (0, 750, 99999), (1, 0, 249), (2, 551, 749)), m AS (SELECT DISTINCT o_orderkey % 1200 AS idx FROM orders)
-SELECT annotator, label, count(*)::BIGINT AS n FROM (SELECT l_linenumber % 3 AS annotator, l_orderkey % 1000 AS frame, CASE WHEN l_returnflag = 'R' THEN 'Reflection' ELSE 'Fish' END AS label FROM lineitem) JOIN r USING (annotator) JOIN m ON idx = frame WHERE frame BETWEEN lo AND hi GROUP BY ALL""")
+@query(f"""WITH r(annotator, lo, hi) AS (VALUES (0, 750, 99999), (1, 0, 249), (2, 551, 749)), m AS (SELECT DISTINCT o_orderkey % 1200 AS idx FROM orders), t AS (SELECT idx AS frame, CASE WHEN {crc32_sql("'f' || idx")} % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM m)
+SELECT annotator, label, split, count(*)::BIGINT AS n FROM (SELECT l_linenumber % 3 AS annotator, l_orderkey % 1000 AS frame, CASE WHEN l_returnflag = 'R' THEN 'Reflection' ELSE 'Fish' END AS label FROM lineitem) JOIN r USING (annotator) JOIN m ON idx = frame JOIN t USING (frame) WHERE frame BETWEEN lo AND hi GROUP BY ALL""")
 def annotation_dataset(spark: SparkSession, d: str) -> DataFrame:
     """Three annotators' batches joined, ranged, boxed, tagged, written by tag and read again."""
     x = spark.read.parquet(f"{d}/lineitem.parquet")
@@ -388,7 +394,7 @@ def annotation_dataset(spark: SparkSession, d: str) -> DataFrame:
     whole = catalog.annotation_dataset([shapes.where(F.col("annotator") == k) for k in range(3)], manifest, F.broadcast(ranges))
     path = place(spark, "dataset")
     files.write_split(whole, path)
-    return spark.read.parquet(path).groupBy("annotator", "label").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).groupBy("annotator", "label", "split").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {ST}, f AS (SELECT l_orderkey, l_linenumber, bool_or(l_returnflag <> 'R') AS listed FROM lineitem GROUP BY ALL

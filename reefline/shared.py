@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +36,16 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a table sent to all tasks may have.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, name: str = "small") -> DataFrame:
+    """The frame, written, for a join with a large one: sent to all tasks if it has ``BROADCAST_ROWS`` at most."""
+    held = written(df, name)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
 def clean(spark: SparkSession) -> None:
     """Removes all steps of this application; frames that read them are void afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -204,62 +205,105 @@ _VIEW = ["project_id", "kind", "slot", "y", "x"]
 
 
 def _held(cells: DataFrame) -> DataFrame:
-    """Mergeable first and last values: of each frame's cells (``frame``, by its time) and of each day's daylight (``day``)."""
-    at = F.struct("ts", "depth")
-    kinds = F.explode(F.array(F.struct(F.lit("frame").alias("kind"), F.col("ts").alias("slot")), F.struct(F.lit("day").alias("kind"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("slot")))).alias("k")
-    rows = cells.where("lof").select("project_id", "y", "x", "ts", "depth", kinds).select("project_id", "k.kind", "k.slot", "y", "x", at.alias("a"))
+    """Mergeable first and last values of each cell: by frame (``frame``), by day in its daylight (``day``), in all daylight (``first``)."""
+    at, light = F.struct("ts", "depth"), depth.lights_on(F.col("ts"))
+    slot = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.cast("timestamp_ntz").alias("slot"))
+    kinds = F.array(slot("frame", F.col("ts")), F.when(light, slot("day", F.date_trunc("day", "ts"))), F.when(light, slot("first", F.timestamp_seconds(F.lit(0)))))
+    rows = cells.select("project_id", "y", "x", at.alias("a"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("project_id", "k.kind", "k.slot", "y", "x", "a")
     return rows.groupBy(*_VIEW).agg(F.min("a").alias("a"), F.max("a").alias("b"))
 
 
 def live_views(state: DataFrame, hours: tuple[int, ...]) -> DataFrame:
-    """``project_id, window_id, y, x, change`` of the live view: over each of the last ``hours``, over the last day's
-    daylight, and from the day before's last daylight to that day's first.
+    """``project_id, window_id, y, x, change`` of the live view: over each of the last ``hours``; over the daylight of each day held;
+    from the last daylight of the day before to a day's first; and from the first daylight of all to the last frame.
     """
     last = state.where("kind = 'frame'").groupBy("project_id").agg(F.max("slot").alias("_last"))
-    rows = state.join(last, "project_id")
+    frames = state.where("kind = 'frame'").join(last, "project_id")
+    minus = lambda b, a: (F.col(f"{b}.depth") - F.col(f"{a}.depth")).alias("change")
     out = None
     for h in hours:
-        recent = rows.where((F.col("kind") == "frame") & (F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(h))))
-        own = recent.groupBy("project_id", "y", "x").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("project_id", F.lit(f"last {h} h").alias("window_id"), "y", "x", (F.col("b.depth") - F.col("a.depth")).alias("change"))
+        recent = frames.where(F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(h)))
+        own = recent.groupBy("project_id", "y", "x").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("project_id", F.lit(f"last {h} h").alias("window_id"), "y", "x", minus("b", "a"))
         out = own if out is None else out.unionByName(own)
-    today = F.date_trunc("day", "_last").cast("timestamp_ntz")
-    days = rows.where("kind = 'day'").groupBy("project_id", "y", "x").agg(F.max(F.when(F.col("slot") == today, F.struct("a", "b"))).alias("d"), F.max(F.when(F.col("slot") < today, F.struct("slot", "b"))).alias("p"))
-    day = days.where("d IS NOT NULL").select("project_id", F.lit("day").alias("window_id"), "y", "x", (F.col("d.b.depth") - F.col("d.a.depth")).alias("change"))
-    night = days.where("d IS NOT NULL AND p IS NOT NULL").select("project_id", F.lit("night").alias("window_id"), "y", "x", (F.col("d.a.depth") - F.col("p.b.depth")).alias("change"))
-    return out.unionByName(day).unionByName(night)
-
-
-def live_monitor(cells: DataFrame, out: str, checkpoint: str, th: float, min_pixels: int, hours: int | tuple[int, ...] = 2):
-    """Starts the live view: after each batch of new frames (project_id, frame_idx, y, x, depth, ts, lof) the changes of
-    ``live_views``, whatever batch their frames came in, the regions in them (``out``/regions) and their sums
-    (``out``/changes), by batch.
-
-    Its state lies beside ``checkpoint``: first and last values by frame for the last hours and by day for the last two
-    days, of which each batch merges the version before and its own rows into a new one. Older slots are left out there,
-    and versions before the last two are removed, so neither state nor what a batch reads grows with the run. A batch
-    that runs again writes the same version anew.
+    name = lambda kind: F.concat(F.lit(f"{kind} "), F.date_format("slot", "yyyy-MM-dd")).alias("window_id")
+    days = state.where("kind = 'day'").withColumn("p", F.lag("b").over(W.partitionBy("project_id", "y", "x").orderBy("slot")))
+    out = out.unionByName(days.select("project_id", name("day"), "y", "x", minus("b", "a"))).unionByName(days.where("p IS NOT NULL").select("project_id", name("night"), "y", "x", minus("a", "p")))
+    ends = state.where("kind IN ('frame', 'first')").groupBy("project_id", "y", "x").agg(F.min(F.when(F.col("kind") == "first", F.col("a"))).alias("a"), F.max(F.when(F.col("kind") == "frame", F.col("b"))).alias("b"))
+    return out.unionByName(ends.where("a IS NOT NULL").select("project_id", F.lit("trial").alias("window_id"), "y", "x", minus("b", "a")))
+
+
+def live_status(frames: DataFrame, minutes: int = 15) -> DataFrame:
+    """For each project its last frame, whether its sensor is stuck (as ``repeats`` has it) and whether it has been silent for more
+    than ``minutes`` by the newest frame of all. ``frames``: project_id, ts, gp, std.
+    """
+    order = W.partitionBy("project_id").orderBy(F.desc("ts"))
+    two = frames.select("project_id", "ts", "gp", "std", F.lead("gp").over(order).alias("_before"), F.row_number().over(order).alias("_k")).where("_k = 1")
+    now = frames.agg(F.max("ts").alias("_now"))  # one row
+    late = F.col("_now") - F.col("ts") > F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    stuck = F.coalesce((F.col("std") < STILL) & (F.col("gp") == F.col("_before")), F.lit(False))
+    return two.join(F.broadcast(now)).select("project_id", F.col("ts").alias("last_frame"), "gp", stuck.alias("stuck"), late.alias("silent"))
+
+
+class _Versions:
+    """A folder of numbered states, of which the last two are kept."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        self.at, self.fs = at, at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def before(self, n: int) -> list[int]:
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.at(self.path))] if self.fs.exists(self.at(self.path)) else []
+        return sorted(int(x[1:]) for x in names if int(x[1:]) < n and self.fs.exists(self.at(f"{self.path}/{x}/_SUCCESS")))
+
+    def merged(self, rows: DataFrame, n: int) -> DataFrame:
+        """The rows with those of the version before batch n."""
+        done = self.before(n)
+        return rows.unionByName(self.spark.read.schema(rows.schema).parquet(f"{self.path}/v{done[-1]}")) if done else rows
+
+    def keep(self, rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        for k in self.before(n)[:-1]:
+            self.fs.delete(self.at(f"{self.path}/v{k}"), True)
+
+
+def live_monitor(cells: DataFrame, out: str, checkpoint: str, th: float | tuple[float, float], min_pixels: int, hours: int | tuple[int, ...] = 2):
+    """Starts the live view: after each batch of new frames (project_id, frame_idx, y, x, depth, ts and, if known, the frame's std)
+    the changes of ``live_views``, whatever batch their frames came in, the regions in them (``out``/regions), their sums
+    (``out``/changes) and the state of every project (``out``/status), by batch. ``th``: the regions' threshold, or one for
+    hours and one for longer windows.
+
+    The state lies beside ``checkpoint``: first and last values by frame for the last hours, by day for the last two days with
+    daylight, and of the first daylight; each batch merges the version before and its own rows into a new one. Older slots
+    are left out there, after the views were made, and versions before the last two are removed, so neither state nor
+    what a batch reads grows with the run. Frames that come more than a day late are not seen. A batch that runs again
+    writes the same version anew.
     """
     hours = (hours,) if isinstance(hours, int) else hours
-    store = f"{checkpoint.rstrip('/')}-state"
+    short, long = th if isinstance(th, tuple) else (th, th)
+    root = checkpoint.rstrip("/")
 
     def update(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm.org.apache.hadoop.fs.Path
-        fs = jvm(store).getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(jvm(store)) if int(s.getPath().getName()[1:]) < n and fs.exists(jvm(f"{store}/{s.getPath().getName()}/_SUCCESS"))) if fs.exists(jvm(store)) else []
-        both = _held(batch)
-        if done:
-            both = both.unionByName(spark.read.schema(both.schema).parquet(f"{store}/v{done[-1]}"))
-        merged = both.groupBy(*_VIEW).agg(F.min("a").alias("a"), F.max("b").alias("b"))
-        last = both.where("kind = 'frame'").groupBy("project_id").agg(F.max("slot").alias("_last"))
-        day = F.date_trunc("day", "_last").cast("timestamp_ntz")
-        fresh = F.when(F.col("kind") == "frame", F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(max(hours)))).otherwise(F.col("slot") >= day - F.make_dt_interval(F.lit(1)))
-        merged.join(last, "project_id").where(fresh).select(*_VIEW, "a", "b").write.mode("overwrite").parquet(f"{store}/v{n}")
-        for k in done[:-1]:
-            fs.delete(jvm(f"{store}/v{k}"), True)
+        std = F.max("std") if "std" in batch.columns else F.lit(None).cast("double")
+        frames = _Versions(spark, f"{root}-frames")
+        seen = frames.merged(batch.groupBy("project_id", "ts").agg(F.count("depth").alias("gp"), std.alias("std")), n).groupBy("project_id", "ts").agg(F.max("gp").alias("gp"), F.max("std").alias("std"))
+        seen = shared.written(seen.withColumn("_k", F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("ts")))).where("_k <= 2").drop("_k"), "frames")
+        frames.keep(seen, n)
+        live_status(seen).write.mode("overwrite").parquet(f"{out}/status/batch={n}")
+
+        store = _Versions(spark, f"{root}-state")
+        state = shared.written(store.merged(_held(batch), n).groupBy(*_VIEW).agg(F.min("a").alias("a"), F.max("b").alias("b")), "state")
+        last = state.where("kind = 'frame'").groupBy("project_id").agg(F.max("slot").alias("_last"))
+        day = state.where("kind = 'day'").groupBy("project_id").agg(F.max("slot").alias("_day"))
+        fresh = F.when(F.col("kind") == "frame", F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(max(hours)))).when(F.col("kind") == "day", F.col("slot") >= F.col("_day") - F.make_dt_interval(F.lit(1))).otherwise(True)
+        store.keep(state.join(last, "project_id").join(day, "project_id", "left").where(fresh).select(*_VIEW, "a", "b"), n)
+
         names = batch.select("project_id").distinct()
-        views = shared.written(live_views(spark.read.schema(both.schema).parquet(f"{store}/v{n}").join(names, "project_id", "left_semi"), hours), "views")
-        views.groupBy("project_id", "window_id").agg(F.coalesce(F.sum(F.abs("change")), F.lit(0.0)).alias("absolute"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("summed"), F.count("change").alias("n")).write.mode("overwrite").parquet(f"{out}/changes/batch={n}")
-        regions.bower_regions(views, ["project_id", "window_id"], th, min_pixels, mode="abs").write.mode("overwrite").parquet(f"{out}/regions/batch={n}")
+        views = shared.written(live_views(state.join(names, "project_id", "left_semi"), hours), "views")
+        keys = ["project_id", "window_id"]
+        views.groupBy(*keys).agg(F.coalesce(F.sum(F.abs("change")), F.lit(0.0)).alias("absolute"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("summed"), F.count("change").alias("n")).write.mode("overwrite").parquet(f"{out}/changes/batch={n}")
+        level = F.when(F.col("window_id").startswith("last "), F.lit(short)).otherwise(F.lit(long))
+        regions.bower_regions(views.withColumn("_th", level), keys, F.col("_th"), min_pixels, mode="abs").write.mode("overwrite").parquet(f"{out}/regions/batch={n}")
 
     return cells.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -367,14 +367,29 @@ def test_live_monitor_remembers_earlier_batches(spark, tmp_path):
 
 
 def test_live_state_does_not_grow(spark, tmp_path):
-    """Frames of three days, one at a time: the state holds the last two hours and two days, the views are those of all frames."""
-    c = _cube(spark, {(y, x): [50.0 - i % 5 * (y + x) for i in range(12)] for y in range(2) for x in range(2)}).withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01 09:00:00' + make_dt_interval(frame_idx DIV 4, frame_idx % 4)"))
-    jobs.live_monitor(_stream(spark, c.orderBy("frame_idx"), tmp_path / "in", 12), str(tmp_path / "out"), str(tmp_path / "log"), 1.0, 1, (2,)).awaitTermination()
-    state = spark.read.parquet(str(tmp_path / "log-state" / "v11"))
-    assert state.where("kind = 'frame'").select("slot").distinct().count() == 2 and state.where("kind = 'day'").select("slot").distinct().count() == 2
-    got = {r.window_id: (r.absolute, r.summed) for r in spark.read.parquet(str(tmp_path / "out" / "changes")).where("batch = 11").collect()}
+    """Frames of three days, one at a time: the state holds the last two hours and two days, and each window's last view is that of
+    all frames.
+    """
+    when = "TIMESTAMP_NTZ '2024-01-01 09:00:00' + make_dt_interval(frame_idx DIV 5, frame_idx % 5 + IF(frame_idx % 5 = 4, 8, 0))"  # the fifth by night
+    c = _cube(spark, {(y, x): [50.0 - i % 5 * (y + x) - i for i in range(15)] for y in range(2) for x in range(2)}).withColumns({"ts": F.expr(when), "std": F.lit(0.000001)}).drop("lof", "day")
+    jobs.live_monitor(_stream(spark, c.orderBy("frame_idx"), tmp_path / "in", 15), str(tmp_path / "out"), str(tmp_path / "log"), (1.0, 2.0), 1, (2,)).awaitTermination()
+    state = spark.read.parquet(str(tmp_path / "log-state" / "v14"))
+    slots = {r.kind: r.n for r in state.groupBy("kind").agg(F.count_distinct("slot").alias("n")).collect()}
+    assert slots == {"frame": 1, "day": 2, "first": 1}  # no other frame within two hours of the last one
+    changes = spark.read.parquet(str(tmp_path / "out" / "changes"))
+    last = changes.groupBy("window_id").agg(F.max(F.struct("batch", "absolute", "summed")).alias("m")).collect()
+    got = {r.window_id: (r.m.absolute, r.m.summed) for r in last}
     want = {r.window_id: (r.a, r.s) for r in jobs.live_views(jobs._held(c), (2,)).groupBy("window_id").agg(F.sum(F.abs("change")).alias("a"), F.sum("change").alias("s")).collect()}
-    assert got == want and set(got) == {"last 2 h", "day", "night"}
+    assert got == want and set(got) == {"last 2 h", "trial", *(f"day 2024-01-0{k}" for k in (1, 2, 3)), *(f"night 2024-01-0{k}" for k in (2, 3))}
+    (status,) = spark.read.parquet(str(tmp_path / "out" / "status")).where("batch = 14").collect()
+    assert (status.gp, status.stuck, status.silent) == (4, True, False)
+    assert spark.read.parquet(str(tmp_path / "log-frames" / "v14")).count() == 2
+
+
+def test_status_by_hand(spark):
+    f = spark.sql("SELECT p AS project_id, TIMESTAMP_NTZ '2024-01-01 10:00:00' + make_dt_interval(0, 0, m) AS ts, gp, s AS std FROM VALUES ('a', 0, 5L, 0.0D), ('a', 5, 5L, 0.0D), ('b', 0, 5L, 0.0D), ('b', 5, 6L, 0.0D), ('c', 16, 1L, 0.0D), ('d', 0, 5L, 1.0D), ('d', 16, 5L, 0.5D), ('e', 1, 3L, NULL) AS v(p, m, gp, s)")
+    assert {r.project_id: (r.stuck, r.silent) for r in jobs.live_status(f).collect()} == {"a": (True, False), "b": (False, False), "c": (False, False), "d": (False, False), "e": (False, False)}
+    assert {r.project_id for r in jobs.live_status(f, 12).where("silent").collect()} == {"e"}
 
 
 def test_captures_as_stream_and_batch(spark, tmp_path):
@@ -434,6 +449,30 @@ def test_stored_cube_needs_no_shuffle(spark, tmp_path):
     spark.sql("DROP TABLE test_cube")
 
 
+def test_cleaning_of_a_stored_cube_moves_no_cell(spark, tmp_path):
+    import re
+
+    from reefline.sources import cubes
+
+    rng = np.random.default_rng(4)
+    day = lambda i: f"2024-01-0{1 + i // 24}"
+    lof = lambda i: 8 <= i % 24 <= 17
+    c = _cube(spark, {(y, x): [None if rng.random() < 0.02 else 50 + v for v in rng.normal(0, 0.1, 72)] for y in range(5) for x in range(5)}, lof, day)
+    stored = cubes.write_cube(c, "clean_cube", str(tmp_path / "cube"), 3, 2)
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    cubes.join_in_place(spark)
+    try:
+        out = depth.smooth_depth(stored)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.findall(r"Exchange hashpartitioning\([^)]*\by#", plan)
+        key = lambda df: sorted((r.frame_idx, r.y, r.x, None if r.depth is None else round(r.depth, 9)) for r in df.collect())
+        got = key(out)
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+    assert repr(got) == repr(key(depth.smooth_depth(c))) and len(got) == 25 * 72
+    spark.sql("DROP TABLE clean_cube")
+
+
 def test_versions_survive_failed_jobs(spark, tmp_path):
     from reefline.sources import versions
 
