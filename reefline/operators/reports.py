@@ -95,8 +95,11 @@ def cohort_depth_detail(cells: DataFrame, reference: DataFrame, min_pixels: int
 
 
 def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Counts in equal bins from lo to hi; hi itself falls into the last one."""
-    b = F.least(F.lit(bins), F.width_bucket(F.col(value), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)))
+    """Counts in equal bins from lo to hi; a value on an edge falls into the bin above it, hi itself into the last one.
+
+    The value is multiplied before it is divided: a bin's width may have no exact number.
+    """
+    b = F.least(F.lit(bins), F.floor(F.try_divide((F.col(value) - F.lit(float(lo))) * bins, F.lit(float(hi) - float(lo)))) + 1)
     return rows.where(F.col(value).between(lo, hi)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -177,7 +177,7 @@ def label_pivot(spark: SparkSession, d: str) -> DataFrame:
     return events.label_pairs(e, "pid", kind, ["MM", "MF", "FM", "FF"])
 
 
-@query("""SELECT width_bucket_::INT AS bin, count(*)::BIGINT AS n FROM (SELECT least(30, floor((value - 0) / (500.0 / 30)) + 1) AS width_bucket_ FROM events WHERE value BETWEEN 0 AND 500) GROUP BY ALL""")
+@query("""SELECT width_bucket_::INT AS bin, count(*)::BIGINT AS n FROM (SELECT least(30, floor((value - 0) * 30 / 500.0) + 1) AS width_bucket_ FROM events WHERE value BETWEEN 0 AND 500) GROUP BY ALL""")
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     return reports.histogram(spark.read.parquet(f"{d}/events.parquet"), "value", 0, 500, 30)
 
