@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reefline import shared
 from reefline.operators import depth, regions
-from reefline.operators.tracks import TRACKED, Tracker, skip, tracked_rows
+from reefline.operators.tracks import TRACKED, Trackers, tracked
 
 LATE = "10 minutes"
 
@@ -94,42 +94,53 @@ def daylight(events: DataFrame) -> DataFrame:
 
 #: Milliseconds of event time after which a silent key is forgotten.
 FORGET = 86_400_000
+#: Groups of keys that share a state and are worked on together.
+GROUPS = 2048
 
 
-def in_order(rows: DataFrame, key: str, made: str, start: Callable[[], object], step: Callable[[object, pd.DataFrame, object], tuple[pd.DataFrame, object]], late: str = LATE) -> DataFrame:
-    """What ``step(key, rows, state)`` makes (a DDL ``made``, and the next state) of each key's rows in order of
-    ``ts``, then the other columns, once the watermark has passed them. ``start`` gives a key's first state.
+def in_order(rows: DataFrame, key: str, made: str, start: Callable[[], object], step: Callable[[pd.DataFrame, object], pd.DataFrame], late: str = LATE) -> DataFrame:
+    """What ``step(rows, state)`` makes (a DDL ``made``) of each key's rows in order of ``ts``, then the other columns,
+    once the watermark has passed them. Keys come together, in groups by hash: rows are sorted by key first. ``start``
+    gives a group's first state, which ``step`` changes and whose ``pop(key, None)`` forgets a key.
     """
     names = [c for c in rows.columns if c != key]
-    source = rows.withWatermark("ts", late).select("*", F.unix_millis("ts").alias("_ms"))
+    source = rows.withWatermark("ts", late).select("*", F.unix_millis("ts").alias("_ms"), F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("_group"))
     empty = [c.split()[0] for c in made.split(", ")]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, own = pickle.loads(state.get[0]) if state.exists else (None, start())
-        parts = [x for x in ([held] if held is not None else []) + [b[[*names, "_ms"]] for b in batches] if len(x)]
+        held, seen, own = pickle.loads(state.get[0]) if state.exists else (None, {}, start())
+        parts = [b[[key, *names, "_ms"]] for b in batches if len(b)]
         mark = state.getCurrentWatermarkMs()
-        if not parts:
-            if state.hasTimedOut:
-                state.remove()
-            yield pd.DataFrame(columns=empty)
-            return
-        both = pd.concat(parts)
-        due, wait = both[both["_ms"] <= mark], both[both["_ms"] > mark]
+        for b in parts:
+            for who, ms in b.groupby(key, dropna=False)["_ms"].max().items():
+                seen[who] = max(ms, seen.get(who, ms))
+        both = pd.concat([x for x in (held, *parts) if x is not None]) if parts or held is not None else None
         out = pd.DataFrame(columns=empty)
-        if len(due):
-            out, own = step(k[0], due.sort_values(["ts", *[c for c in names if c != "ts"]]), own)
-        state.update((pickle.dumps((wait if len(wait) else None, own)),))
-        state.setTimeoutTimestamp(int(wait["_ms"].min()) if len(wait) else max(mark, int(both["_ms"].max())) + FORGET)
+        wait = None
+        if both is not None:
+            due, wait = both[both["_ms"] <= mark], both[both["_ms"] > mark]
+            if len(due):
+                out = step(due.sort_values([key, "ts", *[c for c in names if c != "ts"]]).reset_index(drop=True), own)
+            wait = wait if len(wait) else None
+        for who in [who for who, ms in seen.items() if ms + FORGET <= mark]:
+            del seen[who]
+            own.pop(who, None)
+        if seen:
+            state.update((pickle.dumps((wait, seen, own)),))
+            state.setTimeoutTimestamp(int(min(seen.values()) + FORGET if wait is None else wait["_ms"].min()))
+        elif state.exists:
+            state.remove()
         yield out
 
-    return source.groupBy(key).applyInPandasWithState(run, made, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return source.groupBy("_group").applyInPandasWithState(run, made, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _repeats(user: object, rows: pd.DataFrame, last: object) -> tuple[pd.DataFrame, object]:
+def _repeats(rows: pd.DataFrame, last: dict) -> pd.DataFrame:
+    first = (rows["user_id"] != rows["user_id"].shift(1)).to_numpy()
     before = rows["gp"].shift(1)
-    before.iloc[0] = last
-    same = rows[((rows["gp"] == before) & (rows["std"] < STILL)).to_numpy()]
-    return pd.DataFrame({"user_id": user, "event_id": same["event_id"], "gp": same["gp"]}), int(rows["gp"].iloc[-1])
+    before[first] = rows.loc[first, "user_id"].map(last)
+    last.update(rows.groupby("user_id")["gp"].last())
+    return rows.loc[(rows["gp"] == before) & (rows["std"] < STILL), ["user_id", "event_id", "gp"]]
 
 
 #: Deviation of a frame under which its sensor stands still (fixed value).
@@ -142,26 +153,23 @@ def repeats(events: DataFrame, gp: Column | None = None, std: Column | None = No
     """
     gp = F.floor(F.col("value") / 10) if gp is None else gp
     rows = events.select("user_id", "event_id", "ts", gp.cast("long").alias("gp"), (F.lit(0.0) if std is None else std).alias("std"))
-    return in_order(rows, "user_id", "user_id long, event_id long, gp long", lambda: None, _repeats)
+    return in_order(rows, "user_id", "user_id long, event_id long, gp long", dict, _repeats)
 
 
-def _follow(name: str, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
-    tracker, last = state
-    found = []
-    for frame, g in rows.sort_values(["frame", "x1", "y1", "x2", "y2"]).groupby("frame"):
-        if last is not None:
-            found += skip(name, tracker, last + 1, int(frame))
-        found += tracked_rows(name, tracker, int(frame), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float), g["class_id"].to_numpy(float))
-        last = int(frame)
-    return pd.DataFrame(found, columns=[c.split()[0] for c in TRACKED.split(", ")]), (tracker, last)
+def _follow(rows: pd.DataFrame, trackers: Trackers) -> pd.DataFrame:
+    """Boxes of one moment lie in the order of the frame, then the corners, as ``track_objects`` sorts them."""
+    rows = rows.sort_values(["base_name", "frame", "x1", "y1", "x2", "y2"])
+    video, names = pd.factorize(rows["base_name"], use_na_sentinel=False)
+    names = [None if pd.isna(n) else n for n in names]
+    return tracked(trackers, names, video.astype("int64"), rows["frame"].to_numpy("int64"), rows[["x1", "y1", "x2", "y2", "score", "class_id"]].to_numpy(float)).to_pandas()
 
 
 def online_tracks(detections: DataFrame) -> DataFrame:
     """Tracks of a stream of boxes (base_name, ts, frame, x1, y1, x2, y2, score, class_id), as ``track_objects``
-    finds them in the whole: the tracker of a video is its state, and frames without boxes are stepped.
+    finds them in the whole: the trackers of a group of videos are its state, and frames without boxes are stepped.
     """
     rows = detections.select("base_name", "ts", "frame", "x1", "y1", "x2", "y2", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("class_id", F.lit(0.0)).alias("class_id"))
-    return in_order(rows, "base_name", TRACKED, lambda: (Tracker(), None), _follow)
+    return in_order(rows, "base_name", TRACKED, Trackers, _follow)
 
 
 def run_once(stream: DataFrame, spark: SparkSession, mode: str, name: str) -> DataFrame:
