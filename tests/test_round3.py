@@ -130,3 +130,33 @@ def test_videos_are_tracked_together(monkeypatch):
     together, t = time.process_time() - t, time.process_time()
     _one_by_one(boxes)
     assert together < 20 * (time.process_time() - t) / 5
+
+
+def _crowd(spark, n_points: int, n_events: int):
+    p = spark.range(n_points).select(F.lit("v").alias("base_name"), (F.col("id") % 97).alias("track_id"), (F.col("id") % 40).cast("int").alias("frame"), F.abs(F.hash("id") % 9973).cast("double").alias("xc"), F.abs(F.hash(F.col("id") + 7) % 9967).cast("double").alias("yc"))
+    e = spark.range(n_events).select(F.col("id").alias("LID"), F.lit("v").alias("VideoID"), F.lit(0.7).alias("t"), (F.abs(F.hash("id") % 997) / 3).alias("X"), (F.abs(F.hash(F.col("id") + 3) % 991) / 3).alias("Y"), F.lit("Yes").alias("ClipCreated"))
+    return e, p
+
+
+def test_association_by_brute_force(spark):
+    """Heaps of points, empty corners, ties, events far outside, windows over several buckets."""
+    rng = np.random.default_rng(3)
+    points = pd.DataFrame({"base_name": rng.choice(["v", "w"], 3000), "track_id": rng.integers(0, 9, 3000), "frame": rng.integers(0, 200, 3000).astype("int32"), "xc": rng.choice([20.0, 40.0, 60.0, 900.0], 3000), "yc": np.where(rng.random(3000) < 0.5, 7.0, rng.integers(0, 900, 3000))})
+    events = pd.DataFrame({"LID": np.arange(120), "VideoID": rng.choice(["v", "w", "x"], 120), "t": rng.uniform(-1, 8, 120), "X": rng.integers(0, 900, 120).astype(float), "Y": rng.integers(0, 900, 120).astype(float), "ClipCreated": "Yes"})
+    events.loc[:3, ["X", "Y"]] = [[5000.0, -9.0], [-7.0, 1e6], [7.0, 20.0], [400.0, -1e5]]
+    want = {}
+    for e in events.itertuples():
+        near = points[(points.base_name == e.VideoID) & (points.frame > (e.t - 0.5) * 29) & (points.frame < (e.t + 0.5) * 29)]
+        near = near.assign(d=(near.yc - e.X) ** 2 + (near.xc - e.Y) ** 2).sort_values(["d", "frame", "track_id"])
+        want[e.LID] = (near.d.iloc[0], near.frame.iloc[0], near.track_id.iloc[0]) if len(near) else (None, None, None)
+    rows = tracks.associate(spark.createDataFrame(events), spark.createDataFrame(points), 29, 0.5).collect()
+    assert {r.LID: (r.distance2, r.frame, r.track_id) for r in rows} == want
+
+
+def test_association_in_a_crowd(spark):
+    """A window with 150,000 points and 15,000 events makes no pair of every two: that took minutes."""
+    e, p = _crowd(spark, 200_000, 15_000)
+    tracks.associate(*_crowd(spark, 100, 10), 29, 0.5).count()
+    t = time.monotonic()
+    assert tracks.associate(e, p, 29, 0.5).where("distance2 IS NOT NULL").count() == 15_000
+    assert time.monotonic() - t < 40
