@@ -1,6 +1,6 @@
 """A data source for array files: ``spark.read.format("npy")`` and ``spark.readStream.format("npy")`` after ``register``.
 
-Partitions are planned from the listing: large grids are cut into bands of rows, each read at its own place in the
+Partitions are planned from the listing alone: large grids are cut into bands of rows, each read at its own place in the
 file, and small files are put together, so that neither a huge grid nor a million tiny ones make bad tasks. As a
 stream, files come in the order of their modification time and name. The path is a folder or a file of any file
 system that Arrow opens (local and mounted folders, ``hdfs:``, ``s3:``); for others there is ``files.read_arrays``.
@@ -27,7 +27,7 @@ CELLS = 1 << 16
 
 @dataclass
 class Bands(InputPartition):
-    """Parts of files: path, first row and number of rows (-1: all)."""
+    """Parts of files: path, number of the band and of the file's bands."""
 
     parts: list[tuple[str, int, int]]
 
@@ -51,34 +51,51 @@ def _header(f) -> tuple[tuple[int, int], bool, np.dtype, int]:
     return shape, fortran, dtype, f.tell()
 
 
-def _plan(uri: str, files: list[tuple[int, str, int]], band: int, batch: int) -> list[Bands]:
-    from pyarrow import fs
+#: Partitions that a reading has at most, but for as many as its bytes fill.
+PARTS = 128
 
-    system = fs.FileSystem.from_uri(uri)[0]
-    out, small, so_far = [], [], 0
+
+def _plan(files: list[tuple[int, str, int]], band: int, batch: int) -> list[Bands]:
+    """Bands by the sizes of the listing: no file is opened here. If there were more than ``PARTS`` of them, neighbours are
+    read one after the other, as many as a batch holds.
+    """
+    bands, small, so_far = [], [], 0
     for _, path, size in files:
-        if size <= band:
-            small.append((path, 0, -1))
-            so_far += size
-            if so_far >= batch:
-                out.append(Bands(small))
-                small, so_far = [], 0
+        n = -(-size // band)
+        if n > 1:
+            bands += [(path, k, n) for k in range(n)]
             continue
-        with system.open_input_file(path) as f:
-            (rows, columns), fortran, dtype, _ = _header(f)
-        step = rows if fortran else max(1, band // max(1, columns * dtype.itemsize))
-        out += [Bands([(path, first, min(step, rows - first))]) for first in range(0, rows, step)]
-    return [*out, *([Bands(small)] if small else [])]
+        small.append((path, 0, 1))
+        so_far += size
+        if so_far >= batch:
+            bands.append(small)
+            small, so_far = [], 0
+    if small:
+        bands.append(small)
+    each = max(1, min(-(-len(bands) // PARTS), batch // max(1, band)))
+    return [Bands([p for x in bands[i : i + each] for p in (x if isinstance(x, list) else [x])]) for i in range(0, len(bands), each)]
 
 
 def _read(uri: str, partition: Bands) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     system = fs.FileSystem.from_uri(uri)[0]
-    for path, first, n in partition.parts:
+    runs: list[list] = []
+    for path, k, n in partition.parts:  # bands of a file in a row are read at once
+        if runs and runs[-1][0] == path and runs[-1][2] == k:
+            runs[-1][2] = k + 1
+        else:
+            runs.append([path, k, k + 1, n])
+    for path, k, stop, bands in runs:
         with system.open_input_file(path) as f:
             (rows, columns), fortran, dtype, at = _header(f)
-            n = rows - first if n < 0 else n
+            if fortran:  # rows lie all over the file: the first band reads them all
+                first, n = 0, rows if k == 0 else 0
+            else:
+                first = rows * k // bands
+                n = rows * stop // bands - first
+            if not n:
+                continue
             if fortran:
                 grid = np.frombuffer(f.read(), dtype).reshape((rows, columns), order="F")[first : first + n]
             else:
@@ -97,7 +114,7 @@ class _Reader(DataSourceReader):
         self.path, self.band, self.batch = options["path"], int(options.get("band_bytes", BAND_BYTES)), int(options.get("batch_bytes", BATCH_BYTES))
 
     def partitions(self) -> list[Bands]:
-        return _plan(self.path, _files(self.path), self.band, self.batch) or [Bands([])]
+        return _plan(_files(self.path), self.band, self.batch) or [Bands([])]
 
     def read(self, partition: Bands) -> Iterator[pa.RecordBatch]:
         return _read(self.path, partition)
@@ -116,7 +133,7 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Bands]:
         lo, hi = (start["time"], start["file"]), (end["time"], end["file"])
-        return _plan(self.path, [f for f in _files(self.path) if lo < f[:2] <= hi], self.band, self.batch)
+        return _plan([f for f in _files(self.path) if lo < f[:2] <= hi], self.band, self.batch)
 
     def read(self, partition: Bands) -> Iterator[pa.RecordBatch]:
         return _read(self.path, partition)

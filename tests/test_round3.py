@@ -160,3 +160,12 @@ def test_association_in_a_crowd(spark):
     t = time.monotonic()
     assert tracks.associate(e, p, 29, 0.5).where("distance2 IS NOT NULL").count() == 15_000
     assert time.monotonic() - t < 40
+
+
+def test_many_array_files_make_few_tasks(spark, tmp_path):
+    """Partitions are planned without opening a file, and their number does not grow with that of the bands."""
+    from reefline.sources import arrays
+
+    files = [(k, f"/not/there/{k}.npy", 12_928) for k in range(5_000)]
+    plan = arrays._plan(files, 4096, arrays.BATCH_BYTES)
+    assert len(plan) <= arrays.PARTS and sorted(p for x in plan for p in x.parts) == sorted((f, k, 4) for _, f, _ in files for k in range(4))
