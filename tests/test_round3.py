@@ -169,3 +169,19 @@ def test_many_array_files_make_few_tasks(spark, tmp_path):
     files = [(k, f"/not/there/{k}.npy", 12_928) for k in range(5_000)]
     plan = arrays._plan(files, 4096, arrays.BATCH_BYTES)
     assert len(plan) <= arrays.PARTS and sorted(p for x in plan for p in x.parts) == sorted((f, k, 4) for _, f, _ in files for k in range(4))
+
+
+def test_boxes_are_shuffled_once(spark):
+    """Boxes that meet one another cross the network once, not once for each side of the join."""
+    box = "base_name string, frame int, box_id long, x1 double, y1 double, x2 double, y2 double"
+    b = spark.createDataFrame([("v", 1, 1, 0.0, 0.0, 300.0, 300.0), ("v", 1, 2, 10.0, 10.0, 310.0, 310.0), ("v", 2, 3, 0.0, 0.0, 1e7, 1e7), ("v", 2, 4, 0.0, 0.0, 9e6, 1e7)], box)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = tracks.iou_pairs(b)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert {(r.a_id, r.b_id) for r in pairs.collect()} == {(1, 2), (3, 4)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    lines = [x.strip(" :+-*") for x in plan.splitlines()]
+    assert sum(x.startswith("Exchange hashpartitioning") for x in lines) == 1 and sum(x.startswith("ReusedExchange") for x in lines) == 1
