@@ -144,11 +144,13 @@ SELECT project_id, window_id, round(coalesce(sum(abs(c.change)), 0), 6) AS absol
 def live_view(spark: SparkSession, d: str) -> DataFrame:
     """The live monitor over all frames as they come, in six batches: the last view of each window."""
     c = proxies.cells(spark, d).select("project_id", "frame_idx", "y", "x", "depth", "ts")
-    path, out = shared.place(spark, "frames"), shared.place(spark, "live")
-    for k in range(6):  # one after another, as a recording writes them
-        c.where(F.floor(F.col("frame_idx") * 6 / proxies.FRAMES_PER_PROJECT) == k).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    jobs.live_monitor(stream, out, shared.place(spark, "live-log"), (0.8, 1.2), LEAST, (1, 2)).awaitTermination()
+    part = F.floor(F.col("frame_idx") * 6 / proxies.FRAMES_PER_PROJECT).cast("int")
+    path, out, log, whole = (shared.place(spark, k) for k in ("frames", "live", "live-log", "cells"))
+    c.withColumn("part", part).repartition("project_id", "y", "x").write.partitionBy("part").parquet(whole)
+    for k in range(6):  # one after another, as a recording writes them; a batch may have many files
+        spark.read.parquet(whole).where(F.col("part") == k).drop("part").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(c.schema).parquet(path)
+        jobs.live_monitor(stream, out, log, (0.8, 1.2), LEAST, (1, 2)).awaitTermination()
     changes, found = (spark.read.parquet(f"{out}/{k}") for k in ("changes", "regions"))
     last = changes.groupBy(*KEYS).agg(F.max("batch").alias("batch"))
     n = found.groupBy(*KEYS, "batch").agg(F.count("*").alias("n_region"))

@@ -212,32 +212,42 @@ def silence_alerts(events: DataFrame, late: str = LATE) -> DataFrame:
 _VIEW = ["project_id", "kind", "slot", "y", "x"]
 
 
-def _held(cells: DataFrame) -> DataFrame:
-    """Mergeable first and last values of each cell: by frame (``frame``), by day in its daylight (``day``), in all daylight (``first``)."""
+def _slots(cells: DataFrame) -> DataFrame:
+    """Each value of a cell as first and last value: by frame (``frame``), by day in its daylight (``day``), in all daylight (``first``)."""
     at, light = F.struct("ts", "depth"), depth.lights_on(F.col("ts"))
     slot = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.cast("timestamp_ntz").alias("slot"))
     kinds = F.array(slot("frame", F.col("ts")), F.when(light, slot("day", F.date_trunc("day", "ts"))), F.when(light, slot("first", F.timestamp_seconds(F.lit(0)))))
-    rows = cells.select("project_id", "y", "x", at.alias("a"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("project_id", "k.kind", "k.slot", "y", "x", "a")
-    return rows.groupBy(*_VIEW).agg(F.min("a").alias("a"), F.max("a").alias("b"))
+    rows = cells.select("project_id", "y", "x", at.alias("a"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    return rows.select("project_id", "k.kind", "k.slot", "y", "x", "a", F.col("a").alias("b"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_VIEW).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+
+
+def _held(cells: DataFrame) -> DataFrame:
+    """Mergeable first and last values of each cell and slot."""
+    return _merged(_slots(cells))
 
 
 def live_views(state: DataFrame, hours: tuple[int, ...]) -> DataFrame:
     """``project_id, window_id, y, x, change`` of the live view: over each of the last ``hours``; over the daylight of each day held;
     from the last daylight of the day before to a day's first; and from the first daylight of all to the last frame.
     """
-    last = state.where("kind = 'frame'").groupBy("project_id").agg(F.max("slot").alias("_last"))
-    frames = state.where("kind = 'frame'").join(last, "project_id")
-    minus = lambda b, a: (F.col(f"{b}.depth") - F.col(f"{a}.depth")).alias("change")
-    out = None
-    for h in hours:
-        recent = frames.where(F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(h)))
-        own = recent.groupBy("project_id", "y", "x").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("project_id", F.lit(f"last {h} h").alias("window_id"), "y", "x", minus("b", "a"))
-        out = own if out is None else out.unionByName(own)
-    name = lambda kind: F.concat(F.lit(f"{kind} "), F.date_format("slot", "yyyy-MM-dd")).alias("window_id")
+    frame, first = F.col("kind") == "frame", F.col("kind") == "first"
+    last = state.where(frame).groupBy("project_id").agg(F.max("slot").alias("_last"))
+    ends = lambda k, a, b: [F.min(F.when(a, F.col("a"))).alias(f"a{k}"), F.max(F.when(b, F.col("b"))).alias(f"b{k}")]
+    view = lambda name, a, b: F.when(F.col(a).isNotNull(), F.struct(name.alias("window_id"), (F.col(f"{b}.depth") - F.col(f"{a}.depth")).alias("change")))
+    given = lambda *views: F.explode(F.filter(F.array(*views), lambda v: v.isNotNull())).alias("v")
+    near = {h: frame & (F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(h))) for h in hours}
+
+    rows = state.where(frame | first).join(last, "project_id", "left").groupBy("project_id", "y", "x")
+    cells = rows.agg(*[e for h in hours for e in ends(h, near[h], near[h])], *ends("_trial", first, frame))
+    recent = cells.select("project_id", "y", "x", given(*[view(F.lit(f"last {h} h"), f"a{h}", f"b{h}") for h in hours], view(F.lit("trial"), "a_trial", "b_trial")))
+    name = lambda kind: F.concat(F.lit(f"{kind} "), F.date_format("slot", "yyyy-MM-dd"))
     days = state.where("kind = 'day'").withColumn("p", F.lag("b").over(W.partitionBy("project_id", "y", "x").orderBy("slot")))
-    out = out.unionByName(days.select("project_id", name("day"), "y", "x", minus("b", "a"))).unionByName(days.where("p IS NOT NULL").select("project_id", name("night"), "y", "x", minus("a", "p")))
-    ends = state.where("kind IN ('frame', 'first')").groupBy("project_id", "y", "x").agg(F.min(F.when(F.col("kind") == "first", F.col("a"))).alias("a"), F.max(F.when(F.col("kind") == "frame", F.col("b"))).alias("b"))
-    return out.unionByName(ends.where("a IS NOT NULL").select("project_id", F.lit("trial").alias("window_id"), "y", "x", minus("b", "a")))
+    days = days.select("project_id", "y", "x", given(view(name("day"), "a", "b"), view(name("night"), "p", "a")))
+    return recent.unionByName(days).select("project_id", "v.window_id", "y", "x", "v.change")
 
 
 def live_status(frames: DataFrame, minutes: int = 15) -> DataFrame:
@@ -295,19 +305,20 @@ def live_monitor(cells: DataFrame, out: str, checkpoint: str, th: float | tuple[
         spark = batch.sparkSession
         std = F.max("std") if "std" in batch.columns else F.lit(None).cast("double")
         frames = _Versions(spark, f"{root}-frames")
-        seen = frames.merged(batch.groupBy("project_id", "ts").agg(F.count("depth").alias("gp"), std.alias("std")), n).groupBy("project_id", "ts").agg(F.max("gp").alias("gp"), F.max("std").alias("std"))
+        mine = shared.written(batch.groupBy("project_id", "ts").agg(F.count("depth").alias("gp"), std.alias("std")), "frames")
+        seen = frames.merged(mine, n).groupBy("project_id", "ts").agg(F.max("gp").alias("gp"), F.max("std").alias("std"))
         seen = shared.written(seen.withColumn("_k", F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("ts")))).where("_k <= 2").drop("_k"), "frames")
         frames.keep(seen, n)
         live_status(seen).write.mode("overwrite").parquet(f"{out}/status/batch={n}")
 
         store = _Versions(spark, f"{root}-state")
-        state = shared.written(store.merged(_held(batch), n).groupBy(*_VIEW).agg(F.min("a").alias("a"), F.max("b").alias("b")), "state")
-        last = state.where("kind = 'frame'").groupBy("project_id").agg(F.max("slot").alias("_last"))
-        day = state.where("kind = 'day'").groupBy("project_id").agg(F.max("slot").alias("_day"))
+        state = shared.written(_merged(store.merged(_slots(batch), n)), "state")
+        newest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("slot")))
+        last = state.groupBy("project_id").agg(newest("frame").alias("_last"), newest("day").alias("_day"))
         fresh = F.when(F.col("kind") == "frame", F.col("slot") > F.col("_last") - F.make_dt_interval(F.lit(0), F.lit(max(hours)))).when(F.col("kind") == "day", F.col("slot") >= F.col("_day") - F.make_dt_interval(F.lit(1))).otherwise(True)
-        store.keep(state.join(last, "project_id").join(day, "project_id", "left").where(fresh).select(*_VIEW, "a", "b"), n)
+        store.keep(state.join(last, "project_id").where(fresh).select(*_VIEW, "a", "b"), n)
 
-        names = batch.select("project_id").distinct()
+        names = mine.select("project_id").distinct()
         views = shared.written(live_views(state.join(names, "project_id", "left_semi"), hours), "views")
         keys = ["project_id", "window_id"]
         views.groupBy(*keys).agg(F.coalesce(F.sum(F.abs("change")), F.lit(0.0)).alias("absolute"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("summed"), F.count("change").alias("n")).write.mode("overwrite").parquet(f"{out}/changes/batch={n}")

@@ -185,3 +185,16 @@ def test_boxes_are_shuffled_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     lines = [x.strip(" :+-*") for x in plan.splitlines()]
     assert sum(x.startswith("Exchange hashpartitioning") for x in lines) == 1 and sum(x.startswith("ReusedExchange") for x in lines) == 1
+
+
+def test_live_views_read_the_state_three_times(spark, tmp_path):
+    """Once for the last frames, once for all hours and the trial, once for days and nights, however many hours there are."""
+    rows = [(f"P{p}", y, x, float(p + y * t), f"2024-01-0{1 + t // 24} {t % 24:02d}:00:00") for p in range(2) for y in range(2) for x in range(2) for t in range(5, 40, 3) if (y, t) != (1, 38)]
+    cells = spark.createDataFrame(rows, "project_id string, y int, x int, depth double, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    jobs._held(cells).write.parquet(str(tmp_path / "state"))
+    views = jobs.live_views(spark.read.parquet(str(tmp_path / "state")), (1, 5, 12))
+    assert views._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("FileScan") <= 3
+    got = {(r.project_id, r.window_id, r.y, r.x): r.change for r in views.collect()}
+    assert len(got) == views.count() == 2 * 2 * 2 * 7 - 2 * 2  # three windows of hours, two days, a night and the trial; a row of cells misses the last frame
+    assert got["P0", "last 5 h", 1, 0] == 0.0 and got["P0", "last 12 h", 1, 0] == 6.0 and ("P0", "last 1 h", 1, 0) not in got
+    assert got["P1", "day 2024-01-01", 1, 1] == 9.0 and got["P1", "night 2024-01-02", 1, 1] == 15.0 and got["P1", "trial", 1, 1] == 27.0
