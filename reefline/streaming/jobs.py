@@ -95,7 +95,7 @@ def daylight(events: DataFrame) -> DataFrame:
 #: Milliseconds of event time after which a silent key is forgotten.
 FORGET = 86_400_000
 #: Groups of keys that share a state and are worked on together.
-GROUPS = 2048
+GROUPS = 512
 
 
 def in_order(rows: DataFrame, key: str, made: str, start: Callable[[], object], step: Callable[[pd.DataFrame, object], pd.DataFrame], late: str = LATE) -> DataFrame:

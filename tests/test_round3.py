@@ -198,3 +198,10 @@ def test_live_views_read_the_state_three_times(spark, tmp_path):
     assert len(got) == views.count() == 2 * 2 * 2 * 7 - 2 * 2  # three windows of hours, two days, a night and the trial; a row of cells misses the last frame
     assert got["P0", "last 5 h", 1, 0] == 0.0 and got["P0", "last 12 h", 1, 0] == 6.0 and ("P0", "last 1 h", 1, 0) not in got
     assert got["P1", "day 2024-01-01", 1, 1] == 9.0 and got["P1", "night 2024-01-02", 1, 1] == 15.0 and got["P1", "trial", 1, 1] == 27.0
+
+
+def test_streams_keep_many_keys_to_a_group(spark):
+    """A group steps its videos together, so that a step's fixed cost is shared: thousands of keys lie in a few hundred groups."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("base_name"))
+    groups = rows.select(F.pmod(F.xxhash64("base_name"), F.lit(jobs.GROUPS)).alias("g")).groupBy("g").count()
+    assert groups.count() <= 512 and groups.agg(F.sum("count")).first()[0] == 3000
